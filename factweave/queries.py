@@ -1,0 +1,14 @@
+"""The registered queries over the supplied tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
