@@ -8,6 +8,8 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality import quality_scores
 from .simhash import simhash_components
+from .token_counts import token_counts
+from .tokens import encode_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +28,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mixing, op4_quality, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op9_simhash)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
