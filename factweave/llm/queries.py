@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunk_fingerprint import compare_edited
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality import quality_scores
@@ -36,11 +37,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op9_simhash)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
