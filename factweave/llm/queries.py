@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunk_fingerprint import compare_edited
+from .class_lm import score_documents
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality import quality_scores
@@ -41,11 +42,15 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
