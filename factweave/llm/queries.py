@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import canonical_turns, format_turns, read_back, row_records
 from .chunk_fingerprint import compare_edited
 from .class_lm import score_documents
 from .exact_dedup import exact_dedup
@@ -50,7 +51,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash)}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "</s>[INST] ok [/INST]"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    return read_back(format_turns(canonical_turns(row_records(rows.unionByName(more)), "conv_id", "record")))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash, op10_chat)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
