@@ -8,6 +8,7 @@ from .chat import canonical_turns, format_turns, read_back, row_records
 from .chunk_fingerprint import compare_edited
 from .class_lm import score_documents
 from .exact_dedup import exact_dedup
+from .license_scan import scan_licenses
 from .mixing import mix
 from .quality import quality_scores
 from .simhash import simhash_components
@@ -23,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -58,7 +63,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(canonical_turns(row_records(rows.unionByName(more)), "conv_id", "record")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash, op10_chat)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
