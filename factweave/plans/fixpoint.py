@@ -22,8 +22,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     folder. Loops and repeated edges are harmless, rows with a null end are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    loops = cut(e.filter("u = v").select(F.col("u").alias("node")).distinct(), "components-loops")
-    e = cut(e.filter("u <> v").distinct(), "components-edges")
+    e = cut(e.distinct(), "components-edges")
+    loops = e.filter("u = v").select(F.col("u").alias("node"))
+    e = e.filter("u <> v")
     was = None
     while True:
         n, mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
