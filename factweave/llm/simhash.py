@@ -150,7 +150,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> D
         value = F.col("fp").bitwiseAND(F.lit(_mask(layouts[m][k])).cast("long"))
         held.append(classes.select(F.lit(k).alias("k"), value.alias("value"), "fp"))
         flips = F.array(*[F.lit(x).cast("long") for x in _flips(layouts[m][k], t)])
-        asked.append(classes.select(F.lit(k).alias("k"), value.alias("v"), "fp", F.explode(flips).alias("flip")).select("k", F.col("v").bitwiseXOR("flip").alias("value"), "fp") if t else held[-1])
+        asked.append(classes.select(F.lit(k).alias("k"), value.alias("v"), "fp", F.explode(flips).alias("flip")).select("k", F.col("v").bitwiseXOR(F.col("flip")).alias("value"), "fp") if t else held[-1])
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
     held_all = sized_join(union(held), hot, ["k", "value"], "left", n_hot * 32)
     asked_all = held_all if asked == held else sized_join(union(asked), hot, ["k", "value"], "left", n_hot * 32)
@@ -161,7 +161,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> D
         crowd = held_all if asked == held else held_all.unionByName(asked_all)
         crowd = crowd.filter("hot").select("fp").distinct()
         centres = F.array(*[F.lit(x).cast("long") for x in _flips(list(range(64)), max_bits // 2)])
-        crowd = crowd.select("fp", F.explode(centres).alias("flip")).select("fp", F.col("fp").bitwiseXOR("flip").alias("centre"))
+        crowd = crowd.select("fp", F.explode(centres).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
         crowd = crowd.withColumn("a", F.min("fp").over(Window.partitionBy("centre"))).filter("a <> fp")
         found = found.unionByName(crowd.select("a", F.col("fp").alias("b")))
     return found.distinct()
