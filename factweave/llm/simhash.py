@@ -182,3 +182,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = cut(named.join(names, "root").select("fp", "component_id"), "simhash-named")
     out = sized_join(rows, named, ["fp"], "inner", named.count() * 40)
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns: of each group of linked rows the one with the smallest id.
+
+    Null ids come last; of rows that repeat an id exactly one stays, by their order in the table.
+    """
+    kept = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("rid")), "near-rows")
+    found = cut(simhash_components(kept, "rid", "text", shingle, max_bits).select("rid", "component_id"), "near-components")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
+    crowds = cut(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id"), "near-crowds")
+    members = cut(sized_join(found, crowds, ["component_id"], "inner", crowds.count() * 32), "near-members")  # rows with a partner only
+    n = members.count()
+    members = cut(sized_join(kept.select("rid", "id"), members, ["rid"], "inner", n * 40), "near-member-ids")
+    firsts = members.groupBy("component_id").agg(F.min(order)["rid"].alias("first"))
+    gone = cut(members.join(firsts, "component_id").filter("rid <> first").select("rid"), "near-gone")
+    return sized_join(kept, gone, ["rid"], "left_anti", n * 32).select("row.*")
