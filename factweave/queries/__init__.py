@@ -1,14 +1,8 @@
 """The registered queries over the supplied tables, and their SQL."""
 
-from __future__ import annotations
+from .registry import ORACLES, QUERIES
+from . import aggregates, filters, flagship as _flagship, graphs, joins, projections, quality, scoring, sets, sources, streams, texts, windows  # noqa: F401  (each registers its queries)
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+flagship = QUERIES["flagship"]
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
