@@ -1 +1,271 @@
-"""Queries."""
+"""Queries of the joins."""
+
+from pyspark.sql import functions as F
+
+from ..operators import joins as J
+from ..operators import spatial as S
+from .registry import Tables, query
+
+_KM = "2 * 6371.0088 * atan2(sqrt(h), sqrt(1 - h))"
+
+
+def _pairs(where: str, left: str = "subjects", right: str = "places", more: str = "") -> str:
+    """All pairs within a distance, by brute force."""
+    return f"(SELECT left_id, right_id, round({_KM}, 6) AS km{more} FROM (SELECT a.id AS left_id, b.*, b.id AS right_id, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h FROM {left} a, {right} b) WHERE {_KM} <= {where})"
+
+
+_ALIAS = "SELECT concat('customer:', o_custkey) AS alias, min(concat('customer:', o_custkey % 50)) AS target FROM {orders} WHERE o_custkey % 7 = 0 GROUP BY 1"
+
+
+@query(f"SELECT coalesce(target, entity_id) AS entity_id, count(*) AS n FROM facts LEFT JOIN ({_ALIAS.format(orders='orders')}) ON alias = entity_id GROUP BY 1")
+def j1_rewrite_aliases(t: Tables):
+    return J.rewrite_aliases(t.facts, t.spark.sql(_ALIAS, orders=t.orders)).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_custkey % 40 AS alias, count(DISTINCT o_orderpriority) AS targets FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
+def j1_alias_conflicts(t: Tables):
+    return J.alias_conflicts(t.orders.filter("o_custkey % 5 = 0").select((F.col("o_custkey") % 40).alias("alias"), F.col("o_orderpriority").alias("target")))
+
+
+_ROWS = "SELECT o_orderkey AS row_id, concat(CASE WHEN o_orderkey % 3 = 0 THEN 'alias:' ELSE 'customer:' END, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 1000000 ELSE o_custkey END) AS claimed_id, CASE WHEN o_orderkey % 4 = 0 THEN concat('p', o_custkey % 60) END AS project_key FROM {orders}"
+_ALIASES2 = "SELECT concat('alias:', c_custkey) AS alias, concat('customer:', c_custkey) AS target FROM {customer} UNION ALL SELECT concat('alias:', c_custkey), concat('customer:', c_custkey - 1) FROM {customer} WHERE c_custkey % 10 = 0"
+_PROJECTS = "SELECT concat('p', c_custkey) AS project_key, concat('customer:', c_custkey) AS project_entity FROM {customer} WHERE c_custkey < 60"
+
+
+@query(f"""WITH r AS ({_ROWS.format(orders='orders')}), al AS ({_ALIASES2.format(customer='customer')}), pr AS ({_PROJECTS.format(customer='customer')}),
+    j AS (SELECT row_id, (SELECT entity_id FROM entities WHERE entity_id = claimed_id) AS e1, (SELECT count(DISTINCT target) FROM al WHERE alias = claimed_id) AS n2, (SELECT min(target) FROM al WHERE alias = claimed_id) AS e2, (SELECT min(project_entity) FROM pr WHERE pr.project_key = r.project_key) AS e3 FROM r),
+    d AS (SELECT *, len(list_distinct(list_filter([e1, e2, e3], lambda x: x IS NOT NULL))) AS ways FROM j)
+    SELECT row_id, CASE WHEN n2 > 1 THEN 'ambiguous' WHEN ways > 1 THEN 'conflicting' WHEN ways = 1 THEN 'unique' ELSE 'unresolved' END AS state, CASE WHEN n2 <= 1 AND ways = 1 THEN coalesce(e1, e2, e3) END AS entity_id FROM d""")
+def j2_resolve_entities(t: Tables):
+    return J.resolve_entities(t.spark.sql(_ROWS, orders=t.orders), t.entities, t.spark.sql(_ALIASES2, customer=t.customer), t.spark.sql(_PROJECTS, customer=t.customer))
+
+
+@query("""WITH k AS (SELECT DISTINCT entity_id, fact_key FROM facts) SELECT entity_id, fact_key, CASE WHEN fact_key = 'order_total' THEN 'Total {value}' WHEN CAST(split_part(entity_id, ':', 2) AS INT) % 2 = 0 THEN concat('Of ', entity_id) END AS template FROM k""")
+def j3_search_metadata(t: Tables):
+    registry = t.spark.sql("SELECT 'order_total' AS fact_key, 'Total {value}' AS template")
+    annotations = t.entities.filter("entity_type = 'customer' AND CAST(split_part(entity_id, ':', 2) AS INT) % 2 = 0").select("entity_id", F.explode(F.array(F.lit("order_total"), F.lit("order_status"), F.lit("order_priority"))).alias("fact_key"), F.concat(F.lit("Of "), "entity_id").alias("template"))
+    return J.search_metadata(t.facts, registry, annotations)
+
+
+@query("""WITH e AS (SELECT * FROM entities WHERE entity_type = 'customer' AND CAST(split_part(entity_id, ':', 2) AS INT) % 3 = 0), f AS (SELECT CASE WHEN fact_no % 5 = 0 THEN concat('customer-', lpad(split_part(entity_id, ':', 2), 9, '0')) ELSE entity_id END AS entity_id, fact_no FROM facts),
+    s AS (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS slug, min(entity_id) AS target FROM e GROUP BY 1 HAVING count(*) = 1)
+    SELECT entity_id, fact_no FROM f WHERE entity_id IN (SELECT entity_id FROM e) UNION ALL SELECT target, fact_no FROM f JOIN s ON slug = f.entity_id WHERE f.entity_id NOT IN (SELECT entity_id FROM e)""")
+def j4_accept_facts(t: Tables):
+    facts = t.facts.select(F.when(F.col("fact_no") % 5 == 0, F.concat(F.lit("customer-"), F.lpad(F.split_part("entity_id", F.lit(":"), F.lit(2)), 9, "0"))).otherwise(F.col("entity_id")).alias("entity_id"), "fact_no")
+    return J.accept_facts(facts, t.entities.filter("entity_type = 'customer' AND CAST(split_part(entity_id, ':', 2) AS INT) % 3 = 0"))
+
+
+@query("SELECT entity_id IN (SELECT entity_id FROM entities WHERE visibility = 'internal') AS included, count(*) AS n FROM facts GROUP BY 1")
+def j5_scope(t: Tables):
+    inside, outside = J.scope(t.facts, t.entities.filter("visibility = 'internal'"))
+    one = lambda df, flag: df.groupBy(F.lit(flag).alias("included")).agg(F.count(F.lit(1)).alias("n"))
+    return one(inside, True).unionByName(one(outside, False))
+
+
+@query("""WITH e AS (SELECT entity_id FROM entities WHERE visibility = 'public') SELECT 'edge source' AS reference, src AS entity_id, count(*) AS n FROM edges WHERE src NOT IN (SELECT entity_id FROM e) GROUP BY 2 UNION ALL SELECT 'edge target', dst, count(*) FROM edges WHERE dst NOT IN (SELECT entity_id FROM e) GROUP BY 2 UNION ALL SELECT 'fact', entity_id, count(*) FROM facts WHERE entity_id NOT IN (SELECT entity_id FROM e) GROUP BY 2""")
+def j6_dangling(t: Tables):
+    return J.dangling({"edge source": (t.edges, "src"), "edge target": (t.edges, "dst"), "fact": (t.facts, "entity_id")}, t.entities.filter("visibility = 'public'"))
+
+
+_RADII = "CASE category WHEN 'kind0' THEN 3.0 WHEN 'kind1' THEN 5.0 ELSE 8.0 END"
+
+
+@query(f"SELECT left_id, right_id, km, category, round(least(0.9, 1 - km / (2 * {_RADII})), 4) AS confidence FROM {_pairs(_RADII, more=', category')}")
+def j7_near_join(t: Tables):
+    found = S.near_join(t.subjects, t.places, {"kind0": 3.0, "kind1": 5.0, "kind2": 8.0})
+    return found.withColumn("km", F.round("km", 6)).withColumn("confidence", F.round(F.least(F.lit(0.9), 1 - F.col("km") / (2 * F.expr("CASE category WHEN 'kind0' THEN 3D WHEN 'kind1' THEN 5D ELSE 8D END"))), 4))
+
+
+@query(f"SELECT left_id, right_id, km, rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY km, right_id) AS rank FROM {_pairs('99999')}) WHERE rank <= 3")
+def j8_knn_join(t: Tables):
+    return S.knn_join(t.subjects, t.places, 3).select("left_id", "right_id", F.round("km", 6).alias("km"), F.col("rank").cast("long"))
+
+
+@query(f"SELECT * FROM {_pairs('4.0')}")
+def j9_radius_join(t: Tables):
+    return S.radius_join(t.subjects, t.places, 4.0).withColumn("km", F.round("km", 6))
+
+
+_RING = "array(struct(x0 AS x, y0 AS y), struct(x1 AS x, y0 AS y), struct(x1 AS x, y1 AS y), struct(x0 AS x, y1 AS y), struct(x0 AS x, y0 AS y))"
+
+
+def _rings(zones, ring: str = _RING):
+    return zones.select("zone_id", F.expr(ring).alias("ring"))
+
+
+_IN = "((y0 > lat) <> (y1 > lat)) AND ((CASE WHEN lon < x1 THEN 1 ELSE 0 END) + (CASE WHEN lon < x0 THEN 1 ELSE 0 END)) % 2 = 1"
+
+
+@query(f"SELECT id, min(zone_id) AS zone_id, count(*) AS zones FROM subjects, zones WHERE {_IN} GROUP BY 1")
+def j10_pip_join(t: Tables):
+    return S.pip_join(t.subjects, _rings(t.zones))
+
+
+_B = "SELECT concat('area:', n_nationkey) AS zone_id, 77.4 + CAST(n_nationkey % 5 AS DOUBLE) * 0.08 + 0.03 AS x0, 12.8 + CAST(CAST(floor(n_nationkey / 5) AS INT) AS DOUBLE) * 0.08 + 0.01 AS y0, 77.4 + CAST(n_nationkey % 5 AS DOUBLE) * 0.08 + 0.11 AS x1, 12.8 + CAST(CAST(floor(n_nationkey / 5) AS INT) AS DOUBLE) * 0.08 + 0.09 AS y1 FROM {nation}"
+
+
+@query(f"""WITH b AS ({_B.format(nation='nation')}), p AS (SELECT a.zone_id AS a_id, b.zone_id AS b_id, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / 0.0064 AS ratio FROM zones a, b)
+    SELECT a_id, b_id, round(ratio, 6) AS ratio, 'best' AS state FROM p WHERE ratio >= 0.3 QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY ratio DESC, b_id) = 1""")
+def j11_overlap_join(t: Tables):
+    return S.overlap_join(_rings(t.zones), _rings(t.spark.sql(_B, nation=t.nation)), 0.3).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("""SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey AND abs(a.n_nationkey % 5 - b.n_nationkey % 5) <= 1 AND abs(CAST(floor(a.n_nationkey / 5) AS INT) - CAST(floor(b.n_nationkey / 5) AS INT)) <= 1""")
+def j12_adjacency(t: Tables):
+    number = lambda c: F.split_part(c, F.lit(":"), F.lit(2)).cast("int")
+    return S.adjacency(_rings(t.zones)).select(number("a_id").alias("x"), number("b_id").alias("y"))
+
+
+@query(f"SELECT s.id, CASE WHEN n = 1 THEN z END AS zone_id, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'ambiguous' ELSE 'one' END AS state FROM subjects s LEFT JOIN (SELECT id, min(zone_id) AS z, count(*) AS n FROM subjects, (SELECT * FROM zones UNION ALL SELECT concat('extra:', zone_id), x0, y0, x1, y1 FROM zones WHERE zone_id < 'zone:15') WHERE {_IN} GROUP BY 1) USING (id)")
+def j13_occupancy(t: Tables):
+    extra = t.zones.filter("zone_id < 'zone:15'").withColumn("zone_id", F.concat(F.lit("extra:"), "zone_id"))
+    return S.occupancy(t.subjects, _rings(t.zones.unionByName(extra)))
+
+
+@query("""WITH a AS (SELECT entity_id, confidence, fact_no, concat('Block ', fact_no % 9, ', Nation-', fact_no % 30, ', City') AS address FROM facts WHERE fact_key = 'order_status'), l AS (SELECT concat('nation ', n_nationkey) AS name, concat('loc', n_nationkey) AS locality_id FROM nation)
+    SELECT entity_id, locality_id FROM (SELECT entity_id, confidence, fact_no, unnest(string_split(address, ',')) AS part FROM a) JOIN l ON name = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, fact_no) = 1""")
+def j14_address_join(t: Tables):
+    rows = t.facts.filter("fact_key = 'order_status'").select("entity_id", "confidence", "fact_no", F.concat(F.lit("Block "), F.col("fact_no") % 9, F.lit(", Nation-"), F.col("fact_no") % 30, F.lit(", City")).alias("address"))
+    return J.address_join(rows, t.nation.select(F.concat(F.lit("nation "), "n_nationkey").alias("name"), F.concat(F.lit("loc"), "n_nationkey").alias("locality_id")))
+
+
+@query(f"SELECT left_id AS id, right_id, category AS locality, km FROM {_pairs('4.0', more=', category')} QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY km, right_id) = 1")
+def j15_nearest_core(t: Tables):
+    return S.nearest_core(t.subjects, t.places.withColumnRenamed("category", "locality")).withColumn("km", F.round("km", 6))
+
+
+_NAMES = "SELECT p_partkey AS id, p_name AS name FROM {part}"
+_FUZZY = "(a = b OR (length(a) >= 4 AND length(b) >= 4 AND (starts_with(a, b) OR starts_with(b, a) OR levenshtein(a, b) <= CASE WHEN greatest(length(a), length(b)) >= 8 THEN 2 ELSE 1 END)))"
+
+
+@query(f"""WITH q AS (SELECT c_custkey AS query_id, string_split(replace(lower(c_name), '#', ' '), ' ') AS k FROM customer), e AS (SELECT concat('supplier:', s_suppkey) AS entity_id, string_split(replace(replace(lower(s_name), '#', ' '), 'supplier', 'customer'), ' ') AS k FROM supplier),
+    z AS (SELECT query_id, entity_id, unnest(list_zip(q.k, e.k)) AS z, len(q.k) AS n FROM q JOIN e ON len(q.k) = len(e.k)), y AS (SELECT query_id, entity_id, n, z[1] AS a, z[2] AS b FROM z)
+    SELECT query_id, entity_id FROM y GROUP BY ALL HAVING bool_and({_FUZZY}) AND bool_or(a = b)""")
+def j16_fuzzy_join(t: Tables):
+    q = t.customer.select(F.col("c_custkey").alias("query_id"), F.split(F.replace(F.lower("c_name"), F.lit("#"), F.lit(" ")), " ").alias("tokens"))
+    e = t.supplier.select(F.concat(F.lit("supplier:"), "s_suppkey").alias("entity_id"), F.split(F.replace(F.replace(F.lower("s_name"), F.lit("#"), F.lit(" ")), F.lit("supplier"), F.lit("customer")), " ").alias("tokens"))
+    return J.fuzzy_join(q, e)
+
+
+@query("SELECT a.src AS a, b.src AS b, count(*) AS shared FROM edges a JOIN edges b ON a.edge_type = b.edge_type AND a.dst = b.dst AND a.src < b.src WHERE a.edge_type = 'supplied_by' GROUP BY ALL")
+def j17_shared_neighbors(t: Tables):
+    return J.shared_neighbors(t.edges, ["supplied_by"], "part:")
+
+
+@query("SELECT a.s_suppkey AS a_id, b.c_custkey AS b_id, a.s_acctbal AS a_price, b.c_acctbal AS b_price FROM supplier a JOIN customer b ON s_nationkey = c_nationkey AND a.s_suppkey <> b.c_custkey AND c_acctbal BETWEEN s_acctbal * 0.82::DOUBLE AND s_acctbal * 1.18::DOUBLE AND s_acctbal > 0 AND c_acctbal > 0")
+def j18_price_band_join(t: Tables):
+    return J.price_band_join(t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("area"), F.col("s_acctbal").alias("price")), t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("area"), F.col("c_acctbal").alias("price")))
+
+
+@query("""WITH f AS (SELECT entity_id, concat(fact_key, learned_on) AS fact_key, max(value_text) AS v FROM facts GROUP BY ALL), p AS (SELECT concat('customer:', c_custkey) AS a, concat('customer:', c_custkey + 1) AS b FROM customer),
+    l AS (SELECT a, b, fact_key, v AS left_value FROM p JOIN f ON a = entity_id), r AS (SELECT a, b, fact_key, v AS right_value FROM p JOIN f ON b = entity_id)
+    SELECT a, b, fact_key, left_value, right_value, CASE WHEN left_value IS NULL THEN 'right' WHEN right_value IS NULL THEN 'left' ELSE 'both' END AS side FROM l FULL JOIN r USING (a, b, fact_key)""")
+def j19_compare_entities(t: Tables):
+    one = t.facts.groupBy("entity_id", F.concat("fact_key", "learned_on").alias("fact_key")).agg(F.max("value_text").alias("value_text"))
+    return J.compare_entities(one, t.customer.select(F.concat(F.lit("customer:"), "c_custkey").alias("a"), F.concat(F.lit("customer:"), F.col("c_custkey") + 1).alias("b")))
+
+
+@query("""SELECT fact_no, CASE WHEN fact_no % 12 = 0 THEN 'observed' WHEN source_url LIKE '%3' THEN 'linked' ELSE dst END AS target, CASE WHEN fact_no % 12 = 0 THEN 'observation' WHEN source_url LIKE '%3' THEN 'url' ELSE 'edge' END AS way,
+    least(facts.confidence, CASE WHEN fact_no % 12 = 0 THEN 0.9 WHEN source_url LIKE '%3' THEN 0.5 ELSE edges.confidence END) AS confidence FROM facts JOIN edges ON src = entity_id AND edge_type = 'located_in'""")
+def j20_bind_targets(t: Tables):
+    seen = t.facts.filter("fact_no % 12 = 0").select("fact_no", F.lit("observed").alias("target"), F.lit(0.9).alias("c"))
+    urls = t.facts.filter("source_url LIKE '%3'").select("source_url").distinct().select("source_url", F.lit("linked").alias("target"), F.lit(0.5).alias("c"))
+    return J.bind_targets(t.facts, seen, urls, t.edges.filter("edge_type = 'located_in'").select(F.col("src").alias("entity_id"), F.col("dst").alias("target"), F.col("confidence").alias("c")))
+
+
+@query("SELECT dst AS entity_id, fact_key, count(*) AS n FROM facts JOIN edges ON src = entity_id AND edge_type = 'located_in' GROUP BY ALL")
+def j21_canonical_facts(t: Tables):
+    return J.canonical_facts(t.facts, t.edges.filter("edge_type = 'located_in'")).groupBy("entity_id", "fact_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINES = "SELECT concat('line:', n_nationkey) AS line_id, concat('road ', n_nationkey) AS name, 12.8 + n_nationkey * 0.016 AS y FROM {nation}"
+
+
+def _lines(t: Tables):
+    point = lambda x: F.struct(F.col("y").cast("double").alias("lat"), F.lit(x).alias("lon"))
+    return t.spark.sql(_LINES, nation=t.nation).select("line_id", "name", F.array(point(77.3), point(77.5), point(77.9)).alias("points"))
+
+
+_LINE_M = f"(SELECT id, line_id, name, round(abs(CAST(y AS DOUBLE) - lat) * 110574, 4) AS metres FROM subjects, ({_LINES.format(nation='nation')}) WHERE abs(CAST(y AS DOUBLE) - lat) * 110574 <= 400)"
+
+
+@query(f"SELECT id, line_id, metres FROM {_LINE_M} QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN contains(concat('no. 1, road ', split_part(id, ':', 2)), name) THEN 0 ELSE 1 END, metres, name) = 1")
+def j22_nearest_line(t: Tables):
+    subjects = t.subjects.withColumn("address", F.concat(F.lit("No. 1, Road "), F.split_part("id", F.lit(":"), F.lit(2))))
+    return S.nearest_line(subjects, _lines(t), 400.0).withColumn("metres", F.round("metres", 4))
+
+
+@query("""WITH g AS (SELECT s_suppkey AS id, s_suppkey % 20 AS subject, (s_suppkey * 7 % 50) AS d FROM supplier) SELECT concat('s', subject) AS subject, concat('g', id) AS id FROM (SELECT *, d AS b, abs(40 - d) AS r FROM g) WHERE b <= 35 AND r <= 30 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY b + r, concat('g', id)) = 1""")
+def j23_select_gate(t: Tables):
+    north = lambda m: F.lit(12.8) + m / 110574
+    gates = t.supplier.select(F.concat(F.lit("g"), "s_suppkey").alias("id"), F.concat(F.lit("s"), F.col("s_suppkey") % 20).alias("subject"), (north(F.col("s_suppkey") * 7 % 50)).alias("lat"), (F.lit(77.4) + (F.col("s_suppkey") % 20) * 0.01).alias("lon"))
+    line = lambda m: gates.select("subject").distinct().select(F.col("subject").alias("line_id"), F.array(*[F.struct(north(F.lit(m)).alias("lat"), (F.lit(77.4) + F.substring("subject", 2, 9).cast("int") * 0.01 + d).alias("lon")) for d in (-0.003, 0.003)]).alias("points"))
+    return S.select_gate(gates, line(0.0), line(40.0)).select("subject", "id")
+
+
+_COS = "round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))), 6)"
+
+
+@query(f"SELECT q.vec_id AS q_id, v.vec_id AS v_id, {_COS} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5")
+def j24_similar_to(t: Tables):
+    """Queries are the rows whose id is divisible by 100, against all rows."""
+    return J.similar_to(t.embeddings, t.embeddings.filter("vec_id % 100 = 0"), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH n AS (SELECT left_id AS a, right_id AS b, km FROM {_pairs('6.0')}) SELECT a, b, CASE WHEN CAST(split_part(a, ':', 2) AS INT) % 3 = 0 THEN km * 0.9::DOUBLE WHEN CAST(split_part(a, ':', 2) AS INT) % 3 = 1 THEN km * 0.95::DOUBLE ELSE km END AS km,
+    CASE CAST(split_part(a, ':', 2) AS INT) % 3 WHEN 0 THEN 'stored' WHEN 1 THEN 'footprint' ELSE 'point' END AS metric FROM n""")
+def j25_distance_between(t: Tables):
+    points = S.radius_join(t.subjects, t.places, 6.0).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.round("km", 6).alias("km"))
+    third = F.split_part("a", F.lit(":"), F.lit(2)).cast("int") % 3
+    return J.distance_between(points.select("a", "b"), points.filter(third == 0).withColumn("km", F.col("km") * 0.9), points.filter(third <= 1).withColumn("km", F.col("km") * 0.95), points)
+
+
+@query("SELECT entity_id, fact_key, source_type, value_text, fact_no FROM facts QUALIFY row_number() OVER (PARTITION BY entity_id, fact_key ORDER BY CASE WHEN source_type = 'registry' THEN 0 ELSE 1 END, confidence DESC, value_text, fact_no) = 1")
+def j26_overlay(t: Tables):
+    return J.overlay(t.facts.filter("source_type <> 'registry'"), t.facts.filter("source_type = 'registry'")).select("entity_id", "fact_key", "source_type", "value_text", "fact_no")
+
+
+_NAMED = "SELECT p_partkey AS k, concat_ws(' ', lower(p_brand), lower(p_type), lower(p_name)) AS name, p_size % 5 AS locality FROM {part}"
+
+
+@query(f"""WITH p AS ({_NAMED.format(part='part')}), s AS (SELECT k AS subject, list_distinct(string_split(name, ' ')) AS st, locality AS sl FROM p WHERE k % 20 = 0), c AS (SELECT k AS candidate, list_distinct(string_split(name, ' ')) AS ct, locality AS cl FROM p WHERE k % 20 <> 0),
+    sc AS (SELECT subject, candidate, round(0.7::DOUBLE * len(list_intersect(st, ct)) / len(st) + CASE WHEN sl = cl THEN 0.3::DOUBLE ELSE 0 END, 6) AS score FROM s, c WHERE len(list_intersect(st, ct)) > 0),
+    r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second FROM sc WINDOW w AS (PARTITION BY subject ORDER BY score DESC, candidate))
+    SELECT subject, candidate, score, CASE WHEN score < 0.5 THEN 'rejected' WHEN second > score - 0.1::DOUBLE THEN 'ambiguous' ELSE 'winner' END AS state FROM r WHERE rn = 1""")
+def j27_match_candidates(t: Tables):
+    named = t.spark.sql(_NAMED, part=t.part).withColumn("tokens", F.split("name", " "))
+    return J.match_candidates(named.filter("k % 20 = 0").withColumnRenamed("k", "subject"), named.filter("k % 20 <> 0").withColumnRenamed("k", "candidate"))
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 6 <> 0 AND o_custkey % 12 <> 0 AS agreed FROM orders")
+def j28_agreement(t: Tables):
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", "o_orderpriority")
+    second = rows.filter("id % 6 <> 0").withColumn("o_orderstatus", F.when(F.col("o_custkey") % 12 != 0, F.col("o_orderstatus")).otherwise("?"))
+    return J.agreement(rows, second, "id", ["o_orderstatus", "o_orderpriority"])
+
+
+@query(f"""SELECT left_id AS id, min(km) AS km FROM (SELECT left_id, category, min(km) AS km FROM {_pairs("CASE category WHEN 'kind0' THEN 2.0 WHEN 'kind1' THEN 3.0 ELSE -1 END", more=', category')} GROUP BY ALL) GROUP BY 1 HAVING count(*) = 2""")
+def j30_spatial_clauses(t: Tables):
+    return S.spatial_clauses(t.subjects, t.places, {"kind0": 2.0, "kind1": 3.0}).withColumn("km", F.round("km", 6))
+
+
+@query(f"SELECT left_id, right_id, km, row_number() OVER (PARTITION BY left_id ORDER BY km, right_id) AS rank FROM {_pairs('5.0')} QUALIFY rank <= 4")
+def j31_clip_context(t: Tables):
+    return S.clip_context(t.subjects, t.places, 5.0, 4).withColumn("km", F.round("km", 6)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"SELECT id, line_id, metres FROM {_LINE_M}")
+def j32_near_lines(t: Tables):
+    return S.near_lines(t.subjects, _lines(t), 400.0).withColumn("metres", F.round("metres", 4))
+
+
+@query("""SELECT listing_id, plan_id, off FROM (SELECT l.listing_id, concat('plan', p.l_suppkey, '-', p.l_orderkey, '-', p.l_linenumber) AS plan_id, abs(p.l_quantity * 1.5 - l.area_sqft) AS off, p.l_discount AS c FROM listings l JOIN lineitem p ON concat('part:', p.l_partkey) = l.entity_id AND p.l_linenumber % 5 = l.bhk) QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY off, c DESC, plan_id) = 1""")
+def j33_match_variant(t: Tables):
+    plans = t.lineitem.select(F.concat(F.lit("part:"), "l_partkey").alias("entity_id"), (F.col("l_linenumber") % 5).alias("bhk"), F.concat(F.lit("plan"), "l_suppkey", F.lit("-"), "l_orderkey", F.lit("-"), "l_linenumber").alias("plan_id"), (F.col("l_quantity") * 1.5).alias("plan_area"), F.col("l_discount").alias("plan_confidence"))
+    return J.match_variant(t.listings, plans)
+
+
+@query("""SELECT entity_id, fact_no, n_name, rank FROM (SELECT entity_id, fact_no, dst, value_text = 'F' AS focused, row_number() OVER (PARTITION BY entity_id ORDER BY facts.confidence DESC, fact_no) AS rank FROM facts JOIN edges ON src = entity_id AND edge_type = 'located_in') JOIN nation ON dst = concat('nation:', n_nationkey) WHERE rank <= 4 OR focused""")
+def j34_context_features(t: Tables):
+    bound = t.facts.join(t.edges.filter("edge_type = 'located_in'").select(F.col("src").alias("entity_id"), F.col("dst").alias("target")), "entity_id").withColumn("focused", F.col("value_text") == "F")
+    return J.context_features(bound, t.nation.select(F.concat(F.lit("nation:"), "n_nationkey").alias("target"), "n_name"), 4).select("entity_id", "fact_no", "n_name", F.col("rank").cast("long"))
