@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from ..plans.picks import best_row, pick
 
 
+def _tier(trust: dict[str, int], column: str) -> Column:
+    """The rank of a source, unknown ones last."""
+    rank = F.lit(len(trust))
+    for source, tier in trust.items():
+        rank = F.when(F.col(column) == source, F.lit(tier)).otherwise(rank)
+    return rank
+
+
 def compact_facts(facts: DataFrame) -> DataFrame:
     """Per (entity, key, source, url) the most confident row, then the largest (value, skill, fact_no)."""
     return best_row(facts, ["entity_id", "fact_key", "source_type", "source_url"], [F.col("confidence"), F.coalesce("value_text", F.lit("")), F.col("skill_id"), F.col("fact_no")], descending=True)
@@ -19,7 +27,7 @@ def resolve_facts(facts: DataFrame, trust: dict[str, int], key_trust: dict[tuple
 
     ``trust`` ranks sources (lower is better, unknown last); ``key_trust`` overrides it for (fact_key, source).
     """
-    tier = F.coalesce(F.create_map(*[F.lit(x) for kv in trust.items() for x in kv])[F.col("source_type")], F.lit(len(trust)))
+    tier = _tier(trust, "source_type")
     special = F.lit(None).cast("int")
     for (key, source), rank in (key_trust or {}).items():
         special = F.when((F.col("fact_key") == key) & (F.col("source_type") == source), F.lit(rank)).otherwise(special)
@@ -43,7 +51,7 @@ def best_fact(facts: DataFrame, trust: dict[str, int], hidden_prefixes: tuple[st
 
     Keys that begin with a hidden prefix are visible only from sources ranked above ``hidden_below``.
     """
-    tier = F.coalesce(F.create_map(*[F.lit(x) for kv in trust.items() for x in kv])[F.col("source_type")], F.lit(len(trust)))
+    tier = _tier(trust, "source_type")
     shown = F.lit(True)
     for p in hidden_prefixes:
         shown = shown & (~F.col("fact_key").startswith(p) | (tier < hidden_below))
@@ -72,7 +80,7 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFram
 
 def pick_option(options: DataFrame, by: str, trust: dict[str, int]) -> DataFrame:
     """The representative option per property: source trust, then the smallest observation, then the smallest listing."""
-    tier = F.coalesce(F.create_map(*[F.lit(x) for kv in trust.items() for x in kv])[F.col("kind")], F.lit(len(trust)))
+    tier = _tier(trust, "kind")
     return best_row(options, [by], [tier, F.col("seen_on"), F.col("listing_id")])
 
 
