@@ -4,7 +4,7 @@ A word counts once as itself (lower case) and once as its shape, so that unseen
 shouted, decorated or plain; bigrams are taken over both, and mark a word that repeats the one before. A text's
 vector has sqrt(count / n) for each hashed feature and so has length 1 for each kind, at any number of words.
 
-Training: labelled rows are dealt over ``SHARDS`` shards; each shard is learned by FTRL-proximal in one pass after
+Training: labelled rows are dealt over up to ``SHARDS`` shards; each shard is learned by FTRL-proximal in one pass after
 another, and the shards' weights are averaged. Scoring is a sparse dot product with a broadcast vector of
 2**``BITS`` floats, whatever the size of the data.
 """
@@ -25,8 +25,8 @@ from ..plans.cut import cut
 from .arrow import arrow_batches
 
 BITS = 18
-SHARDS = 8
-PASSES = 2
+#: At most so many shards, of ``SHARD_ROWS`` rows at least; a shard is passed over until it has made ``UPDATES`` updates, between the bounds.
+SHARDS, SHARD_ROWS, UPDATES, PASSES = 8, 1000, 2500, (2, 10)
 #: At most about this many labelled rows are learned from (a documented bound; each is learned whole).
 SAMPLE_ROWS = 8_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.2
@@ -88,7 +88,7 @@ def features(text: str | None, words: Words, bits: int = BITS) -> tuple[np.ndarr
     return found, np.append(np.sqrt(counts / len(tokens)), REPEAT_WEIGHT * math.sqrt(again / len(tokens)))
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, passes: int = PASSES) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, passes: int = 2) -> np.ndarray:
     """Weights (the last is the bias) after ``passes`` over ``rows``, in their order."""
     z, n, w = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for _ in range(passes):
@@ -117,8 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20))
     known = cut(known.filter(part < min(1.0, sample_rows / max(total, 1)) * (1 << 20)).select("id", "y"), "quality-labels")
     rows = known.count()
+    shards = int(min(SHARDS, max(1, rows // SHARD_ROWS)))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    chosen = texts.join(F.broadcast(known) if rows <= 2 * sample_rows else known, "id").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SHARDS)).cast("int"))
+    chosen = texts.join(F.broadcast(known) if rows <= 2 * sample_rows else known, "id").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).cast("int"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -130,13 +131,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         import pandas as pd
 
         pdf = pdf.iloc[np.argsort([_hash(str(x)) for x in pdf["id"]], kind="stable")]
-        w = ftrl([(np.asarray(i), np.asarray(v), y) for i, v, y in zip(pdf["i"], pdf["v"], pdf["y"])])
+        passes = min(PASSES[1], max(PASSES[0], -(-UPDATES // len(pdf))))
+        w = ftrl([(np.asarray(i), np.asarray(v), y) for i, v, y in zip(pdf["i"], pdf["v"], pdf["y"])], passes=passes)
         at = np.flatnonzero(w)
         return pd.DataFrame({"i": at, "w": w[at]})
 
     arrow_batches(spark)
     learned = chosen.mapInArrow(vectors, f"shard int, id {texts.schema['id'].dataType.simpleString()}, y int, i array<long>, v array<double>").groupBy("shard").applyInPandas(learn, "i long, w double")
-    found = learned.groupBy("i").agg((F.sum("w") / SHARDS).alias("w")).toPandas()  # at most 2**BITS + 1 rows
+    found = learned.groupBy("i").agg((F.sum("w") / shards).alias("w")).toPandas()  # at most 2**BITS + 1 rows
     weights = np.zeros((1 << BITS) + 1, np.float32)
     weights[found["i"].to_numpy(np.int64)] = found["w"].to_numpy(np.float32)
     return weights
