@@ -1 +1,112 @@
-"""Queries."""
+"""Queries of scores and recommendations."""
+
+from pyspark.sql import functions as F
+
+from ..operators import joins as J
+from ..operators import scoring as R
+from ..operators import spatial as S
+from .joins import _KM, _pairs  # noqa: F401
+from .registry import Tables, query
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_returnflag = 'N' THEN CASE WHEN l_quantity >= 40 THEN least(2, l_tax * 30) WHEN l_quantity >= 20 THEN least(2, l_tax * 30) / 2 ELSE 0 END ELSE CASE WHEN l_quantity <= 10 THEN least(2, l_tax * 30) WHEN l_quantity <= 30 THEN least(2, l_tax * 30) / 2 ELSE 0 END END AS score FROM lineitem")
+def r1_evidence_score(t: Tables):
+    up = F.col("l_returnflag") == "N"
+    score = R.evidence_score(F.col("l_quantity"), F.when(up, "higher").otherwise("lower"), F.when(up, F.array(F.lit(40.0), F.lit(20.0))).otherwise(F.array(F.lit(10.0), F.lit(30.0))), F.col("l_tax") * 30)
+    return t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), score.alias("score"))
+
+
+@query("""SELECT entity_id, coalesce(max(CASE WHEN confidence > 0.95 THEN -1.5 WHEN value_number <= 50000 THEN 1.5 WHEN value_number <= 150000 THEN 0.75 WHEN value_number IS NOT NULL THEN -1.5 WHEN contains(lower(value_text), 'urgent') THEN -1.5 WHEN contains(lower(value_text), 'low') THEN 1.5 END), -1.2) AS score FROM entities LEFT JOIN facts USING (entity_id) WHERE entity_type IN ('customer', 'nation') GROUP BY 1""")
+def r2_risk_score(t: Tables):
+    score = R.risk_score(F.col("value_text"), F.col("value_number"), F.col("confidence") > 0.95, (50000, 150000), 1.5, ["urgent"], ["low"])
+    j = t.entities.filter("entity_type IN ('customer', 'nation')").join(t.facts, "entity_id", "left")
+    return j.groupBy("entity_id").agg(F.max(score).alias("s")).select("entity_id", R.with_no_data_penalty(F.col("s")).alias("score"))
+
+
+@query("SELECT s_suppkey, round(0.75 * (s_suppkey % 6) / 5 + 0.25 * least(ln(1 + s_suppkey) / 8, 1), 6) AS score FROM supplier".replace("0.75 *", "0.75::DOUBLE *").replace("0.25 *", "0.25::DOUBLE *"))
+def r3_review_score(t: Tables):
+    return t.supplier.select("s_suppkey", F.round(R.review_score(F.col("s_suppkey") % 6, F.col("s_suppkey")), 6).alias("score"))
+
+
+@query("SELECT entity_id, round(max(value_number / (1 + abs(value_number)) * confidence), 6) AS access FROM facts WHERE value_number IS NOT NULL GROUP BY 1")
+def r4_access_score(t: Tables):
+    return R.access_score(t.facts, ["order_total"]).withColumn("access", F.round("access", 6))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_discount > 0.03 THEN greatest(0.2::DOUBLE, least(0.45::DOUBLE, 0.6::DOUBLE * (l_discount * 10))) WHEN l_tax > 0.04 THEN 0.1 WHEN l_linenumber > 2 THEN 0.01 ELSE 0 END AS floor FROM lineitem")
+def r5_evidence_floor(t: Tables):
+    positive = F.when(F.col("l_discount") > 0.03, F.col("l_discount") * 10).otherwise(0.0)
+    return t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), R.evidence_floor(positive, F.when(F.col("l_tax") > 0.04, 1).otherwise(0), F.when(F.col("l_linenumber") > 2, 1).otherwise(0)).alias("floor"))
+
+
+@query(f"SELECT left_id, count(*) AS categories, round(avg(s), 6) AS score FROM (SELECT left_id, category, max(1 / (1 + km)) AS s FROM {_pairs('5.0', more=', category')} GROUP BY ALL) GROUP BY 1")
+def r6_multi_place_score(t: Tables):
+    near = S.radius_join(t.subjects, t.places, 5.0).withColumn("km", F.round("km", 6)).join(t.places.select(F.col("id").alias("right_id"), "category"), "right_id")
+    return R.multi_place_score(near)
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, s_nationkey AS area, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal + 2000 END AS price, CASE WHEN s_suppkey % 3 = 0 THEN 0.5 END AS coverage, CASE WHEN s_suppkey % 2 = 0 THEN 1 END AS present, CASE WHEN s_suppkey % 5 = 0 THEN 1 END AS risk FROM supplier),
+    m AS (SELECT area, price AS median FROM (SELECT area, price, row_number() OVER (PARTITION BY area ORDER BY price) AS r, count(*) OVER (PARTITION BY area) AS n FROM s WHERE price IS NOT NULL) WHERE r = CAST(floor(n / 2) AS INT) + 1),
+    g AS (SELECT id, CASE WHEN price / median <= 0.85 THEN 1.0::DOUBLE WHEN price / median <= 1 THEN 0.75::DOUBLE WHEN price / median <= 1.12 THEN 0.45::DOUBLE WHEN price IS NOT NULL THEN 0.2::DOUBLE END AS p, coverage AS c, present AS e, 1 - risk AS k FROM s LEFT JOIN m USING (area))
+    SELECT id, round(CASE WHEN p IS NOT NULL OR c IS NOT NULL OR e IS NOT NULL OR k IS NOT NULL THEN (coalesce(p * 0.4::DOUBLE, 0) + coalesce(c * 0.3::DOUBLE, 0) + coalesce(e * 0.2::DOUBLE, 0) + coalesce(k * 0.1::DOUBLE, 0)) / (CASE WHEN p IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN c IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN e IS NULL THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN k IS NULL THEN 0 ELSE 0.1::DOUBLE END) END, 6) AS score FROM g""")
+def r7_policy_score(t: Tables):
+    k = F.col("s_suppkey")
+    rows = t.supplier.select(k.alias("id"), F.col("s_nationkey").alias("area"), F.when(k % 7 != 0, F.col("s_acctbal") + 2000).alias("price"), F.when(k % 3 == 0, 0.5).alias("coverage"), F.when(k % 2 == 0, 1).alias("present"), F.when(k % 5 == 0, 1).alias("risk"))
+    return R.policy_score(rows, {"price": 0.4, "coverage": 0.3, "present": 0.2, "risk": 0.1})
+
+
+@query("SELECT p_partkey, round((least(1, p_size / 50) * 2 + CASE WHEN p_brand LIKE '%1' THEN 1 ELSE 0 END) * 100 / 3, 6) AS score FROM part")
+def r8_transparency(t: Tables):
+    return t.part.select("p_partkey", F.round(R.transparency({"size": (F.col("p_size") / 50, 2.0), "brand": (F.when(F.col("p_brand").endswith("1"), 1.0), 1.0)}), 6).alias("score"))
+
+
+def _channels(t: Tables):
+    s = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("area"), F.col("s_acctbal").alias("price"))
+    same = s.select(F.col("id").alias("anchor"), "area").join(s.select(F.col("id").alias("candidate"), "area"), "area").filter("anchor <> candidate").select("anchor", "candidate", F.lit(0.5).alias("score"))
+    near = S.radius_join(t.places, t.places, 8.0).filter("left_id <> right_id").select(F.split_part("left_id", F.lit(":"), F.lit(2)).cast("long").alias("anchor"), F.split_part("right_id", F.lit(":"), F.lit(2)).cast("long").alias("candidate"), F.round(1 - F.col("km") / 8, 6).alias("score"))
+    return {"area": same, "near": near}
+
+
+_CH = f"""a AS (SELECT x.s_suppkey AS anchor, y.s_suppkey AS candidate, 0.5::DOUBLE AS score FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey <> y.s_suppkey), n AS (SELECT CAST(split_part(left_id, ':', 2) AS BIGINT) AS anchor, CAST(split_part(right_id, ':', 2) AS BIGINT) AS candidate, round(1 - raw / 8, 6) AS score FROM (SELECT a.id AS left_id, b.id AS right_id, {_KM} AS raw FROM (SELECT id, lat, lon FROM places) a, (SELECT id, lat, lon FROM places) b, (SELECT 0) z(q) , LATERAL (SELECT pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h) WHERE a.id <> b.id) WHERE raw <= 8),
+    u AS (SELECT *, 'area' AS channel FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, candidate) <= 10) UNION ALL SELECT *, 'near' FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, candidate) <= 20)),
+    rc AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, candidate) AS rank FROM (SELECT anchor, candidate, round(sum(score), 6) AS score, string_agg(channel, '+' ORDER BY channel) AS channels FROM u GROUP BY ALL) QUALIFY rank <= 12)"""
+
+
+@query(f"WITH {_CH} SELECT anchor, candidate, score, channels, rank FROM rc")
+def r9_recall_candidates(t: Tables):
+    return R.recall_candidates(_channels(t), {"area": 10, "near": 20}, 12).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def r10_pick_branches(t: Tables):
+    """Greedy across lenses: tested against a plain loop."""
+    c = R.recall_candidates(_channels(t), {"area": 10, "near": 20}, 12)
+    c = c.select("anchor", "candidate", "score", (F.col("candidate") % 6).alias("grp"), (F.col("score") - 0.4).alias("closer"), ((F.col("candidate") % 10) / 10).alias("cheaper"))
+    return R.pick_branches(c, ["closer", "cheaper"], 0.2, 3, 5)
+
+
+@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b, floor(((b.s_acctbal + 2000) / (a.s_acctbal + 2000) - 1) * 10000 + 0.5::DOUBLE) / 100 AS price_percent, b.s_suppkey % 9 - a.s_suppkey % 9 AS evidence_delta FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1")
+def r11_contrast(t: Tables):
+    s = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") + 2000).alias("price"), (F.col("s_suppkey") % 9).alias("evidence"))
+    pairs = s.select(F.col("id").alias("a"), F.col("price").alias("a_price"), F.col("evidence").alias("a_evidence"), (F.col("id") + 1).alias("b")).join(s.select(F.col("id").alias("b"), F.col("price").alias("b_price"), F.col("evidence").alias("b_evidence")), "b")
+    return R.contrast(pairs).select("a", "b", "price_percent", "evidence_delta")
+
+
+@query("SELECT listing_id, kind, CASE WHEN kind = 'N' AND price BETWEEN 20000 AND 30000 THEN 'exact' WHEN kind = 'N' AND price BETWEEN 20000 / 1.25::DOUBLE AND 30000 * 1.25::DOUBLE THEN 'wider budget' WHEN kind = 'R' AND price BETWEEN 20000 AND 30000 THEN 'adjacent area' ELSE 'other area' END AS relaxation FROM listings WHERE price BETWEEN 20000 AND 30000 OR (kind = 'N' AND price BETWEEN 20000 / 1.25::DOUBLE AND 30000 * 1.25::DOUBLE)")
+def r12_relaxed_sets(t: Tables):
+    return R.relaxed_sets(t.listings.withColumn("area", F.col("kind")), "N", 20000.0, 30000.0, ["R"], 1.25).select("listing_id", "kind", "relaxation")
+
+
+@query("""WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS id, 'lexical' AS channel FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey, o_orderkey, 'spatial' FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, 'structured' FROM orders WHERE o_orderstatus = 'F')
+    SELECT query_id, id, string_agg(channel, '+' ORDER BY channel) AS channels FROM c GROUP BY ALL HAVING bool_or(channel = 'spatial')""")
+def r13_hybrid_recall(t: Tables):
+    o = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), "o_orderpriority", "o_orderstatus")
+    return R.hybrid_recall({"structured": o.filter("o_orderstatus = 'F'"), "lexical": o.filter("o_orderpriority LIKE '1%'"), "spatial": o.filter("id % 2 = 0")}, ["spatial"])
+
+
+@query("""SELECT o_custkey AS query_id, o_orderkey AS id, CASE WHEN cell = asked THEN 'exact' WHEN cell % 5 = asked % 5 THEN 'locality' WHEN abs(cell - asked) <= 2 THEN 'nearby' END AS match, CASE WHEN cell <> asked AND cell % 5 <> asked % 5 AND abs(cell - asked) <= 2 THEN abs(cell - asked) END AS hops, CASE WHEN cell <> asked AND cell % 5 <> asked % 5 AND abs(cell - asked) <= 2 THEN abs(cell - asked) * 1.5::DOUBLE END AS km FROM (SELECT *, o_orderkey % 25 AS cell, o_custkey % 25 AS asked FROM orders)""")
+def r14_geography_match(t: Tables):
+    df = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 25).alias("cell"), (F.col("o_orderkey") % 25 % 5).alias("locality"))
+    scope = t.orders.select(F.col("o_custkey").alias("query_id"), (F.col("o_custkey") % 25).alias("cell"), (F.col("o_custkey") % 25 % 5).alias("locality")).distinct()
+    near = t.nation.select(F.col("n_nationkey").cast("long").alias("seed"), F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("d")).select("seed", (F.col("seed") + F.col("d")).alias("cell"), F.abs("d").cast("long").alias("hops"), (F.abs("d") * 1.5).alias("km"))
+    return R.geography_match(df, scope, near)
