@@ -1 +1,33 @@
-"""Queries."""
+"""Queries of the streaming jobs: each runs over the files there are, then reads what it wrote."""
+
+from pyspark.sql import functions as F
+
+from ..streaming import events as E
+from .registry import FIXTURES, Tables, query
+
+
+def _stream(t: Tables, name: str):
+    return t.spark.readStream.schema(getattr(t, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def st1_event_log(t: Tables):
+    """Every event arrives twice and is written once."""
+    typed = lambda: _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = E.scratch(t.spark, "event-log")
+    E.ingest_events(typed().unionByName(typed()), path, path + "-progress", late="3650 days").awaitTermination()
+    return t.spark.read.parquet(path).groupBy(F.col("dt").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT entity_id, fact_key, source_type, source_url, value_text, fact_no FROM facts QUALIFY row_number() OVER (PARTITION BY entity_id, fact_key, source_type, source_url ORDER BY confidence DESC, value_text DESC, skill_id DESC, fact_no DESC) = 1")
+def st2_merge_deltas(t: Tables):
+    facts = t.spark.sql(FIXTURES["facts"], orders=_stream(t, "orders"))
+    root = E.scratch(t.spark, "facts-merged")
+    E.merge_deltas(facts, root, root + "-progress").awaitTermination()
+    return E.latest(t.spark, root).select("entity_id", "fact_key", "source_type", "source_url", "value_text", "fact_no")
+
+
+@query("SELECT concat('user:', user_id) AS entity_id, missing_fact, count(*) AS wanted FROM (SELECT user_id, event_type AS missing_fact FROM events WHERE value > 10 UNION ALL SELECT user_id, 'any' FROM events) GROUP BY ALL")
+def st3_gap_demand(t: Tables):
+    gap = lambda fact, when: F.when(when, F.struct(F.concat(F.lit("user:"), "user_id").alias("entity_id"), fact.alias("missing_fact")))
+    return E.gap_demand(t.events.select(F.array_compact(F.array(gap(F.col("event_type"), F.col("value") > 10), gap(F.lit("any"), F.lit(True)))).alias("gaps")))
