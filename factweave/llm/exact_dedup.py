@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut, sized_join
+from .rows import ids_are_unique, without
 
 FIRST_DIGIT = 64
 GROWTH = 16
@@ -72,5 +73,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
+    """The rows of ``docs`` that stay, with their own columns. Where ids are unique, only ids and digests are written on the way."""
+    if ids_are_unique(docs, id_col):
+        return without(docs, id_col, exact_dedup(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("id")), "radix-gone")
     return exact_dedup(docs, id_col, text_col, carry=docs.columns).filter("kept").select("row.*")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut, sized_join
+from .rows import ids_are_unique
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -139,6 +140,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The mix itself: each row of ``docs`` as many times as it has copies, with its own columns."""
+    """The mix itself: each row of ``docs`` as many times as it has copies, with its own columns. Where ids are unique, copies are
+    joined to the rows by id, and the texts are shuffled only beyond the broadcast limit."""
+    if ids_are_unique(docs, id_col):
+        copies = cut(mix(docs, id_col, text_col, source_col, **settings).filter("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").cast("int").alias("__copies")), "mix-copies")
+        taken = sized_join(docs, copies, docs[id_col] == copies["__id"], "inner", copies.count() * 48)
+        return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
     got = mix(docs, id_col, text_col, source_col, carry=docs.columns, **settings)
     return got.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..plans.cut import cut, sized_join
 from ..plans.fixpoint import components
 from .arrow import arrow_batches
+from .rows import ids_are_unique, without
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -187,8 +188,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns: of each group of linked rows the one with the smallest id.
 
-    Null ids come last; of rows that repeat an id exactly one stays, by their order in the table.
+    Null ids come last; of rows that repeat an id exactly one stays, by their order in the table. Where ids are unique, no text is
+    written on the way.
     """
+    if ids_are_unique(docs, id_col):
+        found = simhash_components(docs, id_col, text_col, shingle, max_bits)
+        return without(docs, id_col, found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")), "near-gone")
     kept = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("rid")), "near-rows")
     found = cut(simhash_components(kept, "rid", "text", shingle, max_bits).select("rid", "component_id"), "near-components")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
