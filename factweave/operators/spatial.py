@@ -181,3 +181,17 @@ def spatial_clauses(subjects: DataFrame, places: DataFrame, clauses: dict[str, f
     """Subjects that have a place of every clause's category within its radius, with the least distance over clauses."""
     near = near_join(subjects, places, clauses).groupBy("left_id", "category").agg(F.min("km").alias("km"))
     return near.groupBy("left_id").agg(F.count(F.lit(1)).alias("clauses"), F.min("km").alias("km")).filter(F.col("clauses") == len(clauses)).select(F.col("left_id").alias("id"), "km")
+
+
+def select_boundary(subjects: DataFrame, polygons: DataFrame, km: float = 5.0) -> DataFrame:
+    """Per subject (id, name, lat, lon) the polygon (zone_id, name, kind, ring, lat, lon of its centre) with the best share of name
+    tokens, then the one that contains the point, then the nearest, then a relation before a way. Candidates share a name token and
+    lie within ``km``."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != ""))
+    s = subjects.select("id", "lat", "lon", words("name").alias("st")).withColumn("token", F.explode("st"))
+    p = polygons.select("zone_id", "kind", "ring", F.col("lat").alias("plat"), F.col("lon").alias("plon"), words("name").alias("pt")).withColumn("token", F.explode("pt"))
+    pairs = s.join(p, "token").dropDuplicates(["id", "zone_id"])
+    pairs = pairs.withColumn("km", F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), 6)).filter(F.col("km") <= km)
+    pairs = pairs.withColumn("score", F.round(F.size(F.array_intersect("st", "pt")) / F.size("st"), 6)).withColumn("inside", in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
+    order = [-F.col("score"), ~F.col("inside"), F.col("km"), F.when(F.col("kind") == "relation", 0).otherwise(1), F.col("zone_id")]
+    return best_row(pairs.select("id", "zone_id", "kind", "score", "inside", "km"), ["id"], order)

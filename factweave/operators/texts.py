@@ -146,3 +146,16 @@ def home_state(facts: DataFrame) -> DataFrame:
     s = F.lower("status")
     state = F.when(F.contains(s, F.lit("complete")), "ready").when(F.contains(s, F.lit("new")), "planned").when(F.col("delay") > 365, "stalled").when(F.col("delay") > 0, "delayed").otherwise("on time")
     return facts.select("entity_id", state.alias("state"), F.when(state == "ready", "now").when(F.col("delay") > 0, F.concat(F.lit("late by "), F.col("delay").cast("string"), F.lit(" days"))).otherwise("as planned").alias("timeline"))
+
+
+def tag_themes_semantic(docs: DataFrame, doc: str, column: str, themes: DataFrame, least: float = 0.18, dims: int = 256) -> DataFrame:
+    """Themes whose hashed vector has a cosine of at least ``least`` with the text's and one of whose terms is a token of the text.
+    ``themes``: theme, term (single words). Only (text, theme) pairs that share a token are compared, by an equi-join."""
+    from ..functions.values import hash_embed
+
+    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(column)).alias("tokens"))
+    anchor = t.select("doc", F.explode(F.array_distinct("tokens")).alias("term")).join(themes, "term").select("doc", "theme").distinct()
+    a = hash_embed(t, "doc", "tokens", dims)
+    b = hash_embed(themes.groupBy("theme").agg(F.sort_array(F.collect_set("term")).alias("tokens")), "theme", "tokens", dims).withColumnRenamed("weight", "w")
+    dots = anchor.join(b, "theme").join(a, ["doc", "dim"]).groupBy("doc", "theme").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("cosine"))
+    return dots.filter(F.col("cosine") >= least)

@@ -86,3 +86,41 @@ def classify_documents(df: DataFrame, roles: dict[str, str], columns: list[str])
     for c, role in reversed(list(zip(columns, by))):
         basis = F.when(role.isNotNull(), c).otherwise(basis)
     return df.withColumn("role", F.coalesce(*by, F.lit("other"))).withColumn("basis", basis)
+
+
+def score_images(df: DataFrame) -> DataFrame:
+    """Kind of an image from its URL and text, a quality from its size and source, a relevance from kind and text."""
+    words = F.lower(F.concat_ws(" ", "url", "alt"))
+    kind = F.when(words.rlike("floor|plan|layout"), "plan").when(words.rlike("map|location"), "map").when(words.rlike("logo|icon|sprite"), "logo").when(words.rlike("exterior|tower|elevation"), "exterior").otherwise("photo")
+    size = F.least(F.lit(1.0), F.col("width") * F.col("height") / 1_000_000)
+    trusted = F.when(F.col("source") == "official", 0.2).otherwise(0.0)
+    quality = F.least(F.lit(1.0), size * 0.8 + trusted)
+    relevance = F.when(kind == "logo", 0.0).otherwise(F.when(kind == "exterior", 0.6).otherwise(0.4) + F.when(F.length("alt") > 0, 0.2).otherwise(0.0))
+    return df.withColumns({"kind": kind, "quality": F.round(quality, 6), "relevance": F.round(relevance, 6)})
+
+
+def media_facts(images: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Per entity one fact with its approved images in gallery order, copied to its aliases."""
+    each = images.groupBy("entity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("gallery_order", "image_url"))), lambda s: s["image_url"]), " ").alias("value_text"))
+    return with_alias_copies(each.withColumn("fact_key", F.lit("media_gallery")), aliases)
+
+
+def source_records(df: DataFrame, required: list[str], identity: list[str]) -> DataFrame:
+    """Records whose required fields are not blank, with a digest id over the identity fields."""
+    from ..functions.text import content_id
+
+    ok = F.lit(True)
+    for c in required:
+        ok = ok & F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")
+    return df.filter(ok).withColumn("record_id", content_id("record:", *[F.col(c) for c in identity]))
+
+
+def pricing_facts(payloads: DataFrame, schema: str = "configurations array<struct<bhk: int, price: string, area: double>>") -> DataFrame:
+    """Marketplace payloads to one price fact a configuration whose range is readable and whose rate is plausible."""
+    from ..functions.text import parse_range
+    from .filters import plausible_price
+
+    c = payloads.select("entity_id", "rate_low", "rate_high", F.explode(F.from_json("payload", schema)["configurations"]).alias("c"))
+    r = c.select("entity_id", "rate_low", "rate_high", F.col("c.bhk").alias("bhk"), F.col("c.area").alias("area"), parse_range(F.col("c.price")).alias("r")).filter("r IS NOT NULL")
+    ok = plausible_price(F.col("r.lo"), F.col("r.hi"), F.col("area"), F.col("rate_low"), F.col("rate_high"))
+    return r.filter(ok).select("entity_id", F.concat(F.lit("pricing_"), F.col("bhk").cast("string"), F.lit("bhk")).alias("fact_key"), F.col("r.lo").alias("low"), F.col("r.hi").alias("high"))

@@ -269,3 +269,16 @@ def j33_match_variant(t: Tables):
 def j34_context_features(t: Tables):
     bound = t.facts.join(t.edges.filter("edge_type = 'located_in'").select(F.col("src").alias("entity_id"), F.col("dst").alias("target")), "entity_id").withColumn("focused", F.col("value_text") == "F")
     return J.context_features(bound, t.nation.select(F.concat(F.lit("nation:"), "n_nationkey").alias("target"), "n_name"), 4).select("entity_id", "fact_no", "n_name", F.col("rank").cast("long"))
+
+
+_BOUNDS = "SELECT concat('b', n_nationkey) AS zone_id, concat('area ', n_nationkey % 10) AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'relation' ELSE 'way' END AS kind, x0, y0, x1, y1, (y0 + y1) / 2 AS lat, (x0 + x1) / 2 AS lon FROM nation JOIN zones ON zone_id = concat('zone:', n_nationkey)"
+
+
+@query(f"""WITH b AS ({_BOUNDS}), s AS (SELECT id, lat, lon, concat('area ', CAST(split_part(id, ':', 2) AS INT) % 10) AS name FROM subjects),
+    p AS (SELECT s.id, b.zone_id, b.kind, CASE WHEN s.name = b.name THEN 1.0 ELSE 0.5 END AS score, ((b.y0 > s.lat) <> (b.y1 > s.lat)) AND ((CASE WHEN s.lon < b.x1 THEN 1 ELSE 0 END) + (CASE WHEN s.lon < b.x0 THEN 1 ELSE 0 END)) % 2 = 1 AS inside, pow(sin((radians(b.lat) - radians(s.lat)) / 2), 2) + cos(radians(s.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - s.lon) / 2), 2) AS h FROM s, b)
+    SELECT id, zone_id, kind, score, inside, round({_KM}, 6) AS km FROM p WHERE round({_KM}, 6) <= 20 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, inside DESC, round({_KM}, 6), CASE kind WHEN 'relation' THEN 0 ELSE 1 END, zone_id) = 1""")
+def j29_select_boundary(t: Tables):
+    subjects = t.subjects.withColumn("name", F.concat(F.lit("area "), F.split_part("id", F.lit(":"), F.lit(2)).cast("int") % 10))
+    zones = t.zones.withColumn("k", F.split_part("zone_id", F.lit(":"), F.lit(2)).cast("int"))
+    polygons = zones.select(F.concat(F.lit("b"), "k").alias("zone_id"), F.concat(F.lit("area "), F.col("k") % 10).alias("name"), F.when(F.col("k") % 2 == 0, "relation").otherwise("way").alias("kind"), F.expr(_RING).alias("ring"), ((F.col("y0") + F.col("y1")) / 2).alias("lat"), ((F.col("x0") + F.col("x1")) / 2).alias("lon"))
+    return S.select_boundary(subjects, polygons, 20.0)

@@ -186,3 +186,33 @@ def p39_sentiment(t: Tables):
 def p45_classify_documents(t: Tables):
     made = t.part.select(F.col("p_partkey").alias("k"), F.when(F.col("p_type").contains("STEEL"), "m").alias("label"), F.when(F.col("p_brand").contains("1"), "f").alias("field"), F.when(F.col("p_name").contains("a"), "n").alias("link"))
     return U.classify_documents(made, {"metal": "^m$", "first": "^f$", "named": "^n$"}, ["label", "field", "link"]).select("k", "role")
+
+
+@query("""WITH i AS (SELECT *, CASE l_linenumber % 5 WHEN 0 THEN 'floor plan' WHEN 1 THEN 'Location' WHEN 2 THEN 'logo' WHEN 3 THEN 'Tower' ELSE '' END AS alt, l_quantity * 20 AS w, l_linenumber * 100 AS h FROM lineitem), k AS (SELECT *, CASE l_linenumber % 5 WHEN 0 THEN 'plan' WHEN 1 THEN 'map' WHEN 2 THEN 'logo' WHEN 3 THEN 'exterior' ELSE 'photo' END AS kind FROM i)
+    SELECT kind, count(*) AS n, round(sum(round(least(1, least(1, w * h / 1000000) * 0.8::DOUBLE + CASE WHEN l_returnflag = 'N' THEN 0.2::DOUBLE ELSE 0 END), 6)), 3) AS quality, round(max(CASE WHEN kind = 'logo' THEN 0 ELSE CASE WHEN kind = 'exterior' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END + CASE WHEN length(alt) > 0 THEN 0.2::DOUBLE ELSE 0 END END), 6) AS relevance FROM k GROUP BY 1""")
+def p38_score_images(t: Tables):
+    alt = F.element_at(F.array(F.lit("floor plan"), F.lit("Location"), F.lit("logo"), F.lit("Tower"), F.lit("")), F.col("l_linenumber") % 5 + 1)
+    images = t.lineitem.select(F.lit("https://x.example/1.jpg").alias("url"), alt.alias("alt"), (F.col("l_quantity") * 20).alias("width"), (F.col("l_linenumber") * 100).alias("height"), F.when(F.col("l_returnflag") == "N", "official").otherwise("other").alias("source"))
+    return U.score_images(images).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("quality"), 3).alias("quality"), F.max("relevance").alias("relevance"))
+
+
+@query("WITH m AS (SELECT concat('part:', l_partkey) AS entity_id, string_agg(u, ' ' ORDER BY g, u) AS value_text FROM (SELECT l_partkey, l_linenumber AS g, concat('img', l_orderkey) AS u FROM lineitem) GROUP BY l_partkey) SELECT entity_id, value_text FROM m UNION ALL SELECT concat('alias:', entity_id), value_text FROM m WHERE entity_id LIKE '%5'")
+def p40_media_facts(t: Tables):
+    images = t.lineitem.select(F.concat(F.lit("part:"), "l_partkey").alias("entity_id"), F.col("l_linenumber").alias("gallery_order"), F.concat(F.lit("img"), "l_orderkey").alias("image_url"))
+    aliases = t.part.select(F.concat(F.lit("part:"), "p_partkey").alias("entity_id")).filter("entity_id LIKE '%5'").withColumn("alias", F.concat(F.lit("alias:"), "entity_id"))
+    return U.media_facts(images, aliases).select("entity_id", "value_text")
+
+
+@query("SELECT o_orderkey AS k, concat('record:', sha256(concat_ws(chr(31), o_custkey, o_orderstatus, o_orderpriority))) AS record_id FROM orders WHERE o_orderkey % 4 <> 0")
+def p42_source_records(t: Tables):
+    rows = t.orders.withColumn("label", F.when(F.col("o_orderkey") % 4 == 0, "  ").otherwise("x"))
+    return U.source_records(rows, ["label", "o_orderstatus"], ["o_custkey", "o_orderstatus", "o_orderpriority"]).select(F.col("o_orderkey").alias("k"), "record_id")
+
+
+@query("SELECT concat('part:', l_partkey) AS entity_id, concat('pricing_', l_linenumber, 'bhk') AS fact_key, l_quantity AS low, l_quantity + 5 AS high, count(*) AS n FROM lineitem WHERE l_linenumber <> 7 AND (l_quantity + 5) / (l_linenumber * 10) * 1.35::DOUBLE >= 1 AND l_quantity / (l_linenumber * 10) * 0.65::DOUBLE <= 1.5 GROUP BY ALL")
+def p44_pricing_facts(t: Tables):
+    q = F.format_string("%.0f", F.col("l_quantity"))
+    price = F.when(F.col("l_linenumber") == 7, "on request").otherwise(F.concat(q, F.lit("-"), F.format_string("%.0f", F.col("l_quantity") + 5), F.lit(" Cr")))
+    conf = F.array(F.struct(F.col("l_linenumber").alias("bhk"), price.alias("price"), (F.col("l_linenumber") * 10.0).alias("area")))
+    payloads = t.lineitem.select(F.concat(F.lit("part:"), "l_partkey").alias("entity_id"), F.lit(1.0).alias("rate_low"), F.lit(1.5).alias("rate_high"), F.to_json(F.struct(conf.alias("configurations"))).alias("payload"))
+    return U.pricing_facts(payloads).groupBy("entity_id", "fact_key", "low", "high").agg(F.count(F.lit(1)).alias("n"))

@@ -133,3 +133,10 @@ def t13_disambiguate(t: Tables):
 def t14_home_state(t: Tables):
     status = F.when(F.col("o_orderstatus") == "F", "Completed").when(F.col("o_orderpriority").startswith("1"), "New project").otherwise("Under way")
     return X.home_state(t.orders.select(F.col("o_orderkey").alias("entity_id"), status.alias("status"), (F.col("o_custkey") - 800).alias("delay")))
+
+
+@query()
+def t8_tag_themes_semantic(t: Tables):
+    """The hash is Spark's own; tested against vectors made in one place."""
+    themes = t.spark.sql("SELECT * FROM (VALUES ('articles', 'the'), ('articles', 'la'), ('verbs', 'is'), ('verbs', 'was'), ('links', 'and'), ('links', 'und')) AS th(theme, term)")
+    return X.tag_themes_semantic(t.documents, "doc_id", "text", themes)

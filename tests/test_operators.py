@@ -144,3 +144,23 @@ def test_joins_make_no_cartesian_product(spark):
 def test_closure_doubles_paths(spark):
     e = spark.createDataFrame([(str(k), "in", str(k + 1)) for k in range(9)], "src string, edge_type string, dst string")
     assert G.closure(e, ["in"]).count() == 45
+
+
+def test_semantic_themes_need_an_anchor_and_a_cosine(spark):
+    docs = spark.createDataFrame([(1, "the cat is here"), (2, "the the the the"), (3, "nothing"), (4, None)], "k long, text string")
+    themes = spark.createDataFrame([("a", "the"), ("a", "cat"), ("b", "is"), ("c", "dog")], "theme string, term string")
+    vector = lambda df, key: {k: {r.dim: r.weight for r in rows if r[0] == k} for rows in [V.hash_embed(df, key, "tokens").collect()] for k in {r[0] for r in rows}}
+    d = vector(docs.select("k", T.tokens(F.col("text")).alias("tokens")), "k")
+    v = vector(themes.groupBy("theme").agg(F.sort_array(F.collect_set("term")).alias("tokens")), "theme")
+    shares = {(1, "a"), (1, "b"), (2, "a")}
+    want = {(k, t): round(sum(w * v[t].get(i, 0) for i, w in d[k].items()), 6) for k, t in shares}
+    got = {(r.doc, r.theme): r.cosine for r in T.tag_themes_semantic(docs, "k", "text", themes).collect()}
+    assert got == {x: pytest.approx(c, abs=2e-6) for x, c in want.items() if c >= 0.18}
+
+
+def test_images_kinds_and_nulls(spark):
+    from factweave.operators import unpivot as U
+
+    rows = [("https://x/floor.png", "", 10.0, 10.0, "official"), ("https://x/a.png", "logo", 2000.0, 2000.0, None), ("https://x/b.png", None, None, 5.0, "o")]
+    got = [(r.kind, r.relevance) for r in U.score_images(spark.createDataFrame(rows, "url string, alt string, width double, height double, source string")).collect()]
+    assert got == [("plan", 0.4), ("logo", 0.0), ("photo", 0.4)]
