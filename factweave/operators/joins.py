@@ -78,11 +78,15 @@ def fuzzy_join(queries: DataFrame, entities: DataFrame) -> DataFrame:
     return pairs.filter(F.forall(F.arrays_zip("qt", "et"), lambda z: fuzzy_token(z["qt"], z["et"]))).select("query_id", "entity_id")
 
 
-def shared_neighbors(edges: DataFrame, types: list[str], subjects: str) -> DataFrame:
-    """Pairs of subjects (a < b, ids that begin with ``subjects``) and how many (type, target) they share."""
-    e = edges.filter(F.col("edge_type").isin(types) & F.col("src").startswith(subjects)).select("src", "edge_type", "dst").distinct()
-    pairs = e.select(F.col("src").alias("a"), "edge_type", "dst").join(e.select(F.col("src").alias("b"), "edge_type", "dst"), ["edge_type", "dst"]).filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+def shared_neighbors(edges: DataFrame, types: list[str], anchors: DataFrame) -> DataFrame:
+    """For each anchor (node) the other subjects that share a (type, target) with it, and how many they share.
+
+    Anchors are a stated set: a popular target meets all its subjects once for each anchor, not once for each other.
+    """
+    e = edges.filter(F.col("edge_type").isin(types)).select("src", "edge_type", "dst").distinct()
+    asked = e.join(anchors, e["src"] == anchors["node"], "left_semi").select(F.col("src").alias("anchor"), "edge_type", "dst")
+    pairs = asked.join(e.select(F.col("src").alias("other"), "edge_type", "dst"), ["edge_type", "dst"]).filter("anchor <> other")
+    return pairs.groupBy("anchor", "other").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def price_band_join(a: DataFrame, b: DataFrame, low: float = 0.82, high: float = 1.18) -> DataFrame:
@@ -123,11 +127,11 @@ def canonical_facts(facts: DataFrame, bindings: DataFrame) -> DataFrame:
 def similar_to(vectors: DataFrame, queries: DataFrame, k: int, same_kind: bool = True) -> DataFrame:
     """The ``k`` most similar rows by cosine for each query vector (vec_id, embedding, label), ties by id.
 
-    Queries are a stated set; each block of them is sent to all rows, and rows of another kind are skipped by an equi-join.
+    Queries are a stated set that meets all rows, or with ``same_kind`` the rows of its kind only.
     """
-    unit = lambda df, p: df.select(F.col("vec_id").alias(f"{p}_id"), F.col("label").alias("label" if same_kind else f"{p}_label"), F.col("embedding").alias(f"{p}_v"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias(f"{p}_n"))
+    unit = lambda df, p: df.select(F.col("vec_id").alias(f"{p}_id"), (F.col("label") if same_kind else F.lit(0)).alias("label"), F.col("embedding").alias(f"{p}_v"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias(f"{p}_n"))
     q, v = unit(queries, "q"), unit(vectors, "v")
-    pairs = q.join(v, "label") if same_kind else q.crossJoin(v)
+    pairs = q.join(v, "label")
     dot = F.aggregate(F.zip_with("q_v", "v_v", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     cosine = F.when((F.size("q_v") != F.size("v_v")) | (F.col("q_n") == 0) | (F.col("v_n") == 0), 0.0).otherwise(dot / (F.col("q_n") * F.col("v_n")))
     scored = pairs.filter("q_id <> v_id").select("q_id", "v_id", F.round(cosine, 6).alias("cosine"))

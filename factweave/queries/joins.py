@@ -147,9 +147,10 @@ def j16_fuzzy_join(t: Tables):
     return J.fuzzy_join(q, e)
 
 
-@query("SELECT a.src AS a, b.src AS b, count(*) AS shared FROM edges a JOIN edges b ON a.edge_type = b.edge_type AND a.dst = b.dst AND a.src < b.src WHERE a.edge_type = 'supplied_by' GROUP BY ALL")
+@query("SELECT a.src AS anchor, b.src AS other, count(*) AS shared FROM edges a JOIN edges b ON a.edge_type = b.edge_type AND a.dst = b.dst AND a.src <> b.src WHERE a.edge_type = 'supplied_by' AND CAST(split_part(a.src, ':', 2) AS INT) % 100 = 0 GROUP BY ALL")
 def j17_shared_neighbors(t: Tables):
-    return J.shared_neighbors(t.edges, ["supplied_by"], "part:")
+    """Anchors are the parts whose id is divisible by 100, against all."""
+    return J.shared_neighbors(t.edges, ["supplied_by"], t.part.filter("p_partkey % 100 = 0").select(F.concat(F.lit("part:"), "p_partkey").alias("node")))
 
 
 @query("SELECT a.s_suppkey AS a_id, b.c_custkey AS b_id, a.s_acctbal AS a_price, b.c_acctbal AS b_price FROM supplier a JOIN customer b ON s_nationkey = c_nationkey AND a.s_suppkey <> b.c_custkey AND c_acctbal BETWEEN s_acctbal * 0.82::DOUBLE AND s_acctbal * 1.18::DOUBLE AND s_acctbal > 0 AND c_acctbal > 0")
