@@ -106,7 +106,7 @@ def test_class_model_is_a_distribution_and_beats_the_base(spark):
     mass = np.zeros(L.CLASSES)
     for r in counts.collect():
         mass[model.unit_class[numbers[bytes(r.word)]]] += r.n - model.discount
-    mass += np.where(model.unknown > 0, 10**model.unknown, 0) if False else 10**model.unknown
+    mass += 10**model.unknown
     used = 10**model.mass > 1
     assert np.allclose(mass[used] / (10**model.mass)[used], 1)
     held = [r for r in L.score_documents(real).collect() if r.held_out]
