@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat import canonical_turns, format_turns, read_back, row_records
+from .chat import CONTROL, canonical_turns, format_turns, read_back, row_records
 from .chunk_fingerprint import compare_edited
 from .class_lm import score_documents
 from .exact_dedup import exact_dedup
@@ -65,6 +67,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash, op10_chat)}
 
+_CONTROL = "|".join(re.sub(r"([\[\]|/])", r"\\\1", c) for c in CONTROL)
+
 ORACLES = {
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
@@ -72,4 +76,12 @@ ORACLES = {
                CAST(count(*) OVER (PARTITION BY norm) AS BIGINT) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t""",
+    "op10_chat": rf"""
+        WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e AS (SELECT *, 17 + length(role) + length(text) + length(text) - length(replace(text, '\', '')) + 2 * len(regexp_extract_all(text, '{_CONTROL}')) AS chars FROM r)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
