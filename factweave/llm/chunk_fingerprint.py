@@ -25,7 +25,7 @@ _SPAN = 32
 _STRICT, _LOOSE = np.uint32(0xFE000000), np.uint32(0xF0000000)
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
 _DIGEST = (1 << 48) - 1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 MOST_BLOCKS = 20_000
 
 
