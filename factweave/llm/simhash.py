@@ -10,19 +10,24 @@ part's values, and a full comparison of the bits verifies each candidate.
 A part's value that more than ``DENSE`` fingerprints share would give pairs in square number. Their fingerprints
 are linked instead through centres: two fingerprints are within 2r bits just if some centre is within r bits of
 both, and a centre has at most as many fingerprints as a ball of radius r. That is exact and linear in the rows.
+
+``drop_near_copies`` owes a shingle similarity, which 64 bits can't reach: its candidates are these links and, beside
+them, the rows that share a shingle among the least hashes of both (``shared_prefixes``). Every candidate is verified
+by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut, sized_join
@@ -35,6 +40,10 @@ MAX_BITS = 2
 DENSE = 64
 SEED = 42
 _BLOCK = 1 << 14
+#: Least Jaccard similarity of near copies' shingle sets, as a fraction.
+SIMILAR = (4, 5)
+#: Pairs that one copy of a text serves when candidates are verified.
+_SERVED = 64
 
 
 def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -51,6 +60,18 @@ def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big", signed=True)
 
 
+def shingles(text: bytes | None, shingle: int) -> set[bytes]:
+    """The distinct shingles, of the same words as the fingerprint's. No words are one empty shingle."""
+    words = (text or b"").lower().split()
+    return {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+
+
+def similar(a: set[bytes], b: set[bytes]) -> bool:
+    """Whether the Jaccard similarity is ``SIMILAR`` at least, in whole numbers."""
+    both = len(a & b)
+    return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp) for each row; only the id and the text reach Python."""
 
@@ -185,20 +206,144 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shared_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, h, n, top, after): the least hashes of a row's n distinct shingles, as many as similar rows can't all miss.
+
+    A similar row shares at least n * SIMILAR of the shingles, so the n - ceil(n * SIMILAR) + 1 least hashes of both
+    have one in common. ``top`` is the last of them, ``after`` the hash that follows ``h``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, hs, ns, tops, afters = [], [], [], [], []
+            for k, text in enumerate(batch.column("text")):
+                grams = list(shingles(text.as_py(), shingle))
+                digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">u8").astype(np.uint64) >> np.uint64(1)
+                h = np.sort(digests).astype(np.int64)
+                n = len(h)
+                most = n + 1 + -n * SIMILAR[0] // SIMILAR[1]
+                at.append(np.full(most, k, np.int32))
+                hs.append(h[:most])
+                ns.append(np.full(most, n, np.int32))
+                tops.append(np.full(most, h[most - 1]))
+                afters.append(np.append(h, -1)[1 : most + 1])
+            if at:
+                columns = [np.concatenate(c) for c in (at, hs, ns, tops, afters)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(columns[0])), *map(pa.array, columns[1:])], names=["id", "h", "n", "top", "after"])
+
+    arrow_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long, n int, top long, after long")
+
+
+def _enough(shared: Column) -> Column:
+    """Whether x and y can be similar: their sizes, and what they share up to the lesser top with all that row has beyond its prefix."""
+    few, many = SIMILAR
+    beyond = F.ceil(F.when(F.col("x.top") <= F.col("y.top"), F.col("x.n")).otherwise(F.col("y.n")) * few / many) - 1
+    sizes = F.expr(f"x.n * {few} <= y.n * {many} and y.n * {few} <= x.n * {many}")
+    return sizes & ((shared + F.least("x.crowds", "y.crowds") + beyond) * (few + many) >= (F.col("x.n") + F.col("y.n")) * few)
+
+
+def _with_firsts(crowd: DataFrame) -> DataFrame:
+    """(x, y), x before y: each row of a crowd with the crowd's first row, and with the first of those with the same next hash.
+
+    First is the row of most ``links``, then the one with the fewest hashes of its own, as copies add theirs to the original's.
+    """
+    found = []
+    for by in (["h"], ["h", "after"]):
+        firsts = cut(crowd.groupBy(*by).agg(F.min(F.struct(-F.col("links"), "x"))["x"].alias("y")), "near-prefix-firsts")
+        found.append(sized_join(crowd, firsts, by, "inner", firsts.count() * 112).filter("x.id <> y.id").select("x", "y"))
+    met, swap = found[0].unionByName(found[1]), F.col("x.id") > F.col("y.id")
+    return met.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y")).distinct()
+
+
+def _prefix_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b), a < b, by shared prefixes; and the rows (h, after, x) of crowds.
+
+    Rows that share a hash which at most ``dense`` rows hold are all paired, those of a crowd with its first rows. A pair goes
+    when the hashes that it shares can't add up to the similarity.
+    """
+    rows = cut(shared_prefixes(docs, id_col, text_col, shingle), "near-prefixes")
+    sizes = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "near-prefix-sizes")
+    held = cut(sized_join(rows, sizes, ["h"], "inner", sizes.count() * 32).withColumn("crowd", F.col("m") > dense), "near-prefix-shared")
+    own = F.first("n") + 1 - F.ceil(F.first("n") * SIMILAR[0] / SIMILAR[1]) - F.count(F.lit(1))
+    told = cut(held.groupBy("id").agg(own.alias("own"), F.count_if("crowd").alias("crowds"), F.count_if(~F.col("crowd")).alias("colds")), "near-prefix-rows")
+    held = cut(sized_join(held, told, ["id"], "inner", told.count() * 56).select("h", "after", "crowd", F.struct("own", "id", "n", "top", "crowds", "colds").alias("x")), "near-prefix-held")
+    cold, crowd = held.filter("not crowd").select("h", "x"), held.filter("crowd").select("h", "after", "x")
+    pairs = cold.join(cold.withColumnRenamed("x", "y"), "h").filter("x.id < y.id").select("x", "y", F.lit(1).alias("cold"))
+    pairs = pairs.unionByName(_with_firsts(crowd.withColumn("links", F.lit(0))).withColumn("cold", F.lit(0))).filter(_enough(F.least("x.colds", "y.colds")))
+    one = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum("cold").alias("cold"), F.first("x").alias("x"), F.first("y").alias("y"))
+    return one.filter(_enough(F.col("cold"))).select("a", "b"), crowd
+
+
+def _fingerprint_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """(a, b), a < b: each row with the least id of its fingerprint, and these of linked fingerprints."""
+    rows = cut(fingerprints(docs, id_col, text_col, shingle), "near-fingerprints")
+    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "near-classes")
+    edges = cut(links(classes, max_bits), "near-links")
+    size = classes.count() * 32
+    same = sized_join(rows, classes, ["fp"], "inner", size).filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    for side in "ab":
+        edges = sized_join(edges, classes.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}")), [side], "inner", size)
+    return same.unionByName(edges.select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``texts`` (id, text) are similar. A text in many pairs is copied, so that they can part."""
+    whole = pairs
+    for side, other in ("ab", "ba"):
+        uses = cut(pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count(F.lit(1)) / _SERVED).alias("copies")), "near-uses")
+        size = uses.count() * 40
+        held = sized_join(texts, uses, ["id"], "inner", size).select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+        dealt = sized_join(whole, uses.withColumnRenamed("id", side), [side], "inner", size)
+        whole = dealt.withColumn("copy", F.pmod(F.xxhash64(other), "copies")).drop("copies").join(held, [side, "copy"]).drop("copy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(256)(lambda text: shingles(text, shingle))
+        for batch in batches:
+            near = [similar(known(x.as_py()), known(y.as_py())) for x, y in zip(batch.column("text_a"), batch.column("text_b"))]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    arrow_batches(pairs.sparkSession)
+    kind = pairs.schema["a"].dataType.simpleString()
+    return whole.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def near_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
+    """(a, b), a < b: ids, which have to be unique, of rows whose shingle sets are ``SIMILAR``.
+
+    All such pairs that share a prefix hash held by at most ``dense`` rows. Rows that share only hashes of crowds meet the crowds'
+    first rows: the links found make other rows first, until no new link is found.
+    """
+    pairs, crowd = _prefix_pairs(docs, id_col, text_col, shingle, dense)
+    tried = cut(pairs.unionByName(_fingerprint_pairs(docs, id_col, text_col, shingle, max_bits)).distinct(), "near-candidates")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    found = cut(_verified(tried, texts, shingle), "near-found")
+    while not crowd.isEmpty():
+        linked = cut(found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links")), "near-linked")
+        ranked = sized_join(crowd.withColumn("id", F.col("x.id")), linked, ["id"], "left", linked.count() * 32).fillna(0, ["links"])
+        met = _with_firsts(ranked).filter(_enough(F.least("x.colds", "y.colds"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        more = cut(met.join(tried, ["a", "b"], "left_anti"), "near-candidates")
+        new = cut(_verified(more, texts, shingle), "near-found")
+        if new.isEmpty():
+            break
+        tried, found = tried.unionByName(more), found.unionByName(new)
+    return found
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns: of each group of linked rows the one with the smallest id.
+    """The rows of ``docs`` that stay, with their own columns: of each group of rows linked by ``near_pairs`` the one with the smallest id.
 
-    Null ids come last; of rows that repeat an id exactly one stays, by their order in the table. Where ids are unique, no text is
-    written on the way.
+    Null ids come last; of rows that repeat an id exactly one stays, by their order in the table. Where ids are unique, only the
+    texts of candidates are written on the way.
     """
     if ids_are_unique(docs, id_col):
-        found = simhash_components(docs, id_col, text_col, shingle, max_bits)
-        return without(docs, id_col, found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")), "near-gone")
+        found = components(near_pairs(docs, id_col, text_col, shingle, max_bits))
+        return without(docs, id_col, found.filter("node <> root").select(F.col("node").alias("id")), "near-gone")
     kept = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("rid")), "near-rows")
-    found = cut(simhash_components(kept, "rid", "text", shingle, max_bits).select("rid", "component_id"), "near-components")
+    found = components(near_pairs(kept, "rid", "text", shingle, max_bits))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
-    crowds = cut(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id"), "near-crowds")
-    members = cut(sized_join(found, crowds, ["component_id"], "inner", crowds.count() * 32), "near-members")  # rows with a partner only
+    members = cut(found.select(F.col("node").alias("rid"), F.col("root").alias("component_id")), "near-members")  # rows with a partner only
     n = members.count()
     members = cut(sized_join(kept.select("rid", "id"), members, ["rid"], "inner", n * 40), "near-member-ids")
     firsts = members.groupBy("component_id").agg(F.min(order)["rid"].alias("first"))

@@ -140,3 +140,58 @@ def test_near_copies_leave_one_row(docs, empty):
     assert got.count(10) == 1 and got.count(3) == 1 and not {4, 5, 7, None} & set(got)
     assert sorted(r.doc_id for r in S.drop_near_copies(docs.filter("doc_id < 10")).collect()) == [1, 3, 6, 9]
     assert S.drop_near_copies(empty).count() == 0
+
+
+def near_groups(rows):
+    """The groups of ids linked by a Jaccard similarity of 0.8 or more of their five-word shingles, over all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(w)} if len(w) < 5 else {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def edited(rng, words, n):
+    """``words`` with ``n`` of them, at least five apart, replaced by words of no other text."""
+    out = list(words)
+    for k in rng.choice(len(words) // 6, n, replace=False):
+        out[6 * k + 2] = f"e{rng.integers(1 << 60)}"
+    return out
+
+
+def test_near_copies_with_edits_against_brute_force_jaccard(spark, real):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(25):
+        base = [f"w{g}x{rng.integers(1 << 40)}" for _ in range(240)]
+        rows += [base] + [edited(rng, base, n) for n in (1, 3, 4, 5, 6, 9)]
+    line = "all of these texts hold this one line of eleven words".split()
+    rows = [(k, " ".join(w[:50] + line + w[50:])) for k, w in enumerate(rows)]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), real):
+        want = near_groups([(r.doc_id, r.text) for r in df.collect()])
+        assert {r.doc_id for r in S.drop_near_copies(df).collect()} == set(want.values())
+        assert len(set(want.values())) < len(want)
+
+
+def test_crowds_of_near_copies_join_their_original(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{rng.integers(1 << 40)}" for _ in range(240)]
+    rows = [(k, " ".join(edited(rng, base, 4))) for k in range(300)] + [(900, " ".join(base))]
+    rows += [(1000 + k, " ".join(base[:20] + [f"o{k}x{x}" for x in range(220)])) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_groups(rows)
+    assert {r.doc_id for r in S.drop_near_copies(df).collect()} == set(want.values()) and len(set(want.values())) == 201
