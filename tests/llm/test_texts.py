@@ -80,6 +80,16 @@ def test_planted_lines_are_all_found(spark):
     assert got == {(r.doc_id, name) for r in df.collect() for name, wording in line.items() if wording in r.text}
 
 
+def test_every_license_of_a_block_is_found():
+    scanner = S.Scanner(TEMPLATES)
+    mit, apache, cc = TEMPLATES["MIT/licensed"], TEMPLATES["Apache-2.0/notice"], TEMPLATES["CC-BY-4.0/notice"]
+    hits = lambda text: [(h[2], text[h[0] : h[1]] + ".", h[7]) for h in scanner.scan(text)]
+    assert hits(f"Words.\n{mit} {apache}\nWords.") == [("MIT/licensed", mit, True), ("Apache-2.0/notice", apache, True)]
+    assert hits("\n".join([mit, cc, apache, mit])) == [("MIT/licensed", mit, True), ("CC-BY-4.0/notice", cc, True), ("Apache-2.0/notice", apache, True), ("MIT/licensed", mit, True)]
+    several = "\n".join([TEMPLATES["ISC"], TEMPLATES["MIT"], cc, TEMPLATES["Unlicense"], TEMPLATES["GPL-3.0/header"], TEMPLATES["Apache-2.0/header"]])
+    assert [h[2] for h in scanner.scan(several) if h[7]] == ["ISC", "MIT", "CC-BY-4.0/notice", "Unlicense", "GPL-3.0/header", "Apache-2.0/header"]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([*K.CONTROL, "\\", ".", "n", "\n", "<", "|", ">", "[", "/", "s", "é"]), max_size=12).map("".join), st.lists(st.sampled_from(["user", "<s>", "\n", "\\", "n"]), max_size=4).map("".join))
 def test_template_is_reversible(text, role):
