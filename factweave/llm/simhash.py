@@ -12,21 +12,22 @@ are linked instead through centres: two fingerprints are within 2r bits just if
 both, and a centre has at most as many fingerprints as a ball of radius r. That is exact and linear in the rows.
 
 ``drop_near_copies`` owes a shingle similarity, which 64 bits can't reach: its candidates are these links and, beside
-them, the rows that share a shingle among the least hashes of both (``shared_prefixes``). Every candidate is verified
-by the exact similarity of the shingle sets.
+them, the rows that share a shingle among the first hashes of both (``prefixes``), by an order that puts frequent
+hashes last. Every candidate is verified by the exact similarity of the shingle sets. Where many rows share a hash, they
+meet one another only as far as links found before do not connect them.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +43,13 @@ SEED = 42
 _BLOCK = 1 << 14
 #: Least Jaccard similarity of near copies' shingle sets, as a fraction.
 SIMILAR = (4, 5)
+#: Rows that share a prefix hash and are compared with one another; more make a crowd.
+CROWD = 32
 #: Pairs that one copy of a text serves when candidates are verified.
 _SERVED = 64
+_MOST_LATE, _LATE = 1 << 20, 1 << 62
+_KNOWN_WORDS, _KNOWN_SHINGLES, _SKETCH = 1 << 18, 1 << 18, 8
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -206,74 +212,132 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shared_prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, h, n, top, after): the least hashes of a row's n distinct shingles, as many as similar rows can't all miss.
-
-    A similar row shares at least n * SIMILAR of the shingles, so the n - ceil(n * SIMILAR) + 1 least hashes of both
-    have one in common. ``top`` is the last of them, ``after`` the hash that follows ``h``.
+def _hashes(text: bytes | None, shingle: int, known: dict[bytes, int]) -> np.ndarray:
+    """62-bit hashes of the distinct shingles, sorted. Words are hashed once; a shingle mixes the hashes of its words in order."""
+    words = (text or b"").lower().split()
+    if len(known) > _KNOWN_WORDS:
+        known.clear()
+    for w in {*words}.difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    mixed = np.full(len(words) - size + 1 if size else 1, size, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ h[k : k + len(mixed)]) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed >> np.uint64(2)).astype(np.int64)
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, last: Broadcast | None = None) -> DataFrame:
+    """(id, n, top, hs, sketch): ``hs`` are the first hashes of a row's n distinct shingles, as many as similar rows can't all miss.
+
+    The order is that of the hashes, but those in ``last`` (sorted) follow all others, with bit 62 set. A similar row shares at
+    least n * SIMILAR of the shingles, so the n - ceil(n * SIMILAR) + 1 first hashes of both have one in common, in whatever
+    order. ``top`` is the last of them. ``sketch`` has the parity of the number of hashes in each of ``_SKETCH`` * 64 residues: two
+    rows differ in at least as many shingles as their sketches in bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        late = last.value if last else np.empty(0, np.int64)
         for batch in batches:
-            at, hs, ns, tops, afters = [], [], [], [], []
-            for k, text in enumerate(batch.column("text")):
-                grams = list(shingles(text.as_py(), shingle))
-                digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">u8").astype(np.uint64) >> np.uint64(1)
-                h = np.sort(digests).astype(np.int64)
-                n = len(h)
-                most = n + 1 + -n * SIMILAR[0] // SIMILAR[1]
-                at.append(np.full(most, k, np.int32))
-                hs.append(h[:most])
-                ns.append(np.full(most, n, np.int32))
-                tops.append(np.full(most, h[most - 1]))
-                afters.append(np.append(h, -1)[1 : most + 1])
-            if at:
-                columns = [np.concatenate(c) for c in (at, hs, ns, tops, afters)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(columns[0])), *map(pa.array, columns[1:])], names=["id", "h", "n", "top", "after"])
+            hs, ns, sketches = [], [], []
+            for text in batch.column("text"):
+                h = _hashes(text.as_py(), shingle, known)
+                sketches.append(np.packbits(np.bincount(h % (64 * _SKETCH), minlength=64 * _SKETCH).astype(np.uint8) & 1).view(np.int64))
+                if len(late):
+                    at = np.searchsorted(late, h)
+                    h = np.sort(np.where(late[np.minimum(at, len(late) - 1)] == h, h | _LATE, h))
+                ns.append(len(h))
+                hs.append(h[: len(h) + 1 + -len(h) * SIMILAR[0] // SIMILAR[1]])
+            if hs:
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, hs)]), pa.int32()), pa.array(np.concatenate(hs)))
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(hs) + 1) * _SKETCH, pa.int32()), pa.array(np.concatenate(sketches)))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ns, pa.int32()), pa.array([h[-1] for h in hs], pa.int64()), lists, sketch], names=["id", "n", "top", "hs", "sketch"])
 
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long, n int, top long, after long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n int, top long, hs array<long>, sketch array<long>")
 
 
-def _enough(shared: Column) -> Column:
-    """Whether x and y can be similar: their sizes, and what they share up to the lesser top with all that row has beyond its prefix."""
+def _need() -> Column:
+    """How many hashes x and y must share up to the lesser top, at least, to be similar: beyond it they share at most all that the row has."""
     few, many = SIMILAR
     beyond = F.ceil(F.when(F.col("x.top") <= F.col("y.top"), F.col("x.n")).otherwise(F.col("y.n")) * few / many) - 1
-    sizes = F.expr(f"x.n * {few} <= y.n * {many} and y.n * {few} <= x.n * {many}")
-    return sizes & ((shared + F.least("x.crowds", "y.crowds") + beyond) * (few + many) >= (F.col("x.n") + F.col("y.n")) * few)
+    return F.ceil((F.col("x.n") + F.col("y.n")) * few / (few + many)) - beyond
+
+
+def _sizes_fit() -> Column:
+    few, many = SIMILAR
+    return F.expr(f"x.n * {few} <= y.n * {many} and y.n * {few} <= x.n * {many}")
+
 
+def _sharing(met: DataFrame, need: Column) -> DataFrame:
+    """(a, b), a < b, each once, of the rows (x, y) that meet at ``need`` hashes or more."""
+    met = met.withColumn("need", need.cast("int")).filter(_sizes_fit() & (F.least("x.colds", "y.colds") + F.least("x.crowds", "y.crowds") >= _need()))
+    counted = met.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
+    return counted.filter("shared >= need").select("a", "b")
 
-def _with_firsts(crowd: DataFrame) -> DataFrame:
-    """(x, y), x before y: each row of a crowd with the crowd's first row, and with the first of those with the same next hash.
 
-    First is the row of most ``links``, then the one with the fewest hashes of its own, as copies add theirs to the original's.
+def _with_firsts(crowd: DataFrame, order: Column) -> DataFrame:
+    """(a, b): each row of a crowd with the crowd's first row by ``order``."""
+    firsts = cut(crowd.groupBy("h").agg(F.min(F.struct(order.alias("o"), "x"))["x"].alias("y")), "near-prefix-firsts")
+    return _sharing(sized_join(crowd, firsts, ["h"], "inner", firsts.count() * 96).filter("x.id <> y.id"), F.lit(1))
+
+
+def _across(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b) of crowds that links do not connect yet: the rows outside of a crowd's largest component with all others of other ones.
+
+    They share no hash but those of crowds, or they would have been candidates, so that the crowds where they meet have to be enough.
     """
-    found = []
-    for by in (["h"], ["h", "after"]):
-        firsts = cut(crowd.groupBy(*by).agg(F.min(F.struct(-F.col("links"), "x"))["x"].alias("y")), "near-prefix-firsts")
-        found.append(sized_join(crowd, firsts, by, "inner", firsts.count() * 112).filter("x.id <> y.id").select("x", "y"))
-    met, swap = found[0].unionByName(found[1]), F.col("x.id") > F.col("y.id")
-    return met.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y")).distinct()
+    roots = cut(components(found), "near-roots")
+    rooted = sized_join(crowd.withColumn("node", F.col("x.id")), roots, ["node"], "left", roots.count() * 32).select("h", "x", F.coalesce("root", "node").alias("root"))
+    rooted = cut(rooted, "near-rooted")
+    parts = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = cut(parts.groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("big"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("h", "big"), "near-largest")
+    open_rows = sized_join(rooted, largest, ["h"], "inner", largest.count() * 40)
+    few = open_rows.filter("root <> big").select("h", "x", F.col("root").alias("root_x"))
+    met = few.join(open_rows.select("h", F.col("x").alias("y"), F.col("root").alias("root_y"), "big"), "h").filter("root_x <> root_y and (root_y = big or x.id < y.id)")
+    few_, many = SIMILAR
+    differ = sum((F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(_SKETCH)), F.lit(0))
+    alike = differ * (few_ + many) <= (F.col("x.n") + F.col("y.n")) * (many - few_)
+    return _sharing(met.filter((F.least("x.crowds", "y.crowds") >= _need()) & alike), _need())
+
+
+def _shared_hashes(docs: DataFrame, id_col: str, text_col: str, shingle: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' prefixes, and (id, h, m) of the prefix hashes that m > 1 rows hold.
+
+    Hashes that more than ``dense`` rows hold are put last and the prefixes taken again, so that only rows made of little else meet
+    in crowds. At most ``_MOST_LATE`` hashes are put last, the most frequent: that bounds the broadcast and changes no result.
+    """
+    spark, late = docs.sparkSession, None
+    while True:
+        rows = cut(prefixes(docs, id_col, text_col, shingle, late), "near-prefixes")
+        sizes = cut(rows.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "near-prefix-sizes")
+        if late is None:
+            often = sizes.filter(F.col("m") > dense).orderBy(F.col("m").desc(), "h").limit(_MOST_LATE).select("h").toPandas()["h"]
+            if len(often):
+                late = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64)))
+                continue
+        held = sized_join(rows.select("id", F.explode("hs").alias("h")), sizes, ["h"], "inner", sizes.count() * 32)
+        return rows, cut(held, "near-prefix-shared")
 
 
 def _prefix_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, dense: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates (a, b), a < b, by shared prefixes; and the rows (h, after, x) of crowds.
+    """Candidates (a, b), a < b, that share a hash which at most ``dense`` rows hold, and the rows (h, x) of crowds.
 
-    Rows that share a hash which at most ``dense`` rows hold are all paired, those of a crowd with its first rows. A pair goes
-    when the hashes that it shares can't add up to the similarity.
+    A pair goes when the hashes that it shares can't add up to the similarity.
     """
-    rows = cut(shared_prefixes(docs, id_col, text_col, shingle), "near-prefixes")
-    sizes = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "near-prefix-sizes")
-    held = cut(sized_join(rows, sizes, ["h"], "inner", sizes.count() * 32).withColumn("crowd", F.col("m") > dense), "near-prefix-shared")
-    own = F.first("n") + 1 - F.ceil(F.first("n") * SIMILAR[0] / SIMILAR[1]) - F.count(F.lit(1))
-    told = cut(held.groupBy("id").agg(own.alias("own"), F.count_if("crowd").alias("crowds"), F.count_if(~F.col("crowd")).alias("colds")), "near-prefix-rows")
-    held = cut(sized_join(held, told, ["id"], "inner", told.count() * 56).select("h", "after", "crowd", F.struct("own", "id", "n", "top", "crowds", "colds").alias("x")), "near-prefix-held")
-    cold, crowd = held.filter("not crowd").select("h", "x"), held.filter("crowd").select("h", "after", "x")
-    pairs = cold.join(cold.withColumnRenamed("x", "y"), "h").filter("x.id < y.id").select("x", "y", F.lit(1).alias("cold"))
-    pairs = pairs.unionByName(_with_firsts(crowd.withColumn("links", F.lit(0))).withColumn("cold", F.lit(0))).filter(_enough(F.least("x.colds", "y.colds")))
-    one = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum("cold").alias("cold"), F.first("x").alias("x"), F.first("y").alias("y"))
-    return one.filter(_enough(F.col("cold"))).select("a", "b"), crowd
+    rows, held = _shared_hashes(docs, id_col, text_col, shingle, dense)
+    crowd = F.col("m") > dense
+    counts = held.groupBy("id").agg(F.count_if(crowd).cast("int").alias("crowds"), F.count_if(~crowd).cast("int").alias("colds"))
+    told = rows.join(counts, "id").select("id", F.struct("id", "n", "top", "crowds", "colds", (F.size("hs") - F.col("crowds") - F.col("colds")).alias("own"), "sketch").alias("x"))
+    told = cut(told, "near-prefix-rows")
+    n = told.count()
+    cold = sized_join(held.filter(~crowd), told.withColumn("x", F.col("x").dropFields("own", "sketch")), ["id"], "inner", n * 64).select("h", "x")
+    met = cold.join(cold.withColumnRenamed("x", "y"), "h").filter("x.id < y.id")
+    pairs = _sharing(met, _need() - F.least("x.crowds", "y.crowds"))
+    return pairs, cut(sized_join(held.filter(crowd), told, ["id"], "inner", n * 160).select("h", "x"), "near-prefix-crowds")
 
 
 def _fingerprint_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
@@ -299,9 +363,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
         whole = dealt.withColumn("copy", F.pmod(F.xxhash64(other), "copies")).drop("copies").join(held, [side, "copy"]).drop("copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(256)(lambda text: shingles(text, shingle))
+        known: dict[bytes, set[bytes]] = {}
+        held = 0
+
+        def of(text: bytes) -> set[bytes]:
+            nonlocal held
+            if text not in known:
+                found = shingles(text, shingle)
+                if held + len(found) > _KNOWN_SHINGLES:
+                    known.clear()
+                    held = 0
+                known[text] = found
+                held += len(found)
+            return known[text]
+
         for batch in batches:
-            near = [similar(known(x.as_py()), known(y.as_py())) for x, y in zip(batch.column("text_a"), batch.column("text_b"))]
+            near = [similar(of(x.as_py()), of(y.as_py())) for x, y in zip(batch.column("text_a"), batch.column("text_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     arrow_batches(pairs.sparkSession)
@@ -309,25 +386,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return whole.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, max_bits: int = MAX_BITS, dense: int = DENSE) -> DataFrame:
-    """(a, b), a < b: ids, which have to be unique, of rows whose shingle sets are ``SIMILAR``.
+def near_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, max_bits: int = MAX_BITS, dense: int = CROWD) -> DataFrame:
+    """(a, b), a < b: pairs of ids, which have to be unique, whose shingle sets are ``SIMILAR``; they connect all rows that such pairs connect.
 
-    All such pairs that share a prefix hash held by at most ``dense`` rows. Rows that share only hashes of crowds meet the crowds'
-    first rows: the links found make other rows first, until no new link is found.
+    All similar pairs that share a prefix hash of at most ``dense`` rows are among them. In a crowd each row meets the first by two
+    orders, and then the rows that the links found so far do not connect with it, so that no pair goes unseen whose link is missing.
     """
     pairs, crowd = _prefix_pairs(docs, id_col, text_col, shingle, dense)
-    tried = cut(pairs.unionByName(_fingerprint_pairs(docs, id_col, text_col, shingle, max_bits)).distinct(), "near-candidates")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    tried = pairs.unionByName(_fingerprint_pairs(docs, id_col, text_col, shingle, max_bits))
+    if crowd.isEmpty():
+        return cut(_verified(cut(tried.distinct(), "near-candidates"), texts, shingle), "near-found")
+    tried = cut(tried.unionByName(_with_firsts(crowd, F.col("x.own"))).distinct(), "near-candidates")
     found = cut(_verified(tried, texts, shingle), "near-found")
-    while not crowd.isEmpty():
-        linked = cut(found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links")), "near-linked")
-        ranked = sized_join(crowd.withColumn("id", F.col("x.id")), linked, ["id"], "left", linked.count() * 32).fillna(0, ["links"])
-        met = _with_firsts(ranked).filter(_enough(F.least("x.colds", "y.colds"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    for step in ("linked", "across"):
+        if step == "linked":
+            links_of = cut(found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links")), "near-linked")
+            ranked = sized_join(crowd.withColumn("id", F.col("x.id")), links_of, ["id"], "left", links_of.count() * 32)
+            met = _with_firsts(ranked, F.struct(-F.coalesce("links", F.lit(0)), "x.own"))
+        else:
+            met = _across(crowd, found)
         more = cut(met.join(tried, ["a", "b"], "left_anti"), "near-candidates")
-        new = cut(_verified(more, texts, shingle), "near-found")
-        if new.isEmpty():
-            break
-        tried, found = tried.unionByName(more), found.unionByName(new)
+        found = found.unionByName(cut(_verified(more, texts, shingle), "near-found"))
+        tried = tried.unionByName(more)
     return found
 
 

@@ -195,3 +195,24 @@ def test_crowds_of_near_copies_join_their_original(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = near_groups(rows)
     assert {r.doc_id for r in S.drop_near_copies(df).collect()} == set(want.values()) and len(set(want.values())) == 201
+
+
+def test_crowds_of_several_families_against_brute_force_jaccard(spark):
+    """Families of near copies, some of them chains, and strangers that are half the same text: all of them share crowds."""
+    rng = np.random.default_rng(9)
+    common = [f"c{x}" for x in range(60)]
+    rows = []
+    for g in range(6):
+        base = common + [f"g{g}x{rng.integers(1 << 40)}" for _ in range(180)]
+        rows += [edited(rng, base, n) for n in rng.integers(0, 5, 45)]
+        chain = base
+        for _ in range(5):
+            chain = chain[12:] + [f"t{rng.integers(1 << 40)}" for _ in range(12)]
+            rows.append(chain)
+    rows += [common + [f"s{k}x{x}" for x in range(20)] for k in range(150)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_groups(rows)
+    assert {r.doc_id for r in S.drop_near_copies(df).collect()} == set(want.values())
+    linked = S.components(S.near_pairs(df, "doc_id", "text", dense=4))
+    assert {r.node: r.root for r in linked.collect()} == {i: w for i, w in want.items() if list(want.values()).count(w) > 1}

@@ -10,30 +10,11 @@ import public_tokenizers
 import corpus_pipeline as P
 from factweave.llm.quality import quality_scores
 
-from .test_dedup import fingerprint, norm
+from .test_dedup import near_groups, norm
 
 SF = "/root/testdata/sf0.001"
 
 
-def near_kept(rows):
-    """The smallest id of each group linked at two bits or fewer over five-word shingles."""
-    fps = {i: fingerprint(t, 5) for i, t in rows}
-    root = {i: i for i in fps}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(fps)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= 2:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i for i in ids if find(i) == i}
-
-
 def test_stages_against_plain_python(spark, tmp_path):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -56,7 +37,7 @@ def test_stages_against_plain_python(spark, tmp_path):
         first.setdefault(norm(r.text), r)
     assert sorted(exact) == sorted(first.values())
 
-    kept = near_kept([(r.doc_id, r.text) for r in exact])
+    kept = set(near_groups([(r.doc_id, r.text) for r in exact]).values())
     assert sorted(near) == sorted(r for r in exact if r.doc_id in kept)
 
     copies, words = Counter(r.doc_id for r in mixed), lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
