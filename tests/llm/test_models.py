@@ -97,32 +97,76 @@ def test_base_score_and_counts(real, docs, empty):
     assert L.score_documents(empty).count() == 0
 
 
-def test_class_model_is_a_distribution_and_beats_the_base(spark):
+def brute_class_model(rows, classes, least, sweeps):
+    """Brown exchange word by word over the whole text, each likelihood from scratch; log10 scores of the rows by hand."""
+    texts = [(i, (t or "").encode().lower().split() + [b""], zlib.crc32(("null" if i is None else str(i)).encode()) % 7 == 2) for i, t in rows]
+    lines = [[b"", *words] for _, words, out in texts if not out]
+    n = Counter(w for line in lines for w in line[1:])
+    order = sorted((w for w in n if w and n[w] >= least), key=lambda w: (-n[w], L.word_hash(w)))
+    cls = defaultdict(lambda: 1, {b"": 0} | {w: 2 + k for k, w in enumerate(order[: classes - 2])})
+    pairs = Counter(p for line in lines for p in zip(line, line[1:]))
+
+    def likelihood():
+        t = np.zeros((classes, classes))
+        for (u, v), k in pairs.items():
+            t[cls[u], cls[v]] += k
+        return L._xlogx(t).sum() - L._xlogx(t.sum(0)).sum() - L._xlogx(t.sum(1)).sum(), t
+
+    for _ in range(sweeps):
+        for w in order:
+            was, found = cls[w], {}
+            for c in range(2, classes):
+                cls[w] = c
+                found[c] = likelihood()[0]
+            best = max(found.values())
+            cls[w] = was if found.get(was, -math.inf) >= best - 1e-9 else min(c for c in found if found[c] >= best - 1e-9)
+    t = likelihood()[1]
+    share = (t.sum(0) + 1) / (t.sum() + classes)
+    step = (t + share) / (t.sum(1, keepdims=True) + 1)
+    once, twice = (sum(k == x for k in n.values()) for x in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    rare = [w for w in n if cls[w] == 1]
+    mass = {c: sum(n[w] for w in n if cls[w] == c) + (c == 1) for c in range(classes)}
+
+    def emit(w):
+        if w not in n:
+            return (d * len(rare) + 1) / mass[1]
+        return (n[w] - (d if cls[w] == 1 else 0)) / mass[cls[w]]
+
+    return sorted((i or -1, round(sum(math.log10(step[cls[u], cls[v]] * emit(v)) for u, v in zip([b"", *words], words)), 4)) for i, words, _ in texts)
+
+
+def test_class_scores_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    names = [[f"{k}{c}" for k in range(7)] for c in "abc"]
+    rows = [(k, " ".join(str(rng.choice(names[(x + k) % 3])) for x in range(int(rng.integers(1, 30)))) + (" odd%d" % k) * (k % 2)) for k in range(60)]
+    rows += [(None, "0a 0b unseen 0c"), (70, None), (71, ""), (3, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, round(r.score, 4)) for r in L.score_documents(df, classes=6, least=3, sweeps=2).collect())
+    assert got == brute_class_model(rows, 6, 3, 2)
+
+
+def test_class_model_is_a_distribution_and_beats_the_base(spark, monkeypatch):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = real.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).filter(Q.remainder(F.col("id"), 7) != 2)
+    monkeypatch.setattr(L, "GROUP_WORDS", 3000)  # several groups move at once
     model, counts = L.train_model(rows)
     assert np.allclose((10**model.transition).sum(axis=1), 1)
-    numbers = L._Numbers((w, k) for k, w in enumerate(model.units))
-    mass = np.zeros(L.CLASSES)
+    place = dict(zip(model.listed.tolist(), model.cls.tolist()))
+    mass, listed = np.zeros(L.CLASSES), 0
     for r in counts.collect():
-        mass[model.unit_class[numbers[bytes(r.word)]]] += r.n - model.discount
-    mass += 10**model.unknown
-    used = 10**model.mass > 1
-    assert np.allclose(mass[used] / (10**model.mass)[used], 1)
+        c = place.get(L.word_hash(bytes(r.word)), L.RARE)
+        mass[c] += r.n - (model.discount if c == L.RARE else 0)
+        assert (c != L.RARE) == (r.n >= L.LEAST_COUNT or not r.word)
+    mass[L.RARE] += 10**model.unknown
+    used = mass > 1
+    assert np.allclose(mass[used] / (10**model.mass)[used], 1) and used.sum() > L.CLASSES / 2
     held = [r for r in L.score_documents(real).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert np.mean([r.score > r.base_score for r in held]) > 0.9
 
 
-def test_exchange_raises_the_likelihood():
-    rng = np.random.default_rng(0)
-    truth = np.arange(41) % 4
-    bigrams = rng.poisson(np.where(truth[:, None] == (truth[None, :] + 1) % 4, 20.0, 0.2)).astype(float)
-
-    def likelihood(cls):
-        one = np.eye(6)[cls]
-        t = one.T @ bigrams @ one
-        return L._xlogx(t).sum() - L._xlogx(t.sum(0)).sum() - L._xlogx(t.sum(1)).sum()
-
-    start = np.append(0, 1 + np.arange(40) % 5)
-    assert likelihood(L.exchange(bigrams, 6)) > likelihood(start)
+def test_listed_words_are_bounded(spark):
+    df = spark.createDataFrame([(f"w{k}".encode(), 100 if k < 5 else 20) for k in range(300)] + [(b"", 7)], "word binary, n long")
+    listed, n = L._listed(df, 10, 100)
+    assert len(set(listed.tolist())) == len(listed) <= 130 and L.word_hash(b"") in listed and (n == 100).sum() == 5
