@@ -1,17 +1,17 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and its inverse.
 
 Text is cut where no merge can reach across (before white space that follows a word), so a chunk of any text can be
-encoded alone. Inside a chunk the vocabulary's pattern gives pieces; a piece becomes tokens by the merge list.
-A piece longer than ``WINDOW`` bytes is streamed: its buffer is merged, and the tokens that end at least
-``lookahead`` bytes before the buffer's end are stable, whatever follows, and are emitted. The buffer restarts at
-the last stable boundary, so memory stays constant.
+encoded alone. Inside a chunk the vocabulary's pattern gives pieces, and each piece, short or long, is fed to the
+transducer (``transduce``): it reads a window, merges it, and emits the tokens that end at least ``lookahead`` bytes before the
+window's end, or all of them where the piece ends. The next window starts at the last stable boundary, so memory stays
+constant. Tokens go on in parts, to digests that run along.
 
 The lookahead is computed from the merge list. What is still unknown at the right moves left only through a merge
 (u, v) whose right part begins where an earlier, influenced merge began: u of the earlier one is on the left spine
 of v. Chains of rising rank give the longest way, plus the longest token for the one that crosses the end.
 
-Pieces met lately are kept with their tokens, as arcs of the transducer that have been built; pieces not met are
-merged many at a time, in lockstep, over flat arrays.
+Pieces met lately are kept with the tokens that the transducer gave, as arcs that have been built; pieces not met are
+fed to it many at a time, in lockstep, over flat arrays.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -40,6 +40,7 @@ NEWER = (
 CHUNK = 1 << 16
 WINDOW = 4096
 ARCS = 1 << 18
+ARC_CHARS = 1024
 _NEWER = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NEWER)
 _ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PIECES = regex.compile(_ASCII_PIECES)
@@ -140,53 +141,56 @@ class ByteBpe:
             starts = np.cumsum(sizes) - sizes
         return out
 
-    def stream(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
-        """Tokens of one long piece that comes in parts: those that no later byte can change, then the rest."""
-        buffer = b""
-        for part in parts:
-            buffer += part
-            while len(buffer) >= self.window:
-                tokens, end, stable = self.merge([buffer[: self.window]])[0], 0, []
-                for t in tokens:
-                    if end + len(self.text[t]) > self.window - self.lookahead:
-                        break
-                    end += len(self.text[t])
-                    stable.append(t)
-                yield stable
-                buffer = buffer[end:]
-        yield from self.merge([buffer])
-
-    def _fill(self, pieces: set[str]) -> None:
-        new = sorted(pieces.difference(self.arcs))
-        short = [p for p in new if len(p) <= self.window // 4]
-        for p, ids in zip(short, self.merge([p.encode() for p in short])):
-            self.arcs[p] = tuple(ids)
+    def transduce(self, pieces: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+        """The machine: (piece, tokens) in parts as they become stable, each piece's in order, all pieces fed in lockstep.
+
+        A piece is read by windows. A window that ends it gives all its tokens; else those that end ``lookahead`` before the window's end
+        are emitted, as no later byte can change them, and the next window starts behind them.
+        """
+        live = [(k, 0) for k in range(len(pieces))]
+        while live:
+            buffers, later = [pieces[k][at : at + self.window] for k, at in live], []
+            for (k, at), buffer, tokens in zip(live, buffers, self.merge(buffers)):
+                if at + len(buffer) < len(pieces[k]):
+                    end, stable = 0, 0
+                    while end + len(self.text[tokens[stable]]) <= len(buffer) - self.lookahead:
+                        end += len(self.text[tokens[stable]])
+                        stable += 1
+                    later.append((k, at + end))
+                    tokens = tokens[:stable]
+                yield k, tokens
+            live = later
+
+    def _build(self, pieces: set[str]) -> None:
+        """Arcs of the pieces that have none: the machine's tokens, kept. Those beyond ``ARC_CHARS`` are not kept but emitted each time."""
+        new = sorted(p for p in pieces.difference(self.arcs) if len(p) <= ARC_CHARS)
+        found: list[list[int]] = [[] for _ in new]
+        for k, tokens in self.transduce([p.encode() for p in new]):
+            found[k] += tokens
+        self.arcs.update(zip(new, map(tuple, found)))
 
     def pieces(self, chunk: str) -> list[str]:
         return (_EXACT_PIECES if not chunk.isascii() and _HAS_NEWER.search(chunk) else _PIECES).findall(chunk)
 
-    def encode_many(self, chunks: list[str]) -> list[list[int]]:
-        """The tokens of each chunk. Chunks hold no special token and end where no piece is cut."""
+    def encode_many(self, chunks: list[str]) -> Iterator[tuple[int, list[int]]]:
+        """(chunk, tokens) in order and in parts. Chunks hold no special token and end where no piece is cut."""
         cut = [self.pieces(c) for c in chunks]
         if len(self.arcs) > ARCS:
             self.arcs.clear()
-        self._fill(set().union(*cut) if cut else set())
-        arcs, out = self.arcs, []
-        for pieces in cut:
+        self._build(set().union(*cut) if cut else set())
+        arcs = self.arcs
+        for k, pieces in enumerate(cut):
             ids: list[int] = []
             try:
                 for t in map(arcs.__getitem__, pieces):
                     ids += t
+                yield k, ids
             except KeyError:  # a long piece is among them
-                ids = []
                 for p in pieces:
                     if p in arcs:
-                        ids += arcs[p]
+                        yield k, list(arcs[p])
                     else:
-                        for t in self.stream(p[k : k + WINDOW].encode() for k in range(0, len(p), WINDOW)):
-                            ids += t
-            out.append(ids)
-        return out
+                        yield from ((k, t) for _, t in self.transduce([p.encode()]))
 
     def chunks(self, text: str) -> Iterator[str | int]:
         """The text in order: special tokens as ids, the rest in chunks of about ``CHUNK`` that end at safe boundaries."""
@@ -211,31 +215,36 @@ class Encoder:
     def __init__(self, bpe: ByteBpe) -> None:
         self.bpe = bpe
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """One list for each text, in order."""
+    def parts(self, texts: list[str]) -> Iterator[tuple[int, list[int]]]:
+        """(text, tokens) in order and in parts; what is read ahead is bounded by ``16 * CHUNK`` characters and one chunk."""
         held: list[tuple[int, str]] = []
-        out: list[list[int]] = [[] for _ in texts]
         size = 0
 
-        def flush() -> None:
-            for (k, _), ids in zip(held, self.bpe.encode_many([c for _, c in held])):
-                out[k] += ids
+        def flush() -> Iterator[tuple[int, list[int]]]:
+            for k, ids in self.bpe.encode_many([c for _, c in held]):
+                yield held[k][0], ids
             held.clear()
 
         for k, text in enumerate(texts):
             for c in self.bpe.chunks(text):
                 if isinstance(c, int):
-                    flush()
-                    out[k].append(c)
+                    yield from flush()
+                    yield k, [c]
                     size = 0
                     continue
                 held.append((k, c))
                 size += len(c)
                 if size > 16 * CHUNK:
-                    flush()
+                    yield from flush()
                     size = 0
-        flush()
-        return iter(out)
+        yield from flush()
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """One list for each text, in order."""
+        out: list[list[int]] = [[] for _ in texts]
+        for k, ids in self.parts(texts):
+            out[k] += ids
+        return out
 
 
 class Decoder:
@@ -248,18 +257,19 @@ class Decoder:
         return self._state.decode(b"".join(map(self._text.__getitem__, ids)), final)
 
 
-def digest_ids(ids: list[int], names: list[str], block: int = 1 << 16) -> str:
-    """SHA-256 of the decimal ids joined by commas, a block at a time."""
-    h = hashlib.sha256()
-    for k in range(0, len(ids), block):
-        h.update((("," if k else "") + ",".join(map(names.__getitem__, ids[k : k + block]))).encode())
-    return h.hexdigest()
+class Digests:
+    """Running digests of a text's tokens: of the decimal ids joined by commas, and of the decoded text in UTF-8."""
+
+    def __init__(self, bpe: ByteBpe, names: list[str]) -> None:
+        self._names, self._decoder = names, Decoder(bpe)
+        self.n, self._ids, self._decoded = 0, hashlib.sha256(), hashlib.sha256()
 
+    def push(self, ids: list[int]) -> None:
+        if ids:
+            self._ids.update((("," if self.n else "") + ",".join(map(self._names.__getitem__, ids))).encode())
+            self._decoded.update(self._decoder.push(ids).encode())
+            self.n += len(ids)
 
-def digest_decoded(ids: list[int], decoder: Decoder, block: int = 1 << 16) -> str:
-    """SHA-256 of the decoded text in UTF-8, a block at a time."""
-    h = hashlib.sha256()
-    for k in range(0, len(ids), block):
-        h.update(decoder.push(ids[k : k + block]).encode())
-    h.update(decoder.push([], final=True).encode())
-    return h.hexdigest()
+    def close(self) -> tuple[int, str, str]:
+        self._decoded.update(self._decoder.push([], final=True).encode())
+        return self.n, self._ids.hexdigest(), self._decoded.hexdigest()

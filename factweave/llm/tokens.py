@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import arrow_batches
-from .bpe import ByteBpe, Decoder, Encoder, digest_decoded, digest_ids
+from .bpe import ByteBpe, Decoder, Digests, Encoder
 
 
 def default_vocabulary() -> str:
@@ -29,7 +29,8 @@ def _bpe(path: str) -> tuple[ByteBpe, list[str]]:
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, with_ids: bool = True, carry: list[str] | None = None) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, n_tokens, ids (if wanted), ids_sha256, decoded_sha256, and ``carry`` columns as the struct ``row``.
 
-    A null text is empty and has no tokens. The vocabulary file's path is read on the executors. An empty table gives no rows.
+    A null text is empty and has no tokens; repeated rows repeat theirs. A very long text is read in parts; its ids are held only if
+    ``with_ids``. The vocabulary file's path is read on the executors. An empty table gives no rows.
     """
     path = vocabulary or default_vocabulary()
     held = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
@@ -39,19 +40,27 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         bpe, names = _bpe(path)
         encoder = Encoder(bpe)
         for batch in batches:
-            n, a, b, ids = [], [], [], []
-            for found in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
-                n.append(len(found))
-                a.append(digest_ids(found, names))
-                b.append(digest_decoded(found, Decoder(bpe)))
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids = [pa.array([], pa.int32())]
+            done: list[tuple[int, str, str]] = []
+            running = Digests(bpe, names)
+            for k, found in encoder.parts(texts):
+                while len(done) < k:  # texts without tokens come in between
+                    done.append(running.close())
+                    running = Digests(bpe, names)
+                running.push(found)
                 if with_ids:
                     ids.append(pa.array(found, pa.int32()))
+            while len(done) < len(texts):
+                done.append(running.close())
+                running = Digests(bpe, names)
+            n, a, b = zip(*done) if done else ([], [], [])
             columns = {"id": batch.column("id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
             if with_ids:
                 offsets = [0]
                 for x in n:
                     offsets.append(offsets[-1] + x)
-                columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(ids) if ids else pa.array([], pa.int32()))
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(ids))
             if carry:
                 columns["row"] = batch.column("row")
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

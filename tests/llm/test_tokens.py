@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 from factweave.llm import token_counts as C  # noqa: E402
 from factweave.llm import tokens as T  # noqa: E402
-from factweave.llm.bpe import ByteBpe, Decoder, Encoder  # noqa: E402
+from factweave.llm.bpe import ByteBpe, Decoder, Digests, Encoder  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 REFERENCE = Tokenizer.from_file(PATH)
@@ -37,6 +37,38 @@ def test_long_pieces_and_texts_are_streamed():
         assert "".join(d.push(ids[k : k + 5]) for k in range(0, len(ids), 5)) + d.push([], final=True) == text
 
 
+def test_every_piece_goes_through_the_transducer(monkeypatch):
+    """What the encoder returns is what the machine emitted, for short pieces (kept as arcs) and long ones; their parts stay bounded."""
+    fed, real = [], ByteBpe.transduce
+
+    def watched(self, pieces):
+        fed.extend(pieces)
+        for k, tokens in real(self, pieces):
+            assert len(tokens) <= self.window
+            yield k, tokens
+
+    monkeypatch.setattr(ByteBpe, "transduce", watched)
+    bpe = ByteBpe(PATH)
+    text = "the words of it, " * 50 + "x" * 3000 + " und " + "ab" * 9000
+    assert Encoder(bpe).encode([text]) == [want(text)]
+    assert set(fed) == {p.encode() for p in bpe.pieces(text)}
+
+
+def test_memory_is_flat_on_one_long_piece():
+    import tracemalloc
+
+    bpe, peaks = ByteBpe(PATH), []
+    for size in (1 << 17, 1 << 19):
+        text, running = "qz" * (size // 2), Digests(bpe, [str(i) for i in range(len(bpe.text))])
+        tracemalloc.start()
+        for _, ids in Encoder(bpe).parts([text]):
+            running.push(ids)
+        peaks.append(tracemalloc.get_traced_memory()[1] - 2 * size)  # the piece itself, as text and as bytes
+        tracemalloc.stop()
+        assert running.close()[2] == hashlib.sha256(text.encode()).hexdigest()
+    assert peaks[1] < peaks[0] + (1 << 18)
+
+
 def test_tokens_before_the_lookahead_are_stable():
     rng = random.Random(9)
     for _ in range(60):
