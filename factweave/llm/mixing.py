@@ -12,11 +12,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut, sized_join
-from .rows import ids_are_unique
+from .rows import free_name, ids_are_unique
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -27,23 +27,40 @@ FAN_IN = 1024
 NEAR = 1e-9
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """Adds ``place``, the number of sources before each by code point, null last: ranges of sources are counted, not gathered."""
+    spark = sources.sparkSession
+    placed = sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    at = F.monotonically_increasing_id()
+    placed = cut(placed.withColumn("part", F.shiftright(at, 33)).withColumn("nth", at.bitwiseAND(F.lit((1 << 33) - 1))), "mix-places")
+    before, total = [], 0
+    for part, n in sorted(placed.groupBy("part").count().collect()):  # one row a partition
+        before.append((part, total))
+        total += n
+    offsets = spark.createDataFrame(before, "part long, before long")
+    return sized_join(placed, offsets, ["part"], "inner", len(before) * 32).withColumn("place", F.col("before") + F.col("nth")).drop("part", "nth", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
     """source, source_size, target, from rows (source, size).
 
     ``weights`` repeat over the sources by code point, null last. They share ``share`` times all words; none gets
     more than ``ceiling`` times its own, and the excess is shared again by weight. That ends at min(cap, level * weight)
-    for one level, found by cumulative sums over the sources, sorted by cap / weight.
+    for one level, which rises round by round, as the sources above their caps stop and the others share the rest; a round
+    is one sum over the sources.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    s = s.withColumn("w", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(ceiling)))
-    everyone, before = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.least(F.lit(float(share)), F.lit(float(ceiling))) * F.sum("source_size").over(everyone) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    s = s.withColumn("level", left / (F.sum("w").over(everyone) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    s = s.withColumn("free", F.col("level") <= F.col("cap") / F.col("w") * (1 + 1e-12))
-    level = F.coalesce(F.min(F.when(F.col("free"), F.struct((F.col("cap") / F.col("w")).alias("r"), "level"))).over(everyone)["level"], F.lit(float("inf")))
-    return s.select("source", "source_size", F.least(F.col("cap"), level * F.col("w")).alias("target"))
+    s = _ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    s = s.withColumn("w", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(ceiling)))
+    s = cut(s, "mix-sources")
+    words, stopped, level = s.agg(F.sum("source_size")).first()[0] or 0, -1, -1.0
+    while True:
+        full = F.col("cap") < level * F.col("w") * (1 - 1e-12)
+        n, caps, free = s.agg(F.count_if(full), F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
+        if n == stopped or not free:
+            break
+        stopped, level = n, (min(share, ceiling) * words - caps) / free
+    return s.select("source", "source_size", F.least(F.col("cap"), F.lit(level if free else float("inf")) * F.col("w")).alias("target"))
 
 
 def pivotal(p: np.ndarray, size: np.ndarray, draw) -> tuple[np.ndarray, int]:
@@ -104,12 +121,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row for each row of ``docs``: ``id_col``, ``source_col``, size, source_size, target, copies, taken.
 
     A null text has no words; a null source is a source. Rows without words get copies by chance and take none.
-    Repeated rows are rounded one by one. The draw of a bucket depends on its rows and the seed: reruns agree.
+    Repeated rows are rounded one by one, and texts count whole, however long. The draw of a bucket depends on its rows and the seed: reruns agree.
     A source whose words are all zero takes none. An empty table gives no rows.
     ``carry`` hands input columns through in the struct ``row``; only (number, fraction, size) goes to Python.
     """
     held = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.monotonically_increasing_id().alias("rid"), *held)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), F.monotonically_increasing_id().alias("rid"), *held)
     rows = cut(rows, "mix-sizes")
     aims = cut(targets(rows, weights, share, ceiling), "mix-targets")
     n_rows, n_sources = rows.count(), aims.count()
@@ -120,7 +137,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # the tree: (source, bucket) -> (source, bucket / FAN_IN) -> ...
     buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    level = rows.filter(F.col("p") > NEAR).select("sid", "rid", "size", "p", F.xxhash64("id", "size").alias("h"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)).alias("bucket"))
+    # rows alike in id and text that would fill a bucket are dealt by their number
+    alike = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET_ROWS).select("h", F.ceil(F.col("n") / BUCKET_ROWS).alias("deals")), "mix-alike")
+    level = sized_join(rows.filter(F.col("p") > NEAR).select("sid", "rid", "size", "p", "h"), alike, ["h"], "left", alike.count() * 32)
+    deal = F.coalesce(F.pmod(F.xxhash64("rid"), F.col("deals")), F.lit(0).cast("long"))
+    level = level.select("sid", "rid", "size", "p", "h", F.pmod(F.xxhash64("h", deal, F.lit(seed)), F.lit(buckets)).alias("bucket"))
     settled: DataFrame | None = None
     depth = 0
     while True:
@@ -143,8 +164,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself: each row of ``docs`` as many times as it has copies, with its own columns. Where ids are unique, copies are
     joined to the rows by id, and the texts are shuffled only beyond the broadcast limit."""
     if ids_are_unique(docs, id_col):
-        copies = cut(mix(docs, id_col, text_col, source_col, **settings).filter("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").cast("int").alias("__copies")), "mix-copies")
-        taken = sized_join(docs, copies, docs[id_col] == copies["__id"], "inner", copies.count() * 48)
-        return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+        name, times, copy = (free_name(docs, c) for c in ("id", "copies", "copy"))
+        copies = mix(docs, id_col, text_col, source_col, **settings).filter("copies > 0").select(F.col(id_col).alias(name), F.col("copies").cast("int").alias(times))
+        copies = cut(copies, "mix-copies")
+        taken = sized_join(docs, copies, docs[id_col] == copies[name], "inner", copies.count() * 48)
+        return taken.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
     got = mix(docs, id_col, text_col, source_col, carry=docs.columns, **settings)
     return got.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -12,7 +12,16 @@ def ids_are_unique(docs: DataFrame, id_col: str) -> bool:
     return rows == ids
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, id_col: str, gone: DataFrame, label: str) -> DataFrame:
     """``docs`` whose unique ids are not in ``gone`` (id). The texts are shuffled only if ``gone`` is beyond the broadcast limit."""
-    gone = cut(gone.select(F.col("id").alias("__gone")), label)
-    return sized_join(docs, gone, docs[id_col] == gone["__gone"], "left_anti", gone.count() * 48)
+    name = free_name(docs, "gone")
+    gone = cut(gone.select(F.col("id").alias(name)), label)
+    return sized_join(docs, gone, docs[id_col] == gone[name], "left_anti", gone.count() * 48)
