@@ -4,7 +4,7 @@ A word counts once as itself (lower case) and once as its shape, so that unseen
 shouted, decorated or plain; bigrams are taken over both, and mark a word that repeats the one before. A text's
 vector has sqrt(count / n) for each hashed feature and so has length 1 for each kind, at any number of words.
 
-Training: labelled rows are dealt over up to ``SHARDS`` shards; each shard is learned by FTRL-proximal in one pass after
+Training: labelled rows are dealt over ``SHARDS`` shards; each shard is learned by FTRL-proximal in one pass after
 another, and the shards' weights are averaged. Scoring is a sparse dot product with a broadcast vector of
 2**``BITS`` floats, whatever the size of the data.
 """
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from ..plans.cut import cut
 from .arrow import arrow_batches
+from .rows import ids_are_unique, without
 
 BITS = 18
-#: At most so many shards, of ``SHARD_ROWS`` rows at least; a shard is passed over until it has made ``UPDATES`` updates, between the bounds.
-SHARDS, SHARD_ROWS, UPDATES, PASSES = 8, 1000, 2500, (2, 10)
+#: Shards whose weights are averaged, and passes over each.
+SHARDS, PASSES = 4, 4
 #: At most about this many labelled rows are learned from (a documented bound; each is learned whole).
 SAMPLE_ROWS = 8_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.2
@@ -40,13 +41,13 @@ _SHAPE = re.compile(r"([A-ZÀ-ÖØ-Þ]+)|([a-zß-öø-ÿ]+)|([0-9]+)|(.)", re.S)
 
 
 def shape(word: str) -> str:
-    """``Thing,`` -> ``Xx,``; runs of a class count once, other signs stay (once a run, at most eight)."""
+    """``Thing,`` -> ``Xx,``; runs of a class count once, other signs stay (once a run)."""
     out: list[str] = []
-    for upper, lower, digit, other in _SHAPE.findall(word[:64]):
+    for upper, lower, digit, other in _SHAPE.findall(word):
         sign = "X" if upper else "x" if lower else "9" if digit else other
         if not out or out[-1] != sign:
             out.append(sign)
-    return "".join(out[:8])
+    return "".join(out)
 
 
 def _hash(s: str) -> int:
@@ -79,7 +80,7 @@ def features(text: str | None, words: Words, bits: int = BITS) -> tuple[np.ndarr
         return np.empty(0, np.int64), np.empty(0)
     w, s = words.arrays(tokens)
     kinds = [w * _MIX, s * _MIX + _ODD[0], (w[:-1] * _ODD[1] + w[1:]) * _MIX, (s[:-1] * _ODD[2] + s[1:]) * _MIX + _ODD[3]]
-    ids = (np.concatenate(kinds) >> np.uint64(64 - bits)).astype(np.uint32)
+    ids = ((np.concatenate(kinds) >> np.uint64(32)) % np.uint64((1 << bits) - 1)).astype(np.uint32)
     ids.sort()
     at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
     counts = np.diff(at, append=len(ids))
@@ -108,7 +109,7 @@ def remainder(id_col: Column, of: int = 5) -> Column:
     return (F.crc32(F.coalesce(id_col.cast("string"), F.lit("null"))) % of).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS, passes: int = PASSES) -> np.ndarray:
     """Learns from labelled rows that are not held out. Rows whose label is null or whose id repeats in ``labels`` with
     another label are left out; without any labelled row all weights are zero."""
     spark = docs.sparkSession
@@ -117,7 +118,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20))
     known = cut(known.filter(part < min(1.0, sample_rows / max(total, 1)) * (1 << 20)).select("id", "y"), "quality-labels")
     rows = known.count()
-    shards = int(min(SHARDS, max(1, rows // SHARD_ROWS)))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     chosen = texts.join(F.broadcast(known) if rows <= 2 * sample_rows else known, "id").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).cast("int"))
 
@@ -131,25 +131,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         import pandas as pd
 
         pdf = pdf.iloc[np.argsort([_hash(str(x)) for x in pdf["id"]], kind="stable")]
-        passes = min(PASSES[1], max(PASSES[0], -(-UPDATES // len(pdf))))
         w = ftrl([(np.asarray(i), np.asarray(v), y) for i, v, y in zip(pdf["i"], pdf["v"], pdf["y"])], passes=passes)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"i": at, "w": w[at]})
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "i": at, "w": w[at]})
 
     arrow_batches(spark)
-    learned = chosen.mapInArrow(vectors, f"shard int, id {texts.schema['id'].dataType.simpleString()}, y int, i array<long>, v array<double>").groupBy("shard").applyInPandas(learn, "i long, w double")
-    found = learned.groupBy("i").agg((F.sum("w") / shards).alias("w")).toPandas()  # at most 2**BITS + 1 rows
+    learned = chosen.mapInArrow(vectors, f"shard int, id {texts.schema['id'].dataType.simpleString()}, y int, i array<long>, v array<double>").groupBy("shard").applyInPandas(learn, "shard int, i long, w double")
+    learned = cut(learned, "quality-weights")
+    used = max(1, learned.select("shard").distinct().count())  # small label sets leave shards empty
+    found = learned.groupBy("i").agg((F.sum("w") / used).alias("w")).toPandas()  # at most 2**BITS + 1 rows
     weights = np.zeros((1 << BITS) + 1, np.float32)
     weights[found["i"].to_numpy(np.int64)] = found["w"].to_numpy(np.float32)
     return weights
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cutoff: float = CUTOFF, carry: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cutoff: float = CUTOFF, carry: list[str] | None = None, **settings) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, held_out, score (0 to 1), predicted (1 if score >= cutoff), and ``carry``
-    as the struct ``row``. Only the text enters the score; null, empty and blank texts get the bias. An empty table gives no rows.
+    as the struct ``row``. Only the text enters the score; null, empty and blank texts get the bias, very long ones are read whole, repeated
+    rows are scored alike. An empty table gives no rows. ``settings`` (sample_rows, shards, passes) go to ``train``.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, sample_rows))
+    shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, **settings))
     held = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *held)
 
@@ -169,6 +171,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return scored.select(F.col("id").alias(id_col), (remainder(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"), *(["row"] if carry else []))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their own columns."""
-    return quality_scores(docs, labels, carry=docs.columns, **settings).filter("predicted = 1").select("row.*")
+def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with their own columns. Where ids are unique, rows go by id and no text is copied."""
+    if ids_are_unique(docs, id_col):
+        return without(docs, id_col, quality_scores(docs, labels, id_col, **settings).filter("predicted = 0").select(F.col(id_col).alias("id")), "quality-gone")
+    return quality_scores(docs, labels, id_col, carry=docs.columns, **settings).filter("predicted = 1").select("row.*")
