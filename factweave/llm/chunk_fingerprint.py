@@ -9,10 +9,11 @@ the containment of one text in another is the share of its distinct chunks' byte
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -78,6 +79,19 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
     return sum(n for d, n in a.items() if d in b) / sum(a.values())
 
 
+class _Reversed:
+    """Orders ids of any type the other way round."""
+
+    def __init__(self, id_: object) -> None:
+        self.id = id_
+
+    def __lt__(self, other: _Reversed) -> bool:
+        return other.id < self.id
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Reversed) and self.id == other.id
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, fingerprint) for each row; null texts are empty and have an empty fingerprint."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("data"))
@@ -93,38 +107,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _beside_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(block, role, id, text) sorted inside partitions: blocks are ranges of ids, descending; a block's last row (role 1)
-    is a copy of the next block's first, and for the smallest ids of the very first. One shuffle of the texts; the ranges'
-    bounds are ids of rows, a number of them that is bounded by ``MOST_BLOCKS``.
+    is a copy of the next block's first, and for the last rows of the very first.
+
+    Rows go by id, nulls last, then by a hash of the text, so that rows without an id fill many blocks as well. The blocks' first rows
+    come from a sort of ids and hashes alone; then the texts are shuffled once. Blocks stream through a sort that spills, so that
+    their size bounds no memory; ``MOST_BLOCKS`` bounds the list of their first rows.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    size, top = rows.agg(F.sum(F.octet_length("text").cast("long")), F.max("id")).first()
-    blocks = int(min(MOST_BLOCKS, max(1, -(-(size or 0) // BLOCK_BYTES))))
-    bounds = []
-    if blocks > 1:
-        shares = F.array(*[F.lit(k / blocks) for k in range(1, blocks)])
-        bounds = sorted({b for b in rows.agg(F.percentile_approx("id", shares, F.lit(max(10_000, 10 * blocks)))).first()[0] or [] if b != top})
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    padded = F.array(*[F.lit(b).cast("long") for b in [*bounds, *([(1 << 63) - 1] * (2 * (steps[0] if steps else 1) - len(bounds)))]])
-    search = F.aggregate(F.array(*[F.lit(s) for s in steps]) if steps else F.array().cast("array<int>"), F.lit(0), lambda at, step: at + F.when(F.element_at(padded, at + step) < F.col("id"), step).otherwise(F.lit(0)))
-    rows = rows.withColumn("block", F.when(F.col("id").isNull(), F.lit(0)).otherwise(search))
-    first_of_next = F.when(F.col("id").eqNullSafe(F.lit(top)), F.lit(0)).when(F.element_at(padded, F.col("block") + 1) == F.col("id"), F.col("block") + 1)
-    roles = F.filter(F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("role")), F.struct(first_of_next.alias("block"), F.lit(1).alias("role"))), lambda r: r["block"].isNotNull())
-    rows = rows.select("id", "text", F.explode(roles).alias("r")).select("r.block", "r.role", "id", "text")
-    return rows.repartition(len(bounds) + 1, "block").sortWithinPartitions("block", "role", F.col("id").desc_nulls_last(), "text")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), (F.xxhash64(text) / 2).cast("long").alias("h"), text.alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = int(min(MOST_BLOCKS, max(1, -(-size // BLOCK_BYTES))))
+    rank = F.struct(F.col("id").isNotNull().alias("known"), "id", (-F.col("h")).alias("h"))  # the greatest goes first
+    ranges = rows.select(rank.alias("rank")).repartitionByRange(blocks, F.col("rank").desc())
+    starts = ranges.groupBy(F.spark_partition_id().alias("part")).agg(F.max("rank").alias("rank")).collect()
+    starts = sorted((tuple(r["rank"]) for r in starts), key=lambda k: (k[0], k[1] if k[0] else 0, k[2]), reverse=True)
+    shared = docs.sparkSession.sparkContext.broadcast([(not known, _Reversed(id_) if known else 0, -h) for known, id_, h in starts])
+
+    @F.pandas_udf("array<struct<block: int, role: int>>")
+    def roles(id_: pd.Series, h: pd.Series) -> pd.Series:
+        starts, out = shared.value, []
+        for i, x in zip(id_.array, h.to_numpy().tolist()):
+            unknown = i is None or i is pd.NA or i != i
+            key = (unknown, 0 if unknown else _Reversed(i), x)
+            block = max(0, bisect_right(starts, key) - 1)
+            out.append([{"block": block, "role": 0}] + [{"block": (block or len(starts)) - 1, "role": 1}] * (starts[block] == key))
+        return pd.Series(out)
+
+    placed = rows.select("id", "text", "h", F.explode(roles("id", "h")).alias("r")).select("r.block", "r.role", "id", "h", "text")
+    return placed.repartition(max(1, len(starts)), "block").sortWithinPartitions("block", "role", F.col("id").desc_nulls_last(), "h", "text").select("block", "role", "id", "text")
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 3) -> DataFrame:
     """For each row, its fingerprint and that of an edited text whose last 1/``share`` comes from the next row's beginning.
 
     Returns ``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The next row is that
-    of the next smaller id, after the last the first; null ids come last, rows that repeat an id go by text. A null text is
-    empty. A single row is its own next. near_* is the containment of the row's chunks. An empty table gives no rows.
+    of the next smaller id, after the last the first; null ids come last, rows that repeat an id go by a hash of the text. Ids may have
+    any type that has an order. A null text is empty, a very long one is read whole. A single row is its own next. near_* is the
+    containment of the row's chunks. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (block, id, text, data, ends, chunks) that waits for its next
         names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
         def settled(following: str, chunks: dict[int, int]) -> tuple:
             _, id_, text, data, ends, own = held
@@ -146,8 +171,10 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if held and held[0] == block:
                     out.append(settled(text, chunks))
                 held = None if role else (block, id_, text, data, ends, chunks)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), kinds)], names=names)
+            columns = list(zip(*out)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field("id").type, *kinds])], names=names)
 
     arrow_batches(docs.sparkSession)
     rows = _beside_next(docs, id_col, text_col)
-    return rows.mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
