@@ -188,7 +188,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """One row for each conversation, read from its pieces: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     Conversations stream through sorted partitions turn by turn with running digests, so that a very long one needs no more
-    memory than a short one. Turns go by number, nulls last; turns that share a number go by piece.
+    memory than a short one; one conversation is one task. Turns go by number, nulls last; turns that share a number go by piece, and
+    repeated rows are repeated turns. A null id is a conversation. An empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

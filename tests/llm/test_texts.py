@@ -4,6 +4,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factweave.llm import chat as K
 from factweave.llm import chunk_fingerprint as P
@@ -37,7 +38,8 @@ def test_insertions_move_few_chunks():
 def test_edited_texts_against_brute_force(docs, real, empty):
     for df in (real, docs):
         rows = [(r.doc_id, r.text or "") for r in df.collect()]
-        order = sorted(rows, key=lambda r: ((r[0] is None), -(r[0] or 0), r[1]))
+        hashes = {r.text: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("text"), (F.xxhash64(F.coalesce("text", F.lit(""))) / 2).cast("long").alias("h")).collect()}
+        order = sorted(rows, key=lambda r: ((r[0] is None), -(r[0] or 0), hashes[r[1]]))
         want = []
         for k, (i, x) in enumerate(order):
             y = order[(k + 1) % len(order)][1]
@@ -49,6 +51,16 @@ def test_edited_texts_against_brute_force(docs, real, empty):
     assert P.compare_edited(empty).count() == 0
 
 
+def test_edited_texts_take_ids_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_BYTES", 2_000)
+    rows = [(f"k{k:03}", f"text {k} " * 20) for k in range(50)] + [(None, f"without {k} " * 20) for k in range(50)]
+    got = {r.doc_id: r for r in P.compare_edited(spark.createDataFrame(rows, "doc_id string, text string")).collect() if r.doc_id}
+    texts = dict(rows)
+    for k in range(1, 50):
+        assert got[f"k{k:03}"].near_next == P.containment(fp(texts[f"k{k:03}"]), fp(texts[f"k{k - 1:03}"]))
+    assert len(got) == 50
+
+
 def test_edited_texts_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(P, "BLOCK_BYTES", 100_000)
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -112,6 +124,40 @@ def test_layouts_become_canonical_turns(spark):
     assert sorted(r.conv_id for r in K.canonical_turns(df, "id", "record").filter("layout is null").collect()) == [6, 8, 9]
 
 
+def test_every_mapping_gives_its_turns(spark):
+    records = {
+        "turn row": ({"turn": 0, "role": "human", "text": "hi"}, [("human", "hi")]),
+        "messages": ({"id": "1", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None}]}, [("user", "a"), ("assistant", "")]),
+        "message parts": ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]}, [("user", "ab")]),
+        "from/value": ({"conversations": [{"from": "gpt", "value": "x"}]}, [("assistant", "x")]),
+        "turns": ({"turns": [{"role": "user", "text": "q"}, {"role": "bot", "text": "r"}]}, [("user", "q"), ("assistant", "r")]),
+        "instruction": ({"instruction": "do", "input": "this", "output": "done"}, [("user", "do\n\nthis"), ("assistant", "done")]),
+        "prompt/completion": ({"system": "s", "prompt": "p", "completion": "c"}, [("system", "s"), ("user", "p"), ("assistant", "c")]),
+        "prompt/response": ({"prompt": "p", "response": ""}, [("user", "p"), ("assistant", "")]),
+        "question/answer": ({"context": "c", "question": "q", "answer": "a"}, [("user", "c\n\nq"), ("assistant", "a")]),
+    }
+    assert set(records) == {m.name for m in K.MAPPINGS}
+    df = spark.createDataFrame([(name, json.dumps(r)) for name, (r, _) in records.items()], "conv_id string, record string")
+    got = {}
+    for r in K.canonical_turns(df, "conv_id", "record").orderBy("conv_id", "turn").collect():
+        assert r.layout == r.conv_id
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {name: turns for name, (_, turns) in records.items()}
+
+
+def test_conversations_of_odd_tables(spark):
+    """Empty tables, repeated rows, a very long text, null numbers and ids, and columns with the operator's own names."""
+    long = "word [INST] \\ " * 50_000
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, None, None), (3, None, "assistant", long), (None, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'q' AS record", "7 AS piece", "1 AS layout")
+    made = lambda t: K.read_back(K.format_turns(K.canonical_turns(K.row_records(t), "conv_id", "record")))
+    got = {r.conv_id: r for r in made(df).collect()}
+    assert {i: r.n_turns for i, r in got.items()} == {1: 2, 2: 1, 3: 1, None: 1}
+    assert got[1].turns_sha256 == hashlib.sha256(b"user\na\n" * 2).hexdigest()
+    assert got[3].loss_chars == len(long) and got[3].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert made(df.limit(0)).count() == 0
+
+
 def test_conversations_read_back(spark):
     rows = [(1, 1, "assistant", None), (1, 0, "user", "</s>"), (2, 0, "assistant", "é" * 50_000), (2, 1, None, "x"), (3, None, "user", "late"), (3, 0, "user", "first"), (None, 0, "user", "a")] + [(4, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(500)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -121,3 +167,16 @@ def test_conversations_read_back(spark):
         loss = "".join(t for r, t in turns if r == "assistant")
         assert (got[conv].n_turns, got[conv].turns_sha256) == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_every_template_is_recognised_as_itself(spark):
+    """Each wording, alone, repeated and inside a very long text; a license that holds another's clauses is not taken for it."""
+    prose = "Nothing of that kind stands here, only words. " * 3
+    rows = [(k, f"{prose}\n{t}\n{prose}") for k, t in enumerate(TEMPLATES.values())]
+    rows += [(1000, "\n".join([prose * 400, TEMPLATES["BSD-3-Clause"], prose * 400, TEMPLATES["MIT/notice"]])), (1001, rows[0][1]), (1001, rows[0][1])]
+    got = {}
+    for r in S.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.template, r.exact))
+    for k, name in enumerate(TEMPLATES):
+        assert got[k] == [(name, True)], name
+    assert sorted(got[1000]) == [("BSD-3-Clause", True), ("MIT/notice", True)] and got[1001] == got[0] * 2
