@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,25 +11,47 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured size is at most this.
 BROADCAST_LIMIT = 32 << 20
+_WRITTEN: dict[int, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where Spark runs in one process may it be unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: what follows no longer depends on what came before."""
+    """Write ``df`` to the shared folder and read it back: what follows no longer depends on what came before.
+
+    The files are removed when the driver's process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if id(spark) not in _WRITTEN:
+        _WRITTEN[id(spark)] = []
+        atexit.register(_remove, spark)
+    _WRITTEN[id(spark)].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession) -> None:
+    """Deletes what ``cut`` wrote, through the file system of the shared folder, if the session still runs."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _WRITTEN.pop(id(spark), []):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+    except Exception:  # noqa: BLE001  the JVM has gone first: the folder's own clean-up is left
+        return
+
+
 def sized_join(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, right_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Join that broadcasts ``right`` only if its measured size allows; beyond it Spark shuffles and splits skew."""
     return left.join(F.broadcast(right) if right_bytes <= limit else right, on, how)
