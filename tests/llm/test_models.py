@@ -148,9 +148,9 @@ def test_class_scores_against_brute_force(spark):
 
 def test_class_model_is_a_distribution_and_beats_the_base(spark, monkeypatch):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = real.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).filter(Q.remainder(F.col("id"), 7) != 2)
+    rows = real.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("rid"), F.col("text").cast("binary").alias("text"), (Q.remainder(F.col("doc_id"), 7) != 2).alias("train"))
     monkeypatch.setattr(L, "GROUP_WORDS", 3000)  # several groups move at once
-    model, counts = L.train_model(rows)
+    model, counts, _ = L.train_model(rows)
     assert np.allclose((10**model.transition).sum(axis=1), 1)
     place = dict(zip(model.listed.tolist(), model.cls.tolist()))
     mass, listed = np.zeros(L.CLASSES), 0
@@ -170,3 +170,24 @@ def test_listed_words_are_bounded(spark):
     df = spark.createDataFrame([(f"w{k}".encode(), 100 if k < 5 else 20) for k in range(300)] + [(b"", 7)], "word binary, n long")
     listed, n = L._listed(df, 10, 100)
     assert len(set(listed.tolist())) == len(listed) <= 130 and L.word_hash(b"") in listed and (n == 100).sum() == 5
+
+
+def test_mix_deals_rows_alike_and_takes_any_column_name(spark, monkeypatch):
+    """Rows without an id, or alike in all columns, are dealt over buckets; columns may have the operator's own names."""
+    monkeypatch.setattr(M, "BUCKET_ROWS", 16)
+    rows = [(None, f"a b {k}", "s") for k in range(100)] + [(1, "c d e f", "s")] * 100 + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mix(df).collect()
+    assert len(got) == 201
+    taken, target = sum(r.taken for r in got if r.source), next(r.target for r in got if r.source)
+    assert abs(taken - target) <= 2
+    unique = spark.createDataFrame([(k, "x y z", "s") for k in range(10)], "doc_id long, text string, source string").selectExpr("*", "1 AS id", "2 AS copies", "3 AS copy", "4 AS gone")
+    assert M.mixed(unique).columns == unique.columns and M.mixed(unique).count() == 15
+    from factweave.llm.rows import without
+
+    assert without(unique, "doc_id", unique.select(F.col("doc_id").alias("id")).filter("id < 4"), "test").count() == 6
+
+
+def test_features_keep_the_slot_of_repeats_apart():
+    ids, _ = Q.features(" ".join(f"w{k} w{k}" for k in range(60_000)), Q.Words(), bits=8)
+    assert len(set(ids.tolist())) == len(ids) and ids[-1] == 255 and Q.shape("a" * 70 + "!!") == Q.shape("a" * 10 + "!!") == "x!"
