@@ -34,7 +34,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.2
 CUTOFF = 0.3
 #: The scale of the feature that says how often a word repeats the one before it.
 REPEAT_WEIGHT = 3.0
-_CACHE_WORDS = 1 << 18
+_CACHE_WORDS = 1 << 16
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), [np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)]
 
 _SHAPE = re.compile(r"([A-ZÀ-ÖØ-Þ]+)|([a-zß-öø-ÿ]+)|([0-9]+)|(.)", re.S)

@@ -48,7 +48,7 @@ CROWD = 32
 #: Pairs that one copy of a text serves when candidates are verified.
 _SERVED = 64
 _MOST_LATE, _LATE = 1 << 20, 1 << 62
-_KNOWN_WORDS, _KNOWN_SHINGLES, _SKETCH = 1 << 18, 1 << 18, 8
+_KNOWN_WORDS, _KNOWN_SHINGLES, _SKETCH = 1 << 16, 1 << 16, 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
