@@ -57,24 +57,24 @@ def bfs(edges: DataFrame, anchors: DataFrame, types: list[str] | None, depth: in
 
 
 def shortest_path(edges: DataFrame, pairs: DataFrame, hops: int) -> DataFrame:
-    """(a, b, hops, path) of the shortest undirected path of at most ``hops``; of equal ones the least path. One path a node and
-    pair is kept at each hop, so that the frontier stays within nodes times pairs."""
+    """(a, b, hops, path) of the shortest undirected path of at most ``hops``; of equal ones the least path. A node is zero hops from
+    itself. One path a node and pair is kept at each hop, so that the frontier stays within nodes times pairs; the last hop only
+    looks for the edge to the target, so that no hub is opened for it."""
     e = cut(both_ways(edges).select("src", "dst").distinct(), "path-edges")
-    front = pairs.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path"))
-    seen = cut(front, "path-0")
-    front, found = seen, []
+    front = cut(pairs.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")).distinct(), "path-0")
+    found = front.filter("a = b").select("a", "b", F.lit(0).alias("hops"), F.col("a").cast("string").alias("path"))
+    front = seen = front.filter("a <> b")
     for h in range(1, hops + 1):
-        step = front.join(e, front["node"] == e["src"]).select("a", "b", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("a", "b", "node").agg(F.min("path").alias("path")).join(seen.select("a", "b", "node"), ["a", "b", "node"], "left_anti")
-        step = cut(step, "path-step")
-        found.append(step.filter("node = b").select("a", "b", F.lit(h).alias("hops"), F.array_join("path", ">").alias("path")))
-        open_ = step.join(found[-1].select("a", "b"), ["a", "b"], "left_anti")
-        seen = seen.unionByName(step)
-        front = open_
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        met = front.join(e.select(F.col("src").alias("node"), F.col("dst").alias("b")), ["node", "b"]).groupBy("a", "b").agg(F.min("path").alias("path"))
+        met = cut(met.select("a", "b", F.lit(h).alias("hops"), F.concat_ws(">", F.array_join("path", ">"), F.col("b")).alias("path")), "path-met")
+        found = found.unionByName(met)
+        if h == hops:
+            break
+        step = front.join(met.select("a", "b"), ["a", "b"], "left_anti").join(e, F.col("node") == F.col("src"))
+        step = step.groupBy("a", "b", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        front = cut(step.join(seen.select("a", "b", "node"), ["a", "b", "node"], "left_anti"), "path-step")
+        seen = seen.unionByName(front)
+    return found
 
 
 def closure(edges: DataFrame, types: list[str]) -> DataFrame:

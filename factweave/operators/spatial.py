@@ -7,24 +7,28 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import KM_PER_LAT, KM_PER_LON, haversine_km, in_ring, segment_m
+from ..functions.geo import EARTH_KM, KM_PER_LAT, KM_PER_LON, haversine_km, in_ring, segment_m
 from ..plans.cut import cut
 from ..plans.picks import best_row
 
 HALF_EARTH_KM = 20_040.0
 
 
-def radius_join(left: DataFrame, right: DataFrame, km: float, max_abs_lat: float = 60.0) -> DataFrame:
-    """(left_id, right_id, km) within ``km``; sides have id, lat, lon, and ``max_abs_lat`` bounds all latitudes.
+def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """(left_id, right_id, km) within ``km``, anywhere on the globe; sides have id, lat, lon.
 
-    ``right`` is copied into the 3 x 3 cells around its own; a cell is as large as the radius.
+    Points are cells of a cube around the globe, as wide as twice the radius's chord, so that poles and the 180th meridian need no
+    care; ``right`` is copied into the cells, eight at most, that its ball of that radius touches.
     """
-    dlat, dlon = km / KM_PER_LAT, km / (KM_PER_LON * max(0.01, math.cos(math.radians(max_abs_lat))))
-    cell = lambda c, size: F.floor(F.col(c) / F.lit(size))
-    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    a = left.select(F.col("id").alias("left_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), cell("lat", dlat).alias("cy"), cell("lon", dlon).alias("cx"))
-    b = right.select(F.col("id").alias("right_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.transform(around, lambda k: cell("lat", dlat) + k)).alias("cy")).select("*", F.explode(F.transform(around, lambda k: F.floor(F.col("lon2") / F.lit(dlon)) + k)).alias("cx"))
-    pairs = a.join(b, ["cy", "cx"]).withColumn("km", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
+    chord = 2 * math.sin(min(km / EARTH_KM, math.pi) / 2) + 1e-9
+    lat, lon = F.radians("lat"), F.radians("lon")
+    axes = {"cx": F.cos(lat) * F.cos(lon), "cy": F.cos(lat) * F.sin(lon), "cz": F.sin(lat)}
+    cell = lambda c: F.floor(c / F.lit(2 * chord))
+    a = left.select(F.col("id").alias("left_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), *[cell(c).alias(k) for k, c in axes.items()])
+    b = right.select(F.col("id").alias("right_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[c.alias(k) for k, c in axes.items()])
+    for k in axes:
+        b = b.withColumn(k, F.explode(F.sequence(cell(F.col(k) - chord), cell(F.col(k) + chord))))
+    pairs = a.join(b, list(axes)).withColumn("km", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
     return pairs.filter(F.col("km") <= km).select("left_id", "right_id", "km")
 
 
@@ -43,7 +47,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, first_km: float = 2.0) -
     pending, found, km = left, None, first_km
     while want:
         wide = km >= HALF_EARTH_KM
-        near = radius_join(pending, right, min(km, HALF_EARTH_KM), 89.0 if km > 500 else 60.0)
+        near = radius_join(pending, right, min(km, HALF_EARTH_KM))
         ranked = cut(near.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy("km", "right_id"))).filter(F.col("rank") <= k), "knn")
         full = ranked.groupBy("left_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= want).select("left_id")
         part = ranked if wide else ranked.join(full, "left_id", "left_semi")

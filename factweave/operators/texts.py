@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut, sized_join
 from .joins import fuzzy_token
 
 
@@ -23,7 +24,9 @@ def stem(df: DataFrame, column: str) -> DataFrame:
     def one(word: str) -> str:
         for e in endings:
             if word.endswith(e) and len(word) - len(e) >= 3:
-                return word[: -len(e)] + ("y" if e in ("ies", "ied") else "")
+                rest = word[: -len(e)] + ("y" if e in ("ies", "ied") else "")
+                doubled = e in ("ing", "ings", "ed", "edly") and rest[-1] == rest[-2] and rest[-1] not in "aeioulsz"
+                return rest[:-1] if doubled else rest
         return word
 
     def run(batches):
@@ -34,33 +37,46 @@ def stem(df: DataFrame, column: str) -> DataFrame:
     return df.mapInPandas(run, df.schema)
 
 
-def build_index(docs: DataFrame, doc: str, column: str) -> DataFrame:
-    """Postings (token, doc, tf, length)."""
-    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(column)).alias("t"))
-    return t.select("doc", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("token", "doc", "length").agg(F.count(F.lit(1)).alias("tf"))
-
+def lexical_search(docs: DataFrame, doc: str, column: str, queries: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 over documents that have every term of the query (query_id, tokens); the first ``n``, ties by document.
 
-def lexical_search(index: DataFrame, queries: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over documents that have every term of the query (query_id, tokens); the first ``n``, ties by document."""
-    corpus = index.select("doc", "length").distinct().agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
-    df = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    Documents are tokenised once; only the queries' own terms become postings (token, doc, length, tf).
+    """
     q = queries.select("query_id", F.size(F.array_distinct("tokens")).alias("terms"), F.explode(F.array_distinct("tokens")).alias("token"))
-    hit = q.join(index, "token").join(df, "token").join(F.broadcast(corpus))
+    q = cut(q, "search-terms")
+    asked = cut(q.select("token").distinct(), "search-asked")
+    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(column)).alias("t"))
+    corpus = t.agg(F.count_if(F.size("t") > 0).alias("docs"), F.avg(F.when(F.size("t") > 0, F.size("t"))).alias("mean"))
+    postings = sized_join(t.select("doc", F.size("t").alias("length"), F.explode("t").alias("token")), asked, ["token"], "left_semi", asked.count() * 40)
+    index = cut(postings.groupBy("token", "doc", "length").agg(F.count(F.lit(1)).alias("tf")), "search-postings")
+    df = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    hit = q.join(index, "token").join(df, "token").join(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = hit.groupBy("query_id", "doc", "terms").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(part), 6).alias("score")).filter("n = terms")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc"))).filter(F.col("rank") <= n).select("query_id", "doc", "score", "rank")
 
 
+def _fuzzy_keys(token: str) -> Column:
+    """Keys that any two tokens which ``fuzzy_token`` matches have in common: the first four signs, for the prefixes, and what is left
+    without any one sign, or without any two where the distance may be two; short tokens are their own key."""
+    one = "transform(sequence(1, length({0})), {1} -> concat(substr({0}, 1, {1} - 1), substr({0}, {1} + 1)))"
+    first = one.format(token, "i")
+    both = f"flatten(transform({first}, w -> {one.format('w', 'j')}))"
+    left = f"CASE WHEN length({token}) >= 6 THEN array_union({first}, {both}) ELSE {first} END"
+    prefix = f"array(concat('^', substr({token}, 1, 4)), {token})"
+    return F.expr(f"CASE WHEN length({token}) >= 4 THEN array_distinct(concat({prefix}, {left})) ELSE array({token}) END")
+
+
 def token_recall(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """3 for each equal token, 1 for each fuzzy one of a query token that has no equal; fuzzy pairs are blocked on the first two signs."""
+    """3 for each equal token, 1 for each fuzzy one of a query token that has no equal. Fuzzy pairs share a key of ``_fuzzy_keys``."""
     q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
     c = corpus.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
     exact = q.join(c, "token").select("query_id", "token", "id", F.lit(3).alias("points"))
-    vocabulary = c.select(F.col("token").alias("other")).distinct().withColumn("block", F.substring("other", 1, 2))
-    rest = q.join(exact.select("query_id", "token").distinct(), ["query_id", "token"], "left_anti").withColumn("block", F.substring("token", 1, 2))
-    near = rest.join(vocabulary, "block").filter(fuzzy_token(F.col("token"), F.col("other"))).select("query_id", "token", "other")
-    fuzzy = near.join(c.withColumnRenamed("token", "other"), "other").select("query_id", "token", "id", F.lit(1).alias("points")).distinct()
+    keyed = lambda df, name: df.select(F.col("token").alias(name), F.explode(_fuzzy_keys("token")).alias("key"))
+    rest = q.join(exact.select("query_id", "token").distinct(), ["query_id", "token"], "left_anti")
+    near = keyed(rest.select("token").distinct(), "token").join(keyed(c.select("token").distinct(), "other"), "key").filter(fuzzy_token(F.col("token"), F.col("other"))).select("token", "other").distinct()
+    fuzzy = rest.join(near, "token").join(c.withColumnRenamed("token", "other"), "other").select("query_id", "token", "id", F.lit(1).alias("points")).distinct()
     return exact.unionByName(fuzzy).groupBy("query_id", "id").agg(F.sum("points").alias("points"))
 
 
@@ -149,13 +165,18 @@ def home_state(facts: DataFrame) -> DataFrame:
 
 
 def tag_themes_semantic(docs: DataFrame, doc: str, column: str, themes: DataFrame, least: float = 0.18, dims: int = 256) -> DataFrame:
-    """Themes whose hashed vector has a cosine of at least ``least`` with the text's and one of whose terms is a token of the text.
-    ``themes``: theme, term (single words). Only (text, theme) pairs that share a token are compared, by an equi-join."""
+    """Themes one of whose terms the text holds, word for word; and those that share a word with a term of theirs and whose hashed
+    vector has a cosine of at least ``least`` with the text's. ``themes``: theme, term (one word or more). Only (text, theme) pairs that
+    share a word are compared, by an equi-join."""
     from ..functions.values import hash_embed
 
     t = docs.select(F.col(doc).alias("doc"), tokens(F.col(column)).alias("tokens"))
-    anchor = t.select("doc", F.explode(F.array_distinct("tokens")).alias("term")).join(themes, "term").select("doc", "theme").distinct()
+    words = themes.select("theme", tokens(F.col("term")).alias("phrase"))
+    anchor = t.select("doc", F.explode(F.array_distinct("tokens")).alias("word")).join(words.select("theme", F.explode("phrase").alias("word")).distinct(), "word").select("doc", "theme").distinct()
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    exact = anchor.join(words, "theme").join(t, "doc").filter(F.contains(spaced("tokens"), spaced("phrase"))).select("doc", "theme").distinct().withColumn("exact", F.lit(True))
     a = hash_embed(t, "doc", "tokens", dims)
-    b = hash_embed(themes.groupBy("theme").agg(F.sort_array(F.collect_set("term")).alias("tokens")), "theme", "tokens", dims).withColumnRenamed("weight", "w")
+    b = hash_embed(words.groupBy("theme").agg(F.flatten(F.sort_array(F.collect_set("phrase"))).alias("tokens")), "theme", "tokens", dims).withColumnRenamed("weight", "w")
     dots = anchor.join(b, "theme").join(a, ["doc", "dim"]).groupBy("doc", "theme").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("cosine"))
-    return dots.filter(F.col("cosine") >= least)
+    found = anchor.join(dots, ["doc", "theme"], "left").join(exact, ["doc", "theme"], "left")
+    return found.filter(F.coalesce("exact", F.lit(False)) | (F.col("cosine") >= least)).select("doc", "theme", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))

@@ -120,7 +120,8 @@ def rank_reviews(reviews: DataFrame, by: str, n: int) -> DataFrame:
 def diversify(ranked: DataFrame, query: str, group: str, n: int, run: int) -> DataFrame:
     """The first ``n`` rows of each query with at most ``run`` of one group in a row, their order otherwise kept.
 
-    Each pick depends on those before it, so a query's head of ``n * (run + 1)`` rows is walked in one function call.
+    Each pick depends on those before it, so a query's candidates are walked in one function call: the first ``n`` rows of each of
+    its groups, as no pick goes beyond them, and only the ``n + 1`` groups that come first, as at most one of them is blocked at a time.
     """
 
     def walk(pdf):
@@ -133,7 +134,9 @@ def diversify(ranked: DataFrame, query: str, group: str, n: int, run: int) -> Da
 
         return pd.DataFrame(out, columns=pdf.columns).assign(position=range(1, len(out) + 1))
 
-    head = ranked.filter(F.col("rank") <= n * (run + 1))
+    by_group = Window.partitionBy(query, group)
+    head = ranked.withColumn("__nth", F.row_number().over(by_group.orderBy("rank"))).filter(F.col("__nth") <= n).withColumn("__first", F.min("rank").over(by_group))
+    head = head.withColumn("__group", F.dense_rank().over(Window.partitionBy(query).orderBy("__first"))).filter(F.col("__group") <= n + 1).select(*ranked.columns)
     return head.groupBy(query).applyInPandas(walk, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema) + ", position long")
 
 
