@@ -38,12 +38,21 @@ def embedding_stats(df: DataFrame, kind: str, vector: str) -> DataFrame:
 
 
 def fact_profile(facts: DataFrame, confident: float = 0.6, examples: int = 5) -> DataFrame:
-    """Per key rows, confident rows, confidence range and mean, sources, types, entities, and the first example ids."""
-    return facts.groupBy("fact_key").agg(
+    """Per key rows, confident rows, confidence range and mean, sources, types, entities, and the first example ids.
+
+    Entities are reduced to distinct (key, entity) first, so no task holds a key's entities; only the examples are gathered.
+    """
+    told = facts.groupBy("fact_key").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") >= confident).alias("confident"), F.min("confidence").alias("low"), F.max("confidence").alias("high"), F.round(F.avg("confidence"), 6).alias("mean"),
-        F.count_distinct("source_type").alias("sources"), F.count_distinct("value_type").alias("types"), F.count_distinct("entity_id").alias("entities"),
-        F.array_join(F.slice(F.sort_array(F.collect_set("entity_id")), 1, examples), " ").alias("examples"),
+        F.count_distinct("source_type").alias("sources"), F.count_distinct("value_type").alias("types"),
     )
+    owned = facts.filter("entity_id is not null").select(F.col("fact_key").alias("key"), "entity_id").distinct()
+    counts = owned.groupBy("key").agg(F.count(F.lit(1)).alias("entities"))
+    first = owned.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("entity_id"))).filter(F.col("rank") <= examples)
+    first = first.groupBy("key").agg(F.array_join(F.sort_array(F.collect_list("entity_id")), " ").alias("examples"))
+    for side in (counts, first):
+        told = told.join(side, told["fact_key"].eqNullSafe(side["key"]), "left").drop("key")
+    return told.withColumn("entities", F.coalesce("entities", F.lit(0))).withColumn("examples", F.coalesce("examples", F.lit("")))
 
 
 def at_rank(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut, sized_join
 from ..plans.picks import best_row
 
 
@@ -151,14 +152,24 @@ def overlay(base: DataFrame, detail: DataFrame) -> DataFrame:
     return best_row(both, ["entity_id", "fact_key"], [~F.col("is_detail"), -F.col("confidence"), F.coalesce("value_text", F.lit("")), F.col("fact_no")])
 
 
-def match_candidates(subjects: DataFrame, candidates: DataFrame, margin: float = 0.1, least: float = 0.5) -> DataFrame:
-    """Name-token recall plus bonuses for locality and type; the winner, 'ambiguous' within ``margin``, or 'rejected'. Blocked on tokens."""
-    s = subjects.select("subject", F.col("tokens").alias("st"), F.col("locality").alias("sl"), F.explode(F.array_distinct("tokens")).alias("token"))
-    c = candidates.select("candidate", F.col("tokens").alias("ct"), F.col("locality").alias("cl"), F.explode(F.array_distinct("tokens")).alias("token"))
-    pairs = s.join(c, "token").select("subject", "candidate", "st", "ct", "sl", "cl").dropDuplicates(["subject", "candidate"])
-    score = F.round(0.7 * F.size(F.array_intersect("st", "ct")) / F.size(F.array_distinct("st")) + F.when(F.col("sl") == F.col("cl"), 0.3).otherwise(0.0), 6)
+def match_candidates(subjects: DataFrame, candidates: DataFrame, margin: float = 0.1, least: float = 0.5, same: bool = False) -> DataFrame:
+    """Name-token recall plus a bonus for locality; the winner, 'ambiguous' within ``margin``, or 'rejected'.
+
+    Ids are unique in each table; ``same`` says that both hold the same ids, and nothing then matches itself. Only ids and tokens
+    meet, a pair's tokens are counted where they meet, and each task keeps the two best of a subject before they are sent on.
+    """
+    s = subjects.select("subject", F.size(F.array_distinct("tokens")).alias("terms"), F.col("locality").alias("sl"), F.explode(F.array_distinct("tokens")).alias("token"))
+    s = cut(s, "match-subjects")
+    c = candidates.select("candidate", F.col("locality").alias("cl"), F.explode(F.array_distinct("tokens")).alias("token"))
+    met = sized_join(c, s, ["token"], "inner", s.count() * 64)
+    if same:
+        met = met.filter("subject <> candidate")
+    pairs = met.groupBy("subject", "candidate").agg(F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"), F.first(F.col("sl") == F.col("cl")).alias("near"))
+    score = F.round(0.7 * F.col("n") / F.col("terms") + F.when(F.col("near"), 0.3).otherwise(0.0), 6)
     w = Window.partitionBy("subject").orderBy(F.col("score").desc(), "candidate")
-    best = pairs.withColumn("score", score).withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).filter("rank = 1")
+    top = pairs.select("subject", "candidate", score.alias("score")).withColumn("rank", F.row_number().over(w)).filter("rank <= 2")
+    at = lambda name, rank: F.max(F.when(F.col("rank") == rank, F.col(name)))
+    best = top.groupBy("subject").agg(at("candidate", 1).alias("candidate"), at("score", 1).alias("score"), at("score", 2).alias("second"))
     state = F.when(F.col("score") < least, "rejected").when(F.col("second") > F.col("score") - margin, "ambiguous").otherwise("winner")
     return best.select("subject", "candidate", "score", state.alias("state"))
 

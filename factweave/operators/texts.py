@@ -40,7 +40,8 @@ def stem(df: DataFrame, column: str) -> DataFrame:
 def lexical_search(docs: DataFrame, doc: str, column: str, queries: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over documents that have every term of the query (query_id, tokens); the first ``n``, ties by document.
 
-    Documents are tokenised once; only the queries' own terms become postings (token, doc, length, tf).
+    Documents are tokenised once; only the queries' own terms become postings (token, doc, length, tf). A query's documents are those of
+    its rarest term; its other terms are looked up in these only.
     """
     q = queries.select("query_id", F.size(F.array_distinct("tokens")).alias("terms"), F.explode(F.array_distinct("tokens")).alias("token"))
     q = cut(q, "search-terms")
@@ -49,8 +50,11 @@ def lexical_search(docs: DataFrame, doc: str, column: str, queries: DataFrame, n
     corpus = t.agg(F.count_if(F.size("t") > 0).alias("docs"), F.avg(F.when(F.size("t") > 0, F.size("t"))).alias("mean"))
     postings = sized_join(t.select("doc", F.size("t").alias("length"), F.explode("t").alias("token")), asked, ["token"], "left_semi", asked.count() * 40)
     index = cut(postings.groupBy("token", "doc", "length").agg(F.count(F.lit(1)).alias("tf")), "search-postings")
-    df = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    hit = q.join(index, "token").join(df, "token").join(F.broadcast(corpus))  # one row
+    df = cut(index.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "search-df")
+    counted = q.join(df, "token", "left")
+    rarest = counted.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))["token"].alias("token"))
+    candidates = rarest.join(index.select("token", "doc"), "token").select("query_id", "doc")
+    hit = candidates.join(counted, "query_id").join(index, ["token", "doc"]).join(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = hit.groupBy("query_id", "doc", "terms").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(part), 6).alias("score")).filter("n = terms")
@@ -80,15 +84,27 @@ def token_recall(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return exact.unionByName(fuzzy).groupBy("query_id", "id").agg(F.sum("points").alias("points"))
 
 
-def phrase_recall(texts: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
-    """Names of two tokens or more that occur as a phrase in a text: an equi-join on n-grams."""
+def phrase_recall(texts: DataFrame, names: DataFrame, head: int = 3) -> DataFrame:
+    """Names of two tokens or more, of any length, that occur as a phrase in a text.
+
+    An equi-join on the name's first ``head`` tokens; longer names are then looked for in the texts that it finds.
+    """
 
     def of(n: int) -> Column:
         return F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - (n - 1)), lambda i: F.array_join(F.slice("tokens", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    grams = texts.select("text_id", F.explode(F.array_distinct(F.flatten(F.array(*[of(n) for n in range(2, most + 1)])))).alias("gram"))
-    named = names.filter((F.size("tokens") > 1) & (F.size("tokens") <= most)).select("name_id", F.array_join("tokens", " ").alias("gram"))
-    return grams.join(named, "gram").select("text_id", "name_id").distinct()
+    grams = texts.select("text_id", F.explode(F.array_distinct(F.flatten(F.array(*[of(n) for n in range(2, head + 1)])))).alias("gram"))
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    named = names.filter(F.size("tokens") > 1).select(
+        "name_id",
+        F.array_join(F.slice("tokens", 1, head), " ").alias("gram"),
+        F.when(F.size("tokens") > head, spaced("tokens")).alias("whole"),
+    )
+    named = cut(named, "phrase-names")
+    size = named.agg(F.sum(F.length("gram") + F.coalesce(F.length("whole"), F.lit(0)) + 64)).first()[0] or 0
+    met = cut(sized_join(grams, named, ["gram"], "inner", size).select("text_id", "name_id", "whole").distinct(), "phrase-met")
+    longer = met.filter("whole is not null").join(texts.select("text_id", spaced("tokens").alias("s")), "text_id").filter(F.contains("s", "whole"))
+    return met.filter("whole is null").select("text_id", "name_id").unionByName(longer.select("text_id", "name_id").distinct())
 
 
 def field_score(terms: list[str], weights: dict[str, float]) -> Column:
@@ -143,11 +159,22 @@ def tone(text: Column, rating: Column, bad: list[str], good: list[str]) -> Colum
 
 
 def resolve_places(queries: DataFrame, places: DataFrame, distinctive: DataFrame) -> DataFrame:
-    """The share of a place's tokens that the query has, times 0.4 unless one of them is distinctive; full names count 1."""
+    """The share of a place's tokens that the query has, times 0.4 unless one of them is distinctive; full names count 1.
+
+    A full name whose tokens are part of a longer full name of the same query is left out. Names of equal tokens are compared once.
+    """
     q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
     p = places.select("place_id", F.size(F.array_distinct("tokens")).alias("size"), F.explode(F.array_distinct("tokens")).alias("token"))
     j = q.join(p, "token").join(distinctive.select("token", F.lit(1).alias("d")), "token", "left")
-    g = j.groupBy("query_id", "place_id", "size").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("d", F.lit(0))).alias("d"))
+    g = cut(j.groupBy("query_id", "place_id", "size").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("d", F.lit(0))).alias("d")), "places-met")
+    full = g.filter("n = size").join(places.select("place_id", F.sort_array(F.array_distinct("tokens")).alias("name")), "place_id")
+    full = cut(full.select("query_id", "place_id", "name"), "places-full")
+    part = full.select("query_id", "name", F.explode("name").alias("token")).distinct()
+    longer = part.select("query_id", F.col("name").alias("other"), "token").filter(F.size("other") > 1)
+    inside = part.join(longer, ["query_id", "token"]).filter(F.size("other") > F.size("name"))
+    inside = inside.groupBy("query_id", "name", "other").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.size("name"))
+    gone = full.join(inside, ["query_id", "name"], "left_semi").select("query_id", "place_id")
+    g = g.join(gone, ["query_id", "place_id"], "left_anti")
     return g.select("query_id", "place_id", F.round(F.when(F.col("n") == F.col("size"), 1.0).otherwise(F.col("n") / F.col("size") * F.when(F.col("d") == 1, 1.0).otherwise(0.4)), 6).alias("score"))
 
 

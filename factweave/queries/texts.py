@@ -9,11 +9,11 @@ _TOK = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), la
 
 
 def _queries(t: Tables):
-    """The first three words of every benchmark item."""
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.slice(X.tokens(F.col("text")), 1, 3).alias("tokens"))
+    """All words of every benchmark item."""
+    return t.benchmark.select(F.col("item_id").alias("query_id"), X.tokens(F.col("text")).alias("tokens"))
 
 
-_Q = f"q AS (SELECT item_id AS query_id, {_TOK.format('text')}[1:3] AS tokens FROM benchmark)"
+_Q = f"q AS (SELECT item_id AS query_id, {_TOK.format('text')} AS tokens FROM benchmark)"
 
 
 @query(f"SELECT doc_id, len(k) AS n, len(list_filter(k, lambda x: x IN ('the', 'of'))) AS stopped FROM (SELECT doc_id, {_TOK.format('text')} AS k FROM documents)")
@@ -68,9 +68,9 @@ def t4_field_score(t: Tables):
     return t.part.select("p_partkey", X.field_score(["a", "steel"], {"p_name": 3.0, "p_type": 1.5}).alias("score"))
 
 
-@query("""WITH k AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z]+')[1:6] AS k FROM documents) SELECT doc_id, CASE WHEN len(list_filter(generate_series(1, 6), lambda i: starts_with(coalesce(k[i], ''), 'th') AND starts_with(coalesce(k[i + 1], ''), 'a'))) > 0 THEN 1.0 WHEN len(list_filter(k, lambda x: starts_with(x, 'th') OR starts_with(x, 'a'))) > 0 THEN 0.5 ELSE 0 END AS score FROM k""")
+@query("""WITH k AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z]+') AS k FROM documents) SELECT doc_id, CASE WHEN len(list_filter(generate_series(1, len(k)), lambda i: starts_with(coalesce(k[i], ''), 'th') AND starts_with(coalesce(k[i + 1], ''), 'a'))) > 0 THEN 1.0 WHEN len(list_filter(k, lambda x: starts_with(x, 'th') OR starts_with(x, 'a'))) > 0 THEN 0.5 ELSE 0 END AS score FROM k""")
 def t5_prefix_score(t: Tables):
-    name = F.slice(F.split(F.lower("text"), "[^a-z]+"), 1, 6)
+    name = F.split(F.lower("text"), "[^a-z]+")
     return t.documents.select("doc_id", name.alias("k")).select("doc_id", X.prefix_score(F.col("k"), ["th", "a"]).alias("score"))
 
 
@@ -112,13 +112,14 @@ def t11_tone(t: Tables):
     return t.documents.join(t.labels, "doc_id", "left").select("doc_id", X.tone(F.col("text"), F.col("quality") * 5.0, ["idiot", "worthless"], ["good", "the"]).alias("tone"))
 
 
-@query(f"""WITH {_Q}, p AS (SELECT concat(conv_id, '-', turn) AS place_id, list_distinct({_TOK.format('text')}[1:4]) AS k FROM conversations), d AS (SELECT token FROM (SELECT DISTINCT item_id, unnest({_TOK.format('text')}) AS token FROM benchmark) GROUP BY 1 HAVING count(*) = 1),
-    j AS (SELECT query_id, place_id, len(k) AS size, count(*) AS n, bool_or(t IN (SELECT token FROM d)) AS d FROM (SELECT query_id, unnest(list_distinct(tokens)) AS t FROM q) JOIN p ON list_contains(k, t) GROUP BY ALL)
-    SELECT query_id, place_id, round(CASE WHEN n = size THEN 1.0::DOUBLE ELSE CAST(n AS DOUBLE) / size * CASE WHEN d THEN 1 ELSE 0.4::DOUBLE END END, 6) AS score FROM j""")
+@query(f"""WITH {_Q}, p AS (SELECT concat(conv_id, '-', turn) AS place_id, list_distinct({_TOK.format('text')}) AS k FROM conversations), d AS (SELECT token FROM (SELECT DISTINCT item_id, unnest({_TOK.format('text')}) AS token FROM benchmark) GROUP BY 1 HAVING count(*) = 1),
+    j AS (SELECT query_id, place_id, len(k) AS size, count(*) AS n, bool_or(t IN (SELECT token FROM d)) AS d FROM (SELECT query_id, unnest(list_distinct(tokens)) AS t FROM q) JOIN (SELECT *, unnest(k) AS t FROM p) USING (t) GROUP BY ALL),
+    f AS (SELECT query_id, place_id, k FROM j JOIN p USING (place_id) WHERE n = size), g AS (SELECT DISTINCT a.query_id, a.place_id FROM f a JOIN f b ON a.query_id = b.query_id AND len(b.k) > len(a.k) AND list_has_all(b.k, a.k))
+    SELECT query_id, place_id, round(CASE WHEN n = size THEN 1.0::DOUBLE ELSE CAST(n AS DOUBLE) / size * CASE WHEN d THEN 1 ELSE 0.4::DOUBLE END END, 6) AS score FROM j ANTI JOIN g USING (query_id, place_id)""")
 def t12_resolve_places(t: Tables):
     from ..operators.aggregates import token_df
 
-    places = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("place_id"), F.slice(X.tokens(F.col("text")), 1, 4).alias("tokens"))
+    places = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("place_id"), X.tokens(F.col("text")).alias("tokens"))
     single = token_df(t.benchmark.select("item_id", X.tokens(F.col("text")).alias("tokens")), "item_id", "tokens").filter("df = 1")
     return X.resolve_places(_queries(t), places, single)
 

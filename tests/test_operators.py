@@ -203,3 +203,32 @@ def test_images_kinds_and_nulls(spark):
     rows = [("https://x/floor.png", "", 10.0, 10.0, "official"), ("https://x/a.png", "logo", 2000.0, 2000.0, None), ("https://x/b.png", None, None, 5.0, "o")]
     got = [(r.kind, r.relevance) for r in U.score_images(spark.createDataFrame(rows, "url string, alt string, width double, height double, source string")).collect()]
     assert got == [("plan", 0.4), ("logo", 0.0), ("photo", 0.4)]
+
+
+def test_phrases_of_any_length(spark):
+    texts = spark.createDataFrame([(1, "we met at the old mill by the long river today".split()), (2, "the old mill by the road".split()), (3, []), (4, None)], "text_id int, tokens array<string>")
+    names = spark.createDataFrame([("a", "the old mill by the long river".split()), ("b", ["old", "mill"]), ("c", ["mill"]), ("d", "by the road".split())], "name_id string, tokens array<string>")
+    found = {tuple(r) for r in T.phrase_recall(texts, names).collect()}
+    assert found == {(1, "a"), (1, "b"), (2, "b"), (2, "d")}
+    assert T.phrase_recall(texts, names.limit(0)).count() == 0
+
+
+def test_places_inside_longer_ones_go(spark):
+    queries = spark.createDataFrame([("q", "near green lake park gate".split())], "query_id string, tokens array<string>")
+    places = spark.createDataFrame([("lake", ["green", "lake"]), ("park", ["green", "lake", "park"]), ("gate", ["gate"]), ("twin", ["park", "lake", "green"]), ("far", ["lake", "north"])], "place_id string, tokens array<string>")
+    single = spark.createDataFrame([("north",)], "token string")
+    assert {(r.place_id, r.score) for r in T.resolve_places(queries, places, single).collect()} == {("park", 1.0), ("twin", 1.0), ("gate", 1.0), ("far", 0.2)}
+
+
+def test_candidates_are_matched_once(spark):
+    rows = [(1, ["a", "b"], 1), (2, ["a", "b"], 1), (3, ["a", "c"], 1), (4, ["z"], None), (5, None, 2)]
+    s = spark.createDataFrame(rows, "subject int, tokens array<string>, locality int")
+    found = {tuple(r) for r in J.match_candidates(s, s.withColumnRenamed("subject", "candidate"), same=True).collect()}
+    assert found == {(1, 2, 1.0, "winner"), (2, 1, 1.0, "winner"), (3, 1, 0.65, "ambiguous")}
+
+
+def test_fact_profile_names_few_entities(spark):
+    rows = [("k", f"e{i % 7}", "s", "t", 0.5 + i % 2 * 0.2) for i in range(70)] + [(None, None, "s", "t", 0.1)]
+    facts = spark.createDataFrame(rows, "fact_key string, entity_id string, source_type string, value_type string, confidence double")
+    found = {r.fact_key: (r.n, r.confident, r.entities, r.examples) for r in A.fact_profile(facts).collect()}
+    assert found == {"k": (70, 35, 7, "e0 e1 e2 e3 e4"), None: (1, 0, 0, "")}
