@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut, sized_join
 from ..plans.picks import best_row
 
 
@@ -56,10 +59,23 @@ def fact_profile(facts: DataFrame, confident: float = 0.6, examples: int = 5) ->
 
 
 def at_rank(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """Count, and the values at exact 1-based ranks given as expressions of ``n``; one sort per group, no sampling."""
-    n = Window.partitionBy(*by)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("rank", F.row_number().over(n.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(n))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("rank") == r, F.col(value))).alias(name) for name, r in ranks.items()])
+    """Count, and the values at exact 1-based ranks given as expressions of ``n``; no sampling.
+
+    Equal values are counted first and dealt by ranges of (group, value). A range goes on from the counts of the ranges before it,
+    so that no task sorts a whole group. Null values are left out; null groups are a group.
+    """
+    keys = [f"key{i}" for i in range(len(by))]
+    counted = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("value")).filter("value is not null").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
+    dealt = cut(counted.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id()), "ranks-dealt")
+    group = Window.partitionBy(*[f"of_{k}" for k in keys])
+    held = dealt.groupBy(*[F.col(k).alias(f"of_{k}") for k in [*keys, "part"]]).agg(F.sum("c").alias("held"))
+    before = F.coalesce(F.sum("held").over(group.orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = cut(held.select("*", before.alias("before"), F.sum("held").over(group).alias("n")), "ranks-held")
+    inside = F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("value"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys], F.col("part") == F.col("of_part"))
+    placed = sized_join(dealt.withColumn("inside", inside), held, same, "inner", held.count() * 64).withColumn("upto", F.col("before") + F.col("inside"))
+    found = [F.max(F.when((r <= F.col("upto")) & (r > F.col("upto") - F.col("c")), F.col("value"))).alias(name) for name, r in ranks.items()]
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), *found).withColumnsRenamed(dict(zip(keys, by)))
 
 
 def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -97,8 +113,9 @@ def reason_counts(df: DataFrame, reasons: str = "reasons") -> DataFrame:
 
 def compose_coverage(membership: DataFrame, occupancy: DataFrame) -> DataFrame:
     """(a, b) then (b, c) gives (a, c); confidence is the least over all paths, and the middles are counted."""
-    path = membership.select("a", "b", F.col("confidence").alias("m")).join(occupancy.select("b", "c", F.col("confidence").alias("o")), "b")
-    return path.groupBy("a", "c").agg(F.min(F.least("m", "o")).alias("confidence"), F.count_distinct("b").alias("inputs"))
+    first = membership.groupBy("a", "b").agg(F.min("confidence").alias("m"))
+    path = first.join(occupancy.groupBy("b", "c").agg(F.min("confidence").alias("o")), "b")
+    return path.groupBy("a", "c").agg(F.min(F.least("m", "o")).alias("confidence"), F.count("b").alias("inputs"))
 
 
 def fact_counts(entities: DataFrame, facts: DataFrame) -> DataFrame:

@@ -232,3 +232,11 @@ def test_fact_profile_names_few_entities(spark):
     facts = spark.createDataFrame(rows, "fact_key string, entity_id string, source_type string, value_type string, confidence double")
     found = {r.fact_key: (r.n, r.confident, r.entities, r.examples) for r in A.fact_profile(facts).collect()}
     assert found == {"k": (70, 35, 7, "e0 e1 e2 e3 e4"), None: (1, 0, 0, "")}
+
+
+def test_ranks_are_exact_over_groups_and_nulls(spark):
+    values = {"a": [i * 7 % 101 for i in range(301)], "b": [4], None: [2, 2, 2, 9], "none": [None]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v int").repartition(5)
+    found = {r.g: (r.n, r.least, r.median, r.p95, r.greatest) for r in A.distribution(df, ["g"], "v").collect()}
+    at = lambda vs, q: sorted(vs)[int((len(vs) - 1) * q + 0.5)]
+    assert found == {g: (len(vs), *(at(vs, q) for q in (0, 0.5, 0.95, 1))) for g, vs in values.items() if g != "none"}
