@@ -19,6 +19,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ NEWER = (
 
 CHUNK = 1 << 16
 WINDOW = 4096
-ARCS = 1 << 18
+ARCS = 1 << 17
 ARC_CHARS = 1024
 _NEWER = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NEWER)
 _ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,7 +81,7 @@ class ByteBpe:
         self._merged = np.array([vocab[a + b] for a, b in sides], np.int64)
         self.lookahead = self._lookahead(sides)
         self.window = max(WINDOW, 4 * self.lookahead)
-        self.arcs: dict[str, tuple[int, ...]] = {}
+        self.arcs: dict[str, bytes] = {}
 
     @staticmethod
     def _lookahead(sides: list[tuple[bytes, bytes]]) -> int:
@@ -162,17 +163,17 @@ class ByteBpe:
             live = later
 
     def _build(self, pieces: set[str]) -> None:
-        """Arcs of the pieces that have none: the machine's tokens, kept. Those beyond ``ARC_CHARS`` are not kept but emitted each time."""
+        """Arcs of the pieces that have none: the machine's tokens, kept as 32-bit numbers. Those beyond ``ARC_CHARS`` are not kept but emitted each time."""
         new = sorted(p for p in pieces.difference(self.arcs) if len(p) <= ARC_CHARS)
         found: list[list[int]] = [[] for _ in new]
         for k, tokens in self.transduce([p.encode() for p in new]):
             found[k] += tokens
-        self.arcs.update(zip(new, map(tuple, found)))
+        self.arcs.update((p, array("i", tokens).tobytes()) for p, tokens in zip(new, found))
 
     def pieces(self, chunk: str) -> list[str]:
         return (_EXACT_PIECES if not chunk.isascii() and _HAS_NEWER.search(chunk) else _PIECES).findall(chunk)
 
-    def encode_many(self, chunks: list[str]) -> Iterator[tuple[int, list[int]]]:
+    def encode_many(self, chunks: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         """(chunk, tokens) in order and in parts. Chunks hold no special token and end where no piece is cut."""
         cut = [self.pieces(c) for c in chunks]
         if len(self.arcs) > ARCS:
@@ -180,17 +181,14 @@ class ByteBpe:
         self._build(set().union(*cut) if cut else set())
         arcs = self.arcs
         for k, pieces in enumerate(cut):
-            ids: list[int] = []
             try:
-                for t in map(arcs.__getitem__, pieces):
-                    ids += t
-                yield k, ids
+                yield k, np.frombuffer(b"".join(map(arcs.__getitem__, pieces)), np.int32)
             except KeyError:  # a long piece is among them
                 for p in pieces:
                     if p in arcs:
-                        yield k, list(arcs[p])
+                        yield k, np.frombuffer(arcs[p], np.int32)
                     else:
-                        yield from ((k, t) for _, t in self.transduce([p.encode()]))
+                        yield from ((k, np.array(t, np.int32)) for _, t in self.transduce([p.encode()]))
 
     def chunks(self, text: str) -> Iterator[str | int]:
         """The text in order: special tokens as ids, the rest in chunks of about ``CHUNK`` that end at safe boundaries."""
@@ -215,12 +213,12 @@ class Encoder:
     def __init__(self, bpe: ByteBpe) -> None:
         self.bpe = bpe
 
-    def parts(self, texts: list[str]) -> Iterator[tuple[int, list[int]]]:
+    def parts(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         """(text, tokens) in order and in parts; what is read ahead is bounded by ``16 * CHUNK`` characters and one chunk."""
         held: list[tuple[int, str]] = []
         size = 0
 
-        def flush() -> Iterator[tuple[int, list[int]]]:
+        def flush() -> Iterator[tuple[int, np.ndarray]]:
             for k, ids in self.bpe.encode_many([c for _, c in held]):
                 yield held[k][0], ids
             held.clear()
@@ -229,7 +227,7 @@ class Encoder:
             for c in self.bpe.chunks(text):
                 if isinstance(c, int):
                     yield from flush()
-                    yield k, [c]
+                    yield k, np.array([c], np.int32)
                     size = 0
                     continue
                 held.append((k, c))
@@ -243,7 +241,7 @@ class Encoder:
         """One list for each text, in order."""
         out: list[list[int]] = [[] for _ in texts]
         for k, ids in self.parts(texts):
-            out[k] += ids
+            out[k] += ids.tolist()
         return out
 
 
@@ -264,8 +262,8 @@ class Digests:
         self._names, self._decoder = names, Decoder(bpe)
         self.n, self._ids, self._decoded = 0, hashlib.sha256(), hashlib.sha256()
 
-    def push(self, ids: list[int]) -> None:
-        if ids:
+    def push(self, found: np.ndarray) -> None:
+        if ids := found.tolist():
             self._ids.update((("," if self.n else "") + ",".join(map(self._names.__getitem__, ids))).encode())
             self._decoded.update(self._decoder.push(ids).encode())
             self.n += len(ids)

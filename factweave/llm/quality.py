@@ -125,7 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         words = Words()
         for batch in batches:
             found = [features(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("id"), batch.column("y"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["shard", "id", "y", "i", "v"])
+            at = pa.array(np.cumsum([0, *(len(i) for i, _ in found)]), pa.int32())
+            i, v = (np.concatenate([np.empty(0), *(f[k] for f in found)]) for k in (0, 1))
+            lists = [pa.ListArray.from_arrays(at, pa.array(i.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(v))]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("id"), batch.column("y"), *lists], names=["shard", "id", "y", "i", "v"])
 
     def learn(pdf):
         import pandas as pd
@@ -136,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pd.DataFrame({"shard": pdf["shard"].iloc[0], "i": at, "w": w[at]})
 
     arrow_batches(spark)
-    learned = chosen.mapInArrow(vectors, f"shard int, id {texts.schema['id'].dataType.simpleString()}, y int, i array<long>, v array<double>").groupBy("shard").applyInPandas(learn, "shard int, i long, w double")
+    learned = chosen.mapInArrow(vectors, f"shard int, id {texts.schema['id'].dataType.simpleString()}, y int, i array<int>, v array<double>").groupBy("shard").applyInPandas(learn, "shard int, i long, w double")
     learned = cut(learned, "quality-weights")
     used = max(1, learned.select("shard").distinct().count())  # small label sets leave shards empty
     found = learned.groupBy("i").agg((F.sum("w") / used).alias("w")).toPandas()  # at most 2**BITS + 1 rows
