@@ -191,11 +191,15 @@ def searchable_text(entities: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One SHA-256 over all rows, whatever their order: row digests are summed up by their first byte, then overall."""
+    """One SHA-256 over all rows, whatever their order. Rows that repeat count each time; an empty table has one, too.
+
+    Each row's digest is read as eight numbers of 32 bits. Their sums and the row count, which partial aggregation takes at any size
+    and skew, are digested.
+    """
     rows = df.select(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256).alias("d"))
-    part = rows.groupBy(F.substring("d", 1, 4).alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("d"))
-    part = part.groupBy(F.substring("p", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "d"))), lambda s: s["d"]), ""), 256).alias("d"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "d"))), lambda s: s["d"]), ""), 256).alias("fingerprint"))
+    words = [F.conv(F.substring("d", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)") for k in range(8)]
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(w), F.lit(0)).alias(f"s{k}") for k, w in enumerate(words)])
+    return sums.select(F.sha2(F.concat_ws(",", *[F.col(c).cast("string") for c in sums.columns]), 256).alias("fingerprint"))
 
 
 def summarize_entities(docs: DataFrame, by: str) -> DataFrame:

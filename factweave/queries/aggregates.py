@@ -163,7 +163,11 @@ def a22_searchable_text(t: Tables):
     return A.searchable_text(t.entities, t.facts)
 
 
-@query("""WITH r AS (SELECT sha256(concat_ws('|', entity_id, fact_key, value_text, confidence * 100 // 1, fact_no)) AS d FROM facts), p AS (SELECT d[1:4] AS p, sha256(string_agg(d, '' ORDER BY d)) AS d FROM r GROUP BY 1), q AS (SELECT p[1:2] AS p, sha256(string_agg(d, '' ORDER BY p)) AS d FROM p GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY p)) AS fingerprint FROM q""".replace("confidence * 100 // 1, ", ""))
+_WORD_SUMS = ", ".join(f"sum(('0x' || substr(d, {8 * k + 1}, 8))::BIGINT)" for k in range(8))
+
+
+@query(f"""WITH r AS (SELECT sha256(concat_ws('|', entity_id, fact_key, value_text, fact_no)) AS d FROM facts)
+    SELECT sha256(concat_ws(',', count(*), {_WORD_SUMS})) AS fingerprint FROM r""")
 def a23_fingerprint(t: Tables):
     return A.fingerprint(t.facts, ["entity_id", "fact_key", "value_text", "fact_no"])
 

@@ -123,6 +123,7 @@ def test_fingerprint_ignores_order_and_partitions(spark):
     df = spark.range(500).select("id", (F.col("id") % 7).cast("string").alias("v"))
     one = lambda d: A.fingerprint(d, ["id", "v"]).first()[0]
     assert one(df) == one(df.orderBy(F.col("id").desc()).repartition(7)) != one(df.filter("id > 0"))
+    assert one(df) != one(df.unionByName(df.filter("id = 3"))) and len(one(df.filter("id < 0"))) == 64
 
 
 def test_picks_do_not_depend_on_partitions(spark):
