@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.picks import best_row
+from .aggregates import at_rank
 
 
 def evidence_score(value: Column, direction: Column, thresholds: Column, weight: Column) -> Column:
@@ -55,11 +56,9 @@ def multi_place_score(near: DataFrame) -> DataFrame:
 
 def policy_score(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Price against the area's upper median (1, 0.75, 0.45, 0.2 at 0.85, 1, 1.12), coverage, presence, risk: the weighted mean
-    over observed signals only. Rows: id, area, price, coverage, present (0/1), risk (0/1), any of them null. The median comes from
-    one ranked pass and an aggregate join, not from lists."""
-    w = Window.partitionBy("area")
-    ranked = df.filter(F.col("price").isNotNull()).select("area", "price", F.row_number().over(w.orderBy("price")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    median = ranked.filter(F.col("r") == F.floor(F.col("n") / 2) + 1).select("area", F.col("price").alias("median"))
+    over observed signals only. Rows: id, area, price, coverage, present (0/1), risk (0/1), any of them null. The median is the value
+    at its rank among counted prices, so that no task sorts an area."""
+    median = at_rank(df, ["area"], "price", {"median": F.floor(F.col("n") / 2) + 1}).select("area", "median")
     ratio = F.col("price") / F.col("median")
     signals = {"price": F.when(ratio <= 0.85, 1.0).when(ratio <= 1.0, 0.75).when(ratio <= 1.12, 0.45).when(ratio.isNotNull(), 0.2), "coverage": F.col("coverage"), "present": F.col("present").cast("double"), "risk": 1.0 - F.col("risk").cast("double")}
     top = reduce(lambda a, b: a + b, [F.coalesce(s * weights[k], F.lit(0.0)) for k, s in signals.items()])
