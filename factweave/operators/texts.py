@@ -84,18 +84,28 @@ def token_recall(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return exact.unionByName(fuzzy).groupBy("query_id", "id").agg(F.sum("points").alias("points"))
 
 
-def phrase_recall(texts: DataFrame, names: DataFrame, head: int = 3) -> DataFrame:
-    """Names of two tokens or more, of any length, that occur as a phrase in a text.
+def phrase_recall(texts: DataFrame, names: DataFrame, negated: DataFrame | None = None, head: int = 3) -> DataFrame:
+    """(text_id, name_id), each once, where a name of two tokens or more, of any length, occurs as a phrase in the text, or such a
+    text in the name. Pairs in ``negated`` (text_id, name_id) are left out."""
+    inside = _contained(texts, names, head)
+    around = _contained(names.select(F.col("name_id").alias("text_id"), "tokens"), texts.select(F.col("text_id").alias("name_id"), "tokens"), head)
+    found = inside.unionByName(around.select(F.col("name_id").alias("text_id"), F.col("text_id").alias("name_id"))).distinct()
+    return found.join(negated, ["text_id", "name_id"], "left_anti") if negated is not None else found
+
+
+def _contained(texts: DataFrame, names: DataFrame, head: int) -> DataFrame:
+    """Names of two tokens or more that occur as a phrase in a text; those longer than every text are left out first.
 
     An equi-join on the name's first ``head`` tokens; longer names are then looked for in the texts that it finds.
     """
+    most = texts.agg(F.max(F.size("tokens"))).first()[0] or 0
 
     def of(n: int) -> Column:
         return F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - (n - 1)), lambda i: F.array_join(F.slice("tokens", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     grams = texts.select("text_id", F.explode(F.array_distinct(F.flatten(F.array(*[of(n) for n in range(2, head + 1)])))).alias("gram"))
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    named = names.filter(F.size("tokens") > 1).select(
+    named = names.filter(F.size("tokens").between(2, most)).select(
         "name_id",
         F.array_join(F.slice("tokens", 1, head), " ").alias("gram"),
         F.when(F.size("tokens") > head, spaced("tokens")).alias("whole"),

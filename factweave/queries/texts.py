@@ -58,7 +58,8 @@ def t2_token_recall(t: Tables):
     return X.token_recall(t.benchmark.select(F.col("item_id").alias("query_id"), ascii_.alias("tokens")), corpus)
 
 
-@query(f"""WITH {_Q}, n AS (SELECT query_id AS name_id, array_to_string(tokens, ' ') AS g FROM q WHERE len(tokens) > 1), d AS (SELECT doc_id AS text_id, concat(' ', array_to_string({_TOK.format('text')}, ' '), ' ') AS s FROM documents) SELECT text_id, name_id FROM d JOIN n ON contains(s, concat(' ', g, ' '))""")
+@query(f"""WITH {_Q}, n AS (SELECT query_id AS name_id, array_to_string(tokens, ' ') AS g FROM q WHERE len(tokens) > 1), d AS (SELECT doc_id AS text_id, concat(' ', array_to_string({_TOK.format('text')}, ' '), ' ') AS s FROM documents) SELECT text_id, name_id FROM d JOIN n ON contains(s, concat(' ', g, ' '))
+    UNION SELECT text_id, name_id FROM d JOIN n ON length(s) <= length(g) + 2 AND contains(concat(' ', g, ' '), s) WHERE contains(trim(s), ' ')""")
 def t3_phrase_recall(t: Tables):
     return X.phrase_recall(t.documents.select(F.col("doc_id").alias("text_id"), X.tokens(F.col("text")).alias("tokens")), _queries(t).withColumnRenamed("query_id", "name_id"))
 

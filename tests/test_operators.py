@@ -212,6 +212,11 @@ def test_phrases_of_any_length(spark):
     found = {tuple(r) for r in T.phrase_recall(texts, names).collect()}
     assert found == {(1, "a"), (1, "b"), (2, "b"), (2, "d")}
     assert T.phrase_recall(texts, names.limit(0)).count() == 0
+    short = spark.createDataFrame([(7, ["lake", "park"]), (8, ["lake"]), (9, [])], "text_id int, tokens array<string>")
+    longer = spark.createDataFrame([("n", "green lake park gate".split())], "name_id string, tokens array<string>")
+    assert [tuple(r) for r in T.phrase_recall(short, longer).collect()] == [(7, "n")]
+    negated = spark.createDataFrame([(7, "n")], "text_id int, name_id string")
+    assert T.phrase_recall(short, longer, negated).count() == 0
 
 
 def test_places_inside_longer_ones_go(spark):
