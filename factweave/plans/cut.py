@@ -25,29 +25,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: what follows no longer depends on what came before.
-
-    The files are removed when the driver's process ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder. What is written there is removed by ``release``, or when the driver's process ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if id(spark) not in _WRITTEN:
         _WRITTEN[id(spark)] = []
         atexit.register(_remove, spark)
     _WRITTEN[id(spark)].append(path)
+    return path
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what follows no longer depends on what came before."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> int:
+    """A mark for ``release``."""
+    return len(_WRITTEN.get(id(spark), []))
+
+
+def release(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Removes what was written after the mark ``since``, but for the last ``keep`` paths. Only for what no DataFrame in use reads."""
+    paths = _WRITTEN.get(id(spark), [])
+    gone = paths[since : len(paths) - keep]
+    _delete(spark, gone)
+    _WRITTEN[id(spark)] = [p for p in paths if p not in gone]
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def _remove(spark: SparkSession) -> None:
     """Deletes what ``cut`` wrote, through the file system of the shared folder, if the session still runs."""
     try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _WRITTEN.pop(id(spark), []):
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+        _delete(spark, _WRITTEN.pop(id(spark), []))
     except Exception:  # noqa: BLE001  the JVM has gone first: the folder's own clean-up is left
         return
 
