@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.cut import scratch
 from .chat import CONTROL, canonical_turns, format_turns, read_back, row_records
 from .chunk_fingerprint import compare_edited
 from .class_lm import score_documents
@@ -15,6 +16,7 @@ from .mixing import mix
 from .quality import quality_scores
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .token_files import read_checksums, write_token_files
 from .tokens import encode_documents
 
 
@@ -65,7 +67,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(canonical_turns(row_records(rows.unionByName(more)), "conv_id", "record")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash, op10_chat)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token-files")
+    docs = _table(spark, sf_dir, "documents")
+    write_token_files(docs, folder)
+    return read_checksums(spark, folder, id_type=docs.schema["doc_id"].dataType.simpleString())
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash, op10_chat, op11_token_files)}
 
 _CONTROL = "|".join(re.sub(r"([\[\]|/])", r"\\\1", c) for c in CONTROL)
 
