@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.cut import scratch
 from .chat import CONTROL, canonical_turns, format_turns, read_back, row_records
@@ -15,6 +17,7 @@ from .license_scan import scan_licenses
 from .mixing import mix
 from .quality import quality_scores
 from .simhash import simhash_components
+from .spelling import LEAST_COUNT, spelling_groups, word_counts
 from .token_counts import token_counts
 from .token_files import read_checksums, write_token_files
 from .tokens import encode_documents
@@ -74,7 +77,19 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checksums(spark, folder, id_type=docs.schema["doc_id"].dataType.simpleString())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash, op10_chat, op11_token_files)}
+def misspelt(doc: object, word: bytes) -> str:
+    """The word, or in one of 199 documents the word without one of its code points, which the same hash chooses."""
+    h = zlib.crc32(word, zlib.crc32(f"{'' if doc is None else doc}:".encode()))
+    text = word.decode()
+    return text if h % 199 else text[: h % len(text)] + text[h % len(text) + 1 :]
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(_table(spark, sf_dir, "documents"), change=misspelt)
+    return spelling_groups(words.filter(F.col("n") >= LEAST_COUNT))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash, op10_chat, op11_token_files, op12_spelling)}
 
 _CONTROL = "|".join(re.sub(r"([\[\]|/])", r"\\\1", c) for c in CONTROL)
 
