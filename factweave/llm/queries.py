@@ -16,6 +16,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import scan_licenses
 from .mixing import mix
 from .quality import quality_scores
+from .ranked_search import ranked_search
 from .simhash import simhash_components
 from .spelling import LEAST_COUNT, spelling_groups, word_counts
 from .token_counts import token_counts
@@ -89,7 +90,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(words.filter(F.col("n") >= LEAST_COUNT))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash, op10_chat, op11_token_files, op12_spelling)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_mixing, op4_quality, op5_bpe, op6_token_counts, op7_fingerprint, op8_class_lm, op9_simhash, op10_chat, op11_token_files, op12_spelling, op13_ranked_search)}
 
 _CONTROL = "|".join(re.sub(r"([\[\]|/])", r"\\\1", c) for c in CONTROL)
 
@@ -108,4 +113,15 @@ ORACLES = {
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op13_ranked_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        s AS (SELECT count(*) AS nn, CAST(sum(len(words)) AS BIGINT) AS ll FROM d WHERE len(words) > 0),
+        q AS (SELECT item_id, term, count(*) AS qtf FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(words) AS n, unnest(words) AS term FROM d) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+        r AS (SELECT item_id, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+              FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM r WHERE score > 0 QUALIFY rank <= 10""",
 }
