@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .arrow import arrow_batches
+from .bpe import byte_alphabet
 from .tokens import default_vocabulary
 
 #: Raw bytes of a frame at most, compressed bytes after which a file ends, and documents after which it ends.
@@ -71,6 +72,8 @@ class PieceEncoder:
         self.splits = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer")
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
         self.kept: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.signs = {b: sign for sign, b in byte_alphabet().items() if ord(sign) != b}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,16 +107,25 @@ class PieceEncoder:
                 yield k, self.whole([text])[0]
                 continue
             for found in self.pieces(text):
-                new = list({p for p in found if p not in self.kept})
-                ids = dict(zip(new, self.whole([p.decode("latin-1") for p in new]))) if new else {}
-                if len(self.kept) + len(ids) > KEPT:
-                    self.kept.clear()
-                    ids |= dict(zip(again := list({p for p in found if p not in ids}), self.whole([p.decode("latin-1") for p in again])))
-                self.kept.update((p, v) for p, v in ids.items() if len(p) <= KEPT_CHARS)
-                if any(len(p) > KEPT_CHARS for p in ids):
-                    yield k, b"".join(ids[p] if p in ids else self.kept[p] for p in found)
-                else:
-                    yield k, b"".join(map(self.kept.__getitem__, found))
+                yield k, self.ids(found)
+
+    def ids(self, found: list[bytes]) -> bytes:
+        """The ids of narrow pieces in a row. Pieces met lately are kept in two generations: a full one grows old, and what is met again moves on."""
+        kept, long = self.kept, {}
+        for p in {p for p in found if p not in kept}:
+            if len(p) > KEPT_CHARS:
+                long[p] = self.whole([p.decode("latin-1")])[0]
+            else:
+                kept[p] = self.old.get(p) or self.piece(p)
+        data = b"".join([long[p] if p in long else kept[p] for p in found]) if long else b"".join(map(kept.__getitem__, found))
+        if len(kept) > KEPT:
+            self.old, self.kept = kept, {}
+        return data
+
+    def piece(self, piece: bytes) -> bytes:
+        """The library's model on one piece, in the alphabet that stands for bytes."""
+        signs = piece.decode("latin-1").encode().decode("latin-1").translate(self.signs)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(signs)])
 
 
 @cache
