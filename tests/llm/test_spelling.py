@@ -62,11 +62,30 @@ def test_number_of_symbols_changes_no_result(spark, monkeypatch):
 
 def test_symbols_and_neighbourhoods():
     assert S.symbols_for(0) == 4 and S.symbols_for(4**6) == 4 and S.symbols_for(4**6 + 1) == 5 and S.symbols_for(10**12) == 36
-    assert S.neighbourhood("ab", 2) == {"ab", "b", "a", "bb", "aa", "aab", "bab", "abb", "aba"}
     dealt = S.letter_symbols([("e", 10), ("t", 6), ("a", 5)], 2)
     assert dealt["t"] == dealt["a"] != dealt["e"]
 
 
+@pytest.mark.parametrize("word", ["", "a", "ab", "aab", "abba", "cccc", "abcab"])
+def test_neighbourhood_is_full_and_has_nothing_twice(word):
+    full = {word} | {word[:i] + word[i + 1 :] for i in range(len(word))} | {word[:i] + s + word[i + j :] for s in "abc" for j in (0, 1) for i in range(len(word) + 1 - j)}
+    key = lambda w: int(S.keys_of(next(S.reduced([w], {}, 3))[1])[0])
+    symbols = next(S.reduced([word, word], {}, 3))[1]
+    made = [(int(r), int(x)) for rows, keys in S.neighbourhood(symbols, 3) for r, x in zip(rows, keys)]
+    assert sorted(made) == sorted((r, key(w)) for r in (0, 1) for w in full)
+
+
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    counts = {"".join(rng.choice("abcdefé") for _ in range(rng.randrange(5, 8))): 5 for _ in range(3000)}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    whole = {tuple(r) for r in S.near_words(words).collect()}
+    monkeypatch.setattr(S, "MOST_BITS", 15)
+    monkeypatch.setattr(S, "SLICE", 50)
+    assert {tuple(r) for r in S.near_words(words).collect()} == whole
+    assert {(w, x) for w, _, x, _ in whole} == {(w, x) for w in counts for x in counts if one_edit(w, x)}
+
+
 def counted(rows, changed=True):
     total = Counter()
     for doc, text in rows:
