@@ -35,17 +35,23 @@ def parse_amount(c: Column) -> Column:
     return F.when(n != "", n.cast("double") * times)
 
 
-def parse_range(c: Column) -> Column:
-    """A struct (lo, hi); one value gives both."""
-    n = F.transform(F.regexp_extract_all(c, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda x: x.cast("double"))
-    return F.when(F.size(n) > 0, F.struct(F.element_at(n, 1).alias("lo"), F.when(F.size(n) > 1, F.try_element_at(n, F.lit(2))).otherwise(F.element_at(n, 1)).alias("hi")))
+def parse_range(c: Column, crore: float = 1.0) -> Column:
+    """A struct (lo, hi) of the first and the last number, thousands separators aside; one value gives both, none gives null.
+
+    ``crore`` scales texts that name crores: 100 makes lakhs of them, the unit of prices.
+    """
+    text = F.replace(F.lower(c), F.lit(","), F.lit(""))
+    n = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    scale = F.when(F.contains(text, F.lit("cr")), crore).otherwise(1.0)
+    return F.when(F.size(n) > 0, F.struct((F.element_at(n, 1) * scale).alias("lo"), (F.element_at(n, -1) * scale).alias("hi")))
 
 
 def parse_distance_km(c: Column) -> Column:
-    """Only if exactly one distance with a unit occurs."""
-    pattern = F.lit(r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(kilomet(?:re|er)s?|km|met(?:re|er)s?|m)\b")
+    """Only if exactly one distance with a unit occurs, and it is not negative. A sign before the number counts."""
+    pattern = F.lit(r"(?i)(-?[0-9]+(?:\.[0-9]+)?)\s*(kilomet(?:re|er)s?|kms?|met(?:re|er)s?|m)\b")
     n, unit = F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2))
-    return F.when(F.size(n) == 1, F.element_at(n, 1).cast("double") / F.when(F.lower(F.element_at(unit, 1)).startswith("k"), 1.0).otherwise(1000.0))
+    km = F.element_at(n, 1).cast("double") / F.when(F.lower(F.element_at(unit, 1)).startswith("k"), 1.0).otherwise(1000.0)
+    return F.when((F.size(n) == 1) & (km >= 0), km)
 
 
 def display_amount(v: Column) -> Column:
@@ -74,14 +80,36 @@ def parse_time(c: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")), F.try_to_timestamp(c, F.lit("yyyy-MM")))
 
 
+#: Contact data and identifiers of persons, each with what takes its place.
+PRIVATE: dict[str, str] = {
+    r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}": "[mail]",
+    r"(?i)\b[a-z]{5}[0-9]{4}[a-z]\b": "[identifier]",
+    r"(?i)\b(account|a/c)\s*(no\.?|number)?\s*[:#-]?\s*[a-z0-9-]{6,}\b": "[account]",
+    r"(?<![0-9])\+?[0-9][0-9 ()-]{7,}[0-9]": "[phone]",
+}
+
+
 def redact(c: Column, names: list[str] = ()) -> Column:
-    """Mail addresses, phone numbers, known names, and lines of address or signature."""
-    out = F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]")
-    out = F.regexp_replace(out, r"(?<![0-9])\+?[0-9][0-9 ()-]{7,}[0-9]", "[phone]")
-    out = F.regexp_replace(out, r"(?im)^(address|signature|signed)\s*:.*$", "[line]")
-    for n in names:
-        out = F.replace(out, F.lit(n), F.lit("[name]"))
-    return out
+    """Mail addresses, identifiers, accounts, phone numbers, known names in any case (the longest first, so that no part of one stays),
+    and whole lines of address or signature. Null stays null."""
+    out = c
+    for pattern, instead in PRIVATE.items():
+        out = F.regexp_replace(out, pattern, instead)
+    for n in sorted({n.strip() for n in names} - {""}, key=lambda n: (-len(n), n)):
+        out = F.regexp_replace(out, "(?iu)" + _literal(n), "[name]")
+    return F.regexp_replace(out, r"(?im)^[ \t]*((residential )?address[ \t]*:|(signed|signature)[ \t]*(by)?[ \t]*:?).*$", "[line]")
+
+
+def is_private(c: Column, names: list[str] = ()) -> Column:
+    """Whether contact data, an identifier, an account or a known name in any case is left."""
+    found = F.lit(False)
+    for pattern in [*PRIVATE, *("(?iu)" + _literal(n.strip()) for n in names if n.strip())]:
+        found = found | c.rlike(pattern)
+    return found
+
+
+def _literal(n: str) -> str:
+    return "".join(x if x.isalnum() else "\\" + x for x in n)
 
 
 def key_matches(key: Column, pattern: str) -> Column:
@@ -101,7 +129,6 @@ def contains_phrase(tokens: Column, phrase: list[str]) -> Column:
 
 
 def max_tag_value(c: Column) -> Column:
-    """The highest of a semicolon list; volts above 1000 become kilovolts."""
-    n = F.transform(F.regexp_extract_all(c, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda x: x.cast("double"))
-    top = F.array_max(n)
-    return F.when(top > 1000, top / 1000).otherwise(top)
+    """The highest of a semicolon list; each value above 1000 is volts and becomes kilovolts first. What is no number, with or without ``kV``, is left out."""
+    n = F.transform(F.split(c, ";"), lambda x: F.trim(F.replace(F.lower(x), F.lit("kv"), F.lit(""))).try_cast("double"))
+    return F.array_max(F.transform(n, lambda v: F.when(v > 1000, v / 1000).otherwise(v)))

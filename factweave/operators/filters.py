@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import is_private
+
 UNSATISFIED, UNKNOWN, UNSUPPORTED, SATISFIED = 0, 1, 2, 3
 
 
@@ -161,9 +163,9 @@ def reject_images(df: DataFrame, patterns: str, least_px: int, ratio: float) ->
     return F.when(F.col("url").rlike(patterns), "pattern").when((F.col("width") < least_px) | (F.col("height") < least_px), "size").when((F.col("width") > F.col("height") * ratio) | (F.col("height") > F.col("width") * ratio), "aspect")
 
 
-def privacy_ok(c: Column) -> Column:
-    """Neither a mail address nor a phone number."""
-    return ~c.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}") & ~c.rlike(r"(?<![0-9])\+?[0-9][0-9 ()-]{7,}[0-9]")
+def privacy_ok(c: Column, names: list[str] = ()) -> Column:
+    """Neither contact data nor an identifier, an account or a known name, in any case."""
+    return ~is_private(c, names)
 
 
 def compliance_scan(df: DataFrame, column: str, forbidden: list[str], longest: int) -> DataFrame:

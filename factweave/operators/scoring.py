@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import decay
 from ..plans.picks import best_row
 from .aggregates import at_rank
 
@@ -32,15 +33,26 @@ def with_no_data_penalty(score: Column, penalty: float = 1.2, neutral: bool = Fa
     return F.coalesce(score, F.lit(0.0 if neutral else -penalty))
 
 
-def review_score(rating: Column, n: Column) -> Column:
-    """0.75 rating / 5 + 0.25 min(ln(1 + n) / 8, 1)."""
-    return 0.75 * rating / 5 + 0.25 * F.least(F.log(1 + n) / 8, F.lit(1.0))
+def review_score(rating: Column, n: Column, weights: tuple[float, float] = (0.75, 0.25), divisor: float = 8.0) -> Column:
+    """The weighted mean of rating / 5 and ln(1 + n) / ``divisor``, each kept between 0 and 1; null or not a number counts 0."""
+    share = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c)))
+    return (share(rating / 5) * weights[0] + share(F.log1p(n) / divisor) * weights[1]) / F.lit(sum(weights))
 
 
-def access_score(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """The best value score times confidence over the access keys."""
-    v = F.col("value_number") / (1 + F.abs("value_number"))
-    return facts.filter(F.col("fact_key").isin(keys) & F.col("value_number").isNotNull()).groupBy("entity_id").agg(F.max(v * F.col("confidence")).alias("access"))
+def value_score(kind: Column, text: Column, number: Column) -> Column:
+    """The share, from 0 to 1, of a typed value: bool, numeric and score by their value, text and tags 0.5 unless empty; null counts 0."""
+    filled = F.when(F.trim(text) != "", 0.5).otherwise(0.0)
+    within = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number, F.lit(0.0))))
+    return F.when(kind == "bool", F.when(F.lower(text) == "true", 1.0).otherwise(0.0)).when(kind.isin("numeric", "score"), within).otherwise(filled)
+
+
+def access_score(facts: DataFrame, keys: list[str], distance_keys: list[str] = (), full_km: float = 0.5, zero_km: float = 5.0) -> DataFrame:
+    """The best value score times confidence over the access keys, in any case; at least 0. Numbers of ``distance_keys`` are km: 1 up to ``full_km``, 0 from ``zero_km`` on."""
+    key = F.lower("fact_key")
+    km = F.when(key.isin([k.lower() for k in distance_keys]), F.col("value_number"))
+    score = F.when(km.isNotNull(), decay(km, full_km, zero_km)).otherwise(value_score(F.col("value_type"), F.col("value_text"), F.col("value_number")))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))
+    return facts.filter(key.isin([k.lower() for k in keys])).groupBy("entity_id").agg(F.max(score * sure).alias("access"))
 
 
 def evidence_floor(positive: Column, risks: Column, constraints: Column) -> Column:

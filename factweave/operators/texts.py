@@ -163,9 +163,9 @@ def snippets(lines: Column, terms: list[str]) -> Column:
 
 
 def tone(text: Column, rating: Column, bad: list[str], good: list[str]) -> Column:
-    """Concern terms, then the rating, then positive terms."""
+    """Concern terms, then the rating (below 4 is a concern), then positive terms; a null rating says nothing."""
     has = lambda ws: reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in ws])
-    return F.when(has(bad), "concern").when(rating >= 4.0, "positive").when(rating < 4.0, "mixed").when(has(good), "positive").otherwise("neutral")
+    return F.when(has(bad), "concern").when(rating >= 4.0, "positive").when(rating < 4.0, "concern").when(has(good), "positive").otherwise("neutral")
 
 
 def resolve_places(queries: DataFrame, places: DataFrame, distinctive: DataFrame) -> DataFrame:

@@ -115,12 +115,12 @@ def source_records(df: DataFrame, required: list[str], identity: list[str]) -> D
     return df.filter(ok).withColumn("record_id", content_id("record:", *[F.col(c) for c in identity]))
 
 
-def pricing_facts(payloads: DataFrame, schema: str = "configurations array<struct<bhk: int, price: string, area: double>>") -> DataFrame:
-    """Marketplace payloads to one price fact a configuration whose range is readable and whose rate is plausible."""
+def pricing_facts(payloads: DataFrame, schema: str = "configurations array<struct<bhk: int, price: string, area: double>>", crore: float = 100.0) -> DataFrame:
+    """Marketplace payloads to one price fact, in lakhs, a configuration whose range is readable and whose rate is plausible."""
     from ..functions.text import parse_range
     from .filters import plausible_price
 
     c = payloads.select("entity_id", "rate_low", "rate_high", F.explode(F.from_json("payload", schema)["configurations"]).alias("c"))
-    r = c.select("entity_id", "rate_low", "rate_high", F.col("c.bhk").alias("bhk"), F.col("c.area").alias("area"), parse_range(F.col("c.price")).alias("r")).filter("r IS NOT NULL")
+    r = c.select("entity_id", "rate_low", "rate_high", F.col("c.bhk").alias("bhk"), F.col("c.area").alias("area"), parse_range(F.col("c.price"), crore).alias("r")).filter("r IS NOT NULL")
     ok = plausible_price(F.col("r.lo"), F.col("r.hi"), F.col("area"), F.col("rate_low"), F.col("rate_high"))
     return r.filter(ok).select("entity_id", F.concat(F.lit("pricing_"), F.col("bhk").cast("string"), F.lit("bhk")).alias("fact_key"), F.col("r.lo").alias("low"), F.col("r.hi").alias("high"))

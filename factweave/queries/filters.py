@@ -107,9 +107,14 @@ def c17_reject_images(t: Tables):
     return df.select(C.reject_images(df, r"/R\.png$", 5, 3).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"SELECT doc_id, NOT regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AND NOT regexp_matches(text, '(^|[^0-9])\+?[0-9][0-9 ()-]{7,}[0-9]') AS ok FROM documents")
+_PRIVATE = (r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", r"(?i)\b[a-z]{5}[0-9]{4}[a-z]\b", r"(?i)\b(account|a/c)\s*(no\.?|number)?\s*[:#-]?\s*[a-z0-9-]{6,}\b", r"(^|[^0-9])\+?[0-9][0-9 ()-]{7,}[0-9]", "(?i)anil rao")
+
+
+@query(f"""SELECT doc_id, {' AND '.join(f"NOT regexp_matches(x, '{p}')" for p in _PRIVATE)} AS ok FROM (SELECT doc_id, concat(text, CASE doc_id % 4 WHEN 0 THEN ' ANIL  RAO' WHEN 1 THEN ' anil rao' WHEN 2 THEN ' pan ABCDE1234F' ELSE ' Anil' END) AS x FROM documents)""")
 def c18_privacy_ok(t: Tables):
-    return t.documents.select("doc_id", C.privacy_ok(F.col("text")).alias("ok"))
+    """C18 on the documents, some with a name or an identifier behind them."""
+    more = F.when(F.col("doc_id") % 4 == 0, " ANIL  RAO").when(F.col("doc_id") % 4 == 1, " anil rao").when(F.col("doc_id") % 4 == 2, " pan ABCDE1234F").otherwise(" Anil")
+    return t.documents.select("doc_id", C.privacy_ok(F.concat("text", more), ["Anil Rao"]).alias("ok"))
 
 
 @query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(idiot|worthless)\b') THEN 'forbidden' ELSE 'too long' END AS reason FROM documents WHERE regexp_matches(text, '(?i)\b(idiot|worthless)\b') OR length(text) > 5000")

@@ -108,14 +108,21 @@ def p16_names(t: Tables):
     return t.part.select(F.col("p_partkey").alias("k"), X.normalize_name(F.col("p_type")).alias("name"), X.slug(F.col("p_brand")).alias("slug"), X.normalize_source(source, {"state_registry": "registry"}).alias("source"), X.strip_phase(F.concat("p_name", F.lit(" (Phase-III)"))).alias("stripped"), X.registration_id(F.concat(F.lit("  "), F.lower("p_brand"), F.lit(" "))).alias("registration"))
 
 
-@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_quantity * CASE l_linenumber % 4 WHEN 0 THEN 10000000 WHEN 1 THEN 100000 WHEN 2 THEN 1000 ELSE 1 END AS amount, l_quantity AS lo, l_quantity + 1 AS hi, CASE l_linenumber % 3 WHEN 0 THEN l_quantity WHEN 1 THEN l_quantity / 1000 END AS km, greatest(l_quantity, 1) AS top FROM lineitem""")
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_quantity * CASE l_linenumber % 4 WHEN 0 THEN 10000000 WHEN 1 THEN 100000 WHEN 2 THEN 1000 ELSE 1 END AS amount,
+    CASE l_linenumber % 5 WHEN 0 THEN l_quantity * 1000 + 4 WHEN 1 THEN l_quantity * 100 WHEN 4 THEN NULL ELSE l_quantity END AS lo,
+    CASE l_linenumber % 5 WHEN 0 THEN l_quantity * 1000 + 482 WHEN 1 THEN (l_quantity + 1) * 100 WHEN 2 THEN l_quantity WHEN 3 THEN l_quantity + 2 END AS hi,
+    CASE l_linenumber % 5 WHEN 0 THEN l_quantity WHEN 1 THEN l_quantity / 1000 WHEN 4 THEN 0 END AS km,
+    CASE l_linenumber % 4 WHEN 0 THEN greatest(l_quantity, 110) WHEN 1 THEN greatest(l_quantity, 1) WHEN 2 THEN (l_quantity * 1000 + 1) / 1000 END AS top FROM lineitem""")
 def p20_quantities(t: Tables):
-    """P20 money, P21 ranges, P22 distances, P46 the highest tag."""
+    """P20 money, P21 ranges, P22 distances, P46 the highest tag: with thousands separators, crores, signs, mixed units and what can't be read."""
     q, n = F.format_string("%.0f", F.col("l_quantity")), F.col("l_linenumber")
-    money = F.concat(q, F.element_at(F.array(F.lit(" Cr"), F.lit(" lakh"), F.lit("k"), F.lit("")), n % 4 + 1))
-    far = F.when(n % 3 == 0, F.concat(F.lit("about "), q, F.lit(" km away"))).when(n % 3 == 1, F.concat(q, F.lit(" metres"))).otherwise(F.concat(q, F.lit(" km or 5 m")))
-    between = X.parse_range(F.concat(q, F.lit("-"), F.format_string("%.0f", F.col("l_quantity") + 1), F.lit(" Cr")))
-    return t.lineitem.select(F.col("l_orderkey").alias("k"), n.alias("n"), X.parse_amount(money).alias("amount"), between["lo"].alias("lo"), between["hi"].alias("hi"), X.parse_distance_km(far).alias("km"), X.max_tag_value(F.concat(q, F.lit(";1"))).alias("top"))
+    more = lambda x: F.format_string("%.0f", F.col("l_quantity") + x)
+    pick = lambda *texts: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in texts]), n % len(texts) + 1)
+    money = F.concat(q, pick(" Cr", " lakh", "k", ""))
+    far = pick(F.concat(F.lit("about "), q, F.lit(" km away")), F.concat(q, F.lit(" metres")), F.concat(q, F.lit(" km or 5 m")), F.concat(F.lit("-"), q, F.lit(" km")), "0 km")
+    between = X.parse_range(pick(F.concat(q, F.lit(",004-"), q, F.lit(",482")), F.concat(q, F.lit("-"), more(1), F.lit(" Cr")), q, F.concat(F.lit("from "), q, F.lit(" by 3 to "), more(2)), "on request"), 100.0)
+    tags = pick(F.concat(q, F.lit("kV;110000")), F.concat(q, F.lit(";1")), F.concat(F.lit("low; "), q, F.lit("001 ")), "unknown")
+    return t.lineitem.select(F.col("l_orderkey").alias("k"), n.alias("n"), X.parse_amount(money).alias("amount"), between["lo"].alias("lo"), between["hi"].alias("hi"), X.parse_distance_km(far).alias("km"), X.max_tag_value(tags).alias("top"))
 
 
 _AMOUNT = "CASE WHEN {0} >= 1e7 THEN concat(regexp_replace(format('{{:.2f}}', {0} / 1e7), '\\.?0+$', ''), ' Cr') WHEN {0} >= 1e5 THEN concat(regexp_replace(format('{{:.2f}}', {0} / 1e5), '\\.?0+$', ''), ' L') ELSE format('{{:.0f}}', {0}) END"
@@ -140,9 +147,22 @@ def p26_parse_time(t: Tables):
     return t.orders.select(F.col("o_orderkey").alias("k"), F.to_date(X.parse_time(raw)).cast("string").alias("day"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[mail]', 'g'), '(^|[^0-9])\+?[0-9][0-9 ()-]{7,}[0-9]', '\1[phone]', 'g')) AS redacted FROM documents""")
+_SIGNED = r"\nResidential Address: 5 Hill\n Signed by Anil\nANIL RAO and anil, PAN abcde1234f, A/c no: 12AB-778, Anilrao\nSignature by X"
+
+
+def _redacted(c: str) -> str:
+    """The rules one by one, names longest first."""
+    rules = [(r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", "[mail]"), (r"(?i)\b[a-z]{5}[0-9]{4}[a-z]\b", "[identifier]"), (r"(?i)\b(account|a/c)\s*(no\.?|number)?\s*[:#-]?\s*[a-z0-9-]{6,}\b", "[account]"), (r"(^|[^0-9])\+?[0-9][0-9 ()-]{7,}[0-9]", r"\1[phone]"), ("(?i)anil rao", "[name]"), ("(?i)anil", "[name]"), (r"(?im)^[ \t]*((residential )?address[ \t]*:|(signed|signature)[ \t]*(by)?[ \t]*:?).*$", "[line]")]
+    for pattern, instead in rules:
+        c = f"regexp_replace({c}, '{pattern}', '{instead}', 'g')"
+    return c
+
+
+@query(f"SELECT doc_id, sha256({_redacted(f"concat(text, '{_SIGNED}')".replace(chr(92) + 'n', "', chr(10), '"))}) AS redacted FROM documents")
 def p27_redact(t: Tables):
-    return t.documents.select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("redacted"))
+    """P27 on the documents, each with an address, signatures, names in another order and case, and identifiers behind it."""
+    text = F.concat("text", F.lit(_SIGNED.replace("\\n", "\n")))
+    return t.documents.select("doc_id", F.sha2(X.redact(text, ["Anil", "Anil Rao"]), 256).alias("redacted"))
 
 
 @query("SELECT count(*) AS n, fact_key FROM facts WHERE fact_key LIKE 'order\\_%' ESCAPE '\\' AND fact_key LIKE '%t%' GROUP BY fact_key")
@@ -209,10 +229,10 @@ def p42_source_records(t: Tables):
     return U.source_records(rows, ["label", "o_orderstatus"], ["o_custkey", "o_orderstatus", "o_orderpriority"]).select(F.col("o_orderkey").alias("k"), "record_id")
 
 
-@query("SELECT concat('part:', l_partkey) AS entity_id, concat('pricing_', l_linenumber, 'bhk') AS fact_key, l_quantity AS low, l_quantity + 5 AS high, count(*) AS n FROM lineitem WHERE l_linenumber <> 7 AND (l_quantity + 5) / (l_linenumber * 10) * 1.35::DOUBLE >= 1 AND l_quantity / (l_linenumber * 10) * 0.65::DOUBLE <= 1.5 GROUP BY ALL")
+@query("SELECT concat('part:', l_partkey) AS entity_id, concat('pricing_', l_linenumber, 'bhk') AS fact_key, l_quantity * 100 AS low, (l_quantity + 5) * 100 AS high, count(*) AS n FROM lineitem WHERE l_linenumber <> 7 AND (l_quantity + 5) / (l_linenumber * 10) * 1.35::DOUBLE >= 1 AND l_quantity / (l_linenumber * 10) * 0.65::DOUBLE <= 1.5 GROUP BY ALL")
 def p44_pricing_facts(t: Tables):
     q = F.format_string("%.0f", F.col("l_quantity"))
     price = F.when(F.col("l_linenumber") == 7, "on request").otherwise(F.concat(q, F.lit("-"), F.format_string("%.0f", F.col("l_quantity") + 5), F.lit(" Cr")))
     conf = F.array(F.struct(F.col("l_linenumber").alias("bhk"), price.alias("price"), (F.col("l_linenumber") * 10.0).alias("area")))
-    payloads = t.lineitem.select(F.concat(F.lit("part:"), "l_partkey").alias("entity_id"), F.lit(1.0).alias("rate_low"), F.lit(1.5).alias("rate_high"), F.to_json(F.struct(conf.alias("configurations"))).alias("payload"))
+    payloads = t.lineitem.select(F.concat(F.lit("part:"), "l_partkey").alias("entity_id"), F.lit(100.0).alias("rate_low"), F.lit(150.0).alias("rate_high"), F.to_json(F.struct(conf.alias("configurations"))).alias("payload"))
     return U.pricing_facts(payloads).groupBy("entity_id", "fact_key", "low", "high").agg(F.count(F.lit(1)).alias("n"))

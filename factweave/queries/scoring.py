@@ -23,14 +23,29 @@ def r2_risk_score(t: Tables):
     return j.groupBy("entity_id").agg(F.max(score).alias("s")).select("entity_id", R.with_no_data_penalty(F.col("s")).alias("score"))
 
 
-@query("SELECT s_suppkey, round(0.75 * (s_suppkey % 6) / 5 + 0.25 * least(ln(1 + s_suppkey) / 8, 1), 6) AS score FROM supplier".replace("0.75 *", "0.75::DOUBLE *").replace("0.25 *", "0.25::DOUBLE *"))
+_CLAMPED = "greatest(0, least(1, coalesce({}, 0)))"
+
+
+@query(f"""SELECT s_suppkey, round(0.75::DOUBLE * {_CLAMPED.format("rating / 5")} + 0.25::DOUBLE * {_CLAMPED.format("ln(1 + n) / 8")}, 6) AS score
+    FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 7 < 6 THEN CAST(s_suppkey % 9 - 1 AS DOUBLE) END AS rating, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey * s_suppkey * s_suppkey END AS n FROM supplier)""")
 def r3_review_score(t: Tables):
-    return t.supplier.select("s_suppkey", F.round(R.review_score(F.col("s_suppkey") % 6, F.col("s_suppkey")), 6).alias("score"))
+    """R3 with ratings and counts that are missing or out of range."""
+    rating, n = F.when(F.col("s_suppkey") % 7 < 6, (F.col("s_suppkey") % 9 - 1).cast("double")), F.when(F.col("s_suppkey") % 5 > 0, F.col("s_suppkey") * F.col("s_suppkey") * F.col("s_suppkey"))
+    return t.supplier.select("s_suppkey", F.round(R.review_score(rating, n), 6).alias("score"))
 
 
-@query("SELECT entity_id, round(max(value_number / (1 + abs(value_number)) * confidence), 6) AS access FROM facts WHERE value_number IS NOT NULL GROUP BY 1")
+@query("""SELECT entity_id, round(max(confidence * CASE WHEN fact_key = 'order_total' AND version = 0 THEN greatest(0, least(1, (5 - value_number / 50000) / 4.5::DOUBLE)) WHEN fact_key = 'order_total' AND version = 1 THEN least(1, value_number / 400000)
+    WHEN fact_key = 'order_total' AND version = 2 THEN CASE WHEN value_number > 200000 THEN 1 ELSE 0 END WHEN fact_key = 'order_total' THEN -1 ELSE CASE WHEN version = 3 THEN 0 ELSE 0.5::DOUBLE END END), 6) AS access
+    FROM facts WHERE fact_key IN ('order_total', 'order_status') AND NOT (fact_key = 'order_total' AND version = 3) GROUP BY 1""")
 def r4_access_score(t: Tables):
-    return R.access_score(t.facts, ["order_total"]).withColumn("access", F.round("access", 6))
+    """R4 over facts of every kind: distances, shares, truth values, texts and empty texts."""
+    total, v = F.col("fact_key") == "order_total", F.col("version")
+    facts = t.facts.select(
+        "entity_id", "confidence", F.when(total, F.concat(F.lit("Access_"), v)).otherwise(F.col("fact_key")).alias("fact_key"), F.when(total & (v == 2), "bool").otherwise(F.col("value_type")).alias("value_type"),
+        F.when(total, (F.col("value_number") > 200000).cast("string")).when(v == 3, "  ").otherwise(F.col("value_text")).alias("value_text"),
+        F.when(total, F.when(v == 0, F.col("value_number") / 50000).when(v == 1, F.col("value_number") / 400000).otherwise(-1.0)).alias("value_number"),
+    )
+    return R.access_score(facts, ["access_0", "ACCESS_1", "access_2", "order_status"], ["access_0"]).withColumn("access", F.round("access", 6))
 
 
 @query("SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_discount > 0.03 THEN greatest(0.2::DOUBLE, least(0.45::DOUBLE, 0.6::DOUBLE * (l_discount * 10))) WHEN l_tax > 0.04 THEN 0.1 WHEN l_linenumber > 2 THEN 0.01 ELSE 0 END AS floor FROM lineitem")

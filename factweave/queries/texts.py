@@ -108,7 +108,7 @@ def t10_snippets(t: Tables):
     return t.documents.select("doc_id", F.size(X.snippets(F.split("text", "\n"), ["license", "the"])).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'worthless') THEN 'concern' WHEN quality * 5.0 >= 4 THEN 'positive' WHEN quality * 5.0 < 4 THEN 'mixed' WHEN contains(lower(text), 'good') OR contains(lower(text), 'the') THEN 'positive' ELSE 'neutral' END AS tone FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'worthless') THEN 'concern' WHEN quality * 5.0 >= 4 THEN 'positive' WHEN quality * 5.0 < 4 THEN 'concern' WHEN contains(lower(text), 'good') OR contains(lower(text), 'the') THEN 'positive' ELSE 'neutral' END AS tone FROM documents LEFT JOIN labels USING (doc_id)")
 def t11_tone(t: Tables):
     return t.documents.join(t.labels, "doc_id", "left").select("doc_id", X.tone(F.col("text"), F.col("quality") * 5.0, ["idiot", "worthless"], ["good", "the"]).alias("tone"))
 

@@ -246,3 +246,18 @@ def test_ranks_are_exact_over_groups_and_nulls(spark):
     found = {r.g: (r.n, r.least, r.median, r.p95, r.greatest) for r in A.distribution(df, ["g"], "v").collect()}
     at = lambda vs, q: sorted(vs)[int((len(vs) - 1) * q + 0.5)]
     assert found == {g: (len(vs), *(at(vs, q) for q in (0, 0.5, 0.95, 1))) for g, vs in values.items() if g != "none"}
+
+
+def test_redaction_leaves_nothing_of_a_person(spark):
+    names = ["Asha", "Asha Rao", " "]
+    row = spark.createDataFrame([("Buyer ASHA RAO, 9876543210, asha@example.com, PAN ABCDE1234F, A/C No. 00AA-1122\n  address: 12 Sample Road\nSignature by asha\nSigned", None)], "a string, b string").select(X.redact(F.col("a"), names).alias("a"), X.redact(F.col("b"), names).alias("b"), C.privacy_ok(X.redact(F.col("a"), names), names[:2]).alias("ok"), C.privacy_ok(F.col("a"), names[:2]).alias("was"))
+    got = row.first()
+    assert got.a == "Buyer [name], [phone], [mail], PAN [identifier], [account]\n[line]\n[line]\n[line]" and got.b is None and got.ok and not got.was
+
+
+def test_parsed_quantities(spark):
+    texts = ["2,004-2,482", "2.59-3.53 Cr", "7", "none", None, "-5 km", "5 km", "1 km 2 km", "400kV;110000", "220000;x;66", ";", "5-6 crore"]
+    got = {r.t: (tuple(r.r) if r.r else None, r.km, r.top) for r in spark.createDataFrame([(x,) for x in texts], "t string").select("t", X.parse_range(F.col("t"), 100.0).alias("r"), X.parse_distance_km(F.col("t")).alias("km"), X.max_tag_value(F.col("t")).alias("top")).collect()}
+    assert got["2,004-2,482"][0] == (2004.0, 2482.0) and got["2.59-3.53 Cr"][0] == (259.0, 353.0) and got["5-6 crore"][0] == (500.0, 600.0) and got["7"][0] == (7.0, 7.0) and got["none"][0] is None and got[None] == (None, None, None)
+    assert [got[x][1] for x in ("-5 km", "5 km", "1 km 2 km")] == [None, 5.0, None]
+    assert [got[x][2] for x in ("400kV;110000", "220000;x;66", ";")] == [400.0, 220.0, None]
