@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import EARTH_KM, KM_PER_LAT, KM_PER_LON, haversine_km, in_ring, segment_m
 from ..plans.cut import cut
 from ..plans.picks import best_row
+from .overlay import overlap_pairs, points_in
 
 HALF_EARTH_KM = 20_040.0
 
@@ -59,25 +60,29 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, first_km: float = 2.0) -
     return found if found is not None else left.sparkSession.createDataFrame([], "left_id string, right_id string, km double, rank int")
 
 
-def _boxes(zones: DataFrame, size: float) -> DataFrame:
-    """Zones copied into the grid cells that their bounding boxes touch."""
-    box = zones.select("zone_id", "ring", F.array_min(F.transform("ring", lambda p: p["x"])).alias("x0"), F.array_max(F.transform("ring", lambda p: p["x"])).alias("x1"), F.array_min(F.transform("ring", lambda p: p["y"])).alias("y0"), F.array_max(F.transform("ring", lambda p: p["y"])).alias("y1"))
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
-    return box.withColumn("cy", F.explode(span("y0", "y1"))).withColumn("cx", F.explode(span("x0", "x1")))
+def pip_join(points: DataFrame, zones: DataFrame) -> DataFrame:
+    """(id, zone_id, zones) for the first zone by id that contains the point, and how many do; zones have a closed ``ring`` of structs (x, y), and ``holes`` if any."""
+    return points_in(points, zones).groupBy("id").agg(F.min("zone_id").alias("zone_id"), F.count_distinct("zone_id").alias("zones"))
 
 
-def pip_join(points: DataFrame, zones: DataFrame, cell: float = 0.05) -> DataFrame:
-    """(id, zone_id) for the first zone by id that contains the point; zones have a closed ``ring`` of structs (x, y)."""
-    p = points.select("id", "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
-    hit = p.join(_boxes(zones, cell), ["cy", "cx"]).filter(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
-    return hit.groupBy("id").agg(F.min("zone_id").alias("zone_id"), F.count_distinct("zone_id").alias("zones"))
+def occupancy(points: DataFrame, zones: DataFrame, footprints: DataFrame | None = None, least: float = 0.01) -> DataFrame:
+    """(id, zone_id, ratio, state), a row for each cell that an entity occupies, and one for an entity without any.
 
-
-def occupancy(points: DataFrame, zones: DataFrame) -> DataFrame:
-    """A point is in a cell only when exactly one contains it; the state of all points is reported."""
+    An entity with a footprint (``footprints``: zone_id as its id, ring) occupies every cell that holds at least ``least`` of it: state 'one' or 'multi'. Another, a
+    point, is in a cell only when exactly one contains it ('one', ratio null), else 'ambiguous'; 'none' is no cell.
+    """
+    if footprints is not None:
+        points = points.join(footprints.select(F.col("zone_id").alias("id")), "id", "left_anti")
     hit = pip_join(points, zones)
     state = F.when(F.col("zones").isNull(), "none").when(F.col("zones") > 1, "ambiguous").otherwise("one")
-    return points.select("id").join(hit, "id", "left").select("id", F.when(F.col("zones") == 1, F.col("zone_id")).alias("zone_id"), state.alias("state"))
+    found = points.select("id").join(hit, "id", "left").select("id", F.when(F.col("zones") == 1, F.col("zone_id")).alias("zone_id"), F.lit(None).cast("double").alias("ratio"), state.alias("state"))
+    if footprints is None:
+        return found
+    shares = overlap_pairs(footprints, zones).filter(F.col("ratio") >= least).select(F.col("a_id").alias("id"), F.col("b_id").alias("zone_id"), "ratio")
+    counts = shares.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    state = F.when(F.col("n").isNull(), "none").when(F.col("n") > 1, "multi").otherwise("one")
+    cells = footprints.select(F.col("zone_id").alias("id")).join(counts, "id", "left").join(shares, "id", "left").select("id", "zone_id", "ratio", state.alias("state"))
+    return found.unionByName(cells)
 
 
 def nearest_core(unmatched: DataFrame, matched: DataFrame, km: float = 4.0) -> DataFrame:
@@ -86,64 +91,25 @@ def nearest_core(unmatched: DataFrame, matched: DataFrame, km: float = 4.0) -> D
     return near.join(matched.select(F.col("id").alias("right_id"), "locality"), "right_id").select(F.col("left_id").alias("id"), "right_id", "locality", "km")
 
 
-def _clip(subject: list[tuple[float, float]], window: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The part of a polygon inside a convex counter-clockwise window."""
-    out = subject
-    for (ax, ay), (bx, by) in zip(window, window[1:] + window[:1]):
-        side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: B023, E731
-        kept: list[tuple[float, float]] = []
-        for p, q in zip(out, out[1:] + out[:1]):
-            sp, sq = side(p), side(q)
-            if sp >= 0:
-                kept.append(p)
-            if (sp >= 0) != (sq >= 0):
-                t = sp / (sp - sq)
-                kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        out = kept
-        if not out:
-            break
-    return out
-
-
-def _area(ring: list[tuple[float, float]]) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
-
-
-def overlap_pairs(a: DataFrame, b: DataFrame, cell: float = 0.05) -> DataFrame:
-    """(a_id, b_id, ratio = area of both / area of a, shared area, touch) for zones whose boxes share a cell; b has to be convex.
-    Clipping runs on the few candidate pairs, in batches."""
-    left = _boxes(a, cell).select(F.col("zone_id").alias("a_id"), F.col("ring").alias("a_ring"), "cx", "cy", *[F.col(c).alias("a" + c) for c in ("x0", "x1", "y0", "y1")])
-    right = _boxes(b, cell).select(F.col("zone_id").alias("b_id"), F.col("ring").alias("b_ring"), "cx", "cy", *[F.col(c).alias("b" + c) for c in ("x0", "x1", "y0", "y1")])
-    eps = 1e-9
-    meet = (F.col("ax0") <= F.col("bx1") + eps) & (F.col("bx0") <= F.col("ax1") + eps) & (F.col("ay0") <= F.col("by1") + eps) & (F.col("by0") <= F.col("ay1") + eps)
-    pairs = left.join(right, ["cx", "cy"]).filter(meet).dropDuplicates(["a_id", "b_id"]).select("a_id", "b_id", "a_ring", "b_ring")
-
-    def clip(batches):
-        for pdf in batches:
-            ratio, shared = [], []
-            for ra, rb in zip(pdf["a_ring"], pdf["b_ring"]):
-                pa, pb = [(p["x"], p["y"]) for p in ra][:-1], [(p["x"], p["y"]) for p in rb][:-1]
-                if _area(pb) < 0:
-                    pb.reverse()
-                part = _clip(pa, pb)
-                both = abs(_area(part)) if len(part) > 2 else 0.0
-                ratio.append(both / abs(_area(pa)) if _area(pa) else 0.0)
-                shared.append(both)
-            yield pdf[["a_id", "b_id"]].assign(ratio=ratio, shared=shared)
-
-    return pairs.mapInPandas(clip, "a_id string, b_id string, ratio double, shared double")
-
-
 def overlap_join(a: DataFrame, b: DataFrame, least: float, tie: float = 1e-6) -> DataFrame:
-    """The zone of b with the largest overlap ratio of at least ``least``; 'ambiguous' when the second is as large."""
-    w = Window.partitionBy("a_id").orderBy(F.col("ratio").desc(), "b_id")
-    ranked = overlap_pairs(a, b).filter(F.col("ratio") >= least).withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("ratio").over(w))
-    return ranked.filter("rank = 1").select("a_id", "b_id", "ratio", F.when(F.col("second") >= F.col("ratio") - tie, "ambiguous").otherwise("best").alias("state"))
-
+    """(a_id, level, b_id, ratio, state): for each level of b (its column ``admin_level``; null is a level of its own) the zone with the largest overlap ratio of at least ``least``; ratios alike to nine decimals count as equal and go by id.
 
-def adjacency(zones: DataFrame) -> DataFrame:
-    """Zones whose boxes meet but that share no area, in both directions."""
-    meet = overlap_pairs(zones, zones).filter((F.col("a_id") < F.col("b_id")) & (F.col("ratio") < 1e-9)).select("a_id", "b_id")
+    The state is 'ambiguous' in all rows of a zone of which some level has a second ratio within ``tie``, else 'best'.
+    """
+    level = b.select(F.col("zone_id").alias("b_id"), F.col("admin_level").alias("level") if "admin_level" in b.columns else F.lit(None).cast("int").alias("level"))
+    w = Window.partitionBy("a_id", "level").orderBy(F.round("ratio", 9).desc(), "b_id")
+    ranked = overlap_pairs(a, b).filter(F.col("ratio") >= least).join(level, "b_id").withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("ratio").over(w))
+    best = ranked.filter("rank = 1").withColumn("tied", F.coalesce(F.col("second") >= F.col("ratio") - tie, F.lit(False)))
+    tied = F.max("tied").over(Window.partitionBy("a_id"))
+    return best.select("a_id", "level", "b_id", "ratio", F.when(tied, "ambiguous").otherwise("best").alias("state"))
+
+
+def adjacency(zones: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """(a_id, b_id) of zones whose edges meet but that share no area, in both directions; of the same ``admin_level``, where zones have one."""
+    meet = overlap_pairs(zones, zones).filter((F.col("a_id") < F.col("b_id")) & F.col("touch") & (F.col("shared") <= eps)).select("a_id", "b_id")
+    if "admin_level" in zones.columns:
+        of = lambda c: zones.select(F.col("zone_id").alias(f"{c}_id"), F.col("admin_level").alias(f"{c}_level"))
+        meet = meet.join(of("a"), "a_id").join(of("b"), "b_id").filter("a_level = b_level").select("a_id", "b_id")
     return meet.unionByName(meet.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")))
 
 

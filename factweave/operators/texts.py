@@ -37,30 +37,6 @@ def stem(df: DataFrame, column: str) -> DataFrame:
     return df.mapInPandas(run, df.schema)
 
 
-def lexical_search(docs: DataFrame, doc: str, column: str, queries: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over documents that have every term of the query (query_id, tokens); the first ``n``, ties by document.
-
-    Documents are tokenised once; only the queries' own terms become postings (token, doc, length, tf). A query's documents are those of
-    its rarest term; its other terms are looked up in these only.
-    """
-    q = queries.select("query_id", F.size(F.array_distinct("tokens")).alias("terms"), F.explode(F.array_distinct("tokens")).alias("token"))
-    q = cut(q, "search-terms")
-    asked = cut(q.select("token").distinct(), "search-asked")
-    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(column)).alias("t"))
-    corpus = t.agg(F.count_if(F.size("t") > 0).alias("docs"), F.avg(F.when(F.size("t") > 0, F.size("t"))).alias("mean"))
-    postings = sized_join(t.select("doc", F.size("t").alias("length"), F.explode("t").alias("token")), asked, ["token"], "left_semi", asked.count() * 40)
-    index = cut(postings.groupBy("token", "doc", "length").agg(F.count(F.lit(1)).alias("tf")), "search-postings")
-    df = cut(index.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "search-df")
-    counted = q.join(df, "token", "left")
-    rarest = counted.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))["token"].alias("token"))
-    candidates = rarest.join(index.select("token", "doc"), "token").select("query_id", "doc")
-    hit = candidates.join(counted, "query_id").join(index, ["token", "doc"]).join(F.broadcast(corpus))  # one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = hit.groupBy("query_id", "doc", "terms").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(part), 6).alias("score")).filter("n = terms")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc"))).filter(F.col("rank") <= n).select("query_id", "doc", "score", "rank")
-
-
 def _fuzzy_keys(token: str) -> Column:
     """Keys that any two tokens which ``fuzzy_token`` matches have in common: the first four signs, for the prefixes, and what is left
     without any one sign, or without any two where the distance may be two; short tokens are their own key."""

@@ -101,25 +101,55 @@ def j10_pip_join(t: Tables):
     return S.pip_join(t.subjects, _rings(t.zones))
 
 
-_B = "SELECT concat('area:', n_nationkey) AS zone_id, 77.4 + CAST(n_nationkey % 5 AS DOUBLE) * 0.08 + 0.03 AS x0, 12.8 + CAST(CAST(floor(n_nationkey / 5) AS INT) AS DOUBLE) * 0.08 + 0.01 AS y0, 77.4 + CAST(n_nationkey % 5 AS DOUBLE) * 0.08 + 0.11 AS x1, 12.8 + CAST(CAST(floor(n_nationkey / 5) AS INT) AS DOUBLE) * 0.08 + 0.09 AS y1 FROM {nation}"
+#: Corners of the shapes whose boxes the fixtures list: a box, an L, a frame around a hole, a U; a frame, an L.
+_PLOTS = {0: [[(0, 0), (8, 0), (8, 8), (0, 8)]], 1: [[(0, 0), (11, 0), (11, 5), (6, 5), (6, 11), (0, 11)]], 2: [[(0, 0), (8, 0), (8, 8), (0, 8)], [(2, 2), (2, 6), (6, 6), (6, 2)]], 3: [[(0, 0), (7, 0), (7, 8), (5, 8), (5, 3), (2, 3), (2, 8), (0, 8)]]}
+_TRACTS = {0: [[(0, 0), (30, 0), (30, 30), (0, 30)], [(9, 9), (9, 21), (18, 21), (18, 9)]], 1: [[(0, 0), (13, 0), (13, 17), (28, 17), (28, 30), (0, 30)]]}
 
 
-@query(f"""WITH b AS ({_B.format(nation='nation')}), p AS (SELECT a.zone_id AS a_id, b.zone_id AS b_id, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / 0.0064 AS ratio FROM zones a, b)
-    SELECT a_id, b_id, round(ratio, 6) AS ratio, 'best' AS state FROM p WHERE ratio >= 0.3 QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY ratio DESC, b_id) = 1""")
+def _shapes(parts, corners: dict, unit: float = 0.001):
+    """Zones with their rings, at the place of their least corner."""
+    zones = parts.groupBy("zone_id", "admin_level", "kind").agg(F.min("x0").alias("ox"), F.min("y0").alias("oy"))
+    ring = lambda points: F.array(*[F.struct(((F.col("ox") + x) * unit).alias("x"), ((F.col("oy") + y) * unit).alias("y")) for x, y in [*points, points[0]]])
+    rings = None
+    for kind, parts_of in corners.items():
+        made = F.array(*[ring(r) for r in parts_of])
+        rings = F.when(F.col("kind") == kind, made) if rings is None else rings.when(F.col("kind") == kind, made)
+    return zones.select("zone_id", "admin_level", "kind", rings.alias("rings"), "ox", "oy")
+
+
+def _shared(a: str, b: str) -> str:
+    """Of each two shapes whose parts meet: the area that they share, in square units."""
+    both = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
+    return f"SELECT a.zone_id AS a_id, b.zone_id AS b_id, a.admin_level AS a_level, b.admin_level AS b_level, sum({both}) AS shared FROM {a} a JOIN {b} b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 GROUP BY ALL"
+
+
+_AREAS = "SELECT zone_id, sum((x1 - x0) * (y1 - y0)) AS area FROM {} GROUP BY 1"
+
+
+@query(f"""WITH p AS (SELECT a_id, b_id, b_level AS level, shared / area AS ratio FROM ({_shared('plot_parts', 'tract_parts')}) JOIN ({_AREAS.format('plot_parts')}) ON a_id = zone_id WHERE shared / area >= 0.05),
+    r AS (SELECT *, row_number() OVER w AS rn, lead(ratio) OVER w AS second FROM p WINDOW w AS (PARTITION BY a_id, level ORDER BY ratio DESC, b_id))
+    SELECT a_id, level, b_id, round(ratio, 6) AS ratio, CASE WHEN bool_or(coalesce(second >= ratio - 1e-6, false)) OVER (PARTITION BY a_id) THEN 'ambiguous' ELSE 'best' END AS state FROM r WHERE rn = 1""")
 def j11_overlap_join(t: Tables):
-    return S.overlap_join(_rings(t.zones), _rings(t.spark.sql(_B, nation=t.nation)), 0.3).withColumn("ratio", F.round("ratio", 6))
+    """J11 of plots (boxes, Ls, frames, Us) in tracts (frames, Ls), by the tracts' level."""
+    return S.overlap_join(_shapes(t.plot_parts, _PLOTS), _shapes(t.tract_parts, _TRACTS), 0.05).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("""SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey AND abs(a.n_nationkey % 5 - b.n_nationkey % 5) <= 1 AND abs(CAST(floor(a.n_nationkey / 5) AS INT) - CAST(floor(b.n_nationkey / 5) AS INT)) <= 1""")
+@query(f"SELECT a_id, b_id FROM ({_shared('plot_parts', 'plot_parts')}) WHERE shared = 0 AND a_id <> b_id AND a_level = b_level")
 def j12_adjacency(t: Tables):
-    number = lambda c: F.split_part(c, F.lit(":"), F.lit(2)).cast("int")
-    return S.adjacency(_rings(t.zones)).select(number("a_id").alias("x"), number("b_id").alias("y"))
+    """J12 of all plots: by corners, by edges, and an island within a frame's hole touches nothing."""
+    return S.adjacency(_shapes(t.plot_parts, _PLOTS))
 
 
-@query(f"SELECT s.id, CASE WHEN n = 1 THEN z END AS zone_id, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'ambiguous' ELSE 'one' END AS state FROM subjects s LEFT JOIN (SELECT id, min(zone_id) AS z, count(*) AS n FROM subjects, (SELECT * FROM zones UNION ALL SELECT concat('extra:', zone_id), x0, y0, x1, y1 FROM zones WHERE zone_id < 'zone:15') WHERE {_IN} GROUP BY 1) USING (id)")
+@query(f"""WITH f AS (SELECT zone_id, min(x0) + 1 AS px, min(y0) + 1 AS py FROM plot_parts GROUP BY 1), p AS (SELECT f.zone_id AS id, t.zone_id FROM f JOIN tract_parts t ON px >= x0 AND px < x1 AND py >= y0 AND py < y1 WHERE f.zone_id LIKE '%0'),
+    n AS (SELECT f.zone_id AS id, count(p.id) AS n, min(p.zone_id) AS zone_id FROM f LEFT JOIN p ON p.id = f.zone_id WHERE f.zone_id LIKE '%0' GROUP BY 1),
+    o AS (SELECT a_id, b_id, shared / area AS ratio FROM ({_shared('plot_parts', 'tract_parts')}) JOIN ({_AREAS.format('plot_parts')}) ON a_id = zone_id WHERE shared / area >= 0.01)
+    SELECT id, CASE WHEN n = 1 THEN zone_id END AS zone_id, CAST(NULL AS DOUBLE) AS ratio, CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'ambiguous' END AS state FROM n
+    UNION ALL SELECT zone_id, b_id, round(ratio, 6), CASE count(b_id) OVER (PARTITION BY zone_id) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'multi' END FROM f LEFT JOIN o ON a_id = zone_id WHERE zone_id NOT LIKE '%0'""")
 def j13_occupancy(t: Tables):
-    extra = t.zones.filter("zone_id < 'zone:15'").withColumn("zone_id", F.concat(F.lit("extra:"), "zone_id"))
-    return S.occupancy(t.subjects, _rings(t.zones.unionByName(extra)))
+    """Plots by their footprints, but those whose key ends in 0 as points, in tracts."""
+    plots = _shapes(t.plot_parts, _PLOTS)
+    points = plots.select(F.col("zone_id").alias("id"), ((F.col("oy") + 1) * 0.001).alias("lat"), ((F.col("ox") + 1) * 0.001).alias("lon"))
+    return S.occupancy(points, _shapes(t.tract_parts, _TRACTS), plots.filter("zone_id NOT LIKE '%0'")).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("""WITH a AS (SELECT entity_id, confidence, fact_no, concat('Block ', fact_no % 9, ', Nation-', fact_no % 30, ', City') AS address FROM facts WHERE fact_key = 'order_status'), l AS (SELECT concat('nation ', n_nationkey) AS name, concat('loc', n_nationkey) AS locality_id FROM nation)

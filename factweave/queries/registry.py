@@ -44,6 +44,15 @@ FIXTURES: dict[str, str] = {
     "subjects": "SELECT concat('customer:', c_custkey) AS id, 12.8 + CAST(c_custkey * 37 % 997 AS DOUBLE) / 2500 AS lat, 77.4 + CAST(c_custkey * 91 % 1009 AS DOUBLE) / 2500 AS lon FROM {customer}",
     "places": "SELECT concat('supplier:', s_suppkey) AS id, concat('kind', s_suppkey % 3) AS category, 12.8 + CAST(s_suppkey * 53 % 997 AS DOUBLE) / 2500 AS lat, 77.4 + CAST(s_suppkey * 67 % 1009 AS DOUBLE) / 2500 AS lon FROM {supplier}",
     "zones": "SELECT concat('zone:', n_nationkey) AS zone_id, 77.4 + CAST(n_nationkey % 5 AS DOUBLE) * 0.08 AS x0, 12.8 + CAST(CAST(floor(n_nationkey / 5) AS INT) AS DOUBLE) * 0.08 AS y0, 77.4 + CAST(n_nationkey % 5 AS DOUBLE) * 0.08 + 0.08 AS x1, 12.8 + CAST(CAST(floor(n_nationkey / 5) AS INT) AS DOUBLE) * 0.08 + 0.08 AS y1 FROM {nation}",
+    # Shapes of three kinds in whole units, eight a lattice step, as the boxes that they consist of; lines of a lattice that grows with the customers and suppliers.
+    "plot_parts": """
+        SELECT concat('plot:', k) AS zone_id, k % 2 AS admin_level, k % 4 AS kind, ox + px0 AS x0, oy + py0 AS y0, ox + px1 AS x1, oy + py1 AS y1
+        FROM (SELECT c_custkey AS k, 8 * (c_custkey % 40) AS ox, 8 * CAST(floor(c_custkey / 40) AS BIGINT) AS oy FROM {customer})
+        JOIN (VALUES (0, 0, 0, 8, 8), (1, 0, 0, 11, 5), (1, 0, 5, 6, 11), (2, 0, 0, 8, 2), (2, 0, 6, 8, 8), (2, 0, 2, 2, 6), (2, 6, 2, 8, 6), (3, 0, 0, 2, 8), (3, 5, 0, 7, 8), (3, 2, 0, 5, 3)) AS s(part_kind, px0, py0, px1, py1) ON k % 4 = part_kind""",
+    "tract_parts": """
+        SELECT concat('tract:', k) AS zone_id, k % 2 AS admin_level, k % 2 AS kind, ox + px0 AS x0, oy + py0 AS y0, ox + px1 AS x1, oy + py1 AS y1
+        FROM (SELECT s_suppkey AS k, 28 * (s_suppkey % 12) AS ox, 20 * CAST(floor(s_suppkey / 12) AS BIGINT) AS oy FROM {supplier})
+        JOIN (VALUES (0, 0, 0, 30, 9), (0, 0, 21, 30, 30), (0, 0, 9, 9, 21), (0, 18, 9, 30, 21), (1, 0, 0, 13, 30), (1, 13, 17, 28, 30)) AS s(part_kind, px0, py0, px1, py1) ON k % 2 = part_kind""",
     "listings": """
         SELECT concat('part:', l_partkey) AS entity_id, concat('listing:', l_orderkey, '-', l_linenumber) AS listing_id, concat('supplier:', l_suppkey) AS seller, l_extendedprice AS price, l_quantity AS area_sqft, CAST(l_quantity AS INT) % 5 AS bhk,
                l_discount AS discount, l_returnflag AS kind, CAST(CAST(l_shipdate AS DATE) AS STRING) AS seen_on FROM {lineitem}""",

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import texts as X
+from ..operators.search import lexical_search
 from .registry import Tables, query
 
 _TOK = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: len(x) >= 2)"
@@ -35,12 +36,21 @@ def p29_contains_phrase(t: Tables):
     return t.documents.select("doc_id", contains_phrase(X.tokens(F.col("text")), ["of", "the"]).alias("has"))
 
 
-@query(f"""WITH {_Q}, d AS (SELECT doc_id AS doc, {_TOK.format('text')} AS k FROM documents), i AS (SELECT token, doc, length, count(*) AS tf FROM (SELECT doc, len(k) AS length, unnest(k) AS token FROM d) GROUP BY ALL), c AS (SELECT count(*) AS docs, avg(length) AS mean FROM (SELECT DISTINCT doc, length FROM i)), f AS (SELECT token, count(*) AS df FROM i GROUP BY 1),
-    s AS (SELECT query_id, doc, len(list_distinct(tokens)) AS terms, token FROM (SELECT query_id, tokens, unnest(list_distinct(tokens)) AS token FROM q) JOIN (SELECT doc, token FROM i) USING (token)),
-    r AS (SELECT query_id, doc, terms, count(*) AS n, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM s JOIN i USING (token, doc) JOIN f USING (token), c GROUP BY ALL)
-    SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM r WHERE n = terms QUALIFY rank <= 10""")
+_FIELDS = "SELECT doc_id AS doc, text AS body, concat(source, ' ', lang) AS name, concat_ws(' ', 'quality ' || quality, CASE WHEN toxic = 1 THEN 'toxic' END) AS fact_keys FROM documents LEFT JOIN labels USING (doc_id)"
+_ASKED = f"SELECT concat('item:', item_id) AS query_id, list_concat({_TOK.format('text')}, CASE WHEN item_id % 2 = 0 THEN ['en'] ELSE [] END) AS tokens FROM benchmark UNION ALL SELECT concat('site:', source), {_TOK.format("concat(source, ' quality')")} FROM (SELECT DISTINCT source FROM documents)"
+
+
+@query(f"""WITH d AS ({_FIELDS}), q AS ({_ASKED}), k AS (SELECT doc, 'body' AS field, {_TOK.format('body')} AS k FROM d UNION ALL SELECT doc, 'name', {_TOK.format('name')} FROM d UNION ALL SELECT doc, 'fact_keys', {_TOK.format('fact_keys')} FROM d),
+    i AS (SELECT field, token, doc, length, count(*) AS tf FROM (SELECT field, doc, len(k) AS length, unnest(k) AS token FROM k) GROUP BY ALL), c AS (SELECT field, count(*) AS docs, avg(len(k)) AS mean FROM k WHERE len(k) > 0 GROUP BY 1), f AS (SELECT field, token, count(*) AS df FROM i GROUP BY ALL),
+    s AS (SELECT query_id, len(list_distinct(tokens)) AS terms, unnest(list_distinct(tokens)) AS token FROM q),
+    r AS (SELECT query_id, doc, terms, count(DISTINCT token) AS n, string_agg(DISTINCT field, ',' ORDER BY field) AS fields, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM s JOIN i USING (token) JOIN f USING (field, token) JOIN c USING (field) GROUP BY ALL)
+    SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank, fields FROM r WHERE n = terms QUALIFY rank <= 10""")
 def t1_lexical_search(t: Tables):
-    return X.lexical_search(t.documents, "doc_id", "text", _queries(t), 10).withColumn("rank", F.col("rank").cast("long"))
+    """T1 over a document's text, its source and language, and its label keys: all words of every benchmark item, and of every source."""
+    docs = t.documents.join(t.labels, "doc_id", "left").select(F.col("doc_id").alias("doc"), F.col("text").alias("body"), F.concat_ws(" ", "source", "lang").alias("name"), F.concat_ws(" ", F.concat(F.lit("quality "), "quality"), F.when(F.col("toxic") == 1, "toxic")).alias("fact_keys"))
+    items = t.benchmark.select(F.concat(F.lit("item:"), "item_id").alias("query_id"), F.concat(X.tokens(F.col("text")), F.when(F.col("item_id") % 2 == 0, F.array(F.lit("en"))).otherwise(F.array().cast("array<string>"))).alias("tokens"))
+    sites = t.documents.select("source").distinct().select(F.concat(F.lit("site:"), "source").alias("query_id"), X.tokens(F.concat("source", F.lit(" quality"))).alias("tokens"))
+    return lexical_search(docs, "doc", ["name", "body", "fact_keys"], items.unionByName(sites), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 _FZ = "(a = b OR (length(a) >= 4 AND length(b) >= 4 AND (starts_with(a, b) OR starts_with(b, a) OR levenshtein(a, b) <= CASE WHEN greatest(length(a), length(b)) >= 8 THEN 2 ELSE 1 END)))"
