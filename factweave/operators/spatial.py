@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, KM_PER_LAT, KM_PER_LON, haversine_km, in_ring, segment_m
-from ..plans.cut import cut
 from ..plans.picks import best_row
+from .nearest import knn_join  # noqa: F401  J8 is one of the spatial joins
 from .overlay import overlap_pairs, points_in
 
-HALF_EARTH_KM = 20_040.0
-
 
 def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """(left_id, right_id, km) within ``km``, anywhere on the globe; sides have id, lat, lon.
@@ -42,24 +40,6 @@ def near_join(subjects: DataFrame, places: DataFrame, radii: dict[str, float]) -
     return found
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, first_km: float = 2.0) -> DataFrame:
-    """The ``k`` nearest of ``right`` for every left row, ties by id. The radius doubles for the rows that still lack some."""
-    want = min(k, right.limit(k).count())
-    pending, found, km = left, None, first_km
-    while want:
-        wide = km >= HALF_EARTH_KM
-        near = radius_join(pending, right, min(km, HALF_EARTH_KM))
-        ranked = cut(near.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy("km", "right_id"))).filter(F.col("rank") <= k), "knn")
-        full = ranked.groupBy("left_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= want).select("left_id")
-        part = ranked if wide else ranked.join(full, "left_id", "left_semi")
-        found = part if found is None else found.unionByName(part)
-        pending = cut(pending.join(full, pending["id"] == full["left_id"], "left_anti"), "knn-pending")
-        if wide or pending.isEmpty():
-            break
-        km *= 2
-    return found if found is not None else left.sparkSession.createDataFrame([], "left_id string, right_id string, km double, rank int")
-
-
 def pip_join(points: DataFrame, zones: DataFrame) -> DataFrame:
     """(id, zone_id, zones) for the first zone by id that contains the point, and how many do; zones have a closed ``ring`` of structs (x, y), and ``holes`` if any."""
     return points_in(points, zones).groupBy("id").agg(F.min("zone_id").alias("zone_id"), F.count_distinct("zone_id").alias("zones"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions import text as X
+from factweave.functions.geo import haversine_km
 from factweave.functions import values as V
 from factweave.operators import aggregates as A
 from factweave.operators import filters as C
@@ -82,6 +83,41 @@ def test_knn_finds_far_neighbours(spark):
     assert S.knn_join(left, right.limit(0), 2).count() == 0
 
 
+def test_knn_equals_all_pairs_anywhere_and_at_hot_places(spark):
+    import random
+
+    rng = random.Random(1)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(40)] + [(90.0, 0.0), (90.0, 120.0), (0.0, 180.0), (0.0, -180.0), (-90.0, 5.0)]
+    near = [(12.9 + rng.gauss(0, 0.001), 77.5 + rng.gauss(0, 0.001)) for _ in range(150)]
+    rights = [(f"r{i:03d}", *p) for i, p in enumerate([*spots, *near, *([(12.9, 77.5)] * 60)])] + [(None, 1.0, 1.0), ("n", None, 1.0)]
+    lefts = [(f"l{i:03d}", *p) for i, p in enumerate([*spots[::3], *near[::10], (12.9, 77.5), (12.9, 77.5), (-40.0, 10.0)])]
+    kind = "id string, lat double, lon double"
+    right, left = spark.createDataFrame(rights, kind), spark.createDataFrame(lefts, kind)
+    km = F.round(haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")), 6)
+    every = {}
+    for r in left.alias("a").crossJoin(right.dropna().alias("b")).select(F.col("a.id").alias("l"), F.col("b.id").alias("r"), km.alias("km")).collect():
+        every.setdefault(r.l, []).append((r.km, r.r))
+    for k in (1, 4):
+        got = {}
+        for r in S.knn_join(left, right, k).collect():
+            got.setdefault(r.left_id, {})[r["rank"]] = round(r.km, 6)
+        for i, found in every.items():
+            assert [got[i][n] for n in sorted(got[i])] == [x for x, _ in sorted(found)[:k]]
+    assert sorted((r["rank"], r.right_id) for r in S.knn_join(left.filter("lat = 12.9 AND lon = 77.5"), right, 3).collect()) == [(n + 1, f"r{195 + n}") for n in range(3) for _ in range(2)]
+
+
+def test_knn_candidates_stay_flat(spark):
+    from factweave.operators import nearest as N
+
+    grid = lambda n: N._on_cube(spark.range(n).select(F.concat(F.lit("p"), "id").alias("id"), (F.lit(12.0) + F.rand(3)).alias("lat"), (F.lit(77.0) + F.rand(4)).alias("lon")))
+    left = grid(50).select("lat", "lon", "x", "y", "z")
+    counts = []
+    for n in (300, 30_000):
+        own, more = N.candidates(left, grid(n), 3)
+        counts.append((own.count() + more.count()) / 50)
+    assert counts[1] < 2.5 * counts[0] and counts[1] < 400
+
+
 def test_concave_subjects_are_clipped(spark):
     ring = lambda ps: [{"x": float(x), "y": float(y)} for x, y in [*ps, ps[0]]]
     zones = spark.createDataFrame([("L", ring([(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)]))], "zone_id string, ring array<struct<x: double, y: double>>")
