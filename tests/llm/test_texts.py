@@ -180,3 +180,45 @@ def test_every_template_is_recognised_as_itself(spark):
     for k, name in enumerate(TEMPLATES):
         assert got[k] == [(name, True)], name
     assert sorted(got[1000]) == [("BSD-3-Clause", True), ("MIT/notice", True)] and got[1001] == got[0] * 2
+
+
+def test_notices_are_found_at_any_length_and_in_linear_time():
+    import time
+
+    scanner, mit = S.Scanner(TEMPLATES), "Released under the MIT License."
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(400)] + ["license", "permission", "the", "under", "warranty"]
+    prose = lambda n: " ".join(" ".join(rng.choice(words) for _ in range(11)) + " license. " for _ in range(n))
+    for n in (60, 200, 400, 9_000):
+        half = prose(n // 2)
+        text = half + mit + " " + prose(n // 2)
+        began = time.time()
+        hits = [(h[0], h[2], h[7]) for h in scanner.scan(text)]
+        assert (len(half), "MIT/notice", True) in hits and all(name.endswith(("notice", "licensed", "identifier")) for _, name, _ in hits)
+        assert time.time() - began < 15
+    for n in (80, 160, 3_000):
+        text = " ".join(mit + " " + " ".join(rng.choice(words[:400]) for _ in range(12)) + "." for _ in range(n))
+        began = time.time()
+        assert [h[2] for h in scanner.scan(text)] == ["MIT/notice"] * n
+        assert time.time() - began < 15
+
+
+def test_scan_against_every_template_at_every_place():
+    """Plain code: each template's words at each place of the text, word by word; the longest that is there exactly is the one reported."""
+    rng = random.Random(11)
+    scanner = S.Scanner(TEMPLATES)
+    names = sorted(TEMPLATES)
+    for _ in range(25):
+        picked = [rng.choice(names) for _ in range(rng.randrange(1, 7))]
+        text = "\n".join(x for name in picked for x in (TEMPLATES[name], "Quite other words " * rng.randrange(4) + "."))
+        have = S.words(text)
+        want, at = [], 0
+        while at < len(have):
+            here = [(len(w), n) for n, w in scanner.words.items() if have[at : at + len(w)] == w]
+            if here:
+                size = max(here)[0]
+                want.append(min(n for k, n in here if k == size))
+                at += size
+            else:
+                at += 1
+        assert [h[2] for h in scanner.scan(text) if h[7]] == want
