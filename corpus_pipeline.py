@@ -13,7 +13,7 @@ from factweave.llm.mixing import mixed
 from factweave.llm.quality import drop_low_quality
 from factweave.llm.simhash import drop_near_copies
 from factweave.llm.tokens import encode_documents
-from factweave.plans.cut import cut
+from factweave.plans.cut import cut, release, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on ``documents``. What a stage wrote on the way, and its input, are removed once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = written(spark)
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), "pipeline")
+        release(spark, mark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..plans.cut import cut
 from .arrow import arrow_batches
+from .worker import forget
 from .quality import remainder
 
 CLASSES = 48
@@ -79,6 +80,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) over all training texts, the end of a text counted as the empty word; tasks add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -126,6 +128,7 @@ def encode(rows: DataFrame, listed: np.ndarray) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         numbers = Numbers(shared.value)
         for batch in batches:
             at, sizes, rare, tf, kinds = [], [0], [], [], [0]
@@ -180,6 +183,7 @@ def class_bigrams(train: DataFrame, shared: Broadcast, classes: int) -> np.ndarr
     """How often a class follows another, over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         end, cls = int(np.flatnonzero(shared.value == ENDS)[0]), np.append(shared.value, RARE).astype(np.int64)
         total = np.zeros(classes * classes, np.int64)
         for line in _lines(batches, end):
@@ -356,6 +360,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = shared.value
         cls = np.append(model.cls, RARE)  # the last place, -1, is that of words which are not listed
         base = np.append(np.log10(model.counts + 1.0), 0.0)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..plans.cut import cut
 from .arrow import arrow_batches
 from .rows import ids_are_unique, without
+from .worker import forget
 
 BITS = 18
 #: Shards whose weights are averaged, and passes over each.
@@ -122,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = texts.join(F.broadcast(known) if rows <= 2 * sample_rows else known, "id").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).cast("int"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words = Words()
         for batch in batches:
             found = [features(t, words) for t in batch.column("text").to_pylist()]
@@ -159,6 +161,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *held)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         words, w = Words(), shared.value
         for batch in batches:
             out = []

@@ -35,6 +35,7 @@ from ..plans.cut import cut, sized_join
 from ..plans.fixpoint import components
 from .arrow import arrow_batches
 from .rows import ids_are_unique, without
+from .worker import forget
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -82,6 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
     """(id, fp) for each row; only the id and the text reach Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             fps = [simhash(t.as_py(), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64())], names=["id", "fp"])
@@ -238,6 +240,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, last: Br
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known: dict[bytes, int] = {}
         late = last.value if last else np.empty(0, np.int64)
         for batch in batches:
@@ -363,6 +366,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
         whole = dealt.withColumn("copy", F.pmod(F.xxhash64(other), "copies")).drop("copies").join(held, [side, "copy"]).drop("copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known: dict[bytes, set[bytes]] = {}
         held = 0
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 import regex
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .arrow import arrow_batches
 from .tokens import default_vocabulary
+from .worker import kept
 
 PIECE = 1 << 16
 BATCH_CHARS = 1 << 18
@@ -37,9 +37,12 @@ def split_safely(text: str, size: int = PIECE) -> list[str]:
     return [*parts, text[at:]]
 
 
-@cache
 def _counter(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
     """A function from texts to token counts, and whether texts may be split; one for each worker and file."""
+    return kept(("counter", path), lambda: _make_counter(path))
+
+
+def _make_counter(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
     if path.endswith(".model"):
         import sentencepiece
 

@@ -19,7 +19,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 import regex
@@ -33,6 +32,7 @@ from pyspark.sql.types import StringType
 from .arrow import arrow_batches
 from .bpe import byte_alphabet
 from .tokens import default_vocabulary
+from .worker import kept
 
 #: Raw bytes of a frame at most, compressed bytes after which a file ends, and documents after which it ends.
 FRAME_BYTES = 1 << 18
@@ -128,10 +128,9 @@ class PieceEncoder:
         return b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(signs)])
 
 
-@cache
 def _encoder(path: str) -> PieceEncoder:
     """One for each worker and file."""
-    return PieceEncoder(path)
+    return kept(("pieces", path), lambda: PieceEncoder(path))
 
 
 def _skippable(magic: int, payload: bytes) -> bytes:

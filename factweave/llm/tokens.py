@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .arrow import arrow_batches
 from .bpe import ByteBpe, Decoder, Digests, Encoder
+from .worker import kept
 
 
 def default_vocabulary() -> str:
@@ -19,11 +19,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@cache
 def _bpe(path: str) -> tuple[ByteBpe, list[str]]:
     """One for each worker and file, so that arcs outlive a task."""
-    bpe = ByteBpe(path)
-    return bpe, [str(i) for i in range(len(bpe.text))]
+
+    def make() -> tuple[ByteBpe, list[str]]:
+        bpe = ByteBpe(path)
+        return bpe, [str(i) for i in range(len(bpe.text))]
+
+    return kept(("bpe", path), make)
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, with_ids: bool = True, carry: list[str] | None = None) -> DataFrame:
