@@ -20,9 +20,34 @@ def contradictions(df: DataFrame, key: list[str], content: list[str]) -> DataFra
     return df.groupBy(*key).agg(F.count_distinct(F.struct(*content)).alias("versions")).filter("versions > 1")
 
 
-def replace_by_producer(base: DataFrame, new: DataFrame, producers: list[str]) -> DataFrame:
-    """Rows of the producers go, the new ones come."""
-    return base.filter(~F.col("source_type").isin(producers)).unionByName(new)
+def replace_by_producer(base: dict[str, DataFrame], new: dict[str, DataFrame], producers: list[str], supported: str = "place") -> dict[str, DataFrame]:
+    """What the producers (``skill_id``) contributed goes, and what only rested on it; then their new contributions come.
+
+    Both sides have facts (entity_id, fact_key, skill_id), metadata (entity_id, fact_key), entities (entity_id, entity_type) and edges (src, dst), with any other columns. Of
+    the base go the producers' facts, the metadata of keys that lost their last fact, entities of the type ``supported`` that lost their last fact, and the edges at these.
+    Of the new side come the producers' facts only, the metadata and entities that have such a fact, and edges at one of these whose ends both exist
+    in the end. Rows that both sides have are there once. A fact without a producer stays.
+    """
+    theirs = F.coalesce(F.col("skill_id").isin(producers), F.lit(False))
+    key = ["entity_id", "fact_key"]
+    support = base["facts"].groupBy(*key).agg(F.count_if(theirs).alias("gone"), F.count_if(~theirs).alias("left"))
+    lost_keys = support.filter("gone > 0 AND left = 0").select(*key)
+    lost = support.groupBy("entity_id").agg(F.sum("gone").alias("gone"), F.sum("left").alias("left")).filter("gone > 0 AND left = 0").select("entity_id")
+    lost = base["entities"].filter(F.col("entity_type") == supported).join(lost, "entity_id", "left_semi").select("entity_id").distinct()
+    at = lambda df, ids, end, how: df.join(ids.select(F.col("entity_id").alias(end)), end, how).select(*df.columns)
+
+    facts = new["facts"].filter(theirs)
+    ids = facts.select("entity_id").distinct()
+    entities = base["entities"].join(lost, "entity_id", "left_anti"), new["entities"].join(ids, "entity_id", "left_semi")
+    alive = entities[0].select("entity_id").unionByName(entities[1].select("entity_id")).distinct()
+    edges = at(at(new["edges"], alive, "src", "left_semi"), alive, "dst", "left_semi")
+    edges = at(edges, ids, "src", "left_semi").unionByName(at(edges, ids, "dst", "left_semi"))
+    return {
+        "facts": merge_snapshots(base["facts"].filter(~theirs), facts),
+        "metadata": merge_snapshots(base["metadata"].join(lost_keys, key, "left_anti").select(*base["metadata"].columns), new["metadata"].join(facts.select(*key).distinct(), key, "left_semi").select(*base["metadata"].columns)),
+        "entities": merge_snapshots(*[e.select(*base["entities"].columns) for e in entities]),
+        "edges": merge_snapshots(at(at(base["edges"], lost, "src", "left_anti"), lost, "dst", "left_anti"), edges),
+    }
 
 
 def upsert(base: DataFrame, canonical: DataFrame, key: str) -> DataFrame:

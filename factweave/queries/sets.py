@@ -17,10 +17,26 @@ def u1_contradictions(t: Tables):
     return U.contradictions(t.facts, ["entity_id", "fact_key"], ["value_text"])
 
 
-@query("SELECT source_type, count(*) AS n FROM (SELECT source_type FROM facts WHERE source_type <> 'forum' UNION ALL SELECT 'forum' FROM facts WHERE fact_key = 'order_total') GROUP BY 1")
+@query("""WITH bf AS (SELECT entity_id, fact_key, skill_id, fact_no FROM facts WHERE fact_key <> 'order_status' OR fact_no % 3 = 0), nf AS (SELECT entity_id, fact_key, CASE WHEN fact_no % 2 = 0 THEN 'skill1' ELSE 'skill2' END AS skill_id, fact_no FROM facts WHERE fact_no % 7 = 0 AND value_number > 250000),
+    be AS (SELECT entity_id, CASE WHEN entity_type = 'customer' THEN 'place' ELSE entity_type END AS entity_type FROM entities WHERE entity_id NOT LIKE '%9'), ne AS (SELECT entity_id, 'place' AS entity_type FROM entities WHERE entity_type = 'customer'), bd AS (SELECT src, dst FROM edges WHERE edge_type IN ('located_in', 'part_of')), nd AS (SELECT src, dst FROM edges WHERE edge_type IN ('located_in', 'bought')),
+    kept AS (SELECT * FROM bf WHERE skill_id <> 'skill1'), came AS (SELECT * FROM nf WHERE skill_id = 'skill1'), lost AS (SELECT entity_id FROM be WHERE entity_type = 'place' AND entity_id IN (SELECT entity_id FROM bf) AND entity_id NOT IN (SELECT entity_id FROM kept)),
+    e AS (SELECT * FROM be WHERE entity_id NOT IN (SELECT entity_id FROM lost) UNION SELECT * FROM ne WHERE entity_id IN (SELECT entity_id FROM came))
+    SELECT 'facts' AS kind, concat_ws('|', entity_id, fact_key, skill_id, fact_no) AS row FROM (SELECT * FROM kept UNION SELECT * FROM came)
+    UNION ALL SELECT 'metadata', concat_ws('|', entity_id, fact_key) FROM (SELECT entity_id, fact_key FROM kept UNION SELECT entity_id, fact_key FROM came)
+    UNION ALL SELECT 'entities', concat_ws('|', entity_id, entity_type) FROM e
+    UNION ALL SELECT 'edges', concat_ws('|', src, dst) FROM (SELECT * FROM bd WHERE src NOT IN (SELECT entity_id FROM lost) AND dst NOT IN (SELECT entity_id FROM lost)
+        UNION SELECT * FROM nd WHERE src IN (SELECT entity_id FROM e) AND dst IN (SELECT entity_id FROM e) AND (src IN (SELECT entity_id FROM came) OR dst IN (SELECT entity_id FROM came)))""")
 def u2_replace_by_producer(t: Tables):
-    new = t.facts.filter("fact_key = 'order_total'").withColumn("source_type", F.lit("forum"))
-    return U.replace_by_producer(t.facts, new, ["forum"]).groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
+    """U2 of one producer, with metadata, places and edges that lose their last support."""
+    f = t.facts.select("entity_id", "fact_key", "skill_id", "fact_no", "value_number")
+    facts = f.filter("fact_key <> 'order_status' OR fact_no % 3 = 0").drop("value_number")
+    fresh = f.filter("fact_no % 7 = 0 AND value_number > 250000").withColumn("skill_id", F.when(F.col("fact_no") % 2 == 0, "skill1").otherwise("skill2")).drop("value_number")
+    places = t.entities.select("entity_id", F.when(F.col("entity_type") == "customer", "place").otherwise(F.col("entity_type")).alias("entity_type"))
+    base = {"facts": facts, "metadata": facts.select("entity_id", "fact_key").distinct(), "entities": places.filter("entity_id NOT LIKE '%9'"), "edges": t.edges.filter("edge_type IN ('located_in', 'part_of')").select("src", "dst")}
+    new = {"facts": fresh, "metadata": fresh.select("entity_id", "fact_key").distinct(), "entities": places.filter("entity_type = 'place'"), "edges": t.edges.filter("edge_type IN ('located_in', 'bought')").select("src", "dst")}
+    after = U.replace_by_producer(base, new, ["skill1"])
+    parts = [df.select(F.lit(kind).alias("kind"), F.concat_ws("|", *df.columns).alias("row")) for kind, df in after.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("""WITH b AS (SELECT o_custkey AS id, 'old' AS name, min(CAST(o_orderdate AS DATE)) AS c, max(CAST(o_orderdate AS DATE)) AS u FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1), n AS (SELECT c_custkey AS id, c_name AS name, DATE '1996-01-01' AS c, DATE '1996-06-01' AS u FROM customer WHERE c_custkey % 2 = 0)

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..streaming import events as E
-from .registry import FIXTURES, Tables, query
+from ..streaming import merge as M
+from .registry import Tables, query
 
 
 def _stream(t: Tables, name: str):
@@ -21,10 +22,12 @@ def st1_event_log(t: Tables):
 
 @query("SELECT entity_id, fact_key, source_type, source_url, value_text, fact_no FROM facts QUALIFY row_number() OVER (PARTITION BY entity_id, fact_key, source_type, source_url ORDER BY confidence DESC, value_text DESC, skill_id DESC, fact_no DESC) = 1")
 def st2_merge_deltas(t: Tables):
-    facts = t.spark.sql(FIXTURES["facts"], orders=_stream(t, "orders"))
+    """The facts arrive in four batches; buckets of more than two files are compacted on the way, the rest is merged on reading."""
+    arriving = E.scratch(t.spark, "facts-arriving")
+    t.facts.repartition(4, "fact_no").write.parquet(arriving)
     root = E.scratch(t.spark, "facts-merged")
-    E.merge_deltas(facts, root, root + "-progress").awaitTermination()
-    return E.latest(t.spark, root).select("entity_id", "fact_key", "source_type", "source_url", "value_text", "fact_no")
+    M.merge_deltas(t.spark.readStream.schema(t.facts.schema).option("maxFilesPerTrigger", 1).parquet(arriving), root, root + "-progress", buckets=8, most_files=2, most_rows=1 << 40).awaitTermination()
+    return M.latest(t.spark, root, t.facts.schema).select("entity_id", "fact_key", "source_type", "source_url", "value_text", "fact_no")
 
 
 @query("SELECT concat('user:', user_id) AS entity_id, missing_fact, count(*) AS wanted FROM (SELECT user_id, event_type AS missing_fact FROM events WHERE value > 10 UNION ALL SELECT user_id, 'any' FROM events) GROUP BY ALL")

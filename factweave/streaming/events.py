@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.windows import compact_facts
 from ..plans.cut import shared_dir
 
 
@@ -19,24 +18,6 @@ def ingest_events(stream: DataFrame, path: str, checkpoint: str, at: str = "ts",
     return once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("dt").outputMode("append").trigger(availableNow=True).start()
 
 
-def merge_deltas(stream: DataFrame, root: str, checkpoint: str):
-    """ST2: each batch is united with the current version and compacted into the next version's own path; a batch that is run again
-    writes the same path. Returns the started query; ``latest`` reads the result."""
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        both = batch if epoch == 0 else batch.unionByName(spark.read.parquet(f"{root}/version={epoch - 1}"))
-        compact_facts(both).write.mode("overwrite").parquet(f"{root}/version={epoch}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version that ``merge_deltas`` wrote."""
-    top = spark.read.parquet(root).agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/version={top}")
-
-
 def gap_demand(events: DataFrame) -> DataFrame:
     """ST3: how often each (entity, missing fact) was wanted, the most wanted first in rank order; batch or streaming in update mode."""
     return events.select(F.explode("gaps").alias("g")).groupBy("g.entity_id", "g.missing_fact").agg(F.count(F.lit(1)).alias("wanted"))
