@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
+
 T = TypeVar("T")
 _KEPT: dict[tuple, object] = {}
 
@@ -20,6 +23,10 @@ def kept(key: tuple, make: Callable[[], T]) -> T:
 
 def forget() -> None:
     """Drops what earlier tasks kept; for tasks that keep nothing themselves but need memory."""
-    if _KEPT:
-        _KEPT.clear()
-        gc.collect()
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)  # else what is freed stays with the process
+    except (OSError, AttributeError):
+        return  # another C library: nothing to trim
