@@ -150,12 +150,36 @@ def evidence_closed(derived: DataFrame, available: DataFrame) -> DataFrame:
     return alive
 
 
-def stitch_lines(lines: DataFrame, digits: int = 5) -> DataFrame:
-    """Lines that share an endpoint, to ``digits`` decimals, get one root; lines have id and both ends as x1, y1, x2, y2."""
-    end = lambda x, y: F.concat_ws(",", F.format_string(f"%.{digits}f", F.col(x)), F.format_string(f"%.{digits}f", F.col(y)))
-    touch = lines.select("id", F.explode(F.array(end("x1", "y1"), end("x2", "y2"))).alias("point"))
-    star = touch.withColumn("first", F.min("id").over(Window.partitionBy("point")))
-    return components(star.select(F.col("id").alias("a"), F.col("first").alias("b")))
+def line_roots(lines: DataFrame, join_km: float = 0.15) -> DataFrame:
+    """(line_id, root): lines whose ends come within ``join_km`` of each other, directly or over others, have one root. Lines have line_id and ``points`` of structs (lat, lon)."""
+    from .spatial import radius_join
+
+    ends = lines.filter(F.size("points") > 0).select("line_id", F.explode(F.array(F.element_at("points", 1), F.element_at("points", -1))).alias("p"))
+    ends = cut(ends.select(F.col("line_id").alias("id"), "p.lat", "p.lon"), "line-ends")
+    met = radius_join(ends, ends, join_km).filter("left_id <= right_id").select("left_id", "right_id").distinct()
+    return components(met, "left_id", "right_id").select(F.col("node").alias("line_id"), "root")
+
+
+def stitch_lines(lines: DataFrame, anchors: DataFrame, match_km: float = 2.5, radius_km: float = 6.0, join_km: float = 0.15, most: int = 96) -> DataFrame:
+    """(anchor_id, line_id, name, seed_km, points): for each anchor (id, lat, lon) the corridor of its nearest line.
+
+    The seed is the line (line_id, name, points) with the vertex nearest to the anchor, within ``match_km``, ties by id. Its corridor is every line of its root
+    (``line_roots``), under the seed's name, clipped to the vertices within ``radius_km`` of the anchor and one neighbour on either side, in order and once each; the
+    first ``most`` lines by id that keep two vertices or more. Anchors without a seed give no rows. Pairs of anchors and vertices meet by cells.
+    """
+    from .spatial import radius_join
+
+    vertices = cut(lines.select("line_id", F.posexplode("points").alias("at", "p")).select(F.struct("line_id", "at").alias("id"), "p.lat", "p.lon"), "line-vertices")
+    near = cut(radius_join(anchors, vertices, max(match_km, radius_km)).select("left_id", F.col("right_id.line_id").alias("line_id"), F.col("right_id.at").alias("at"), "km"), "line-near")
+    roots = cut(line_roots(lines, join_km), "line-roots")
+    seed = best_row(near.filter(F.col("km") <= match_km).select("left_id", "line_id", "km"), ["left_id"], [F.round("km", 9), F.col("line_id")])
+    seed = seed.join(lines.select("line_id", "name"), "line_id").join(roots, "line_id").select("left_id", "name", F.col("km").alias("seed_km"), "root")
+    inside = near.filter(F.col("km") <= radius_km).join(roots, "line_id").join(seed, ["left_id", "root"])
+    kept = inside.select("left_id", "line_id", "name", "seed_km", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("at")).distinct()
+    whole = kept.join(vertices.select(F.col("id.line_id").alias("line_id"), F.col("id.at").alias("at"), "lat", "lon"), ["line_id", "at"])
+    clipped = whole.groupBy("left_id", "line_id", "name", "seed_km").agg(F.array_sort(F.collect_list(F.struct("at", "lat", "lon"))).alias("points")).filter(F.size("points") >= 2)
+    first = F.row_number().over(Window.partitionBy("left_id").orderBy("line_id"))
+    return clipped.withColumn("n", first).filter(F.col("n") <= most).select(F.col("left_id").alias("anchor_id"), "line_id", "name", "seed_km", "points")
 
 
 def canonical_nodes(projects: DataFrame) -> DataFrame:
@@ -168,26 +192,74 @@ def canonical_nodes(projects: DataFrame) -> DataFrame:
     return nodes.join(alias, "slug", "left").select("slug", "name", "phases", F.coalesce("aliases", F.lit(0)).cast("long").alias("aliases"))
 
 
+def _joined(ways: list[list[tuple]]) -> list[list[tuple]]:
+    """Ways joined end to end, from the first one on, at either of its ends; each end is looked up once."""
+    at_end: dict[tuple, list[int]] = {}
+    for k, way in enumerate(ways):
+        for end in {way[0], way[-1]}:
+            at_end.setdefault(end, []).append(k)
+    used, rings = [False] * len(ways), []
+
+    def next_way(end: tuple) -> list[tuple] | None:
+        waiting = at_end.get(end, [])
+        while waiting and used[waiting[0]]:
+            waiting.pop(0)
+        if not waiting:
+            return None
+        used[waiting[0]] = True
+        return ways[waiting.pop(0)]
+
+    for k, way in enumerate(ways):
+        if used[k]:
+            continue
+        used[k], ring = True, list(way)
+        while ring[0] != ring[-1] and (more := next_way(ring[-1])):
+            ring += (more if more[0] == ring[-1] else more[::-1])[1:]
+        head: list[tuple] = []
+        while ring[0] != ring[-1] and (more := next_way(head[-1] if head else ring[0])):
+            end = head[-1] if head else ring[0]
+            head += (more if more[0] == end else more[::-1])[1:]
+            if head[-1] == ring[-1]:
+                break
+        rings.append(head[::-1] + ring)
+    return rings
+
+
+def _contains(ring: list[tuple], point: tuple) -> bool:
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        if (ay > point[1]) != (by > point[1]) and point[0] < ax + (point[1] - ay) * (bx - ax) / (by - ay):
+            odd = not odd
+    return odd
+
+
 def assemble_rings(ways: DataFrame) -> DataFrame:
-    """Member ways (relation_id, way_id, points array<struct<x,y>>) joined end to end to closed rings, one row a ring with its signed
-    area, counter-clockwise. Order-dependent inside a relation: one call a relation."""
+    """(relation_id, ring_no, role, closed, polygon_no, points, area, ring): member ways (relation_id, way_id, points array<struct<x,y>>, and ``role``, 'outer' where it is missing or null)
+    joined end to end, ways of a role with one another.
+
+    Closed rings of some area are polygons: outer ones run counter-clockwise and are polygons of their own number; inner ones run clockwise and take the
+    number of the smallest outer ring that holds their first point, null if none does. Rings that stay open, have under three different points or no area have
+    closed false and no number. Ways of other roles and of under two points are left out. Order-dependent inside a relation: one call a relation.
+    """
 
     def assemble(pdf):
         import pandas as pd
 
-        left = [[(p["x"], p["y"]) for p in r] for r in pdf.sort_values("way_id")["points"]]
-        rings = []
-        while left:
-            ring = left.pop(0)
-            while ring[0] != ring[-1]:
-                k = next((k for k, w in enumerate(left) if ring[-1] in (w[0], w[-1])), None)
-                if k is None:
-                    break
-                way = left.pop(k)
-                ring += (way if way[0] == ring[-1] else way[::-1])[1:]
-            closed = ring[0] == ring[-1] and len(ring) > 3
-            area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) / 2 if closed else 0.0
-            rings.append((pdf["relation_id"].iloc[0], len(rings), closed, len(ring), abs(area)))
-        return pd.DataFrame(rings, columns=["relation_id", "ring_no", "closed", "points", "area"])
-
-    return ways.groupBy("relation_id").applyInPandas(assemble, f"relation_id {ways.schema['relation_id'].dataType.simpleString()}, ring_no long, closed boolean, points long, area double")
+        found = []
+        roles = pdf["role"].fillna("outer").str.lower() if "role" in pdf else pd.Series("outer", index=pdf.index)
+        for role, turn in (("outer", 1), ("inner", -1)):
+            members = [[(p["x"], p["y"]) for p in r] for r in pdf[roles == role].sort_values("way_id")["points"] if r is not None and len(r) >= 2]
+            for ring in _joined(members):
+                ring = [p for k, p in enumerate(ring) if not k or p != ring[k - 1]]
+                area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) / 2
+                closed = ring[0] == ring[-1] and len(set(ring)) >= 3 and abs(area) > 1e-14
+                found.append((role, closed, ring[::-1] if closed and area * turn < 0 else ring, abs(area) if closed else 0.0))
+        outer = [k for k, f in enumerate(found) if f[0] == "outer" and f[1]]
+        rows = []
+        for k, (role, closed, ring, area) in enumerate(found):
+            holder = k if k in outer else min((o for o in outer if closed and _contains(found[o][2], ring[0])), key=lambda o: (found[o][3], o), default=None)
+            rows.append((pdf["relation_id"].iloc[0], k, role, closed, None if holder is None else outer.index(holder), len(ring), area, [{"x": x, "y": y} for x, y in ring]))
+        return pd.DataFrame(rows, columns=["relation_id", "ring_no", "role", "closed", "polygon_no", "points", "area", "ring"]).astype({"polygon_no": "Int64"})
+
+    kind = ways.schema["relation_id"].dataType.simpleString()
+    return ways.groupBy("relation_id").applyInPandas(assemble, f"relation_id {kind}, ring_no long, role string, closed boolean, polygon_no long, points long, area double, ring array<struct<x: double, y: double>>")

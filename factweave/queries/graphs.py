@@ -117,10 +117,21 @@ def g13_evidence_closed(t: Tables):
     return G.evidence_closed(derived, available).select("id")
 
 
-@query("SELECT n_nationkey AS node, CAST(floor(n_nationkey / 5) AS INT) * 5 AS root FROM nation")
+_LINES = "SELECT c_custkey AS k, concat('line:', c_custkey) AS line_id, concat('street ', c_custkey % 7) AS name, 12.8 + CAST(floor(c_custkey / 20) AS DOUBLE) * 0.02 AS lat, 77.4 + CAST(c_custkey % 20 AS DOUBLE) * 0.02 AS lon FROM {customer} WHERE c_custkey % 13 <> 0"
+_KM = "2 * 6371.0088 * atan2(sqrt(h), sqrt(1 - h))"
+
+
+@query(f"""WITH l AS ({_LINES.format(customer='customer')}), r AS (SELECT *, CAST(floor(k / 20) AS INT) AS line, k - row_number() OVER (PARTITION BY CAST(floor(k / 20) AS INT) ORDER BY k) AS root FROM l), v AS (SELECT *, lon + nth * 0.01::DOUBLE AS vlon FROM r, (VALUES (0), (1), (2)) AS t(nth)),
+    d AS (SELECT id, v.*, {_KM} AS km FROM (SELECT p.id, v.*, pow(sin(radians(v.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(v.lat)) * pow(sin(radians(vlon - p.lon) / 2), 2) AS h FROM places p JOIN v ON abs(v.lat - p.lat) < 0.1) v),
+    s AS (SELECT id, line, root, name, km FROM d WHERE km <= 2.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(km, 9), line_id) = 1),
+    i AS (SELECT DISTINCT d.id, d.line_id, s.name, s.km, d.nth + x AS nth FROM d JOIN s USING (id, line, root), (VALUES (-1), (0), (1)) AS o(x) WHERE d.km <= 6 AND d.nth + x BETWEEN 0 AND 2)
+    SELECT id AS anchor_id, line_id, name, round(km, 6) AS seed_km, count(*) AS n, min(nth) AS first, max(nth) AS last FROM i GROUP BY ALL HAVING count(*) >= 2""")
 def g14_stitch_lines(t: Tables):
-    k = F.col("n_nationkey")
-    return G.stitch_lines(t.nation.select(k.alias("id"), ((k % 5) * 0.1).alias("x1"), (F.floor(k / 5) * 1.0).alias("y1"), ((k % 5) * 0.1 + 0.1).alias("x2"), (F.floor(k / 5) * 1.0).alias("y2")))
+    """Streets of lines end to end, with gaps; each supplier's nearest street, clipped around it."""
+    lines = t.spark.sql(_LINES, customer=t.customer).select("line_id", "name", F.array(*[F.struct("lat", (F.col("lon") + i * 0.01).alias("lon")) for i in range(3)]).alias("points"))
+    found = G.stitch_lines(lines, t.places)
+    at = lambda f: f(F.transform("points", lambda p: p["at"])).cast("int")
+    return found.select("anchor_id", "line_id", "name", F.round("seed_km", 6).alias("seed_km"), F.size("points").cast("long").alias("n"), at(F.array_min).alias("first"), at(F.array_max).alias("last"))
 
 
 _PHASED = "SELECT concat(p_brand, ' ', p_size, CASE WHEN p_partkey % 3 = 0 THEN ' Phase II' WHEN p_partkey % 3 = 1 THEN ' Phase-2' ELSE '' END) AS name FROM {part}"
@@ -132,10 +143,19 @@ def g15_canonical_nodes(t: Tables):
     return G.canonical_nodes(t.spark.sql(_PHASED, part=t.part))
 
 
-@query("SELECT n_nationkey AS relation_id, 0 AS ring_no, TRUE AS closed, 5 AS points, CAST(1 + n_nationkey AS DOUBLE) AS area FROM nation")
+@query("""SELECT k AS relation_id, 0 AS ring_no, 'outer' AS role, true AS closed, 0 AS polygon_no, 5 AS points, CAST(64 + 16 * (k % 5) + (k % 5) * (k % 5) AS DOUBLE) AS area FROM (SELECT c_custkey AS k FROM customer)
+    UNION ALL SELECT c_custkey, 1, 'outer', true, 1, 4, 8.0 FROM customer UNION ALL SELECT c_custkey, 2, 'outer', false, NULL, 3, 0.0 FROM customer WHERE c_custkey % 4 = 0
+    UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 3 ELSE 2 END, 'inner', true, CASE WHEN c_custkey % 3 <> 0 THEN 0 END, 5, 4.0 FROM customer""")
 def g16_assemble_rings(t: Tables):
-    k = F.col("n_nationkey")
-    p = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), (F.lit(y) * (1 + k)).cast("double").alias("y"))
-    sides = [F.array(p(0, 0), p(1, 0)), F.array(p(1, 1), p(1, 0)), F.array(p(1, 1), p(0, 1)), F.array(p(0, 0), p(0, 1))]
-    ways = t.nation.select(k.alias("relation_id"), F.posexplode(F.array(*sides)).alias("way_id", "points"))
-    return G.assemble_rings(ways)
+    """A relation a customer: a square in four ways, a triangle in two, a way that stays open, and a hole in two ways, within the square or outside."""
+    k, size = F.col("k"), 8 + F.col("k") % 5
+    p = lambda x, y: F.struct(F.lit(0.0 + x if isinstance(x, (int, float)) else x).cast("double").alias("x"), F.lit(0.0 + y if isinstance(y, (int, float)) else y).cast("double").alias("y"))
+    way = lambda role, *points: F.struct(F.lit(role).alias("role"), F.array(*points).alias("points"))
+    far = F.when(k % 3 == 0, 50).otherwise(0)
+    hole = lambda x, y: p(far + x, F.lit(y))
+    members = [
+        way("outer", p(0, 0), p(size, 0)), way("Outer", p(size, size), p(size, 0)), way("outer", p(size, size), p(0, size)), way(None, p(0, 0), p(0, size)), way("outer", p(20, 0), p(24, 0), p(22, 4)), way("outer", p(20, 0), p(22, 4)),
+        F.when(k % 4 == 0, way("outer", p(30, 0), p(31, 0), p(31, 5))), way("inner", hole(2, 2), hole(4, 2), hole(4, 4)), way("inner", hole(2, 2), hole(2, 4), hole(4, 4)), way("label", p(1, 1), p(2, 2)),
+    ]
+    ways = t.customer.select(F.col("c_custkey").alias("k")).select(k.alias("relation_id"), F.posexplode(F.array(*members)).alias("way_id", "m")).filter("m IS NOT NULL").select("relation_id", "way_id", "m.role", "m.points")
+    return G.assemble_rings(ways).drop("ring")

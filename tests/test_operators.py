@@ -297,3 +297,23 @@ def test_parsed_quantities(spark):
     assert got["2,004-2,482"][0] == (2004.0, 2482.0) and got["2.59-3.53 Cr"][0] == (259.0, 353.0) and got["5-6 crore"][0] == (500.0, 600.0) and got["7"][0] == (7.0, 7.0) and got["none"][0] is None and got[None] == (None, None, None)
     assert [got[x][1] for x in ("-5 km", "5 km", "1 km 2 km")] == [None, 5.0, None]
     assert [got[x][2] for x in ("400kV;110000", "220000;x;66", ";")] == [400.0, 220.0, None]
+
+
+def test_rings_hold_their_holes_and_turn_the_right_way(spark):
+    pts = lambda *ps: [{"x": float(x), "y": float(y)} for x, y in ps]
+    square = lambda x, w: pts((x, x), (x, x + w), (x + w, x + w), (x + w, x), (x, x))
+    rows = [(1, 1, "outer", square(0, 10)), (1, 2, "outer", square(4, 3)), (1, 3, "inner", square(3, 5)), (1, 4, "inner", square(5, 1)), (1, 5, None, pts((20, 0), (21, 0))), (1, 6, "outer", pts((19, 5), (20, 0))), (1, 7, "outer", pts((21, 0), (19, 5))), (1, 8, "inner", pts((0, 0))), (1, 9, "outer", pts((40, 0), (41, 0))), (1, 10, "outer", pts((39, 1), (40, 0))), (2, 1, "outer", None)]
+    df = spark.createDataFrame(rows, "relation_id long, way_id long, role string, points array<struct<x: double, y: double>>")
+    got = {r.ring_no: r for r in G.assemble_rings(df).collect()}
+    area = lambda r: sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(r.ring, r.ring[1:])) / 2
+    assert {k: (r.role, r.closed, r.polygon_no, round(area(r), 6) if r.closed else None) for k, r in got.items()} == {0: ("outer", True, 0, 100.0), 1: ("outer", True, 1, 9.0), 2: ("outer", True, 2, 2.5), 3: ("outer", False, None, None), 4: ("inner", True, 0, -25.0), 5: ("inner", True, 1, -1.0)}
+    assert [(p["x"], p["y"]) for p in got[3].ring] in ([(39.0, 1.0), (40.0, 0.0), (41.0, 0.0)], [(41.0, 0.0), (40.0, 0.0), (39.0, 1.0)])
+
+
+def test_corridors_begin_at_the_nearest_line(spark):
+    line = lambda i, *ps: (i, f"name {i}", [{"lat": a, "lon": b} for a, b in ps])
+    lines = spark.createDataFrame([line("a", (0.0, 0.0), (0.0, 0.01)), line("b", (0.0, 0.011), (0.0, 0.05), (0.0, 0.1), (0.0, 0.2)), line("c", (0.3, 0.0), (0.3, 0.01)), line("d", (0.001, 0.0), (0.01, 0.0))], "line_id string, name string, points array<struct<lat: double, lon: double>>")
+    anchors = spark.createDataFrame([("x", 0.0, -0.01), ("y", 5.0, 5.0), ("z", 0.3, 0.02)], "id string, lat double, lon double")
+    got = {(r.anchor_id, r.line_id): (r.name, [p["at"] for p in r.points]) for r in G.stitch_lines(lines, anchors, radius_km=3.0).collect()}
+    assert got == {("x", "a"): ("name a", [0, 1]), ("x", "b"): ("name a", [0, 1]), ("x", "d"): ("name a", [0, 1]), ("z", "c"): ("name c", [0, 1])}
+    assert {k for k, _ in ((r.anchor_id, 0) for r in G.stitch_lines(lines, anchors, radius_km=3.0, most=2).collect())} == {"x", "z"}
