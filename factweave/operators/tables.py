@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.picks import best_row
+from ..plans.picks import best_row, in_order
 
 
 def merge_snapshots(*dfs: DataFrame) -> DataFrame:
@@ -111,6 +111,6 @@ def config_order(spec: list[tuple[str, str]]) -> list[Column]:
 def rank_shelves(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """A shelf per group value with its ``n`` best; shelves by distinct size, then name."""
     sizes = df.groupBy(group).agg(F.count_distinct("id").alias("size"))
-    sizes = sizes.withColumn("shelf", F.row_number().over(Window.orderBy(F.col("size").desc(), group)))
+    sizes = in_order(sizes, [F.col("size").desc(), F.col(group)], "shelf")
     top = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= n)
     return top.join(sizes, group)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import contains_phrase
 from ..plans.cut import cut, sized_join
 from .joins import fuzzy_token
 
@@ -18,25 +19,31 @@ def tokens(c: Column, stop: tuple[str, ...] = ()) -> Column:
 
 
 def stem(df: DataFrame, column: str) -> DataFrame:
-    """English endings cut from each token, in Arrow batches; each distinct token of a batch is stemmed once."""
-    endings = ("ational", "fulness", "iveness", "ations", "ation", "ness", "ings", "ing", "edly", "ies", "ied", "ed", "es", "ly", "s")
-
-    def one(word: str) -> str:
-        for e in endings:
-            if word.endswith(e) and len(word) - len(e) >= 3:
-                rest = word[: -len(e)] + ("y" if e in ("ies", "ied") else "")
-                doubled = e in ("ing", "ings", "ed", "edly") and rest[-1] == rest[-2] and rest[-1] not in "aeioulsz"
-                return rest[:-1] if doubled else rest
-        return word
+    """The tokens' English stems, in Arrow batches; each distinct token of a batch is stemmed once. A null list stays null, a null token too."""
 
     def run(batches):
+        from ..functions.stemmer import stem as one
+
         for pdf in batches:
-            known = {w: one(w) for ws in pdf[column] if ws is not None for w in ws}
+            known = {w: None if w is None else one(w) for ws in pdf[column] if ws is not None for w in ws}
             yield pdf.assign(**{column: [None if ws is None else [known[w] for w in ws] for ws in pdf[column]]})
 
     return df.mapInPandas(run, df.schema)
 
 
+def has_phrases(df: DataFrame, column: str, phrases: dict[str, list[str]]) -> DataFrame:
+    """Adds a column for each phrase, by name: whether the row's tokens hold its words in a row, by their stems on both sides."""
+    from ..functions.stemmer import stem as one
+
+    stemmed = stem(df, column)
+    return stemmed.withColumns({name: contains_phrase(F.col(column), [one(w.lower()) for w in words]) for name, words in phrases.items()})
+
+
+def stem_ngrams(c: Column, n: int) -> Column:
+    """Runs of ``n`` stems, joined by a space; fewer stems give none."""
+    return F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.array_join(F.slice(c, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
 def _fuzzy_keys(token: str) -> Column:
     """Keys that any two tokens which ``fuzzy_token`` matches have in common: the first four signs, for the prefixes, and what is left
     without any one sign, or without any two where the distance may be two; short tokens are their own key."""

@@ -83,7 +83,7 @@ def s10_extract_links(t: Tables):
 @query("SELECT user_id, ts, event_id FROM (SELECT CAST(user_id AS STRING) AS u, user_id, CAST(CAST(ts AS DATE) AS STRING) AS ts, event_id FROM events) WHERE contains(u, '99')")
 def s12_preview(t: Tables):
     rows = t.events.select("user_id", F.to_date("ts").cast("string").alias("ts"), "event_id")
-    return S.preview(rows, ["user_id", "ts", "event_id"], "user_id", "99", "contains", 1 << 30)
+    return S.preview(rows, ["user_id", "ts", "event_id"], "user_id", "99", "contains")
 
 
 @query("SELECT page_id, row - 1 AS row, trim(regexp_replace(item, '<[^>]*>', '', 'g')) AS label, regexp_extract(item, 'href=\"([^\"]*)\"', 1) AS link FROM (SELECT page_id, unnest(l) AS item, generate_subscripts(l, 1) AS row FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li>(.*?)</li>', 1) AS l FROM pages)) WHERE link <> ''")

@@ -25,8 +25,16 @@ def p28_tokens(t: Tables):
 
 @query()
 def p28_stem(t: Tables):
-    """Own endings; tested on listed words."""
-    return X.stem(t.conversations.select("conv_id", "turn", X.tokens(F.col("text")).alias("tokens")), "tokens")
+    """Stems, and runs of two and three; tested on the published sample."""
+    stems = X.stem(t.conversations.select("conv_id", "turn", X.tokens(F.col("text")).alias("tokens")), "tokens")
+    return stems.withColumns({"pairs": X.stem_ngrams(F.col("tokens"), 2), "triples": X.stem_ngrams(F.col("tokens"), 3)})
+
+
+@query()
+def p29_stemmed_phrase(t: Tables):
+    """P29 by stems: phrases of the documents in other forms."""
+    docs = t.documents.select("doc_id", X.tokens(F.col("text")).alias("tokens"))
+    return X.has_phrases(docs, "tokens", {"of_the": ["of", "the"], "licenses": ["Licensing", "under"]}).drop("tokens")
 
 
 @query(f"SELECT doc_id, contains(concat(' ', array_to_string({_TOK.format('text')}, ' '), ' '), ' of the ') AS has FROM documents")

@@ -85,10 +85,11 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
     return p.select("name", points.alias("ring"))
 
 
-def preview(df: DataFrame, columns: list[str], column: str, value: str, mode: str, limit: int) -> DataFrame:
-    """Chosen columns of rows that equal or contain a value, the first ``limit``."""
+def preview(df: DataFrame, columns: list[str], column: str, value: str, mode: str, limit: int | None = None) -> DataFrame:
+    """Chosen columns of rows that equal or contain a value; at most ``limit``, or all."""
     c = F.col(column).cast("string")
-    return df.filter(c == value if mode == "equal" else F.contains(F.lower(c), F.lit(value.lower()))).select(*columns).limit(limit)
+    found = df.filter(c == value if mode == "equal" else F.contains(F.lower(c), F.lit(value.lower()))).select(*columns)
+    return found if limit is None else found.limit(limit)
 
 
 def _all(pattern: str, group: int, column: str = "html") -> Column:

@@ -51,9 +51,36 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+#: Words of the stemmer's published sample, each with its stem.
+STEMS = (
+    "consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist consisting consist consists consist consolation consol consolations consol "
+    "consolatory consolatori console consol consoled consol consoles consol consolidate consolid consolidated consolid consolidating consolid consoling consol consolingly consol consols consol consonant conson consort consort consorted consort "
+    "conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir conspirators conspir conspire conspir conspired conspir conspiring conspir constable constabl constables constabl constance constanc constancy constanc constant constant "
+    "knack knack knackeries knackeri knacks knack knag knag knave knave knaves knave knavish knavish kneaded knead kneading knead knee knee kneel kneel kneeled kneel kneeling kneel kneels kneel knees knee knell knell knelt knelt knew knew knick knick "
+    "knif knif knife knife knight knight knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive knob knob knobs knob knock knock knocked knock knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot"
+).split()
+
+
 def test_stems(spark):
-    df = spark.createDataFrame([(["hopefulness", "cities", "running", "as", "quickly", "is"],), (None,)], "t array<string>")
-    assert [r.t for r in T.stem(df, "t").collect()] == [["hope", "city", "run", "as", "quick", "is"], None]
+    from factweave.functions.stemmer import stem
+
+    assert {w: stem(w) for w in STEMS[::2]} == dict(zip(STEMS[::2], STEMS[1::2]))
+    more = {"hopefulness": "hope", "cities": "citi", "running": "run", "generate": "generat", "communism": "communism", "skies": "sky", "dying": "die", "news": "news", "proceeding": "proceed", "gas": "gas", "this": "this", "ties": "tie", "cries": "cri", "hoping": "hope", "sensational": "sensat", "by": "by", "saying": "say", "youth": "youth", "boyish": "boyish", "agreed": "agre", "controlling": "control", "vietnamization": "vietnam", "dog's": "dog"}
+    assert {w: stem(w) for w in more} == more
+    df = spark.createDataFrame([(["hopefulness", "cities", "running", None, "is"],), (None,), ([],)], "t array<string>")
+    assert [r.t for r in T.stem(df, "t").collect()] == [["hope", "citi", "run", None, "is"], None, []]
+    got = T.stem(df, "t").select(T.stem_ngrams(F.col("t"), 2).alias("two"), T.stem_ngrams(F.col("t"), 6).alias("six")).collect()
+    assert got[0].two[:2] == ["hope citi", "citi run"] and got[0].six == [] and got[2].two == []
+    phrases = T.has_phrases(spark.createDataFrame([(["quick", "running", "dogs"],), (["dog", "run"],)], "t array<string>"), "t", {"p": ["Runs", "dog"]}).collect()
+    assert [r.p for r in phrases] == [True, False]
+
+
+def test_ranks_over_all_rows_need_no_single_task(spark):
+    from factweave.plans.picks import in_order
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    got = in_order(df, [F.col("k").desc()], "rank")
+    assert [r["rank"] for r in got.orderBy(F.desc("k")).collect()] == list(range(1, 1001))
 
 
 def test_hashed_vectors_have_length_one_and_follow_the_text(spark):
