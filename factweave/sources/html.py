@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|([^<]+|<)", re.I | re.S)
 _ATTRIBUTE = re.compile(r"(?<![a-z-])([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _MOST_COLUMNS = 1000
@@ -118,7 +120,8 @@ def _tables(page: str) -> list[_Table]:
 def table_cells(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
     """The grid of every table: (key, table_no, table_id, row, col, width, header, text, link, spanned), all counted from 0.
 
-    A cell that spans fills each of its places, with ``spanned`` at all but the first; ``width`` is the number of its columns. Pages that are null or have no table give no rows.
+    A cell that spans fills each of its places, with ``spanned`` at all but the first; ``width`` is the number of its columns.
+    The grid is written to the shared folder: what reads cells reads them several times, and pages are read once. Pages that are null or have no table give no rows.
     """
     of_id = pages.schema[key].dataType.simpleString()
 
@@ -137,7 +140,7 @@ def table_cells(pages: DataFrame, key: str = "page_id", column: str = "html") ->
 
     # ids go as strings: whole numbers beside nulls would turn into floating ones
     cells = pages.select(F.col(key).cast("string").alias("__key"), F.col(column).alias("__page")).mapInPandas(read, f"`{key}` string, table_no int, table_id string, row int, col int, width int, header boolean, text string, link string, spanned boolean")
-    return cells.withColumn(key, F.col(key).cast(of_id))
+    return cut(cells.withColumn(key, F.col(key).cast(of_id)), "table-cells")
 
 
 def _label(c: Column) -> Column:
