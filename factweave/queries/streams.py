@@ -30,7 +30,25 @@ def st2_merge_deltas(t: Tables):
     return M.latest(t.spark, root, t.facts.schema).select("entity_id", "fact_key", "source_type", "source_url", "value_text", "fact_no")
 
 
-@query("SELECT concat('user:', user_id) AS entity_id, missing_fact, count(*) AS wanted FROM (SELECT user_id, event_type AS missing_fact FROM events WHERE value > 10 UNION ALL SELECT user_id, 'any' FROM events) GROUP BY ALL")
-def st3_gap_demand(t: Tables):
+_GAPS = "SELECT concat('user:', user_id) AS entity_id, missing_fact, count(*) AS wanted FROM (SELECT user_id, event_type AS missing_fact FROM events WHERE value > 10 UNION ALL SELECT user_id, 'any' FROM events) GROUP BY ALL"
+
+
+def _gaps(t: Tables):
+    """Each event with what it lacked."""
     gap = lambda fact, when: F.when(when, F.struct(F.concat(F.lit("user:"), "user_id").alias("entity_id"), fact.alias("missing_fact")))
-    return E.gap_demand(t.events.select(F.array_compact(F.array(gap(F.col("event_type"), F.col("value") > 10), gap(F.lit("any"), F.lit(True)))).alias("gaps")))
+    return t.events.select(F.array_compact(F.array(gap(F.col("event_type"), F.col("value") > 10), gap(F.lit("any"), F.lit(True)))).alias("gaps"))
+
+
+@query(_GAPS)
+def st3_gap_demand(t: Tables):
+    return E.gap_demand(_gaps(t))
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY wanted DESC, entity_id, missing_fact) AS rank FROM ({_GAPS})")
+def st3_gap_queue(t: Tables):
+    """The events arrive in four batches; counts are state of the stream, what each batch changes is upserted."""
+    arriving, root = E.scratch(t.spark, "gaps-arriving"), E.scratch(t.spark, "gaps-wanted")
+    _gaps(t).repartition(4).write.parquet(arriving)
+    stream = t.spark.readStream.schema(_gaps(t).schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    E.stream_gap_demand(stream, root, root + "-progress", whole_every=3).awaitTermination()
+    return E.gap_queue(t.spark, root).withColumn("rank", F.col("rank").cast("long"))

@@ -1,11 +1,13 @@
 """Batches merged into buckets: what is rewritten, what a repeated batch does, and the result against one compaction of all rows."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators.windows import compact_facts
+from factweave.streaming import events as E
 from factweave.streaming import merge as M
 
 SCHEMA = "entity_id string, fact_key string, source_type string, source_url string, value_text string, confidence double, skill_id string, fact_no long"
@@ -59,3 +61,30 @@ def test_an_uncommitted_batch_is_not_seen(spark, batches, tmp_path):
     M._write(batches[1].withColumn("bucket", F.lit(1)), f"{root}/delta/epoch=1")  # the driver is lost before the manifest
     assert rows(M.latest(spark, root, batches[0].schema)) == want
     assert M.latest(spark, f"file://{tmp_path}/nothing", batches[0].schema).count() == 0
+
+
+def test_demand_of_batches_equals_that_of_all_events(spark, tmp_path):
+    gap = "gaps array<struct<entity_id: string, missing_fact: string>>"
+    events = [([(f"e{i % 5}", "area"), (f"e{i % 3}", "price")] if i % 4 else [],) for i in range(60)] + [(None,)]
+    for k in range(6):
+        spark.createDataFrame(events[k::6], gap).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    root = f"file://{tmp_path}/wanted"
+    stream = spark.readStream.schema(gap).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = lambda: E.stream_gap_demand(stream, root, f"{tmp_path}/progress", whole_every=2).awaitTermination()
+    assert E.gap_queue(spark, root).count() == 0
+    run()
+    queue = lambda: sorted((r.rank, -r.wanted, r.entity_id, r.missing_fact) for r in E.gap_queue(spark, root).collect())
+
+    def want(rows):
+        counted = Counter(g for (gaps,) in rows for g in gaps or [])
+        return [(i, *key) for i, key in enumerate(sorted((-n, *g) for g, n in counted.items()), 1)]
+
+    assert queue() == want(events) and len(E._committed(spark, root, "changed")) >= 6 and len(E._committed(spark, root, "whole")) >= 3
+    more = [([("e0", "floor")] * 40,)]
+    spark.createDataFrame(more, gap).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert queue() == want(events + more)
+    last = E._committed(spark, root, "changed")[-1]
+    again = spark.read.parquet(f"{root}/changed/epoch={last}").collect()
+    E.upsert_demand(spark.createDataFrame(again, E._DEMAND), last, root, 2)  # the batch runs once more
+    assert queue() == want(events + more)
