@@ -2,16 +2,48 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.picks import best_row
 
+#: Bytes that are read of a file at once.
+_BLOCK = 4 << 20
+
+
+def _opened(path: str):
+    """A stream of a file's bytes, from any store that Arrow opens; s3a is s3 there."""
+    scheme, _, rest = path.partition(":")  # Spark gives paths as they are, Arrow wants them quoted
+    uri = f"file://{quote('/' + rest.lstrip('/'))}" if scheme == "file" else f"{'s3' if scheme == 's3a' else scheme}:{quote(rest, safe='/:@')}"
+    system, place = fs.FileSystem.from_uri(uri)
+    return system.open_input_stream(place, buffer_size=0)
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Size and SHA-256 of each file, read in blocks."""
+    for batch in batches:
+        for path in batch["path"]:
+            digest, size = hashlib.sha256(), 0
+            with _opened(path) as stream:
+                while block := stream.read(_BLOCK):
+                    digest.update(block)
+                    size += len(block)
+            yield pd.DataFrame({"path": [path], "bytes": [size], "sha256": [digest.hexdigest()]})
+
 
 def stat_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of the files under a path, read in parallel."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of the files under a path. Spark lists them and packs them into tasks by size; a task reads its files in blocks of 4 MB,
+    so that memory stays flat at any size of file. A file that goes while it is read is an error. Spark's listing leaves out empty files, which
+    therefore count as missing."""
+    listed = spark.read.format("binaryFile").load(path).select("path")  # without the content, which isn't read then
+    return listed.mapInPandas(_digests, "path string, bytes long, sha256 string")
 
 
 def verify_artifacts(manifest: DataFrame, found: DataFrame) -> DataFrame:

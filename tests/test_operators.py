@@ -1,5 +1,6 @@
 """Operators that SQL cannot state, on literal rows against plain loops; invariants and plans."""
 
+import hashlib
 import re
 
 import pytest
@@ -344,3 +345,11 @@ def test_corridors_begin_at_the_nearest_line(spark):
     got = {(r.anchor_id, r.line_id): (r.name, [p["at"] for p in r.points]) for r in G.stitch_lines(lines, anchors, radius_km=3.0).collect()}
     assert got == {("x", "a"): ("name a", [0, 1]), ("x", "b"): ("name a", [0, 1]), ("x", "d"): ("name a", [0, 1]), ("z", "c"): ("name c", [0, 1])}
     assert {k for k, _ in ((r.anchor_id, 0) for r in G.stitch_lines(lines, anchors, radius_km=3.0, most=2).collect())} == {"x", "z"}
+
+
+def test_files_are_digested_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "_BLOCK", 1000)
+    for name, n in (("empty", 0), ("one block, 100%20 é", 1000), ("many blocks", 123_457)):
+        (tmp_path / name).write_bytes(bytes(i % 251 for i in range(n)))
+    got = {r.path.rpartition("/")[2]: (r.bytes, r.sha256) for r in P.stat_artifacts(spark, f"file://{tmp_path}").collect()}
+    assert got == {f.name: (f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in tmp_path.iterdir() if f.name != "empty"}  # Spark lists no empty files
