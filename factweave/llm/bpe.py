@@ -1,6 +1,6 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and its inverse.
 
-Text is cut where no merge can reach across (before white space that follows a word), so a chunk of any text can be
+Text is cut where no merge can reach across (before white space or punctuation that follows a word), so a chunk of any text can be
 encoded alone. Inside a chunk the vocabulary's pattern gives pieces, and each piece, short or long, is fed to the
 transducer (``transduce``): it reads a window, merges it, and emits the tokens that end at least ``lookahead`` bytes before the
 window's end, or all of them where the piece ends. The next window starts at the last stable boundary, so memory stays
@@ -11,13 +11,14 @@ The lookahead is computed from the merge list. What is still unknown at the righ
 of v. Chains of rising rank give the longest way, plus the longest token for the one that crosses the end.
 
 Pieces met lately are kept with the tokens that the transducer gave, as arcs that have been built; pieces not met are
-fed to it many at a time, in lockstep, over flat arrays.
+fed to it many at a time: short ones in lockstep, over flat arrays, windows of long ones each with a heap of its pairs.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 import json
 from array import array
 from collections.abc import Iterator
@@ -42,12 +43,16 @@ CHUNK = 1 << 16
 WINDOW = 4096
 ARCS = 1 << 17
 ARC_CHARS = 1024
+#: Windows beyond this many bytes are merged by a heap: rounds over flat arrays would grow with the square of their length.
+LOCKSTEP = 128
 _NEWER = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NEWER)
 _ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PIECES = regex.compile(_ASCII_PIECES)
 _HAS_NEWER = regex.compile(f"[{_NEWER}]")
 _EXACT_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{_NEWER}]]+| ?[\p{{N}}--[{_NEWER}]]+| ?[[^\s\p{{L}}\p{{N}}]||[{_NEWER}]]+|\s+(?!\S)|\s+", regex.V1)
-_SAFE = regex.compile(r"(?<=[!-~\p{L}\p{N}])(?=[ \n])")
+#: Places that no piece goes across: white space after a word or an ASCII sign, punctuation after a word. Left out are the apostrophe, which begins
+#: pieces of its own kind, signs that strings of special tokens are made of, and what the library's tables take for other signs.
+SAFE = regex.compile(rf"(?<=[!-~\p{{L}}\p{{N}}])(?=[ \n])|(?<=[[\p{{L}}\p{{N}}]--[{_NEWER}]])(?=[[\p{{P}}--[\x00-\x7F]]||[!\"#$%\&()*+,\-./:;=?@{{}}]])", regex.V1)
 _NONE = 1 << 30
 
 
@@ -79,6 +84,7 @@ class ByteBpe:
         order = np.argsort(keys, kind="stable")
         self._keys, self._ranks = np.append(keys[order], np.int64(1) << 62), np.append(order, _NONE)
         self._merged = np.array([vocab[a + b] for a, b in sides], np.int64)
+        self._rank_of = dict(zip(keys.tolist(), range(len(keys))))
         self.lookahead = self._lookahead(sides)
         self.window = max(WINDOW, 4 * self.lookahead)
         self.arcs: dict[str, bytes] = {}
@@ -142,8 +148,41 @@ class ByteBpe:
             starts = np.cumsum(sizes) - sizes
         return out
 
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The tokens of one long piece: its pairs in a heap by rank and place, the tokens as a linked list, so that each merge costs a step of the heap."""
+        first = self.single[np.frombuffer(piece, np.uint8)]
+        tok, n, rank_of, merged = first.tolist(), len(first), self._rank_of, self._merged
+        rank = [*self._rank(first[:-1], first[1:]).tolist(), _NONE]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i, r in enumerate(rank) if r < _NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i = divmod(heapq.heappop(heap), 1 << 32)
+            if rank[i] != r:  # a neighbour's merge came first
+                continue
+            gone = after[i]
+            tok[i], tok[gone], rank[gone] = int(merged[r]), -1, _NONE
+            right = after[i] = after[gone]
+            if right < n:
+                before[right] = i
+                rank[i] = rank_of.get(tok[i] << 32 | tok[right], _NONE)
+                if rank[i] < _NONE:
+                    heapq.heappush(heap, rank[i] << 32 | i)
+            else:
+                rank[i] = _NONE
+            left = before[i]
+            if left >= 0:
+                rank[left] = rank_of.get(tok[left] << 32 | tok[i], _NONE)
+                if rank[left] < _NONE:
+                    heapq.heappush(heap, rank[left] << 32 | left)
+        return [t for t in tok if t >= 0]
+
+    def _merged_each(self, buffers: list[bytes]) -> list[list[int]]:
+        short = iter(self.merge([b for b in buffers if len(b) <= LOCKSTEP]))
+        return [next(short) if len(b) <= LOCKSTEP else self.merge_long(b) for b in buffers]
+
     def transduce(self, pieces: list[bytes]) -> Iterator[tuple[int, list[int]]]:
-        """The machine: (piece, tokens) in parts as they become stable, each piece's in order, all pieces fed in lockstep.
+        """The machine: (piece, tokens) in parts as they become stable, each piece's in order, all pieces fed together.
 
         A piece is read by windows. A window that ends it gives all its tokens; else those that end ``lookahead`` before the window's end
         are emitted, as no later byte can change them, and the next window starts behind them.
@@ -151,7 +190,7 @@ class ByteBpe:
         live = [(k, 0) for k in range(len(pieces))]
         while live:
             buffers, later = [pieces[k][at : at + self.window] for k, at in live], []
-            for (k, at), buffer, tokens in zip(live, buffers, self.merge(buffers)):
+            for (k, at), buffer, tokens in zip(live, buffers, self._merged_each(buffers)):
                 if at + len(buffer) < len(pieces[k]):
                     end, stable = 0, 0
                     while end + len(self.text[tokens[stable]]) <= len(buffer) - self.lookahead:
@@ -198,7 +237,7 @@ class ByteBpe:
             while at < end:
                 to = min(at + CHUNK, end)
                 if to < end:
-                    safe = _SAFE.search(text, to, end)
+                    safe = SAFE.search(text, to, end)
                     to = safe.start() if safe else end
                 yield text[at:to]
                 at = to

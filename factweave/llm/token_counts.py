@@ -10,26 +10,24 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import arrow_batches
+from .bpe import SAFE
 from .tokens import default_vocabulary
 from .worker import kept
 
 PIECE = 1 << 16
 BATCH_CHARS = 1 << 18
 LIMIT = 1024
-#: White space after a letter, digit or ASCII sign: pre-tokenizers start anew there.
-_SAFE = regex.compile(r"(?<=[!-~\p{L}\p{N}])(?=[ \n])")
 
 
 def split_safely(text: str, size: int = PIECE) -> list[str]:
     """Parts of about ``size`` characters that give the same tokens one by one; a text without a safe place stays whole."""
     parts, at = [], 0
     while len(text) - at > size:
-        safe = _SAFE.search(text, at + size)
+        safe = SAFE.search(text, at + size)
         if not safe:
             break
         parts.append(text[at : safe.start()])

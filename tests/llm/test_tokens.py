@@ -116,6 +116,30 @@ def test_texts_are_split_safely():
         assert "".join(parts) == text and sum(len(want(p)) for p in parts) == len(want(text))
 
 
+def test_texts_without_spaces_are_split_at_signs():
+    """Prose without spaces, and code: chunks stay bounded, tokens stay the library's, strings of special tokens stay whole."""
+    rng = random.Random(4)
+    letters, signs = "的一是不了人我在有他這中大来上国", "，。、；！「」՘ꟍ'’<|>_-.,(){}=%&#"
+    special = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(60):
+        text = "".join(rng.choice(["<|endoftext|>", "<|startoftext|>", "'ll", "e\u0301", *letters, *"abcXYZ019", *signs]) for _ in range(500))
+        parts = C.split_safely(text, 30)
+        assert "".join(parts) == text and max(map(len, parts)) < 400
+        assert [i for p in parts for i in want(p)] == want(text)
+        assert [i for p in parts for i in special.encode(p, add_special_tokens=False).ids] == special.encode(text, add_special_tokens=False).ids
+    text = "".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) + rng.choice("，。") for _ in range(20_000))
+    assert max(len(c) for c in BPE.chunks(text)) < (1 << 16) + 100
+    assert Encoder(BPE).encode([text]) == [want(text)]
+
+
+def test_long_pieces_merge_alike_by_heap_and_in_lockstep():
+    rng = random.Random(8)
+    for alphabet in ("ab", "theandingers", "的一是不了", "=-#"):
+        for n in (1, 2, 130, 900):
+            piece = "".join(rng.choice(alphabet) for _ in range(n)).encode()
+            assert [BPE.merge_long(piece)] == BPE.merge([piece])
+
+
 def test_sentencepiece_counts():
     import sentencepiece
 
