@@ -56,22 +56,34 @@ def bfs(edges: DataFrame, anchors: DataFrame, types: list[str] | None, depth: in
     return seen
 
 
+def walk_edges(edges: DataFrame, anchors: DataFrame, types: list[str], depth: int) -> DataFrame:
+    """(anchor, depth, src, edge_type, dst): each edge of ``types`` once that a walk of at most ``depth`` hops from the anchor meets, also those that lead back
+    to nodes met before; ``depth`` is the hop that takes it. No types or no depth give nothing."""
+    e = edges.filter(F.col("edge_type").isin(list(types))).select("src", "edge_type", "dst").distinct()
+    if depth < 1:
+        return anchors.limit(0).select(F.col("node").alias("anchor"), F.lit(1).alias("depth")).join(e, F.lit(False))
+    here = bfs(edges, anchors, list(types), depth - 1)
+    return here.join(e, here["node"] == e["src"]).select("anchor", (F.col("depth") + 1).alias("depth"), "src", "edge_type", "dst")
+
+
 def shortest_path(edges: DataFrame, pairs: DataFrame, hops: int) -> DataFrame:
-    """(a, b, hops, path) of the shortest undirected path of at most ``hops``; of equal ones the least path. A node is zero hops from
-    itself. One path a node and pair is kept at each hop, so that the frontier stays within nodes times pairs; the last hop only
+    """(a, b, hops, path, relations) of the shortest undirected path of at most ``hops``; of equal ones the least path, and of parallel edges
+    the least relation. A node is zero hops, and no relation, from itself. One path a node and pair is kept at each hop, so that the frontier stays within nodes times pairs; the last hop only
     looks for the edge to the target, so that no hub is opened for it."""
-    e = cut(both_ways(edges).select("src", "dst").distinct(), "path-edges")
-    front = cut(pairs.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")).distinct(), "path-0")
-    found = front.filter("a = b").select("a", "b", F.lit(0).alias("hops"), F.col("a").cast("string").alias("path"))
+    e = cut(both_ways(edges).groupBy("src", "dst").agg(F.min("edge_type").alias("edge_type")), "path-edges")
+    start = pairs.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path"), F.array().cast("array<string>").alias("relations"))
+    front = cut(start.distinct(), "path-0")
+    found = front.filter("a = b").select("a", "b", F.lit(0).alias("hops"), F.col("a").cast("string").alias("path"), F.lit("").alias("relations"))
     front = seen = front.filter("a <> b")
+    longer = lambda node: F.min(F.struct(F.concat("path", F.array(node)).alias("path"), F.concat("relations", F.array("edge_type")).alias("relations"))).alias("p")
     for h in range(1, hops + 1):
-        met = front.join(e.select(F.col("src").alias("node"), F.col("dst").alias("b")), ["node", "b"]).groupBy("a", "b").agg(F.min("path").alias("path"))
-        met = cut(met.select("a", "b", F.lit(h).alias("hops"), F.concat_ws(">", F.array_join("path", ">"), F.col("b")).alias("path")), "path-met")
+        met = front.join(e.select(F.col("src").alias("node"), F.col("dst").alias("b"), "edge_type"), ["node", "b"]).groupBy("a", "b").agg(longer("b"))
+        met = cut(met.select("a", "b", F.lit(h).alias("hops"), F.array_join("p.path", ">").alias("path"), F.array_join("p.relations", ">").alias("relations")), "path-met")
         found = found.unionByName(met)
         if h == hops:
             break
         step = front.join(met.select("a", "b"), ["a", "b"], "left_anti").join(e, F.col("node") == F.col("src"))
-        step = step.groupBy("a", "b", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        step = step.groupBy("a", "b", F.col("dst").alias("node")).agg(longer("dst")).select("a", "b", "node", "p.*")
         front = cut(step.join(seen.select("a", "b", "node"), ["a", "b", "node"], "left_anti"), "path-step")
         seen = seen.unionByName(front)
     return found

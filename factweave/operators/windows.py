@@ -22,17 +22,27 @@ def compact_facts(facts: DataFrame) -> DataFrame:
     return best_row(facts, ["entity_id", "fact_key", "source_type", "source_url"], [F.col("confidence"), F.coalesce("value_text", F.lit("")), F.col("skill_id"), F.col("fact_no")], descending=True)
 
 
-def resolve_facts(facts: DataFrame, trust: dict[str, int], key_trust: dict[tuple[str, str], int] | None = None, cap: float = 0.9) -> DataFrame:
+def resolve_facts(facts: DataFrame, trust: dict[str, int], key_trust: dict[tuple[str, str], int] | None = None, cap: float = 0.9, multi_value: list[str] = (), caps: dict[str, float] | None = None) -> DataFrame:
     """Per (entity, key) the best source for the key, then the best tier, then capped confidence, confidence, largest tuple.
 
-    ``trust`` ranks sources (lower is better, unknown last); ``key_trust`` overrides it for (fact_key, source).
+    ``trust`` ranks sources (lower is better, unknown last); ``key_trust`` overrides it for (fact_key, source). A key of ``multi_value`` keeps one fact for each
+    (source, url, skill), where a fact without a url stands for its value. ``caps`` bounds the confidence of single sources, in place of ``cap`` for all.
     """
     tier = _tier(trust, "source_type")
     special = F.lit(None).cast("int")
     for (key, source), rank in (key_trust or {}).items():
         special = F.when((F.col("fact_key") == key) & (F.col("source_type") == source), F.lit(rank)).otherwise(special)
     special = F.coalesce(special, F.lit(1 << 20))
-    return best_row(facts, ["entity_id", "fact_key"], [-special, -tier, F.least("confidence", F.lit(cap)), F.col("confidence"), F.coalesce("value_text", F.lit("")), F.col("fact_no")], descending=True)
+    bound = F.lit(cap)
+    if caps is not None:
+        bound = F.lit(None).cast("double")
+        for source, most in caps.items():
+            bound = F.when(F.col("source_type") == source, F.lit(most)).otherwise(bound)
+    order = [-special, -tier, F.least("confidence", bound), F.col("confidence"), F.coalesce("value_text", F.lit("")), F.col("fact_no")]
+    if not multi_value:
+        return best_row(facts, ["entity_id", "fact_key"], order, descending=True)
+    repeated = F.when(F.col("fact_key").isin(list(multi_value)), F.struct("source_type", F.coalesce("source_url", "value_text").alias("told"), "skill_id"))
+    return best_row(facts.withColumn("repeated", repeated), ["entity_id", "fact_key", "repeated"], order, descending=True).drop("repeated")
 
 
 def current_facts(facts: DataFrame) -> DataFrame:

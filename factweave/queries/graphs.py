@@ -42,9 +42,15 @@ def g4_bfs(t: Tables):
     return G.bfs(t.edges, t.part.select(F.concat(F.lit("part:"), "p_partkey").alias("node")), ["supplied_by", "located_in"], 3)
 
 
-@query("""WITH e AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges WHERE edge_type IN ('part_of', 'located_in') UNION ALL SELECT dst, src FROM edges WHERE edge_type IN ('part_of', 'located_in'))), p AS (SELECT concat('customer:', c_custkey) AS a, concat('region:', c_custkey % 5) AS b FROM customer),
-    h1 AS (SELECT a, b, dst AS n1 FROM p JOIN e ON src = a), h2 AS (SELECT a, b, n1, dst AS n2 FROM h1 JOIN e ON src = n1)
-    SELECT a, b, 2 AS hops, min(concat(a, '>', n1, '>', n2)) AS path FROM h2 WHERE n2 = b GROUP BY ALL""")
+@query("WITH " + _REACH.format(start="concat('part:', p_partkey)", src="part", edges="(SELECT DISTINCT src, dst FROM edges WHERE edge_type IN ('supplied_by', 'located_in', 'part_of'))", depth=2)
+    + ", n AS (SELECT anchor, node, min(depth) AS depth FROM r GROUP BY ALL) SELECT DISTINCT anchor, depth + 1 AS depth, src, edge_type, dst FROM n JOIN edges ON src = node AND edge_type IN ('supplied_by', 'located_in', 'part_of')")
+def g4_walk_edges(t: Tables):
+    return G.walk_edges(t.edges, t.part.select(F.concat(F.lit("part:"), "p_partkey").alias("node")), ["supplied_by", "located_in", "part_of"], 3)
+
+
+@query("""WITH e AS (SELECT src, dst, min(edge_type) AS rel FROM (SELECT src, dst, edge_type FROM edges WHERE edge_type IN ('part_of', 'located_in') UNION ALL SELECT dst, src, edge_type FROM edges WHERE edge_type IN ('part_of', 'located_in')) GROUP BY ALL), p AS (SELECT concat('customer:', c_custkey) AS a, concat('region:', c_custkey % 5) AS b FROM customer),
+    h1 AS (SELECT a, b, dst AS n1, rel AS r1 FROM p JOIN e ON src = a), h2 AS (SELECT a, b, n1, r1, dst AS n2, rel AS r2 FROM h1 JOIN e ON src = n1)
+    SELECT a, b, 2 AS hops, min(concat(a, '>', n1, '>', n2)) AS path, arg_min(concat(r1, '>', r2), concat(a, '>', n1, '>', n2)) AS relations FROM h2 WHERE n2 = b GROUP BY ALL""")
 def g5_shortest_path(t: Tables):
     pairs = t.customer.select(F.concat(F.lit("customer:"), "c_custkey").alias("a"), F.concat(F.lit("region:"), F.col("c_custkey") % 5).alias("b"))
     return G.shortest_path(t.edges.filter("edge_type IN ('part_of', 'located_in')"), pairs, 2)

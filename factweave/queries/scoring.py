@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators import recall as C
 from ..operators import scoring as R
 from ..operators import spatial as S
 from .joins import _KM, _pairs  # noqa: F401
@@ -92,6 +93,42 @@ def r9_recall_candidates(t: Tables):
     return R.recall_candidates(_channels(t), {"area": 10, "near": 20}, 12).withColumn("rank", F.col("rank").cast("long"))
 
 
+_OFFERS = """SELECT concat('part:', p_partkey) AS id, p_type AS area, CASE WHEN p_partkey % 11 > 0 THEN p_brand END AS builder, CASE WHEN p_partkey % 13 > 0 THEN CAST(floor(p_retailprice * 100) AS BIGINT) ELSE 0 END AS price, 12.8 + CAST(p_partkey * 37 % 997 AS DOUBLE) / 2500 AS lat, 77.4 + CAST(p_partkey * 91 % 1009 AS DOUBLE) / 2500 AS lon,
+    concat(p_name, ' ', p_type) AS text, p_partkey % 2 AS listing, CASE p_partkey % 3 WHEN 0 THEN 'Flat' WHEN 1 THEN 'apartment' ELSE 'villa' END AS kind, p_partkey % 100 = 0 AS asked FROM {part}"""
+_LOWEST = "QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY i.id) <= {}"
+_PAIR = "FROM a JOIN i ON a.id <> i.id AND a.listing = i.listing AND a.grp = i.grp"
+_OFFER_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: len(x) >= 2)"
+_OFFER_KM = _KM.replace("a.", "p.").replace("b.", "q.")
+
+
+@query(f"""WITH i AS (SELECT *, CASE WHEN kind = 'villa' THEN 'villa' ELSE 'flat' END AS grp FROM ({_OFFERS.format(part="part")})), a AS (SELECT * FROM i WHERE asked),
+    area AS (SELECT a.id AS anchor, i.id AS candidate, 0.4::DOUBLE AS score, 'area' AS channel, true AS recall {_PAIR} AND lower(a.area) = lower(i.area) {_LOWEST.format(40)}),
+    builder AS (SELECT a.id, i.id, 0.3::DOUBLE, 'builder', true {_PAIR} AND lower(a.builder) = lower(i.builder) {_LOWEST.format(30)}),
+    price AS (SELECT a.id, i.id, 0.2::DOUBLE, 'price', false {_PAIR} AND a.price > 0 AND i.price > 0 AND i.price BETWEEN ceil(a.price * 0.9::DOUBLE) AND floor(a.price * 1.1::DOUBLE) {_LOWEST.format(60)}),
+    e AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'supplied_by'),
+    shared AS (SELECT DISTINCT x.src AS anchor, y.src AS candidate FROM e x JOIN e y USING (dst)),
+    neighbor AS (SELECT a.id, i.id, 0.5::DOUBLE, 'neighbor', true {_PAIR} JOIN shared ON anchor = a.id AND candidate = i.id {_LOWEST.format(30)}),
+    far AS (SELECT p.id AS pid, q.id AS qid, {_OFFER_KM} AS km FROM a p JOIN i q ON p.id <> q.id, LATERAL (SELECT pow(sin((radians(q.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2) AS h)),
+    nearest AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY pid ORDER BY km, qid) <= 40),
+    spatial AS (SELECT a.id, i.id, 0.4::DOUBLE * round(1 - km / 8, 6), 'spatial', true {_PAIR} JOIN nearest ON pid = a.id AND qid = i.id AND km < 8),
+    k AS (SELECT id, len({_OFFER_TOKENS}) AS length, unnest({_OFFER_TOKENS}) AS token FROM i), tf AS (SELECT id, length, token, count(*) AS tf FROM k GROUP BY ALL), c AS (SELECT count(*) AS docs, avg(len({_OFFER_TOKENS})) AS mean FROM i),
+    df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT DISTINCT id AS q, token FROM k WHERE id IN (SELECT id FROM a)), terms AS (SELECT q, count(*) AS terms FROM s GROUP BY 1),
+    hit AS (SELECT q, id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM s JOIN tf USING (token) JOIN df USING (token) JOIN terms USING (q), c GROUP BY q, id HAVING count(*) = max(terms)),
+    top AS (SELECT *, greatest(1, max(score) OVER (PARTITION BY q)) AS most FROM (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, id) <= 30)),
+    lexical AS (SELECT a.id, i.id, 0.2::DOUBLE * round(score / most, 6), 'lexical', true {_PAIR} JOIN top ON top.q = a.id AND top.id = i.id),
+    u AS (SELECT * FROM area UNION ALL SELECT * FROM builder UNION ALL SELECT * FROM price UNION ALL SELECT * FROM neighbor UNION ALL SELECT * FROM spatial UNION ALL SELECT * FROM lexical)
+    SELECT anchor, candidate, round(sum(score), 6) AS score, string_agg(channel, '+' ORDER BY channel) AS channels, row_number() OVER (PARTITION BY anchor ORDER BY round(sum(score), 6) DESC, candidate) AS rank FROM u GROUP BY anchor, candidate HAVING bool_or(recall) QUALIFY rank <= 80""")
+def r9_recall_channels(t: Tables):
+    """R9 by all six channels, of which the price band can't admit; anchors are the parts whose id is divisible by 100, against all."""
+    offers = t.spark.sql(_OFFERS, part=t.part)
+    channels = [
+        C.Channel("area", "area", 0.4, 40), C.Channel("builder", "builder", 0.3, 30), C.Channel("price", "price", 0.2, 60, recall=False, low=0.9, high=1.1),
+        C.Channel("neighbor", "neighbor", 0.5, 30, edge_types=("supplied_by",)), C.Channel("spatial", "spatial", 0.4, 40, km=8.0), C.Channel("lexical", "lexical", 0.2, 30),
+    ]
+    found = C.recall(offers.filter("asked"), offers, channels, 80, t.edges, [F.col("listing"), C.type_group(F.col("kind"), [["flat", "apartment"]])])
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query()
 def r10_pick_branches(t: Tables):
     """Greedy across lenses: tested against a plain loop."""

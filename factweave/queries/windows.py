@@ -19,6 +19,17 @@ def w2_resolve_facts(t: Tables):
     return W.resolve_facts(t.facts, TRUST, {("order_status", "review"): 0}).select("entity_id", "fact_key", "source_type", "value_text", "fact_no")
 
 
+_LOOSE = "(SELECT * REPLACE (CASE WHEN fact_no % 3 > 0 THEN source_url END AS source_url) FROM facts)"
+
+
+@query(f"SELECT entity_id, fact_key, source_type, source_url, skill_id, value_text, fact_no FROM {_LOOSE} QUALIFY row_number() OVER (PARTITION BY entity_id, fact_key, CASE WHEN fact_key = 'order_priority' THEN source_type END, CASE WHEN fact_key = 'order_priority' THEN coalesce(source_url, value_text) END, CASE WHEN fact_key = 'order_priority' THEN skill_id END ORDER BY CASE WHEN fact_key = 'order_status' AND source_type = 'review' THEN 0 ELSE 9 END, {_TIER}, CASE source_type WHEN 'review' THEN least(confidence, 0.6::DOUBLE) WHEN 'forum' THEN least(confidence, 0.4::DOUBLE) ELSE confidence END DESC, confidence DESC, value_text DESC, fact_no DESC) = 1")
+def w2_multi_value_facts(t: Tables):
+    """W2 where a key keeps several values, facts without a url stand for their value, and single sources have a cap."""
+    loose = t.facts.withColumn("source_url", F.when(F.col("fact_no") % 3 > 0, F.col("source_url")))
+    found = W.resolve_facts(loose, TRUST, {("order_status", "review"): 0}, multi_value=["order_priority"], caps={"review": 0.6, "forum": 0.4})
+    return found.select("entity_id", "fact_key", "source_type", "source_url", "skill_id", "value_text", "fact_no")
+
+
 @query("SELECT entity_id, fact_key, source_type, source_url, skill_id, version, fact_no FROM facts QUALIFY row_number() OVER (PARTITION BY entity_id, fact_key, source_type, source_url, skill_id ORDER BY version DESC, confidence DESC, value_text DESC, fact_no DESC) = 1")
 def w3_current_facts(t: Tables):
     return W.current_facts(t.facts).select("entity_id", "fact_key", "source_type", "source_url", "skill_id", "version", "fact_no")

@@ -256,10 +256,25 @@ def test_fuzzy_tokens_meet_whatever_differs(spark):
 
 
 def test_shortest_paths_of_zero_and_more_hops(spark):
-    e = spark.createDataFrame([("a", "t", "b"), ("b", "t", "c"), ("d", "t", "c"), ("a", "t", "e"), ("e", "t", "d")], "src string, edge_type string, dst string")
+    e = spark.createDataFrame([("a", "t", "b"), ("b", "t", "c"), ("d", "t", "c"), ("a", "t", "e"), ("e", "t", "d"), ("e", "s", "a")], "src string, edge_type string, dst string")
     pairs = spark.createDataFrame([("a", "a"), ("a", "c"), ("a", "d"), ("b", "e"), ("a", "z")], "a string, b string")
-    got = {(r.a, r.b): (r.hops, r.path) for r in G.shortest_path(e, pairs, 2).collect()}
-    assert got == {("a", "a"): (0, "a"), ("a", "c"): (2, "a>b>c"), ("a", "d"): (2, "a>e>d"), ("b", "e"): (2, "b>a>e")}
+    got = {(r.a, r.b): (r.hops, r.path, r.relations) for r in G.shortest_path(e, pairs, 2).collect()}
+    assert got == {("a", "a"): (0, "a", ""), ("a", "c"): (2, "a>b>c", "t>t"), ("a", "d"): (2, "a>e>d", "s>t"), ("b", "e"): (2, "b>a>e", "t>s")}
+
+
+def test_walks_give_each_edge_once(spark):
+    e = spark.createDataFrame([("a", "t", "b"), ("a", "s", "b"), ("a", "t", "b"), ("b", "t", "a"), ("b", "t", "c"), ("c", "t", "d"), ("b", "u", "z")], "src string, edge_type string, dst string")
+    got = lambda types, d: sorted((r.anchor, r.depth, r.src, r.edge_type, r.dst) for r in G.walk_edges(e, spark.createDataFrame([("a",)], "node string"), types, d).collect())
+    assert got(["t", "s"], 2) == [("a", 1, "a", "s", "b"), ("a", 1, "a", "t", "b"), ("a", 2, "b", "t", "a"), ("a", 2, "b", "t", "c")]
+    assert got([], 2) == got(["t"], 0) == []
+
+
+def test_keys_of_several_values(spark):
+    from factweave.operators.windows import resolve_facts
+
+    rows = [(1, "tag", "x", "u", "k", "a", 0.5), (2, "tag", "x", "u", "k", "b", 0.6), (3, "tag", "x", None, "k", "c", 0.9), (4, "tag", "x", None, "k", "c", 0.9), (5, "tag", "y", "u", None, "d", 0.1), (6, "one", "x", "u", "k", "e", 0.9), (7, "one", "y", "v", "k", "f", 0.95), (8, "one", "x", "v", "k", "g", 0.8)]
+    facts = spark.createDataFrame([("e", *r) for r in rows], "entity_id string, fact_no int, fact_key string, source_type string, source_url string, skill_id string, value_text string, confidence double")
+    assert sorted(r.fact_no for r in resolve_facts(facts, {"x": 0}, multi_value=["tag"], caps={"x": 0.7}).collect()) == [2, 4, 5, 6]
 
 
 def test_images_kinds_and_nulls(spark):

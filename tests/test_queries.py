@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ("flagship", "w2_resolve_facts", "w13_rank_reviews", "a7_distribution", "a19_check_summary", "a23_fingerprint", "j2_resolve_entities", "j7_near_join", "j8_knn_join", "j10_pip_join", "j16_fuzzy_join", "g5_shortest_path", "g7_closure", "g9_canonicalize", "g13_evidence_closed", "p1_encode_value", "p20_quantities", "c1_four_state", "c15_membership", "u4_merge_candidates", "o2_relative_topk", "t1_lexical_search", "t3_phrase_recall", "r7_policy_score", "r9_recall_candidates", "q3_quarantine", "s8_read_geojson", "st1_event_log", "st2_merge_deltas")
+CHOSEN = ("flagship", "w2_resolve_facts", "w13_rank_reviews", "a7_distribution", "a19_check_summary", "a23_fingerprint", "j2_resolve_entities", "j7_near_join", "j8_knn_join", "j10_pip_join", "j16_fuzzy_join", "g5_shortest_path", "g7_closure", "g9_canonicalize", "g13_evidence_closed", "p1_encode_value", "p20_quantities", "c1_four_state", "c15_membership", "u4_merge_candidates", "o2_relative_topk", "t1_lexical_search", "t3_phrase_recall", "r7_policy_score", "r9_recall_candidates", "r9_recall_channels", "q3_quarantine", "s8_read_geojson", "st1_event_log", "st2_merge_deltas")
 
 
 @pytest.mark.parametrize("name", CHOSEN)
