@@ -129,12 +129,17 @@ def contrast(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("price_percent", F.floor((F.col("b_price") / F.col("a_price") - 1) * 10000 + 0.5) / 100).withColumn("evidence_delta", F.col("b_evidence") - F.col("a_evidence"))
 
 
-def relaxed_sets(df: DataFrame, area: str, low: float, high: float, adjacent: list[str], widen: float) -> DataFrame:
-    """Exact matches, the same place with a wider budget, adjacent areas, other areas: each row in its first set only."""
+RELAXED = {"exact": "exact", "wider": "wider budget", "adjacent": "adjacent area", "other": "other area"}
+
+
+def relaxed_sets(df: DataFrame, area: str | list[str], low: float, high: float, adjacent: list[str], widen: float, labels: dict[str, str] = RELAXED) -> DataFrame:
+    """Exact matches, the same places with a wider budget, adjacent areas, other areas: each row in its first set only. ``area`` names one or more places;
+    a set without an entry in ``labels`` is not shown, and its rows may fall into a later one. A null area is another area."""
+    here = F.coalesce(F.col("area").isin([area] if isinstance(area, str) else list(area)), F.lit(False))
     inside = F.col("price").between(low, high)
-    wider = F.col("price").between(low / widen, high * widen)
-    label = F.when((F.col("area") == area) & inside, "exact").when((F.col("area") == area) & wider, "wider budget").when(F.col("area").isin(adjacent) & inside, "adjacent area").when(inside, "other area")
-    return df.withColumn("relaxation", label).filter("relaxation IS NOT NULL")
+    sets = {"exact": here & inside, "wider": here & F.col("price").between(low / widen, high * widen), "adjacent": F.col("area").isin(list(adjacent)) & inside, "other": ~here & inside}
+    shown = [F.when(test, labels[name]) for name, test in sets.items() if name in labels]
+    return df.withColumn("relaxation", F.coalesce(*shown)).filter("relaxation IS NOT NULL")
 
 
 def hybrid_recall(channels: dict[str, DataFrame], required: list[str] = ()) -> DataFrame:
@@ -147,6 +152,18 @@ def hybrid_recall(channels: dict[str, DataFrame], required: list[str] = ()) -> D
     return g.filter(ok).select("query_id", "id", F.array_join(F.sort_array("c"), "+").alias("channels"))
 
 
+def recall_counts(channels: dict[str, DataFrame], required: list[str] = ()) -> DataFrame:
+    """(query_id, channel, hits, additions, kept): the ids of each channel (query_id, id), those that no channel named before it gave, and those that the required
+    channels leave. Ids count once, whatever their rows; a query without ids in a channel has no row for it."""
+    names = list(channels)
+    tagged = reduce(DataFrame.unionByName, [df.select("query_id", "id", F.lit(n).alias("n")) for n, df in enumerate(channels.values())])
+    met = tagged.groupBy("query_id", "id").agg(F.collect_set("n").alias("found"))  # at most one of each channel
+    stays = F.array_size(F.array_except(F.array(*[F.lit(names.index(r)) for r in required]).cast("array<int>"), "found")) == 0
+    each = met.select("query_id", F.array_min("found").alias("first"), stays.alias("stays"), F.explode("found").alias("n"))
+    counts = each.groupBy("query_id", "n").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("n") == F.col("first")).alias("additions"), F.count_if("stays").alias("kept"))
+    return counts.select("query_id", F.element_at(F.array(*map(F.lit, names)), F.col("n") + 1).alias("channel"), "hits", "additions", "kept")
+
+
 def geography_match(df: DataFrame, scope: DataFrame, near: DataFrame) -> DataFrame:
     """Exact (the asked cell), same locality, or nearby cells with hops and km, else null."""
     j = df.join(scope.select("query_id", F.col("cell").alias("asked"), F.col("locality").alias("asked_locality")), "query_id").join(near.select(F.col("seed").alias("asked"), "cell", "hops", "km"), ["asked", "cell"], "left")

@@ -149,11 +149,28 @@ def r12_relaxed_sets(t: Tables):
     return R.relaxed_sets(t.listings.withColumn("area", F.col("kind")), "N", 20000.0, 30000.0, ["R"], 1.25).select("listing_id", "kind", "relaxation")
 
 
+def _branches(t: Tables):
+    o = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), "o_orderpriority", "o_orderstatus")
+    return {"structured": o.filter("o_orderstatus = 'F'"), "lexical": o.filter("o_orderpriority LIKE '1%'"), "spatial": o.filter("id % 2 = 0")}
+
+
 @query("""WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS id, 'lexical' AS channel FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey, o_orderkey, 'spatial' FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, 'structured' FROM orders WHERE o_orderstatus = 'F')
     SELECT query_id, id, string_agg(channel, '+' ORDER BY channel) AS channels FROM c GROUP BY ALL HAVING bool_or(channel = 'spatial')""")
 def r13_hybrid_recall(t: Tables):
-    o = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), "o_orderpriority", "o_orderstatus")
-    return R.hybrid_recall({"structured": o.filter("o_orderstatus = 'F'"), "lexical": o.filter("o_orderpriority LIKE '1%'"), "spatial": o.filter("id % 2 = 0")}, ["spatial"])
+    return R.hybrid_recall(_branches(t), ["spatial"])
+
+
+@query("""WITH c AS (SELECT o_custkey AS q, o_orderkey AS id, 2 AS n, 'lexical' AS channel FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey, o_orderkey, 3, 'spatial' FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, 1, 'structured' FROM orders WHERE o_orderstatus = 'F')
+    SELECT q AS query_id, channel, count(*) AS hits, count(*) FILTER (n = first) AS additions, count(*) FILTER (last = 3) AS kept FROM (SELECT *, min(n) OVER (PARTITION BY q, id) AS first, max(n) OVER (PARTITION BY q, id) AS last FROM c) GROUP BY ALL""")
+def r13_recall_counts(t: Tables):
+    return R.recall_counts(_branches(t), ["spatial"])
+
+
+@query("SELECT listing_id, kind, bhk, CASE WHEN bhk IN (1, 3) AND price BETWEEN 20000 AND 30000 THEN 'as asked' WHEN bhk IN (1, 3) THEN 'stretch' ELSE 'beyond' END AS relaxation FROM listings WHERE price BETWEEN 20000 AND 30000 OR (bhk IN (1, 3) AND price BETWEEN 20000 / 1.25::DOUBLE AND 30000 * 1.25::DOUBLE)")
+def r12_relaxed_areas(t: Tables):
+    """R12 over several places, with labels of one's own and adjacent places not told apart."""
+    rows = t.listings.withColumn("area", F.col("bhk").cast("string"))
+    return R.relaxed_sets(rows, ["1", "3"], 20000.0, 30000.0, ["2"], 1.25, {"exact": "as asked", "wider": "stretch", "other": "beyond"}).select("listing_id", "kind", "bhk", "relaxation")
 
 
 @query("""SELECT o_custkey AS query_id, o_orderkey AS id, CASE WHEN cell = asked THEN 'exact' WHEN cell % 5 = asked % 5 THEN 'locality' WHEN abs(cell - asked) <= 2 THEN 'nearby' END AS match, CASE WHEN cell <> asked AND cell % 5 <> asked % 5 AND abs(cell - asked) <= 2 THEN abs(cell - asked) END AS hops, CASE WHEN cell <> asked AND cell % 5 <> asked % 5 AND abs(cell - asked) <= 2 THEN abs(cell - asked) * 1.5::DOUBLE END AS km FROM (SELECT *, o_orderkey % 25 AS cell, o_custkey % 25 AS asked FROM orders)""")

@@ -65,3 +65,22 @@ def test_nearest_and_lexical_shares(spark):
     text = C.recall(anchors, df, [C.Channel("t", "lexical", 1.0, 5)], 9, alike=[F.col("kind")]).collect()
     assert [(r.anchor, r.candidate, r.channels) for r in text] == [(1, 2, "t")]
     assert C.recall(df.limit(0), df.limit(0), [C.Channel("a", "area", 1.0, 5), C.Channel("t", "lexical", 1.0, 5), C.Channel("s", "spatial", 1.0, 5)], 9).count() == 0
+
+
+def test_counts_of_branches(spark):
+    from factweave.operators.scoring import recall_counts
+
+    df = lambda rows: spark.createDataFrame(rows, "query_id int, id int")
+    branches = {"s": df([(1, 1), (1, 1), (1, 2)]), "l": df([(1, 2), (1, 3), (2, 9)]), "g": df([(1, 3), (1, 4)])}
+    got = lambda need: sorted(tuple(r) for r in recall_counts(branches, need).collect())
+    assert got(["g"]) == [(1, "g", 2, 1, 2), (1, "l", 2, 1, 1), (1, "s", 2, 2, 0), (2, "l", 1, 1, 0)]
+    assert [r[4] for r in got([])] == [2, 2, 2, 1]
+
+
+def test_relaxed_sets_of_several_areas(spark):
+    from factweave.operators.scoring import relaxed_sets
+
+    df = spark.createDataFrame([(1, "a", 100.0), (2, "b", 120.0), (3, "c", 100.0), (4, None, 100.0), (5, "d", 100.0), (6, "a", 500.0), (7, "b", None)], "id int, area string, price double")
+    got = lambda **k: {r.id: r.relaxation for r in relaxed_sets(df, ["a", "b"], 90, 110, ["c"], 1.25, **k).collect()}
+    assert got() == {1: "exact", 2: "wider budget", 3: "adjacent area", 4: "other area", 5: "other area"}
+    assert got(labels={"exact": "x", "other": "o"}) == {1: "x", 3: "o", 4: "o", 5: "o"}
