@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
 from ..plans.picks import best_row, pick
 
 
@@ -150,6 +151,15 @@ def diversify(ranked: DataFrame, query: str, group: str, n: int, run: int) -> Da
     return head.groupBy(query).applyInPandas(walk, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema) + ", position long")
 
 
+def diversify_all(ranked: DataFrame, query: str, group: str, n: int, run: int) -> DataFrame:
+    """W14 with the rows after the first ``n``: those that were not picked follow in their order, so that no row is lost. Ranks are unique within a query; ``position`` counts from 1."""
+    head = cut(diversify(ranked, query, group, n, run), "diversify")
+    taken = head.select(F.col(query).alias("taken_query"), F.col("rank").alias("taken_rank"))
+    rest = ranked.join(taken, F.col(query).eqNullSafe(F.col("taken_query")) & (F.col("rank") == F.col("taken_rank")), "left_anti")
+    after = F.row_number().over(Window.partitionBy(query).orderBy("rank")) + n  # where rows are left, n were picked
+    return head.unionByName(rest.withColumn("position", after.cast("long")))
+
+
 def round_robin(ranked: DataFrame, n: int) -> DataFrame:
     """Rows (set_no, rank, id) in turns of the sets, each id once at its first turn, the first ``n``."""
     first = best_row(ranked, ["id"], [F.col("rank"), F.col("set_no")])

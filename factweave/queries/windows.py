@@ -1,5 +1,6 @@
 """Queries of the ranking operators."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows as W
@@ -114,6 +115,14 @@ def w14_diversify(t: Tables):
     return W.diversify(ranked, "entity_id", "seller", 10, 2).select("entity_id", "listing_id", "seller", "position")
 
 
+@query()
+def w14_diversify_all(t: Tables):
+    """All listings of a part, the first ten of them with short runs: tested against a plain loop."""
+    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.col("price").desc(), "listing_id"))
+    ranked = t.listings.select("entity_id", "listing_id", "seller", rank.alias("rank"))
+    return W.diversify_all(ranked, "entity_id", "seller", 10, 2).select("entity_id", "listing_id", "seller", "position")
+
+
 _SETS = "SELECT CAST(o_orderkey % 3 AS INT) AS set_no, CAST(row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY sum(o_totalprice) DESC, o_custkey) AS BIGINT) AS rank, o_custkey AS id FROM {orders} GROUP BY o_orderkey % 3, o_custkey"
 
 

@@ -243,6 +243,18 @@ def test_radius_join_over_the_whole_globe(spark):
     assert nearest == {202: 203}
 
 
+def test_diversify_keeps_the_rest(spark):
+    rows = [(q, r, g) for q, text in (("p", "aaabbbaaccaaabaa"), ("q", "aab"), (None, "aaaaaaaaaab")) for r, g in enumerate(text, 1)]
+    got = W.diversify_all(spark.createDataFrame(rows, "query string, rank long, grp string"), "query", "grp", 8, 2).collect()
+    for q in ("p", "q", None):
+        waiting, want = [(r, g) for k, r, g in rows if k == q], []
+        while waiting and len(want) < 8:
+            k = next((k for k, (_, g) in enumerate(waiting) if [x[1] for x in want[-2:]] != [g, g]), 0)
+            want.append(waiting.pop(k))
+        mine = sorted((r.position, r["rank"], r.grp) for r in got if r.query == q)
+        assert mine == [(i, *x) for i, x in enumerate(want + waiting, 1)]
+
+
 def test_diversify_looks_through_all_pending_rows(spark):
     rows = [("q", r, g) for r, g in enumerate("a" * 40 + "b" * 20, 1)]
     got = "".join(r.grp for r in W.diversify(spark.createDataFrame(rows, "query string, rank long, grp string"), "query", "grp", 8, 2).orderBy("position").collect())
