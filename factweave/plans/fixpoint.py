@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .cut import cut, sized_join
 
+#: A row of two short names in a broadcast table, with its place in the map.
+NODE_BYTES = 160
+
 
 def _with_least(pairs: DataFrame, node_bytes: int) -> DataFrame:
     """Adds ``m``, the least ``v`` of each ``u``. A groupBy and a join: a hot ``u`` costs one row a task and can be split."""
@@ -32,8 +35,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         was = (n, mark)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, n * 32).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        small = _with_least(large, n * 32)
+        large = _with_least(both, n * NODE_BYTES).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = _with_least(large, n * NODE_BYTES)
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small, "components-round")
     found = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
