@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..plans.cut import cut
 from ..plans.picks import best_row, pick
+from ..plans.walk import walk_groups
 
 
 def _tier(trust: dict[str, int], column: str) -> Column:
@@ -135,20 +137,21 @@ def diversify(ranked: DataFrame, query: str, group: str, n: int, run: int) -> Da
     its groups, as no pick goes beyond them, and only the ``n + 1`` groups that come first, as at most one of them is blocked at a time.
     """
 
-    def walk(pdf):
-        waiting, out = list(pdf.sort_values("rank").itertuples(index=False)), []
-        while waiting and len(out) < n:
-            tail = [getattr(r, group) for r in out[-run:]]
-            k = next((k for k, r in enumerate(waiting) if not (len(tail) == run and all(g == getattr(r, group) for g in tail))), 0)
-            out.append(waiting.pop(k))
-        import pandas as pd
+    at = ranked.columns.index(group)
 
-        return pd.DataFrame(out, columns=pdf.columns).assign(position=range(1, len(out) + 1))
+    def walk(rows):
+        waiting, out = list(rows), []
+        while waiting and len(out) < n:
+            tail = out[-run:]
+            k = next((k for k, r in enumerate(waiting) if not (len(tail) == run and all(g == r[at] for g in tail))), 0)
+            row = waiting.pop(k)
+            out.append(row[at])
+            yield *row, len(out)
 
     by_group = Window.partitionBy(query, group)
     head = ranked.withColumn("__nth", F.row_number().over(by_group.orderBy("rank"))).filter(F.col("__nth") <= n).withColumn("__first", F.min("rank").over(by_group))
     head = head.withColumn("__group", F.dense_rank().over(Window.partitionBy(query).orderBy("__first"))).filter(F.col("__group") <= n + 1).select(*ranked.columns)
-    return head.groupBy(query).applyInPandas(walk, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema) + ", position long")
+    return walk_groups(head, query, [F.col("rank")], walk, StructType(head.schema.fields + [StructField("position", LongType())]))
 
 
 def diversify_all(ranked: DataFrame, query: str, group: str, n: int, run: int) -> DataFrame:
@@ -198,7 +201,8 @@ def select_previews(docs: DataFrame, by: str, roles: list[str], per_role: int, t
             reasons.append(why)
         return ordered.drop(columns="role_at").assign(left_out=reasons)
 
-    return docs.groupBy(by).applyInPandas(choose, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", left_out string")
+    turn = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(r) for r in roles]), F.col("role")), F.lit(0)), F.lit(len(roles) + 1))
+    return walk_groups(docs, by, [turn, F.col("document_id")], choose, StructType(docs.schema.fields + [StructField("left_out", StringType())]))
 
 
 def current_effects(events: DataFrame, relations: DataFrame) -> DataFrame:
