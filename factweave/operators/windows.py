@@ -190,16 +190,17 @@ def select_previews(docs: DataFrame, by: str, roles: list[str], per_role: int, t
     """Per subject documents by role order, at most ``per_role`` of a role, one of each content hash, ``total`` in all;
     every row comes back with the reason it was left out (null: chosen). Joint caps are greedy: one call a subject."""
 
-    def choose(pdf):
-        seen, used, reasons = set(), {}, []
-        ordered = pdf.assign(role_at=[roles.index(r) if r in roles else len(roles) for r in pdf["role"]]).sort_values(["role_at", "document_id"])
-        for r in ordered.itertuples(index=False):
-            why = "role" if r.role not in roles else "content" if r.content_hash in seen else "role cap" if used.get(r.role, 0) >= per_role else "total cap" if sum(used.values()) >= total else None
+    role, content = docs.columns.index("role"), docs.columns.index("content_hash")
+
+    def choose(rows):
+        seen, used, chosen = set(), {}, 0
+        for r in rows:
+            why = "role" if r[role] not in roles else "content" if r[content] in seen else "role cap" if used.get(r[role], 0) >= per_role else "total cap" if chosen >= total else None
             if why is None:
-                seen.add(r.content_hash)
-                used[r.role] = used.get(r.role, 0) + 1
-            reasons.append(why)
-        return ordered.drop(columns="role_at").assign(left_out=reasons)
+                seen.add(r[content])
+                used[r[role]] = used.get(r[role], 0) + 1
+                chosen += 1
+            yield *r, why
 
     turn = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(r) for r in roles]), F.col("role")), F.lit(0)), F.lit(len(roles) + 1))
     return walk_groups(docs, by, [turn, F.col("document_id")], choose, StructType(docs.schema.fields + [StructField("left_out", StringType())]))
