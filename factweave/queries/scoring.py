@@ -57,7 +57,7 @@ def r5_evidence_floor(t: Tables):
 
 @query(f"SELECT left_id, count(*) AS categories, round(avg(s), 6) AS score FROM (SELECT left_id, category, max(1 / (1 + km)) AS s FROM {_pairs('5.0', more=', category')} GROUP BY ALL) GROUP BY 1")
 def r6_multi_place_score(t: Tables):
-    near = S.radius_join(t.subjects, t.places, 5.0).withColumn("km", F.round("km", 6)).join(t.places.select(F.col("id").alias("right_id"), "category"), "right_id")
+    near = S.knn_join(t.subjects, t.places, 1, within=5.0, by="category").withColumn("km", F.round("km", 6))  # a category's best is its nearest
     return R.multi_place_score(near)
 
 
