@@ -84,10 +84,12 @@ _TWINS = "(SELECT a.id AS a, b.id AS b FROM subjects a JOIN subjects b ON a.id <
 
 @query(f"WITH RECURSIVE p AS {_TWINS}, r(node, other) AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT r.node, q.b FROM r JOIN (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) q ON q.a = r.other) SELECT node, least(node, min(other)) AS root FROM r GROUP BY node")
 def g9_canonicalize(t: Tables):
-    near = S.radius_join(t.subjects, t.subjects, 0.5).filter("left_id < right_id")
-    at = lambda p: t.subjects.select(F.col("id").alias(f"{p}_id"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
-    close = near.join(at("left"), "left_id").join(at("right"), "right_id").filter("pow(left_lat - right_lat, 2) + pow(left_lon - right_lon, 2) < 0.000009")
-    return G.canonicalize(close.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    """Subjects at one place are one component: each place's least id stands for it in the pairs, so that copies don't meet all others."""
+    place = F.struct(F.min("id").alias("id"), "lat", "lon")
+    at = t.subjects.groupBy("lat", "lon").agg(place.alias("id")).select("id", "lat", "lon")
+    near = S.radius_join(at, at, 0.5).filter("left_id.id < right_id.id AND pow(left_id.lat - right_id.lat, 2) + pow(left_id.lon - right_id.lon, 2) < 0.000009")
+    copies = t.subjects.join(at.select(F.col("id.id").alias("a"), "lat", "lon"), ["lat", "lon"]).filter("a < id").select("a", F.col("id").alias("b"))
+    return G.canonicalize(near.select(F.col("left_id.id").alias("a"), F.col("right_id.id").alias("b")).unionByName(copies))
 
 
 @query("""WITH p AS (SELECT src, dst, CAST(split_part(dst, ':', 2) AS INT) % 4 AS provider FROM edges WHERE edge_type = 'supplied_by'), b AS (SELECT src AS a, dst AS b, CAST(split_part(dst, ':', 2) AS INT) % 4 AS provider FROM edges WHERE edge_type = 'supplied_by' UNION SELECT dst, src, CAST(split_part(src, ':', 2) AS INT) % 4 FROM edges WHERE edge_type = 'supplied_by'),
