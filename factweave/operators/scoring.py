@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.geo import decay
 from ..plans.picks import best_row
+from ..plans.walk import walk_groups
 from .aggregates import at_rank
 
 
@@ -100,28 +102,28 @@ def pick_branches(candidates: DataFrame, lenses: list[str], least: float, fill:
     """Per anchor and lens the unused candidate of an unused group with the largest gain of at least ``least``; then the best
     others up to ``fill``. Each pick depends on those before: one call an anchor, over its few recalled candidates."""
 
-    def choose(pdf):
-        import pandas as pd
-
-        used, groups, out = set(), set(), []
-        rows = pdf.sort_values(["score", "candidate"], ascending=[False, True])
-        for lens in lenses:
-            pool = rows[~rows["candidate"].isin(used) & ~rows["grp"].isin(groups) & (rows[lens] >= least)].sort_values([lens, "score", "candidate"], ascending=[False, False, True])
-            if len(pool) and len(out) < limit:
-                r = pool.iloc[0]
-                used.add(r["candidate"])
-                groups.add(r["grp"])
-                out.append((r["anchor"], len(out) + 1, lens, r["candidate"]))
-        for _, r in rows.iterrows():
-            if len(out) >= fill:
+    def choose(group):
+        rows = list(group)
+        used, groups, taken = set(), set(), 0
+        for n, lens in enumerate(lenses):
+            pool = [r for r in rows if r[1] not in used and r[3] not in groups and r[4 + n] is not None and r[4 + n] >= least]
+            if pool and taken < limit:
+                r = min(pool, key=lambda r: (-r[4 + n], -r[2], r[1]))
+                used.add(r[1])
+                groups.add(r[3])
+                taken += 1
+                yield r[0], taken, lens, r[1]
+        for r in rows:
+            if taken >= fill:
                 break
-            if r["candidate"] not in used:
-                used.add(r["candidate"])
-                out.append((r["anchor"], len(out) + 1, "fallback", r["candidate"]))
-        return pd.DataFrame(out, columns=["anchor", "position", "lens", "candidate"])
+            if r[1] not in used:
+                used.add(r[1])
+                taken += 1
+                yield r[0], taken, "fallback", r[1]
 
     kind = candidates.schema
-    return candidates.groupBy("anchor").applyInPandas(choose, f"anchor {kind['anchor'].dataType.simpleString()}, position long, lens string, candidate {kind['candidate'].dataType.simpleString()}")
+    schema = StructType.fromDDL(f"anchor {kind['anchor'].dataType.simpleString()}, position long, lens string, candidate {kind['candidate'].dataType.simpleString()}")
+    return walk_groups(candidates.select("anchor", "candidate", "score", "grp", *lenses), "anchor", [F.col("score").desc(), F.col("candidate")], choose, schema)
 
 
 def contrast(pairs: DataFrame) -> DataFrame:

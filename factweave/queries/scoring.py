@@ -77,10 +77,13 @@ def r8_transparency(t: Tables):
 
 
 def _channels(t: Tables):
-    s = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("area"), F.col("s_acctbal").alias("price"))
-    same = s.select(F.col("id").alias("anchor"), "area").join(s.select(F.col("id").alias("candidate"), "area"), "area").filter("anchor <> candidate").select("anchor", "candidate", F.lit(0.5).alias("score"))
-    near = S.radius_join(t.places, t.places, 8.0).filter("left_id <> right_id").select(F.split_part("left_id", F.lit(":"), F.lit(2)).cast("long").alias("anchor"), F.split_part("right_id", F.lit(":"), F.lit(2)).cast("long").alias("candidate"), F.round(1 - F.col("km") / 8, 6).alias("score"))
-    return {"area": same, "near": near}
+    """Each channel with its best candidates only: the ten lowest ids of an area, as all score alike there, and the twenty nearest within 8 km by the score as it is rounded."""
+    s = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("area"), F.array(F.lit("")).alias("alike"))
+    same = C.equal_value(s, s, "area", 10).select("anchor", "candidate", F.lit(0.5).alias("score"))
+    places = t.places.select(F.split_part("id", F.lit(":"), F.lit(2)).cast("long").alias("id"), "lat", "lon")
+    share = lambda km: F.round(1 - km / 8, 6)
+    near = S.knn_join(places, places, 21, within=8.0, order=lambda km: -share(km), slack=1e-5).filter("left_id <> right_id")
+    return {"area": same, "near": near.select(F.col("left_id").alias("anchor"), F.col("right_id").alias("candidate"), share(F.col("km")).alias("score"))}
 
 
 _CH = f"""a AS (SELECT x.s_suppkey AS anchor, y.s_suppkey AS candidate, 0.5::DOUBLE AS score FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey <> y.s_suppkey), n AS (SELECT CAST(split_part(left_id, ':', 2) AS BIGINT) AS anchor, CAST(split_part(right_id, ':', 2) AS BIGINT) AS candidate, round(1 - raw / 8, 6) AS score FROM (SELECT a.id AS left_id, b.id AS right_id, {_KM} AS raw FROM (SELECT id, lat, lon FROM places) a, (SELECT id, lat, lon FROM places) b, (SELECT 0) z(q) , LATERAL (SELECT pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h) WHERE a.id <> b.id) WHERE raw <= 8),
