@@ -125,7 +125,8 @@ def recall(anchors: DataFrame, items: DataFrame, channels: list[Channel], n: int
     """
     same = F.array(*[normal(c) for c in alike or [F.lit("")]])
     columns = ["id", "area", "builder", "price", "lat", "lon", "text", same.alias("alike")]
-    a, i = cut(anchors.select(*columns), "recall-anchors"), cut(items.select(*columns), "recall-items")
+    tasks = items.sparkSession.sparkContext.defaultParallelism  # a small file would be one task of all that follows
+    a, i = cut(anchors.select(*columns), "recall-anchors"), cut(items.select(*columns).repartition(tasks, "id"), "recall-items")
     parts = []
     for c in channels:
         if c.kind in ("area", "builder"):

@@ -3,7 +3,7 @@
 Documents are dealt into blocks by the hash of their id. A row of the postings is a token in a field of a block: its documents with their weights, and the
 greatest of these. A search reads those maxima first: their sum bounds every score in a block, and a block without some term can't match at all.
 The blocks of the greatest bounds are scored; then only those whose bound reaches the n-th score found. So nothing is lost, and most postings
-are not read. Rows are sorted by token, so Parquet skips the row groups without the tokens asked for.
+are not read. A file holds whole blocks, its rows sorted by token, so Parquet skips the pages without the tokens asked for. Queries of the same words are one search.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 2)
 
 
+def _by_field(fields: list[str]) -> Column:
+    """A row ``f`` for each field with its words."""
+    return F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields])).alias("f")
+
+
 def build_index(docs: DataFrame, doc: str, fields: list[str], folder: str, k1: float = 1.2, b: float = 0.75, block_docs: int = BLOCK_DOCS) -> None:
     """Writes the index of the text columns ``fields`` to ``folder``: postings, terms (token, field, df) and fields (field, docs, mean length).
 
@@ -32,15 +37,18 @@ def build_index(docs: DataFrame, doc: str, fields: list[str], folder: str, k1: f
     hold is as many rows as there are blocks.
     """
     spark = docs.sparkSession
-    each = docs.select(F.col(doc).alias("doc"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields])).alias("f")).select("doc", "f.field", "f.t")
+    each = docs.select(_by_field(fields)).select("f.field", "f.t")
     each.filter(F.size("t") > 0).groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("t")).alias("mean")).coalesce(1).write.parquet(f"{folder}/fields")
     known = spark.read.parquet(f"{folder}/fields")
     blocks = max(1, -(-docs.count() // block_docs))
-    counts = each.select("doc", "field", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("token", "field", "doc", "length").agg(F.count(F.lit(1)).alias("tf"))
+    # texts are dealt by blocks once; what follows groups within a block, so postings are not shuffled as rows
+    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(doc), F.lit(blocks))).select("__block", doc, *fields).repartition("__block")
+    terms = dealt.select(F.col("__block").alias("block"), F.col(doc).alias("doc"), _by_field(fields)).select("block", "doc", "f.field", "f.t")
+    counts = terms.select("block", "doc", "field", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("block", "token", "field", "doc", "length").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    rows = counts.join(F.broadcast(known), "field").select("token", "field", F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block"), "doc", weight.alias("w"))  # a row a field
-    grouped = rows.groupBy("token", "field", "block").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("greatest"), F.collect_list(F.struct("doc", "w")).alias("entries"))
-    grouped.repartitionByRange("token", "field", "block").sortWithinPartitions("token", "field", "block").write.parquet(f"{folder}/postings")
+    rows = counts.join(F.broadcast(known), "field").select("token", "field", "block", "doc", weight.alias("w"))  # a row a field
+    grouped = rows.groupBy("block", "token", "field").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("greatest"), F.collect_list(F.struct("doc", "w")).alias("entries"))
+    grouped.select("token", "field", "block", "n", "greatest", "entries").sortWithinPartitions("token", "field", "block").write.parquet(f"{folder}/postings")
     spark.read.parquet(f"{folder}/postings").groupBy("token", "field").agg(F.sum("n").alias("df")).write.parquet(f"{folder}/terms")
 
 
@@ -49,7 +57,10 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame, n: int) -
 
     The score is BM25 summed over tokens and fields, to six decimals; ``fields`` are those that hold a token, in order of name. Queries without tokens give nothing.
     """
-    q = queries.select("query_id", F.size(F.array_distinct("tokens")).alias("terms"), F.explode(F.array_distinct("tokens")).alias("token"))
+    sets = queries.select("query_id", F.array_sort(F.array_distinct("tokens")).alias("t"))
+    least = sets.groupBy("t").agg(F.min("query_id").alias("set_id"))
+    named = cut(sets.join(least, "t").select(F.col("query_id").alias("own_id"), F.col("set_id").alias("query_id"), "t"), "search-sets")
+    q = named.filter("own_id = query_id").dropDuplicates(["query_id"]).select("query_id", F.size("t").alias("terms"), F.explode("t").alias("token"))
     q = cut(q, "search-terms")
     asked = cut(q.select("token").distinct(), "search-asked")
     count = asked.count()
@@ -67,10 +78,18 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame, n: int) -
     ranked = cut(bounds.select("query_id", "block", "bound", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")).alias("place")), "search-bounds")
 
     def score(blocks: DataFrame) -> DataFrame:
-        """All matches of the queries in their blocks: the rarest token's documents, then the others' postings of these only."""
+        """All matches of the queries in their blocks: the rarest token's documents, those of them that every token has, then these documents' weights."""
+        ids = F.transform("entries", lambda e: e["doc"])
         firsts = blocks.join(rarest, "query_id").join(postings.select(F.col("token").alias("rarest"), "block", "entries"), ["rarest", "block"])
-        firsts = firsts.groupBy("query_id", "block").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("entries", lambda e: e["doc"])))).alias("able"))  # a list a field
-        met = firsts.join(q, "query_id").join(postings, ["token", "block"]).select("query_id", "terms", "token", "field", F.explode(F.filter("entries", lambda e: F.array_contains("able", e["doc"]))).alias("e"))
+        firsts = firsts.groupBy("query_id", "block").agg(F.array_distinct(F.flatten(F.collect_list(ids))).alias("able"))  # a list a field
+        asked_of = cut(firsts.join(q, "query_id"), "search-asked-of")
+        held = asked_of.join(postings.select("token", "block", ids.alias("ids")), ["token", "block"]).select("query_id", "block", "terms", "token", F.array_intersect("able", "ids").alias("ids")).filter(F.size("ids") > 0)
+        held = held.groupBy("query_id", "block", "terms", "token").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+        lists = held.groupBy("query_id", "block", "terms").agg(F.collect_list("ids").alias("lists")).filter(F.size("lists") == F.col("terms"))
+        every = F.aggregate(F.slice("lists", 2, F.size("lists")), F.element_at("lists", 1), F.array_intersect)
+        sure = cut(lists.select("query_id", "block", every.alias("able")).filter(F.size("able") > 0), "search-matches")
+        kept = F.when(F.size(F.array_intersect("able", ids)) == F.size("entries"), F.col("entries")).otherwise(F.filter("entries", lambda e: F.array_contains("able", e["doc"])))
+        met = sure.join(q, "query_id").join(postings, ["token", "block"]).select("query_id", "terms", "token", "field", F.explode(kept).alias("e"))
         met = sized_join(met, terms, ["token", "field"], "inner", term_bytes)
         found = met.groupBy("query_id", "terms", F.col("e.doc").alias("doc")).agg(F.count_distinct("token").alias("held"), F.round(F.sum(F.col("rarity") * F.col("e.w")), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
         return found.filter("held = terms").select("query_id", "doc", "score", "fields")
@@ -80,7 +99,8 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame, n: int) -
     floor = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == n).select("query_id", F.col("score").alias("floor"))
     rest = ranked.filter(F.col("place") > FIRST_BLOCKS).join(floor, "query_id", "left").filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-6))
     found = first.unionByName(score(rest.select("query_id", "block")))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("query_id", "doc", "score", "rank", "fields")
+    top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return named.drop("t").join(top, "query_id").select(F.col("own_id").alias("query_id"), "doc", "score", "rank", "fields")
 
 
 def lexical_search(docs: DataFrame, doc: str, fields: list[str], queries: DataFrame, n: int) -> DataFrame:

@@ -66,3 +66,19 @@ def test_empty_tables(spark):
     q = spark.createDataFrame([("a", ["x1"])], "query_id string, tokens array<string>")
     assert X.lexical_search(docs, "doc", ["name"], q, 3).count() == 0
     assert X.lexical_search(spark.createDataFrame([(1, "x1 x2")], "doc long, name string"), "doc", ["name"], q.limit(0), 3).count() == 0
+
+
+def test_queries_of_the_same_words_are_one_search_of_equal_documents(spark, tmp_path, monkeypatch):
+    """A word of every document, equal documents and equal queries: work follows the matches and the different queries."""
+    folder = f"file://{tmp_path}/index"
+    docs = spark.range(4000).select(F.col("id").alias("doc"), F.concat(F.lit("all c"), F.col("id") % 5, F.lit(" d"), F.col("id") % 7).alias("name"))
+    X.build_index(docs, "doc", ["name"], folder, block_docs=500)
+    built = spark.read.parquet(f"{folder}/postings")
+    assert built.select(F.input_file_name().alias("f"), "block").distinct().count() == built.select("block").distinct().count()  # a block lies in one file
+    kept = []
+    monkeypatch.setattr(X, "cut", lambda df, label, cut=X.cut: kept.append((label, cut(df, label))) or kept[-1][1])
+    asked = [(f"q{i:03}", [f"c{i % 5}", "all", f"d{i % 7}"] if i % 2 else [f"d{i % 7}", f"c{i % 5}", "all", "all"]) for i in range(200)] + [("one", ["all"])]
+    got = sorted((r.query_id, r["rank"], r.doc) for r in X.search_index(spark, folder, spark.createDataFrame(asked, "query_id string, tokens array<string>"), 3).collect())
+    want = [(q, r, d) for q, t in asked for r, d in enumerate([d for d in range(4000) if q == "one" or (f"c{d % 5}" in t and f"d{d % 7}" in t)][:3], 1)]
+    assert got == sorted(want)
+    assert dict(kept)["search-terms"].select("query_id").distinct().count() == 36
