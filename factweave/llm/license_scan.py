@@ -1,8 +1,8 @@
 """License scan by conditional compression.
 
 Sentences with a cue word, and what lies between near ones, form candidate blocks. Of a block, each template is held against windows of bounded width
-in which enough of its words occur. A window is compressed alone and with the template as a zstandard raw dictionary, and confirmed by the exact differences
-in wording: the words of the template that the window lacks or changes. Of all wordings that confirm, those of the fewest differences
+in which enough of its words occur. Those words of a window that the template has are compressed alone and with the template as a zstandard raw dictionary; only a
+window that the dictionary makes shorter goes on, and is confirmed by the exact differences in wording: the words of the template that it lacks or changes. Of all wordings that confirm, those of the fewest differences
 are taken; what they leave is held against the templates again. A wording may have as many words inserted as it has, and sixteen more.
 """
 
@@ -75,6 +75,10 @@ class Scanner:
         data = block.lower().encode()
         return 1 - len(self.given[name].compress(data)) / len(self.plain.compress(data))
 
+    def explains(self, window: list[str], name: str) -> bool:
+        """Whether the template, as a dictionary, makes the window shorter. Only words that the template has are compressed, so that inserted ones can't hide a wording."""
+        return self.saved(" ".join(w for w in window if w in self.counts[name]), name) > 0
+
     def confirm(self, have: list[str], name: str) -> tuple[int, int, int, int, str] | None:
         """(first, end, missing words, extra words, differences) of the words against the template, or None below the coverage."""
         want = self.words[name]
@@ -101,7 +105,7 @@ class Scanner:
             end = min(begin + reach + step, high)
             window = have[begin:end]
             after = begin + step
-            if sum((wanted & Counter(window)).values()) >= need:
+            if sum((wanted & Counter(window)).values()) >= need and self.explains(window, name):
                 found = self.confirm(window, name)
                 if found and found[0] >= step:  # it may go on beyond this window: another begins with it
                     after = begin + found[0]
