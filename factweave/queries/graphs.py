@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs as G
 from ..operators import spatial as S
+from ..plans.cut import cut
 from .registry import Tables, query
 
 
@@ -95,7 +96,7 @@ def g9_canonicalize(t: Tables):
 @query("""WITH p AS (SELECT src, dst, CAST(split_part(dst, ':', 2) AS INT) % 4 AS provider FROM edges WHERE edge_type = 'supplied_by'), b AS (SELECT src AS a, dst AS b, CAST(split_part(dst, ':', 2) AS INT) % 4 AS provider FROM edges WHERE edge_type = 'supplied_by' UNION SELECT dst, src, CAST(split_part(src, ':', 2) AS INT) % 4 FROM edges WHERE edge_type = 'supplied_by'),
     m AS (SELECT a, provider FROM b GROUP BY ALL HAVING count(*) > 1) SELECT a AS id FROM m UNION SELECT b.b FROM b JOIN m USING (a, provider)""")
 def g10_ambiguous(t: Tables):
-    pairs = t.edges.filter("edge_type = 'supplied_by'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs = cut(t.edges.filter("edge_type = 'supplied_by'").select(F.col("src").alias("a"), F.col("dst").alias("b")), "ambiguous-pairs")
     ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     return G.ambiguous(pairs, ids.select(F.col("a").alias("id"), (F.split_part("a", F.lit(":"), F.lit(2)).cast("int") % 4).alias("provider")))
 
