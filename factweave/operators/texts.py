@@ -11,6 +11,9 @@ from ..functions.text import contains_phrase
 from ..plans.cut import cut, sized_join
 from .joins import fuzzy_token
 
+#: Stems that a task keeps from one batch to the next.
+STEMS_KEPT = 1 << 17
+
 
 def tokens(c: Column, stop: tuple[str, ...] = ()) -> Column:
     """Runs of letters and digits, lower case, at least two signs, without stopwords."""
@@ -19,13 +22,17 @@ def tokens(c: Column, stop: tuple[str, ...] = ()) -> Column:
 
 
 def stem(df: DataFrame, column: str) -> DataFrame:
-    """The tokens' English stems, in Arrow batches; each distinct token of a batch is stemmed once. A null list stays null, a null token too."""
+    """The tokens' English stems, in Arrow batches; a token is stemmed once, as long as ``STEMS_KEPT`` hold those that a task has met. A null list stays null, a null token too."""
 
     def run(batches):
         from ..functions.stemmer import stem as one
 
+        known = {}
         for pdf in batches:
-            known = {w: None if w is None else one(w) for ws in pdf[column] if ws is not None for w in ws}
+            if len(known) > STEMS_KEPT:
+                known = {}
+            met = {w for ws in pdf[column] if ws is not None for w in ws}
+            known.update((w, None if w is None else one(w)) for w in met - known.keys())
             yield pdf.assign(**{column: [None if ws is None else [known[w] for w in ws] for ws in pdf[column]]})
 
     return df.mapInPandas(run, df.schema)
