@@ -97,26 +97,23 @@ _LINES = {"status": ["Status"], "line": ["Line No."], "quantity": ["Qty", "Quant
 
 def _order_pages(t: Tables):
     """A page an order with its lines as a table, the way that real pages have them: a status that spans rows of equal flag, cells and rows left open, an inner table, a note."""
-    line = F.struct("l_returnflag", "l_linenumber", "l_quantity", "l_linestatus", "l_suppkey")
-    orders = t.lineitem.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))  # at most seven lines
-    count = F.size(F.filter("lines", lambda y: y["l_returnflag"] == F.lit("R")))
-
-    def row(x, i):
-        flag = x["l_returnflag"]
-        same = F.size(F.filter("lines", lambda y: y["l_returnflag"] == flag))
-        first = (i == 0) | (F.col("lines")[F.greatest(i - 1, F.lit(0))]["l_returnflag"] != flag)
-        status = F.when(first, F.concat(F.lit("<td rowspan='"), same, F.lit("'> <b>"), flag, F.lit("</b>"))).otherwise("")
-        return F.concat(F.lit("<tr>"), status, F.lit("<td>"), x["l_linenumber"], F.lit("</td><td>"), x["l_quantity"].cast("int"), F.lit("<table><tr><td>inner</table></td><TD><a href='/s?id="), x["l_suppkey"], F.lit("&amp;mode="), x["l_linestatus"], F.lit("'>Supplier&nbsp;"), x["l_suppkey"], F.lit("</a>"))
-
-    detail = F.concat(F.lit("<table><tr><th>Lines</th><td>"), F.size("lines"), F.lit("</td><td>Returned:</td><td>"), count, F.lit("</td></tr><tr><th colspan=2>Order<td>no. "), "page_id", F.lit("</table>"))
+    cells = F.concat(F.lit("<td>"), "l_linenumber", F.lit("</td><td>"), F.col("l_quantity").cast("int"), F.lit("<table><tr><td>inner</table></td><TD><a href='/s?id="), "l_suppkey", F.lit("&amp;mode="), "l_linestatus", F.lit("'>Supplier&nbsp;"), "l_suppkey", F.lit("</a>"))
+    line = F.struct("l_linenumber", "l_quantity", "l_linestatus", "l_suppkey", cells.alias("cells"))
+    # dealt by the order once; the lines of a flag, then the flags of an order, are gathered where they are: at most seven lines
+    flags = t.lineitem.repartition("l_orderkey").groupBy("l_orderkey", "l_returnflag").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    status = F.concat(F.lit("<tr><td rowspan='"), F.size("lines"), F.lit("'> <b>"), "l_returnflag", F.lit("</b>"))
+    part = F.struct("l_returnflag", F.concat(status, F.array_join("lines.cells", "<tr>")).alias("rows"))
+    orders = flags.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum(F.size("lines")).alias("n"), F.sum(F.when(F.col("l_returnflag") == "R", F.size("lines")).otherwise(0)).alias("returned"))
+
+    detail = F.concat(F.lit("<table><tr><th>Lines</th><td>"), "n", F.lit("</td><td>Returned:</td><td>"), "returned", F.lit("</td></tr><tr><th colspan=2>Order<td>no. "), "page_id", F.lit("</table>"))
     head = F.lit("<html><script>var x = '<table><tr><td>';</script><!-- <table> --><table id=\"lines\"><thead><tr><th>Status<th>LINE no<th>Quantity<th>Document</thead><tbody>")
-    return orders.select("page_id", F.concat(head, F.array_join(F.transform("lines", row), ""), F.lit("<tr><td colspan=3>note</table></p></td>"), detail).alias("html"))
+    return orders.select("page_id", F.concat(head, F.array_join("parts.rows", ""), F.lit("<tr><td colspan=3>note</table></p></td>"), detail).alias("html"))
 
 
 @query("SELECT l_orderkey AS page_id, l_returnflag AS status, CAST(l_linenumber AS VARCHAR) AS line, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS quantity, concat('Supplier ', l_suppkey) AS document, concat('/s?id=', l_suppkey, '&mode=', l_linestatus) AS document_link FROM lineitem")
 def s13_table_records(t: Tables):
     """Records of tables with row spans, open tags and inner tables, by configured column labels."""
-    return H.table_records(H.table_cells(_order_pages(t)), _LINES).select("page_id", "status", "line", "quantity", "document", "document_link")
+    return H.grid_records(H.table_grids(_order_pages(t)), _LINES).select("page_id", "status", "line", "quantity", "document", "document_link")
 
 
 @query("SELECT l_orderkey AS page_id, unnest(['Lines', 'Returned', 'Order']) AS label, unnest([CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (l_returnflag = 'R') AS VARCHAR), concat('no. ', l_orderkey)]) AS value FROM lineitem GROUP BY l_orderkey")
