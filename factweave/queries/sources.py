@@ -119,8 +119,7 @@ def s13_table_records(t: Tables):
 @query("SELECT l_orderkey AS page_id, unnest(['Lines', 'Returned', 'Order']) AS label, unnest([CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (l_returnflag = 'R') AS VARCHAR), concat('no. ', l_orderkey)]) AS value FROM lineitem GROUP BY l_orderkey")
 def s16_table_fields(t: Tables):
     """Label and value rows of detail tables: several pairs a row, labels that span columns."""
-    cells = H.table_cells(_order_pages(t))
-    return H.detail_fields(cells.filter("table_id IS NULL")).select("page_id", "label", "value")
+    return H.grid_fields(H.table_grids(_order_pages(t)).filter("table_id IS NULL")).select("page_id", "label", "value")
 
 
 @query("SELECT concat('station ', s_suppkey % 50) AS name, round(12.8 + (s_suppkey % 50) * 0.01::DOUBLE, 5) AS y, max(s_suppkey) AS id FROM supplier GROUP BY s_suppkey % 50")
