@@ -10,12 +10,14 @@ rings need no care. Contact is a distance of edges of at most ``CONTACT``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.geo import in_ring
 from ..plans.cut import cut
@@ -25,6 +27,8 @@ FINEST = 0.001
 CONTACT = 1e-9
 #: Pairs of edges that are looked at in one step.
 STEP = 1 << 20
+#: Pairs of zones that a task measures.
+PAIRS_A_TASK = 4096
 
 
 def with_rings(zones: DataFrame) -> DataFrame:
@@ -54,14 +58,14 @@ def in_cells(boxed: DataFrame, level: F.Column, pad: float = 0.0) -> DataFrame:
     return boxed.withColumn("at", level).withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
 
 
-def box_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id) of zones whose boxes meet; sides have zone_id, x0, y0, x1, y1, level."""
-    side = lambda df, s: df.select(F.col("zone_id").alias(f"{s}_id"), "cx", "cy", "at", *[F.col(c).alias(f"{s}{c}") for c in ("x0", "y0", "x1", "y1")])
+def box_pairs(a: DataFrame, b: DataFrame, same: tuple[str, ...] = ()) -> DataFrame:
+    """(a_id, b_id) of zones whose boxes meet, and that have the columns ``same`` alike; sides have zone_id, x0, y0, x1, y1, level."""
+    side = lambda df, s: df.select(F.col("zone_id").alias(f"{s}_id"), "cx", "cy", "at", *same, *[F.col(c).alias(f"{s}{c}") for c in ("x0", "y0", "x1", "y1")])
 
     def met(large: DataFrame, small: DataFrame, names: str, strictly: bool) -> DataFrame:
         coarser = F.array(*[F.lit(x) for x in levels_of(large)]).cast("array<int>")
         above = F.explode(F.filter(coarser, lambda x: x > F.col("level") if strictly else x >= F.col("level")))
-        pairs = side(in_cells(large, F.col("level"), CONTACT), names[0]).join(side(in_cells(small, above, CONTACT), names[1]), ["at", "cx", "cy"])
+        pairs = side(in_cells(large, F.col("level"), CONTACT), names[0]).join(side(in_cells(small, above, CONTACT), names[1]), ["at", "cx", "cy", *same])
         for lo, hi in (("x0", "x1"), ("y0", "y1")):
             pairs = pairs.filter((F.col(f"a{lo}") <= F.col(f"b{hi}") + CONTACT) & (F.col(f"b{lo}") <= F.col(f"a{hi}") + CONTACT))
         return pairs.select("a_id", "b_id")
@@ -75,6 +79,15 @@ def _edges(rings: list[list[dict]]) -> np.ndarray:
     return np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) for r in found if len(r) > 1] or [np.zeros((0, 4))])
 
 
+def _edge_lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """``_edges`` of each zone of a column of rings."""
+    zones, rings, points = column.offsets.to_numpy(), column.values.offsets.to_numpy(), column.values.values
+    xy = np.column_stack([points.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")])
+    for first, last in zip(zones[:-1], zones[1:]):
+        found = [xy[rings[i] : rings[i + 1]] for i in range(first, last)]
+        yield np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) for r in found if len(r) > 1] or [np.zeros((0, 4))])
+
+
 def _crossing_heights(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Heights at which edges of ``a`` cross edges of ``b``."""
     found = [np.zeros(0)]
@@ -142,33 +155,55 @@ def in_contact(a: np.ndarray, b: np.ndarray) -> bool:
     return reach(a[:, :2], b) or reach(b[:, :2], a) or bool(len(_crossing_heights(a, b)))
 
 
+def _boxed(zones: DataFrame, *more: str) -> DataFrame:
+    return cut(boxes(with_rings(zones).filter("zone_id IS NOT NULL").select("zone_id", "rings", *more)).filter("level IS NOT NULL"), "overlay-boxes")
+
+
+def _with_edges(pairs: DataFrame, a: DataFrame, b: DataFrame, measure: Callable[[np.ndarray, np.ndarray], tuple | None], kinds: str) -> DataFrame:
+    """Pairs (a_id, b_id) with what ``measure`` gives for the edges of both; pairs for which it gives None are left out. Tasks follow the measured number of pairs,
+    as rows are few and small for the work that each takes."""
+    pairs = cut(pairs, "overlay-pairs")
+    tasks = -(-pairs.count() // PAIRS_A_TASK) or 1
+    rings = lambda s, n: s.select(F.col("zone_id").alias(f"{n}_id"), F.col("rings").alias(f"{n}_rings"))
+    whole = pairs.join(rings(a, "a"), "a_id").join(rings(b, "b"), "b_id").select("a_id", "b_id", "a_rings", "b_rings")
+    schema = StructType([*whole.schema.fields[:2], *StructType.fromDDL(kinds).fields]) if kinds else StructType(whole.schema.fields[:2])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measure(*both) for both in zip(_edge_lists(batch.column("a_rings")), _edge_lists(batch.column("b_rings")))]
+            kept = pa.array([i for i, f in enumerate(found) if f is not None], pa.int64())
+            values = zip(*[f for f in found if f is not None]) if len(kept) else [[] for _ in arrow.names[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column("a_id").take(kept), batch.column("b_id").take(kept), *[pa.array(v, f.type) for v, f in zip(values, list(arrow)[2:])]], names=arrow.names)
+
+    return whole.repartition(tasks, "a_id", "b_id").mapInArrow(run, schema)
+
+
 def overlap_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_id, b_id, ratio = area of both / area of a, shared, touch) of zones whose boxes meet. Zones have zone_id and ``ring``, with ``holes`` if there are any, or ``rings``.
 
     Rows without an id or a ring meet nothing; a zone without area has ratio 0. ``touch`` is whether edges meet.
     """
-    sides = [cut(boxes(with_rings(z).filter("zone_id IS NOT NULL").select("zone_id", "rings")).filter("level IS NOT NULL"), "overlay-boxes") for z in (a, b)]
-    pairs = box_pairs(*[s.drop("rings") for s in sides])
-    rings = lambda s, n: s.select(F.col("zone_id").alias(f"{n}_id"), F.col("rings").alias(f"{n}_rings"))
-    whole = pairs.join(rings(sides[0], "a"), "a_id").join(rings(sides[1], "b"), "b_id").select("a_id", "b_id", "a_rings", "b_rings")
+    a, b = _boxed(a), _boxed(b)
+
+    def measure(ea: np.ndarray, eb: np.ndarray) -> tuple:
+        area, shared = shared_area(ea), shared_area(ea, eb)
+        return min(1.0, shared / area) if area else 0.0, shared, in_contact(ea, eb)
+
+    return _with_edges(box_pairs(a.drop("rings"), b.drop("rings")), a, b, measure, "ratio double, shared double, touch boolean")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for ra, rb in zip(batch.column("a_rings"), batch.column("b_rings")):
-                ea, eb = _edges(ra.as_py()), _edges(rb.as_py())
-                area, shared = shared_area(ea), shared_area(ea, eb)
-                found.append((min(1.0, shared / area) if area else 0.0, shared, in_contact(ea, eb)))
-            columns = list(zip(*found)) if found else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("a_id"), batch.column("b_id"), pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], names=["a_id", "b_id", "ratio", "shared", "touch"])
 
-    kinds = [whole.schema[c].dataType.simpleString() for c in ("a_id", "b_id")]
-    return whole.mapInArrow(measure, f"a_id {kinds[0]}, b_id {kinds[1]}, ratio double, shared double, touch boolean")
+def touching_pairs(zones: DataFrame, most: float, same: tuple[str, ...] = ()) -> DataFrame:
+    """(a_id, b_id), a_id the smaller, of zones whose edges meet and that share an area of at most ``most``, among those with the columns ``same`` alike.
+    Each pair is measured once, and its area only where edges meet."""
+    z = _boxed(zones, *same)
+    pairs = box_pairs(z.drop("rings"), z.drop("rings"), same).filter("a_id < b_id")
+    return _with_edges(pairs, z, z, lambda ea, eb: () if in_contact(ea, eb) and shared_area(ea, eb) <= most else None, "")
 
 
 def points_in(points: DataFrame, zones: DataFrame) -> DataFrame:
     """(id, zone_id) of every zone that contains a point (id, lat, lon), by the even-odd rule over all its rings."""
-    z = cut(boxes(with_rings(zones).filter("zone_id IS NOT NULL").select("zone_id", "rings")).filter("level IS NOT NULL"), "overlay-boxes")
+    z = _boxed(zones)
     levels = F.array(*[F.lit(x) for x in levels_of(z)]).cast("array<int>")
     size = F.lit(FINEST) * F.pow(F.lit(2.0), F.col("at"))
     p = points.select("id", "lat", "lon").withColumn("at", F.explode(levels)).withColumn("cx", F.floor(F.col("lon") / size)).withColumn("cy", F.floor(F.col("lat") / size))
