@@ -27,10 +27,23 @@ def strip_phase(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?i)[\s,(-]*phase[\s-]*([0-9]+|[ivx]+)\)?\s*$", ""))
 
 
+#: What ``\\s`` matches.
+_SPACE = " \t\n\x0b\f\r"
+
+
+def _number(found: Column) -> Column:
+    """The number of a match of number, spaces and unit: the match is taken once, not by a pattern for each part."""
+    return F.rtrim(found, F.lit(_SPACE + "abcdefghijklmnopqrstuvwxyz"))
+
+
+def _unit(found: Column) -> Column:
+    return F.ltrim(found, F.lit(_SPACE + "0123456789.-"))
+
+
 def parse_amount(c: Column) -> Column:
     """P20: ``1.2 Cr``, ``85 lakh``, ``40k`` to a number."""
-    n = F.regexp_extract(F.replace(F.lower(c), F.lit(","), F.lit("")), r"([0-9]+(?:\.[0-9]+)?)\s*(crore|cr|lakh|lac|l|k)?", 1)
-    unit = F.regexp_extract(F.replace(F.lower(c), F.lit(","), F.lit("")), r"([0-9]+(?:\.[0-9]+)?)\s*(crore|cr|lakh|lac|l|k)?", 2)
+    found = F.regexp_extract(F.replace(F.lower(c), F.lit(","), F.lit("")), r"[0-9]+(?:\.[0-9]+)?\s*(?:crore|cr|lakh|lac|l|k)?", 0)
+    n, unit = _number(found), _unit(found)
     times = F.when(unit.isin("crore", "cr"), 1e7).when(unit.isin("lakh", "lac", "l"), 1e5).when(unit == "k", 1e3).otherwise(1.0)
     return F.when(n != "", n.cast("double") * times)
 
@@ -41,17 +54,18 @@ def parse_range(c: Column, crore: float = 1.0) -> Column:
     ``crore`` scales texts that name crores: 100 makes lakhs of them, the unit of prices.
     """
     text = F.replace(F.lower(c), F.lit(","), F.lit(""))
-    n = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    n = F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
     scale = F.when(F.contains(text, F.lit("cr")), crore).otherwise(1.0)
-    return F.when(F.size(n) > 0, F.struct((F.element_at(n, 1) * scale).alias("lo"), (F.element_at(n, -1) * scale).alias("hi")))
+    return F.when(F.size(n) > 0, F.struct((F.get(n, F.lit(0)).cast("double") * scale).alias("lo"), (F.get(n, F.size(n) - 1).cast("double") * scale).alias("hi")))
 
 
 def parse_distance_km(c: Column) -> Column:
     """Only if exactly one distance with a unit occurs, and it is not negative. A sign before the number counts."""
-    pattern = F.lit(r"(?i)(-?[0-9]+(?:\.[0-9]+)?)\s*(kilomet(?:re|er)s?|kms?|met(?:re|er)s?|m)\b")
-    n, unit = F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2))
-    km = F.element_at(n, 1).cast("double") / F.when(F.lower(F.element_at(unit, 1)).startswith("k"), 1.0).otherwise(1000.0)
-    return F.when((F.size(n) == 1) & (km >= 0), km)
+    pattern = F.lit(r"(?i)-?[0-9]+(?:\.[0-9]+)?\s*(?:kilomet(?:re|er)s?|kms?|met(?:re|er)s?|m)\b")
+    found = F.regexp_extract_all(c, pattern, F.lit(0))
+    one = F.lower(F.get(found, F.lit(0)))
+    km = _number(one).cast("double") / F.when(_unit(one).startswith("k"), 1.0).otherwise(1000.0)
+    return F.when((F.size(found) == 1) & (km >= 0), km)
 
 
 def display_amount(v: Column) -> Column:

@@ -115,9 +115,16 @@ def p16_names(t: Tables):
     CASE l_linenumber % 4 WHEN 0 THEN greatest(l_quantity, 110) WHEN 1 THEN greatest(l_quantity, 1) WHEN 2 THEN (l_quantity * 1000 + 1) / 1000 END AS top FROM lineitem""")
 def p20_quantities(t: Tables):
     """P20 money, P21 ranges, P22 distances, P46 the highest tag: with thousands separators, crores, signs, mixed units and what can't be read."""
-    q, n = F.format_string("%.0f", F.col("l_quantity")), F.col("l_linenumber")
-    more = lambda x: F.format_string("%.0f", F.col("l_quantity") + x)
-    pick = lambda *texts: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in texts]), n % len(texts) + 1)
+    more = lambda x: F.round(F.col("l_quantity") + x).cast("long").cast("string")
+    q, n = more(0), F.col("l_linenumber")
+
+    def pick(*texts):  # only the text that is picked is made
+        made = None
+        for i, x in enumerate(texts):
+            x = F.lit(x) if isinstance(x, str) else x
+            made = F.when(n % len(texts) == i, x) if made is None else made.when(n % len(texts) == i, x)
+        return made
+
     money = F.concat(q, pick(" Cr", " lakh", "k", ""))
     far = pick(F.concat(F.lit("about "), q, F.lit(" km away")), F.concat(q, F.lit(" metres")), F.concat(q, F.lit(" km or 5 m")), F.concat(F.lit("-"), q, F.lit(" km")), "0 km")
     between = X.parse_range(pick(F.concat(q, F.lit(",004-"), q, F.lit(",482")), F.concat(q, F.lit("-"), more(1), F.lit(" Cr")), q, F.concat(F.lit("from "), q, F.lit(" by 3 to "), more(2)), "on request"), 100.0)
