@@ -13,6 +13,8 @@ from .joins import fuzzy_token
 
 #: Stems that a task keeps from one batch to the next.
 STEMS_KEPT = 1 << 17
+#: Places whose tokens a task of ``resolve_places`` counts.
+PLACES = 4096
 
 
 def tokens(c: Column, stop: tuple[str, ...] = ()) -> Column:
@@ -163,18 +165,22 @@ def resolve_places(queries: DataFrame, places: DataFrame, distinctive: DataFrame
 
     A full name whose tokens are part of a longer full name of the same query is left out. Names of equal tokens are compared once.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    p = places.select("place_id", F.size(F.array_distinct("tokens")).alias("size"), F.explode(F.array_distinct("tokens")).alias("token"))
-    j = q.join(p, "token").join(distinctive.select("token", F.lit(1).alias("d")), "token", "left")
+    q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")).join(distinctive.select("token", F.lit(1).alias("d")).distinct(), "token", "left")
+    q = cut(q, "places-asked")
+    asked_bytes = q.agg(F.coalesce(F.sum(F.length("token") + 80), F.lit(0))).first()[0]
+    named = cut(places.select("place_id", F.array_distinct("tokens").alias("name")), "places-named")
+    # names are split into tokens once and dealt by their place, so that a task counts few places and counts are not shuffled
+    p = named.repartition(max(1, -(-named.count() // PLACES)), "place_id").select("place_id", F.size("name").alias("size"), F.explode("name").alias("token"))
+    j = sized_join(p, q, ["token"], "inner", asked_bytes)
     g = cut(j.groupBy("query_id", "place_id", "size").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("d", F.lit(0))).alias("d")), "places-met")
-    full = g.filter("n = size").join(places.select("place_id", F.sort_array(F.array_distinct("tokens")).alias("name")), "place_id")
+    full = g.filter("n = size").join(named.select("place_id", F.sort_array("name").alias("name")), "place_id")
     full = cut(full.select("query_id", "place_id", "name"), "places-full")
     part = full.select("query_id", "name", F.explode("name").alias("token")).distinct()
     longer = part.select("query_id", F.col("name").alias("other"), "token").filter(F.size("other") > 1)
     inside = part.join(longer, ["query_id", "token"]).filter(F.size("other") > F.size("name"))
     inside = inside.groupBy("query_id", "name", "other").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.size("name"))
-    gone = full.join(inside, ["query_id", "name"], "left_semi").select("query_id", "place_id")
-    g = g.join(gone, ["query_id", "place_id"], "left_anti")
+    gone = cut(full.join(inside, ["query_id", "name"], "left_semi").select("query_id", "place_id"), "places-gone")
+    g = sized_join(g, gone, ["query_id", "place_id"], "left_anti", gone.count() * 160)
     return g.select("query_id", "place_id", F.round(F.when(F.col("n") == F.col("size"), 1.0).otherwise(F.col("n") / F.col("size") * F.when(F.col("d") == 1, 1.0).otherwise(0.4)), 6).alias("score"))
 
 

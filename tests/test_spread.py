@@ -224,3 +224,24 @@ def test_a_variant_is_picked_from_few_columns(spark):
     found = J.match_variant(listings, plans)
     assert sorted(map(tuple, found.collect()), key=str) == [("l1", "p0", 1.0), ("l2", "p3", None)]
     assert "note" not in found._jdf.queryExecution().optimizedPlan().toString().split("Project")[1].split("LogicalRDD")[0]
+
+
+def counted(spark, df, column):
+    """``df``, with a count of the rows of which ``column`` was made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def one(x):
+        made.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(one, df.schema[column].dataType)(column)), made
+
+
+def test_places_are_split_into_tokens_once(spark):
+    """F32: a name's tokens were made again for its joins, and for each token."""
+    queries = spark.createDataFrame([("q", "near green lake park gate".split()), ("r", ["lake"])], "query_id string, tokens array<string>")
+    places, made = counted(spark, spark.createDataFrame([("park", ["green", "lake", "park"]), ("far", ["lake", "north", "lake"]), ("none", [])], "place_id string, tokens array<string>"), "tokens")
+    single = spark.createDataFrame([("north",), ("north",)], "token string")
+    got = {tuple(r) for r in T.resolve_places(queries, places, single).collect()}
+    assert got == {("q", "park", 1.0), ("q", "far", 0.2), ("r", "park", 0.133333), ("r", "far", 0.2)}
+    assert made.value == 3
