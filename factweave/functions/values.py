@@ -58,15 +58,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def hash_embed(docs: DataFrame, key: str, tokens: str, dims: int = 256) -> DataFrame:
-    """(key, dim, weight): unigrams, and bigrams that weigh 1.25, hashed to ``dims`` signed buckets, length 1 per document; rows, not arrays, so that
+    """(key, dim, weight): unigrams, and bigrams that weigh 1.25, hashed to ``dims`` signed buckets, length 1 per document; summed as rows, so that
     long documents need no wide state."""
     t = F.col(tokens)
     pairs = F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     h = F.xxhash64("gram")
-    terms = docs.select(key, F.explode(F.concat(t, pairs)).alias("gram")).select(key, F.pmod(h, F.lit(dims)).cast("int").alias("dim"), (F.when(h.bitwiseAND(F.lit(1 << 40)) == 0, 1.0).otherwise(-1.0) * F.when(F.contains("gram", F.lit(" ")), 1.25).otherwise(1.0)).alias("w"))
+    # the outer form, as Spark makes the pairs once more to see whether an inner one has rows
+    terms = docs.filter(F.size(t) > 0).select(key, F.explode_outer(F.concat(t, pairs)).alias("gram")).select(key, F.pmod(h, F.lit(dims)).cast("int").alias("dim"), (F.when(h.bitwiseAND(F.lit(1 << 40)) == 0, 1.0).otherwise(-1.0) * F.when(F.contains("gram", F.lit(" ")), 1.25).otherwise(1.0)).alias("w"))
     sums = terms.groupBy(key, "dim").agg(F.sum("w").alias("w")).filter("w <> 0")
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sums.join(norms, key).select(key, "dim", (F.col("w") / F.col("norm")).alias("weight"))
+    # a document's list has ``dims`` entries at most, however long its text
+    whole = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("dim", "w")).alias("v")).filter(F.col(key).isNotNull())
+    return whole.select(key, "norm", F.explode("v").alias("v")).select(key, "v.dim", (F.col("v.w") / F.col("norm")).alias("weight"))
 
 
 def sentiment(rating: Column) -> tuple[Column, Column]:

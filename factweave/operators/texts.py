@@ -203,13 +203,16 @@ def tag_themes_semantic(docs: DataFrame, doc: str, column: str, themes: DataFram
     share a word are compared, by an equi-join."""
     from ..functions.values import hash_embed
 
-    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(column)).alias("tokens"))
+    t = cut(docs.select(F.col(doc).alias("doc"), tokens(F.col(column)).alias("tokens")), "theme-tokens")
     words = themes.select("theme", tokens(F.col("term")).alias("phrase"))
-    anchor = t.select("doc", F.explode(F.array_distinct("tokens")).alias("word")).join(words.select("theme", F.explode("phrase").alias("word")).distinct(), "word").select("doc", "theme").distinct()
+    anchor = t.select("doc", F.explode("tokens").alias("word")).join(words.select("theme", F.explode("phrase").alias("word")).distinct(), "word").select("doc", "theme").distinct()
+    anchor = cut(anchor, "theme-anchors")
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     exact = anchor.join(words, "theme").join(t, "doc").filter(F.contains(spaced("tokens"), spaced("phrase"))).select("doc", "theme").distinct().withColumn("exact", F.lit(True))
-    a = hash_embed(t, "doc", "tokens", dims)
     b = hash_embed(words.groupBy("theme").agg(F.flatten(F.sort_array(F.collect_set("phrase"))).alias("tokens")), "theme", "tokens", dims).withColumnRenamed("weight", "w")
+    b = cut(b, "theme-vectors")
+    # of a text's vector only the dims that a theme has go on: ``dims`` rows at most are broadcast
+    a = hash_embed(t, "doc", "tokens", dims).join(F.broadcast(b.select("dim").distinct()), "dim", "left_semi")
     dots = anchor.join(b, "theme").join(a, ["doc", "dim"]).groupBy("doc", "theme").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("cosine"))
     found = anchor.join(dots, ["doc", "theme"], "left").join(exact, ["doc", "theme"], "left")
     return found.filter(F.coalesce("exact", F.lit(False)) | (F.col("cosine") >= least)).select("doc", "theme", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
