@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.cut import cut, scratch, sized_join
+from ..plans.cut import BROADCAST_LIMIT, cut, scratch, sized_join
 
 #: Documents of a block, blocks of each query that are scored first, and tokens that are pushed down to the scan by name.
 BLOCK_DOCS = 1024
 FIRST_BLOCKS = 4
 PUSHED = 2000
+#: Tasks that write an index, at most.
+TASKS = 10_000
 
 
 def words(c: Column) -> Column:
@@ -41,8 +43,9 @@ def build_index(docs: DataFrame, doc: str, fields: list[str], folder: str, k1: f
     each.filter(F.size("t") > 0).groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("t")).alias("mean")).coalesce(1).write.parquet(f"{folder}/fields")
     known = spark.read.parquet(f"{folder}/fields")
     blocks = max(1, -(-docs.count() // block_docs))
-    # texts are dealt by blocks once; what follows groups within a block, so postings are not shuffled as rows
-    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(doc), F.lit(blocks))).select("__block", doc, *fields).repartition("__block")
+    # texts are dealt by blocks once; what follows groups within a block, so postings are not shuffled as rows. A task has about a block, whatever
+    # the texts' compressed size, so that its counts stay in memory
+    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(doc), F.lit(blocks))).select("__block", doc, *fields).repartition(min(blocks, TASKS), "__block")
     terms = dealt.select(F.col("__block").alias("block"), F.col(doc).alias("doc"), _by_field(fields)).select("block", "doc", "f.field", "f.t")
     counts = terms.select("block", "doc", "field", F.size("t").alias("length"), F.explode("t").alias("token")).groupBy("block", "token", "field", "doc", "length").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
@@ -67,6 +70,8 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame, n: int) -
     postings = spark.read.parquet(f"{folder}/postings")
     if count <= PUSHED:
         postings = postings.filter(F.col("token").isin([r.token for r in asked.collect()]))
+    else:  # too many to be named: those asked for are taken out once, and no others are read or shuffled again
+        postings = cut(sized_join(postings, asked, ["token"], "left_semi", count * 40), "search-postings")
     rarity = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = sized_join(spark.read.parquet(f"{folder}/terms"), asked, ["token"], "left_semi", count * 40)
     terms = cut(terms.join(F.broadcast(spark.read.parquet(f"{folder}/fields")), "field").select("token", "field", "df", rarity.alias("rarity")), "search-rarity")  # a row a field
@@ -80,16 +85,21 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame, n: int) -
     def score(blocks: DataFrame) -> DataFrame:
         """All matches of the queries in their blocks: the rarest token's documents, those of them that every token has, then these documents' weights."""
         ids = F.transform("entries", lambda e: e["doc"])
-        firsts = blocks.join(rarest, "query_id").join(postings.select(F.col("token").alias("rarest"), "block", "entries"), ["rarest", "block"])
+        blocks = cut(blocks, "search-blocks")
+        need = cut(blocks.join(q, "query_id").select("token", "block").distinct(), "search-need")
+        need_bytes = need.count() * 64
+        # few are picked where they lie; of many, most are needed
+        near = sized_join(postings, need, ["token", "block"], "left_semi", need_bytes) if need_bytes <= BROADCAST_LIMIT else postings
+        firsts = blocks.join(rarest, "query_id").join(near.select(F.col("token").alias("rarest"), "block", "entries"), ["rarest", "block"])
         firsts = firsts.groupBy("query_id", "block").agg(F.array_distinct(F.flatten(F.collect_list(ids))).alias("able"))  # a list a field
         asked_of = cut(firsts.join(q, "query_id"), "search-asked-of")
-        held = asked_of.join(postings.select("token", "block", ids.alias("ids")), ["token", "block"]).select("query_id", "block", "terms", "token", F.array_intersect("able", "ids").alias("ids")).filter(F.size("ids") > 0)
+        held = asked_of.join(near.select("token", "block", ids.alias("ids")), ["token", "block"]).select("query_id", "block", "terms", "token", F.array_intersect("able", "ids").alias("ids")).filter(F.size("ids") > 0)
         held = held.groupBy("query_id", "block", "terms", "token").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
         lists = held.groupBy("query_id", "block", "terms").agg(F.collect_list("ids").alias("lists")).filter(F.size("lists") == F.col("terms"))
         every = F.aggregate(F.slice("lists", 2, F.size("lists")), F.element_at("lists", 1), F.array_intersect)
         sure = cut(lists.select("query_id", "block", every.alias("able")).filter(F.size("able") > 0), "search-matches")
         kept = F.when(F.size(F.array_intersect("able", ids)) == F.size("entries"), F.col("entries")).otherwise(F.filter("entries", lambda e: F.array_contains("able", e["doc"])))
-        met = sure.join(q, "query_id").join(postings, ["token", "block"]).select("query_id", "terms", "token", "field", F.explode(kept).alias("e"))
+        met = sure.join(q, "query_id").join(near, ["token", "block"]).select("query_id", "terms", "token", "field", F.explode(kept).alias("e"))
         met = sized_join(met, terms, ["token", "field"], "inner", term_bytes)
         found = met.groupBy("query_id", "terms", F.col("e.doc").alias("doc")).agg(F.count_distinct("token").alias("held"), F.round(F.sum(F.col("rarity") * F.col("e.w")), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
         return found.filter("held = terms").select("query_id", "doc", "score", "fields")
