@@ -6,6 +6,9 @@ from ..streaming import events as E
 from ..streaming import merge as M
 from .registry import Tables, query
 
+#: Rows of an arriving file, about; a batch has more files where it has more rows, so that no task writes or reads a whole batch.
+BATCH_FILE_ROWS = 1 << 20
+
 
 def _stream(t: Tables, name: str):
     return t.spark.readStream.schema(getattr(t, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
@@ -24,9 +27,10 @@ def st1_event_log(t: Tables):
 def st2_merge_deltas(t: Tables):
     """The facts arrive in four batches; buckets of more than two files are compacted on the way, the rest is merged on reading."""
     arriving = E.scratch(t.spark, "facts-arriving")
-    t.facts.repartition(4, "fact_no").write.parquet(arriving)
+    each = max(1, t.facts.count() // (4 * BATCH_FILE_ROWS))  # files of a batch
+    t.facts.repartition(4 * each, "fact_no").write.parquet(arriving)
     root = E.scratch(t.spark, "facts-merged")
-    M.merge_deltas(t.spark.readStream.schema(t.facts.schema).option("maxFilesPerTrigger", 1).parquet(arriving), root, root + "-progress", buckets=8, most_files=2, most_rows=1 << 40).awaitTermination()
+    M.merge_deltas(t.spark.readStream.schema(t.facts.schema).option("maxFilesPerTrigger", each).parquet(arriving), root, root + "-progress", buckets=8, most_files=2, most_rows=1 << 40).awaitTermination()
     return M.latest(t.spark, root, t.facts.schema).select("entity_id", "fact_key", "source_type", "source_url", "value_text", "fact_no")
 
 

@@ -52,13 +52,14 @@ def _read(spark: SparkSession, paths: list[str], schema) -> DataFrame:
 
 
 def merge_batch(batch: DataFrame, epoch: int, root: str, buckets: int = BUCKETS, **limits) -> None:
-    """Adds a batch as number ``epoch``. ``limits`` are those of ``needs_compaction``; ``buckets`` has to stay as it was at first."""
+    """Adds a batch as number ``epoch``. ``limits`` are those of ``needs_compaction``, for which a folder is one file however many its size makes it; ``buckets`` has to stay as it was at first."""
     spark, schema = batch.sparkSession, batch.schema
     before = manifest(spark, root, epoch - 1).collect()
     rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
     entries = before + _write(rows, f"{root}/delta/epoch={epoch}").collect()
     files = spark.createDataFrame(entries, _MANIFEST).withColumn("age_hours", (F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("written")) / 3600)
-    each = files.withColumn("file", F.explode(F.sequence(F.lit(1), F.col("files")))).select(F.col("bucket").alias("partition"), (F.col("rows") / F.col("files")).alias("rows"), (F.col("bytes") / F.col("files")).alias("bytes"), "age_hours")
+    # what was written at once counts as one file: it is split by size only, and compacting it again would not make it fewer
+    each = files.select(F.col("bucket").alias("partition"), "rows", "bytes", "age_hours")
     full = {r.partition for r in needs_compaction(each, **limits).filter("compact").collect() if r.files > 1}
     if full:
         old = [r.path for r in entries if r.bucket in full]
