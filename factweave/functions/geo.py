@@ -9,6 +9,13 @@ EARTH_KM = 6371.0088
 KM_PER_LAT, KM_PER_LON = 110.574, 111.320
 
 
+def central_km(p1: Column, cos1: Column, lon1: Column, p2: Column, cos2: Column, lon2: Column) -> Column:
+    """Great-circle distance in km of points whose latitudes are in radians and known with their cosines; longitudes are in degrees."""
+    sin_lat, sin_lon = F.sin((p2 - p1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
+    h = sin_lat * sin_lat + cos1 * cos2 * (sin_lon * sin_lon)
+    return F.lit(2 * EARTH_KM) * F.atan2(F.sqrt(h), F.sqrt(1 - h))
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in km."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
@@ -16,6 +23,11 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_KM) * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x``, not negative, to ``digits`` decimals, halves up. ``F.round`` makes a text and a decimal of each double, which costs more than the distance of a pair."""
+    return F.floor(x * F.lit(float(10**digits)) + 0.5) / F.lit(float(10**digits))
+
+
 def decay(distance: Column, full: float, zero: float) -> Column:
     """1 up to ``full``, 0 from ``zero`` on, linear between."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(zero) - distance) / F.lit(zero - full)))
